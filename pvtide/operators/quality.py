@@ -30,8 +30,9 @@ def capacity_outliers(readings: DataFrame, metadata: DataFrame, factor: float =
     writes it; ``op="gt"`` keeps the readings above capacity (the evident
     intent). The capacity side (one row per system) is broadcast after a
     row-count check; the filter rejects nulls, so Catalyst turns the left
-    join into an inner one. Result sorted by ``(ss_id, datetime_GMT)`` with
-    a 0-based ``index``.
+    join into an inner one. NaN orders above every number, so a NaN reading
+    is kept by ``gt`` and dropped by ``lt``. Result sorted by
+    ``(ss_id, datetime_GMT)`` with a 0-based ``index``.
     """
     cap = metadata.select(F.col(SS_ID).cast(dict(readings.dtypes)[SS_ID]).alias(SS_ID),
                           F.col("kWp"))

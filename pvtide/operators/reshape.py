@@ -37,27 +37,44 @@ def dedup(df: DataFrame, keys: list[str], order_by: list | None = None) -> DataF
 
 
 def wide_halfhour_to_tall(wide: DataFrame, prefix: str = "t", minutes: int = 30,
-                          deduplicate: bool = True, dedup_order: list | None = None) -> DataFrame:
+                          deduplicate: bool = True, dedup_order: list | None = None,
+                          day_aligned: bool = True) -> DataFrame:
     """Wide day rows with slot columns ``t1..tN`` to tall ``(ss_id, datetime_GMT, generation_Wh)``.
 
     Slot ``t<k>`` is the energy of the half hour ending ``k * minutes``
     after the row's ``datetime_GMT``: ``t48`` of a day lands on 00:00 of the
     next day (and so in the next month on a month's last day). Slot values
     are cast to one type before unpivoting; rows whose slot is empty keep a
-    null reading, as the reference does. The unpivot is an ``Expand`` (no
-    shuffle); only the dedup shuffles, on the reading key.
+    null reading, as the reference does. The unpivot is an ``Expand``.
+
+    Duplicate ``(datetime_GMT, ss_id)`` readings are removed. With
+    ``day_aligned`` (the extract's format: ``datetime_GMT`` is a midnight)
+    the readings of two different days can never share a time, so removing
+    duplicate *wide* rows is exact and shuffles 1/48 of the tall rows; a
+    row that is not at midnight fails the job. ``day_aligned=False``
+    removes duplicates on the tall rows instead.
     """
     slots = slot_columns(wide, prefix)
     if not slots:
         raise ValueError(f"no slot columns {prefix}<n> in {wide.columns}")
     typed = wide.select(TS, SS_ID, *[F.col(c).cast("double").alias(c) for c in slots])
+    if deduplicate and day_aligned:
+        ts_type = dict(typed.dtypes)[TS]
+        midnight = F.to_date(F.col(TS)).cast(ts_type)
+        # A filter that fails instead of dropping: the column itself is not
+        # rewritten, so an upstream partitioning on it is reused.
+        typed = typed.filter(F.when(F.col(TS) == midnight, F.lit(True)).when(F.col(TS).isNull(), F.lit(True))
+                             .otherwise(F.raise_error(F.lit(
+                                 "wide extract: datetime_GMT is not a midnight; use day_aligned=False"))
+                                 .cast("boolean")))
+        typed = dedup(typed, [TS, SS_ID], dedup_order)
     tall = typed.unpivot([TS, SS_ID], slots, "hh", GEN)
     slot_no = F.substring(F.col("hh"), len(prefix) + 1, 10).cast("int")
     tall = tall.select(
         F.col(SS_ID).cast("int").alias(SS_ID),
         add_minutes(F.col(TS), slot_no * F.lit(minutes)).alias(TS),
         F.col(GEN).cast("float").alias(GEN))
-    if deduplicate:
+    if deduplicate and not day_aligned:
         tall = dedup(tall, [TS, SS_ID], dedup_order)
     return tall.select(SS_ID, TS, GEN)
 
@@ -67,20 +84,18 @@ def halfhour_slots_to_wide(readings: DataFrame, prefix: str = "t", minutes: int
     """Inverse layout of P1: one row per (day, system), slot k = energy of the
     k-th ``minutes`` interval of that day (left-closed slot, labelled at its end).
 
-    Used to build wide extracts from tall readings; a 48-value pivot with the
-    values listed, so Spark needs no pass to discover them.
+    Used to build wide extracts from tall readings: one grouped aggregation
+    with a conditional sum per slot (one shuffle, combined map-side), where
+    a pivot would aggregate by slot first and shuffle twice.
     """
     n_slots = (24 * 60) // minutes
     day = F.to_date(F.col(TS))
     ts_type = dict(readings.dtypes)[TS]
     slot = (F.floor((F.hour(TS) * 60 + F.minute(TS)) / F.lit(minutes)) + F.lit(1)).cast("int")
-    wide = (readings
-            .select(day.cast(ts_type).alias(TS), F.col(SS_ID), slot.alias("_slot"), F.col(value))
-            .groupBy(TS, SS_ID)
-            .pivot("_slot", list(range(1, n_slots + 1)))
-            .agg(F.sum(value)))
-    return wide.select(TS, SS_ID, *[F.col(str(k)).alias(f"{prefix}{k}")
-                                    for k in range(1, n_slots + 1)])
+    keyed = readings.select(day.cast(ts_type).alias(TS), F.col(SS_ID), slot.alias("_slot"), F.col(value))
+    return keyed.groupBy(TS, SS_ID).agg(*[
+        F.sum(F.when(F.col("_slot") == F.lit(k), F.col(value))).alias(f"{prefix}{k}")
+        for k in range(1, n_slots + 1)])
 
 
 def unpivot_series(df: DataFrame, index: list[str], variable: str, value: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pvtide.functions.hexgrid import DEFAULT_EDGE_KM, hex_cell
 
@@ -45,13 +44,11 @@ def capacity_histogram(df: DataFrame, column: str = "kWp", edges=None) -> DataFr
     counts = (df.select(bin_expr.alias("bin_index"))
               .filter(F.col("bin_index").isNotNull())
               .groupBy("bin_index").agg(F.count(F.lit(1)).alias("count")))
-    spark = df.sparkSession
-    spine = spark.createDataFrame(
-        [(i, lo, hi, _edge_label(lo, hi, i == 0)) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))],
-        T.StructType([T.StructField("bin_index", T.IntegerType()),
-                      T.StructField("lower_edge", T.DoubleType()),
-                      T.StructField("upper_edge", T.DoubleType()),
-                      T.StructField("bin_edges", T.StringType())]))
+    # The edge spine is a literal table built in the JVM (no Python rows).
+    spine = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).cast("int").alias("bin_index"), F.lit(lo).alias("lower_edge"),
+                 F.lit(hi).alias("upper_edge"), F.lit(_edge_label(lo, hi, i == 0)).alias("bin_edges"))
+        for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])))
     return (spine.join(F.broadcast(counts), "bin_index", "left")
             .select("bin_index", "bin_edges", "lower_edge", "upper_edge",
                     F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))

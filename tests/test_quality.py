@@ -1,0 +1,65 @@
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from conftest import READINGS_DDL, T
+from pvtide.operators.indexing import with_row_index
+from pvtide.operators.quality import (
+    capacity_outliers,
+    id_overlap_counts,
+    ids_missing_from_metadata,
+    max_excluding_points,
+    remove_implausible,
+)
+
+
+@pytest.fixture()
+def readings(spark):
+    return spark.createDataFrame([
+        (1, T("2024-01-01 10:00"), 100.0), (1, T("2024-01-01 10:30"), 5000.0),
+        (1, T("2024-01-01 11:00"), float("nan")), (1, T("2024-01-01 11:30"), None),
+        (2, T("2024-01-01 10:00"), 99999.0), (2, T("2024-01-01 10:30"), 100000.0),
+        (3, T("2024-01-01 10:00"), 10.0),   # null kWp
+        (4, T("2024-01-01 10:00"), 10.0),   # not in metadata
+    ], READINGS_DDL)
+
+
+@pytest.fixture()
+def capacity(spark):
+    return spark.createDataFrame([(1, 4.0), (2, 200.0), (3, None)], "ss_id bigint, kWp double")
+
+
+def test_remove_implausible_edges(readings):
+    kept = {(r.ss_id, r.generation_Wh) for r in remove_implausible(readings).collect()}
+    assert (2, 99999.0) in kept and (2, 100000.0) not in kept
+    assert not any(v is None or v != v for _, v in kept)  # null and NaN are dropped too
+
+
+def test_capacity_outliers_both_ways(readings, capacity):
+    lt = capacity_outliers(readings, capacity, op="lt").orderBy("index").collect()
+    assert [(r["index"], r.ss_id, r.generation_Wh) for r in lt] == [(0, 1, 100.0), (1, 2, 99999.0), (2, 2, 100000.0)]
+    gt = capacity_outliers(readings, capacity, op="gt").orderBy("index").collect()
+    # NaN orders above every number (as in DuckDB), so a NaN reading is flagged.
+    assert [(r["index"], r.ss_id) for r in gt] == [(0, 1), (1, 1)]
+    assert gt[1].generation_Wh != gt[1].generation_Wh
+
+
+def test_row_index_matches_row_number_across_partitions(spark):
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k"), (F.col("id") % 13).alias("g"))
+    df = df.repartition(7)
+    idx = with_row_index(df, ["g", "k"]).select("index", "g", "k")
+    ref = df.select((F.row_number().over(Window.orderBy("g", "k")) - 1).cast("bigint").alias("index"), "g", "k")
+    assert sorted(idx.collect()) == sorted(ref.collect())
+
+
+def test_ids_missing_and_overlap(readings, capacity):
+    assert [r.ss_id for r in ids_missing_from_metadata(readings, capacity).collect()] == [4]
+    r = id_overlap_counts(readings, capacity).first()
+    assert (r.n_ids_with_readings, r.n_ids_in_metadata) == (4, 3)
+
+
+def test_max_excluding_points(spark, readings):
+    bad = spark.createDataFrame([(1, T("2024-01-01 10:30"))], "ss_id int, datetime_GMT timestamp")
+    got = {r.ss_id: r.max_generation_Wh for r in max_excluding_points(readings, bad).collect()}
+    assert got[1] == 100.0  # NaN skipped, the bad point excluded
+    assert got[2] == 100000.0
