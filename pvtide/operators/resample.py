@@ -12,9 +12,9 @@ from pvtide.functions.timecols import lit_ts, right_closed_end
 from pvtide.schema import GEN, SS_ID, TS
 
 # Names of the three compared series.
-SOURCE_FINE = "5 minutely from SS"
-SOURCE_RESAMPLED = "5 min aggregated to 30 min"
-SOURCE_COARSE = "30 minutely from SS"
+SOURCE_FINE = "5 minutely"
+SOURCE_RESAMPLED = "5 minutely resampled to 30 minutes"
+SOURCE_COARSE = "30 minutely"
 
 
 def resample_right_closed(df: DataFrame, every: str = "30 minutes", value: str = GEN,

@@ -14,7 +14,7 @@ from pvtide.functions.timecols import (
     midnight_keep_minutes,
     partition_month_start,
 )
-from pvtide.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from pvtide.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast, reliable_checkpoint
 from pvtide.schema import END, MONTH, SS_ID, START, TS, YEAR
 
 W_START = "window_start"
@@ -78,7 +78,7 @@ def sample_windows(metadata: DataFrame, bounds, days: int = 7, seed: int = 42,
 
 
 def fetch_windows(readings: DataFrame, windows: DataFrame,
-                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, materialize: bool = True) -> DataFrame:
     """All readings of each ``(ss_id, window_start, window_end)``, closed range.
 
     One job instead of one query per window. The windows side is broadcast
@@ -86,9 +86,11 @@ def fetch_windows(readings: DataFrame, windows: DataFrame,
     skewed systems). When the readings carry the Hive month keys, each
     window is exploded to the months it spans and the keys join too, so
     dynamic partition pruning reads only those months (the windows side is
-    filtered, which the pruning rule needs).
+    filtered, which the pruning rule needs). Windows derived from the
+    readings themselves are materialised once (``materialize``) so the size
+    check does not rescan the readings.
     """
-    win = windows.select(SS_ID, W_START, W_END).filter(F.col(W_START) <= F.col(W_END))
+    win = windows.select(SS_ID, W_START, W_END)
     keys = [SS_ID]
     partitioned = YEAR in readings.columns and MONTH in readings.columns
     if partitioned:
@@ -99,6 +101,10 @@ def fetch_windows(readings: DataFrame, windows: DataFrame,
                        F.month("_m").cast("tinyint").alias(MONTH)))
         keys = [SS_ID, YEAR, MONTH]
     win = win.withColumn(SS_ID, F.col(SS_ID).cast(dict(readings.dtypes)[SS_ID]))
+    if materialize:
+        win = reliable_checkpoint(win)
+    # The predicate stays above the checkpoint: partition pruning needs one.
+    win = win.filter(F.col(W_START) <= F.col(W_END))
     win, _ = bounded_broadcast(win, max_broadcast_rows)
     joined = readings.join(win, keys, "inner").filter(F.col(TS).between(F.col(W_START), F.col(W_END)))
     out = [c for c in readings.columns if c not in (YEAR, MONTH)] + [W_START, W_END]

@@ -18,8 +18,16 @@ from pvtide.session import ensure_checkpoint_dir
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Return ``(broadcast(df), True)`` when df has at most ``max_rows`` rows."""
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      materialize: bool = False) -> tuple[DataFrame, bool]:
+    """Return ``(broadcast(df), True)`` when df has at most ``max_rows`` rows.
+
+    ``materialize`` checkpoints df first, for a side that is itself an
+    aggregate over the large data: counting and joining then read the
+    checkpoint instead of recomputing it.
+    """
+    if materialize:
+        df = reliable_checkpoint(df)
     n = df.limit(max_rows + 1).count()
     if n <= max_rows:
         return F.broadcast(df), True

@@ -139,9 +139,9 @@ ORACLE_SQL: dict[str, str] = {
         j as (select ss_id, datetime_GMT, a.v as fine, resampled.power_W as res, c.v as coarse
               from a full outer join resampled using (ss_id, datetime_GMT)
                      full outer join c using (ss_id, datetime_GMT)),
-        l as (select ss_id, datetime_GMT, '5 minutely from SS' as source, fine as power_W from j
-              union all select ss_id, datetime_GMT, '5 min aggregated to 30 min', res from j
-              union all select ss_id, datetime_GMT, '30 minutely from SS', coarse from j)
+        l as (select ss_id, datetime_GMT, '5 minutely' as source, fine as power_W from j
+              union all select ss_id, datetime_GMT, '5 minutely resampled to 30 minutes', res from j
+              union all select ss_id, datetime_GMT, '30 minutely', coarse from j)
         select ss_id, datetime_GMT, source, round(power_W, 6) as power_W from l
         where hour(datetime_GMT) between 5 and 21 and (power_W is null or not isnan(power_W))""",
 
