@@ -230,4 +230,8 @@ ORACLE_SQL: dict[str, str] = {
 
     "largest_systems": _with("metadata_raw") + """
         select * from metadata_raw order by kWp desc nulls first, ss_id limit 10""",
+
+    "latest_readings": _with("readings_long") + """
+        select ss_id, datetime_GMT, generation_Wh from readings_long
+        order by datetime_GMT desc, ss_id desc, generation_Wh desc limit 5""",
 }

@@ -17,6 +17,7 @@ from pvtide.operators import (
     layout,
     metadata,
     months,
+    peek,
     pivot,
     quality,
     resample,
@@ -141,7 +142,8 @@ def q_pivot_systems(spark, sf_dir):
 def q_pivot_map(spark, sf_dir):
     tall = _halfhour_tall(spark, sf_dir).filter(F.col(GEN).isNotNull())
     m = pivot.pivot_systems_map(tall)
-    return (m.select(TS, F.size("values").alias("n_systems"), F.explode("values").alias(SS_ID, GEN)))
+    return m.select(TS, F.size("values").cast("bigint").alias("n_systems"),
+                    F.explode("values").alias(SS_ID, GEN))
 
 
 def q_max_excluding_point(spark, sf_dir):
@@ -158,6 +160,10 @@ def q_largest_systems(spark, sf_dir):
     return metadata.largest_systems(fx.metadata_raw(spark, sf_dir), 10)
 
 
+def q_latest_readings(spark, sf_dir):
+    return peek.tail(fx.readings_long(spark, sf_dir), [TS, SS_ID, GEN], 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "activity_bounds": q_activity_bounds,
     "metadata_merge": q_metadata_merge,
@@ -182,4 +188,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "max_excluding_point": q_max_excluding_point,
     "month_spine": q_month_spine,
     "largest_systems": q_largest_systems,
+    "latest_readings": q_latest_readings,
 }

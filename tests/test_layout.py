@@ -100,3 +100,33 @@ def test_scan_wide_missing_columns(spark, scratch):
     b.write.parquet(f"{scratch}/w/b")
     out = scan_wide(spark, [f"{scratch}/w/a", f"{scratch}/w/b"], [1, 2]).orderBy("datetime_GMT").collect()
     assert [tuple(r) for r in out] == [(T("2024-01-01 00:30"), 1.0, 2.0), (T("2024-02-01 00:30"), 3.0, None)]
+
+
+def test_dynamic_overwrite_replaces_only_touched_months(spark, scratch):
+    root = f"{scratch}/dyn"
+    df = _readings(spark, 600)
+    write_sorted_months(df, root)
+    before = scan_readings(spark, root)
+    n_total = before.count()
+    months = {(r.year, r.month) for r in before.select("year", "month").distinct().collect()}
+    # Rewrite one month (from a different source) with only its first 3 rows.
+    one = df.filter((F.year("datetime_GMT") == 2022) & (F.month("datetime_GMT") == 12))
+    n_dec = one.count()
+    write_sorted_months(one.orderBy("datetime_GMT").limit(3), root, mode="overwrite")
+    after = scan_readings(spark, root)
+    assert {(r.year, r.month) for r in after.select("year", "month").distinct().collect()} == months
+    assert after.count() == n_total - n_dec + 3
+
+
+def test_new_metadata_inference(spark, scratch):
+    from pvtide.sources.csvfiles import read_new_metadata
+    path = f"{scratch}/new_metadata.csv"
+    with open(path, "w") as f:
+        f.write("ss_id,owner_id,owner_name,system_id,latitude_rounded,longitude_rounded,orientation,tilt,kWp\n")
+        f.write("1,,A,s1,51.5,-1.25,180,30,4.0\n2,,B,s2,52.5,-2.25,90,10,\n")
+    inferred = read_new_metadata(spark, path, infer=True)
+    types = dict(inferred.dtypes)
+    assert types["ss_id"] == "int" and types["owner_id"] == "string" and types["kWp"] == "double"
+    declared = read_new_metadata(spark, path)
+    assert dict(declared.dtypes)["ss_id"] == "bigint"
+    assert declared.filter("kWp is null").count() == 1

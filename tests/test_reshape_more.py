@@ -89,3 +89,11 @@ def test_histogram_edges(spark):
     assert got[3][1] == 1 and got[4] == ("(4.0, 10.0]", 2)
     assert got[9] == ("(200.0, 250.0]", 1)
     assert sum(c for _, c in got.values()) == 8 and len(got) == 10
+
+
+def test_head_and_tail(spark):
+    from pvtide.operators.peek import head, tail
+    df = spark.range(100).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b")).repartition(5)
+    assert [r.a for r in head(df, ["a"], 3).collect()] == [0, 1, 2]
+    assert [r.a for r in tail(df, ["a"], 3).collect()] == [97, 98, 99]
+    assert [(r.b, r.a) for r in tail(df, ["b", "a"], 2).collect()] == [(6, 90), (6, 97)]
