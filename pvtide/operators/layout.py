@@ -28,17 +28,22 @@ def sorted_month_frame(df: DataFrame, num_partitions: int | None = None,
     Default: range-partitioned on ``(year, month, ss_id, datetime_GMT)``,
     so a month is split into several files with disjoint id (and, for a
     very busy system, time) ranges; a dense month or a hot system never
-    becomes one task. ``one_file=True`` gives the reference's one file per
-    month (one task per month). The partition keys lead the in-file sort,
-    so the writer does not sort again.
+    becomes one task. Without ``num_partitions`` the range count is left to
+    AQE, which starts from ``spark.sql.shuffle.partitions`` and merges
+    neighbouring ranges up to ``spark.sql.adaptive.advisoryPartitionSizeInBytes``
+    (on a cluster: set the former high, e.g. input bytes / 128 MB).
+    ``one_file=True`` gives the reference's one file per month (one task
+    per month). The partition keys lead the in-file sort, so the writer
+    does not sort again.
     """
     keyed = df if (YEAR in df.columns and MONTH in df.columns) else with_month_keys(df)
     keyed = keyed.withColumn("_month_dir", month_dir_value(F.col(TS)))
     if one_file:
         arranged = keyed.repartition(YEAR, "_month_dir")
+    elif num_partitions:
+        arranged = keyed.repartitionByRange(num_partitions, YEAR, "_month_dir", SS_ID, TS)
     else:
-        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        arranged = keyed.repartitionByRange(n, YEAR, "_month_dir", SS_ID, TS)
+        arranged = keyed.repartitionByRange(YEAR, "_month_dir", SS_ID, TS)
     return arranged.sortWithinPartitions(YEAR, "_month_dir", SS_ID, TS)
 
 

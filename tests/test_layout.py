@@ -130,3 +130,27 @@ def test_new_metadata_inference(spark, scratch):
     declared = read_new_metadata(spark, path)
     assert dict(declared.dtypes)["ss_id"] == "bigint"
     assert declared.filter("kWp is null").count() == 1
+
+
+def test_hot_system_is_split_across_tasks(spark):
+    from pvtide.operators.indexing import with_row_index
+    from pvtide.operators.layout import sorted_month_frame
+    # System 0 holds a third of all rows, all in one month.
+    hot = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise((F.col("id") % 500).cast("int")).alias("ss_id"),
+        (F.lit(T("2024-05-01")).cast("timestamp") + F.expr("INTERVAL 1 MINUTE") * F.col("id")).alias("datetime_GMT"),
+        F.lit(1.0).cast("float").alias("generation_Wh"))
+    hot = hot.filter(F.month("datetime_GMT") == 5)
+    sizes = [r[1] for r in sorted_month_frame(hot, num_partitions=8)
+             .groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 0.25 * sum(sizes)
+    # AQE would merge this small input into one partition; look at the ranges.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        idx = with_row_index(hot, ["ss_id", "datetime_GMT"])
+        parts = [r[1] for r in idx.groupBy(F.spark_partition_id()).count().collect()]
+        ids = sorted(r["index"] for r in idx.select("index").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 1 and max(parts) < 0.3 * sum(parts)  # the hot third is split
+    assert ids == list(range(len(ids)))
