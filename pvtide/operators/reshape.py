@@ -45,7 +45,8 @@ def wide_halfhour_to_tall(wide: DataFrame, prefix: str = "t", minutes: int = 30,
     after the row's ``datetime_GMT``: ``t48`` of a day lands on 00:00 of the
     next day (and so in the next month on a month's last day). Slot values
     are cast to one type before unpivoting; rows whose slot is empty keep a
-    null reading, as the reference does. The unpivot is an ``Expand``.
+    null reading, as the reference does. The unpivot is a generator in the
+    scan's stage (no shuffle).
 
     Duplicate ``(datetime_GMT, ss_id)`` readings are removed. With
     ``day_aligned`` (the extract's format: ``datetime_GMT`` is a midnight)
@@ -68,11 +69,14 @@ def wide_halfhour_to_tall(wide: DataFrame, prefix: str = "t", minutes: int = 30,
                                  "wide extract: datetime_GMT is not a midnight; use day_aligned=False"))
                                  .cast("boolean")))
         typed = dedup(typed, [TS, SS_ID], dedup_order)
-    tall = typed.unpivot([TS, SS_ID], slots, "hh", GEN)
-    slot_no = F.substring(F.col("hh"), len(prefix) + 1, 10).cast("int")
+    # Unpivot with the slot number as a literal per slot (known from the
+    # column names), so no row parses a column name.
+    pairs = F.array(*[F.struct(F.lit(int(c[len(prefix):])).alias("_slot"), F.col(c).alias(GEN))
+                      for c in slots])
+    tall = typed.select(TS, SS_ID, F.inline(pairs))
     tall = tall.select(
         F.col(SS_ID).cast("int").alias(SS_ID),
-        add_minutes(F.col(TS), slot_no * F.lit(minutes)).alias(TS),
+        add_minutes(F.col(TS), F.col("_slot") * F.lit(minutes)).alias(TS),
         F.col(GEN).cast("float").alias(GEN))
     if deduplicate and not day_aligned:
         tall = dedup(tall, [TS, SS_ID], dedup_order)
