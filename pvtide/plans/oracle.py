@@ -234,4 +234,15 @@ ORACLE_SQL: dict[str, str] = {
     "latest_readings": _with("readings_long") + """
         select ss_id, datetime_GMT, generation_Wh from readings_long
         order by datetime_GMT desc, ss_id desc, generation_Wh desc limit 5""",
+
+    "month_layout_roundtrip": """
+        select cast(l_partkey as integer) as ss_id, l_shipdate as datetime_GMT,
+          cast(l_extendedprice as float) as generation_Wh,
+          cast(year(l_shipdate) as smallint) as year, cast(month(l_shipdate) as tinyint) as month
+        from lineitem""",
+
+    "relayout_months": """
+        select cast(year(l_shipdate) as smallint) as year, cast(month(l_shipdate) as tinyint) as month,
+          count(*) as n_readings, min(l_shipdate) as first_reading, max(l_shipdate) as last_reading
+        from lineitem group by all""",
 }

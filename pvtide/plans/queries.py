@@ -8,10 +8,12 @@ decimals on both sides so that summation order cannot change the check.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pvtide.operators import (
     layout,
@@ -25,8 +27,10 @@ from pvtide.operators import (
     sampling,
     spatial,
 )
-from pvtide.schema import GEN, SS_ID, TS
+from pvtide.schema import GEN, MONTH, SS_ID, TS, YEAR
+from pvtide.session import ensure_checkpoint_dir
 from pvtide.sources import fixtures as fx
+from pvtide.sources.readings import narrow_readings, scan_readings
 
 # Parameters of the registered runs.
 OUTLIER_CONTEXT_THRESHOLD = 400.0
@@ -164,6 +168,34 @@ def q_latest_readings(spark, sf_dir):
     return peek.tail(fx.readings_long(spark, sf_dir), [TS, SS_ID, GEN], 5)
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder under the shared checkpoint folder for a written layout."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_month_layout_roundtrip(spark, sf_dir):
+    """P2 + S1: write readings as sorted month files, scan them back with typed keys."""
+    readings = narrow_readings(fx.readings_long(spark, sf_dir))
+    root = _scratch(spark, "month-layout")
+    layout.write_sorted_months(readings, root)
+    schema = T.StructType(readings.schema.fields + [T.StructField(YEAR, T.ShortType()),
+                                                    T.StructField(MONTH, T.ByteType())])
+    return scan_readings(spark, root, schema=schema)
+
+
+def q_relayout_months(spark, sf_dir):
+    """P14 + S9: a raw tree that encodes year and month only in its paths,
+    read back with the keys taken from each file's path; rows per month."""
+    raw = _scratch(spark, "raw-tree")
+    readings = fx.readings_long(spark, sf_dir)
+    (readings.withColumns({"y": F.date_format(TS, "yyyy"), "m": F.date_format(TS, "MM")})
+     .repartition("y", "m").write.partitionBy("y", "m").parquet(raw))
+    moved = layout.relayout_by_path(spark, f"{raw}/*/*/*.parquet",
+                                    pattern=r"/y=(\d{4})/m=(\d{2})/[^/]*$")
+    return moved.groupBy(YEAR, MONTH).agg(F.count(F.lit(1)).alias("n_readings"),
+                                          F.min(TS).alias("first_reading"), F.max(TS).alias("last_reading"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "activity_bounds": q_activity_bounds,
     "metadata_merge": q_metadata_merge,
@@ -189,4 +221,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "month_spine": q_month_spine,
     "largest_systems": q_largest_systems,
     "latest_readings": q_latest_readings,
+    "month_layout_roundtrip": q_month_layout_roundtrip,
+    "relayout_months": q_relayout_months,
 }

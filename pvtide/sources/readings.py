@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pvtide.schema import PARTITIONED_READINGS, READINGS, wide_schema
+from pvtide.schema import PARTITIONED_READINGS, READINGS, TS, wide_schema
 
 
 def scan_readings(spark: SparkSession, root: str, typed_keys: bool = True,
@@ -42,5 +42,7 @@ def scan_wide(spark: SparkSession, paths, ids, ts_type: T.DataType = T.Timestamp
 
 
 def narrow_readings(df: DataFrame) -> DataFrame:
-    """Reading columns in order with the narrow types."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in READINGS.fields])
+    """Reading columns in order with the narrow types (F1, F5): int ids,
+    float readings. The time column keeps its type (zone-less stays zone-less)."""
+    return df.select(*[F.col(f.name) if f.name == TS else F.col(f.name).cast(f.dataType).alias(f.name)
+                       for f in READINGS.fields])
