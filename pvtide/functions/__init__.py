@@ -15,6 +15,7 @@ from pvtide.functions.timecols import (
     partition_month_start,
     right_closed_end,
     seconds_between,
+    ts_literal,
     year_key,
 )
 
@@ -22,5 +23,5 @@ __all__ = [
     "add_days", "add_minutes", "drop_nans", "first_of_month", "half_hours_between",
     "hex_cell", "left_closed_start", "lit_ts", "midnight_keep_minutes", "month_dir_value",
     "month_key", "nan_max", "nan_min", "not_nan", "partition_month_start",
-    "right_closed_end", "seconds_between", "year_key",
+    "right_closed_end", "seconds_between", "ts_literal", "year_key",
 ]

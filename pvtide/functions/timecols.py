@@ -88,10 +88,25 @@ def half_hours_between(start, end, minutes: int = 30) -> Column:
     return F.floor(micros_between(start, end) / F.lit(60_000_000 * minutes)).cast("bigint")
 
 
+def ts_literal(value, ts_type: str = "timestamp") -> Column:
+    """A time literal of the given type (``timestamp`` or ``timestamp_ntz``)
+    from a ``datetime``/``date``/ISO string, or a Column passed through.
+
+    Built from the ISO text, so a zone-less value stays zone-less and a
+    ``timestamp`` value is read in the session time zone; no Python-side
+    time zone conversion is involved.
+    """
+    if isinstance(value, Column):
+        return value.cast(ts_type)
+    if isinstance(value, dt.datetime):
+        text = value.replace(tzinfo=None).isoformat(sep=" ") if value.tzinfo is None else value.isoformat()
+    elif isinstance(value, dt.date):
+        text = value.isoformat() + " 00:00:00"
+    else:
+        text = str(value)
+    return F.lit(text).cast(ts_type)
+
+
 def lit_ts(value, ntz: bool = False) -> Column:
     """A timestamp literal; ``ntz`` for zone-less data."""
-    if isinstance(value, str):
-        value = dt.datetime.fromisoformat(value)
-    elif isinstance(value, dt.date) and not isinstance(value, dt.datetime):
-        value = dt.datetime(value.year, value.month, value.day)
-    return F.lit(value).cast("timestamp_ntz" if ntz else "timestamp")
+    return ts_literal(value, "timestamp_ntz" if ntz else "timestamp")

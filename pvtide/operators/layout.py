@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvtide.functions.nan import not_nan
-from pvtide.functions.timecols import month_dir_value, month_key, year_key
+from pvtide.functions.timecols import month_dir_value, month_key, ts_literal, year_key
 from pvtide.schema import GEN, MONTH, SS_ID, TS, YEAR
 
 
@@ -74,9 +74,9 @@ def repartition_exact_months(df: DataFrame, start=None, end=None, value: str = G
     """
     out = df.filter(not_nan(value))
     if start is not None:
-        out = out.filter(F.col(TS) >= F.lit(start).cast(dict(df.dtypes)[TS]))
+        out = out.filter(F.col(TS) >= ts_literal(start, dict(df.dtypes)[TS]))
     if end is not None:
-        out = out.filter(F.col(TS) < F.lit(end).cast(dict(df.dtypes)[TS]))
+        out = out.filter(F.col(TS) < ts_literal(end, dict(df.dtypes)[TS]))
     cols = [c for c in df.columns if c not in (YEAR, MONTH)]
     return with_month_keys(out.select(*cols))
 

@@ -18,8 +18,8 @@ def month_spine(readings: DataFrame, start=None, end=None) -> DataFrame:
     """
     ts_type = dict(readings.dtypes)[TS]
     b = readings.agg(F.min(TS).alias("_lo"), F.max(TS).alias("_hi"))
-    lo = F.lit(start).cast("date") if start is not None else F.to_date("_lo")
-    hi = F.lit(end).cast("date") if end is not None else F.to_date("_hi")
+    lo = F.lit(str(start)[:10]).cast("date") if start is not None else F.to_date("_lo")
+    hi = F.lit(str(end)[:10]).cast("date") if end is not None else F.to_date("_hi")
     months = F.sequence(F.trunc(lo, "month"), F.trunc(hi, "month"), F.expr("INTERVAL 1 MONTH"))
     spine = b.select(F.explode(months).alias("month_start"))
     return spine.select(

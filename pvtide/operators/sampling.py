@@ -13,6 +13,7 @@ from pvtide.functions.timecols import (
     half_hours_between,
     midnight_keep_minutes,
     partition_month_start,
+    ts_literal,
 )
 from pvtide.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast, reliable_checkpoint
 from pvtide.schema import END, MONTH, SS_ID, START, TS, YEAR
@@ -36,11 +37,16 @@ def sample_systems(ids: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.col(SS_ID), F.lit(seed)), F.col(SS_ID)).limit(n)
 
 
-def _scalar_bounds(bounds) -> tuple:
+def _bound_columns(bounds, ts_type: str) -> tuple:
+    """``(min, max)`` as Columns. A one-row frame becomes two scalar
+    subqueries, evaluated once inside the plan (no driver round trip, no
+    join); Python values become typed literals."""
     if isinstance(bounds, DataFrame):
-        row = bounds.first()
-        return row[0], row[1]
-    return tuple(bounds)
+        lo_name, hi_name = bounds.columns[:2]
+        return (bounds.select(F.col(lo_name).cast(ts_type)).scalar(),
+                bounds.select(F.col(hi_name).cast(ts_type)).scalar())
+    lo, hi = bounds
+    return ts_literal(lo, ts_type), ts_literal(hi, ts_type)
 
 
 def sample_windows(metadata: DataFrame, bounds, days: int = 7, seed: int = 42,
@@ -54,12 +60,11 @@ def sample_windows(metadata: DataFrame, bounds, days: int = 7, seed: int = 42,
     a run can be repeated (and checked by SQL). A window may run past the
     span's end, as in the reference; ``full_only`` keeps it inside.
 
-    ``bounds``: a one-row ``(min, max)`` frame (two scalars are read from
-    it) or a ``(min, max)`` pair.
+    ``bounds``: a one-row ``(min, max)`` frame (used as scalar subqueries)
+    or a ``(min, max)`` pair of Python values.
     """
-    lo, hi = _scalar_bounds(bounds)
     ts_type = dict(metadata.dtypes)[START]
-    lo_c, hi_c = F.lit(lo).cast(ts_type), F.lit(hi).cast(ts_type)
+    lo_c, hi_c = _bound_columns(bounds, ts_type)
     clipped = (metadata
                .filter((F.col(START) < hi_c) & (F.col(END) > lo_c))
                .select(F.col(SS_ID),
@@ -118,7 +123,7 @@ def with_month_pruning(df: DataFrame, start, end) -> DataFrame:
     extra ``make_date(year, month, 1)`` range prunes whole month folders.
     """
     ts_type = dict(df.dtypes)[TS]
-    s, e = F.lit(start).cast(ts_type), F.lit(end).cast(ts_type)
+    s, e = ts_literal(start, ts_type), ts_literal(end, ts_type)
     return df.filter(partition_month_start().between(first_of_month(s), first_of_month(e))
                      & F.col(TS).between(s, e))
 

@@ -97,3 +97,18 @@ def test_outlier_context(spark):
     out = outlier_context(rd, rd.filter("generation_Wh > 500"), before_days=2, length_days=4).collect()
     assert {r.window_start for r in out} == {T("2024-01-08 00:45")}
     assert sorted(r.datetime_GMT for r in out) == [T("2024-01-08 00:45"), T("2024-01-10 13:45")]
+
+
+def test_windows_on_zone_less_data_ignore_session_zone(spark):
+    rd = _readings(spark).withColumn("datetime_GMT", F.col("datetime_GMT").cast("timestamp_ntz"))
+
+    def windows():
+        return sorted(tuple(r) for r in sample_windows(activity_bounds(rd), dataset_bounds(rd), seed=5).collect())
+
+    utc = windows()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        other = windows()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == other and len(utc) == 5
