@@ -46,3 +46,28 @@ def narrow_readings(df: DataFrame) -> DataFrame:
     float readings. The time column keeps its type (zone-less stays zone-less)."""
     return df.select(*[F.col(f.name) if f.name == TS else F.col(f.name).cast(f.dataType).alias(f.name)
                        for f in READINGS.fields])
+
+
+def nanos_to_micros_timestamp(c: str, zone_less: bool = False):
+    """A Parquet ``TIMESTAMP(NANOS)`` value read as a long (nanoseconds since
+    the epoch) to a Spark timestamp, floored to microseconds exactly (integer
+    arithmetic; a double would lose the last digits at today's magnitudes)."""
+    micros = F.expr(f"(`{c}` - pmod(`{c}`, 1000)) div 1000")
+    if zone_less:
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return epoch + F.expr("INTERVAL '0.000001' SECOND") * micros
+    return F.timestamp_micros(micros)
+
+
+def scan_nanos(spark: SparkSession, paths, ts_columns=(TS,), zone_less: bool = False) -> DataFrame:
+    """Parquet files with nanosecond timestamps (the reference writes
+    ``Datetime("ns", "UTC")``), which Spark rejects as an illegal type.
+
+    Sets ``spark.sql.legacy.parquet.nanosAsLong`` on the session (it is read
+    when the file schema is converted), then turns the listed columns into
+    microsecond timestamps; instants for zone-aware files, ``timestamp_ntz``
+    with ``zone_less``.
+    """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    df = scan_files(spark, paths)
+    return df.withColumns({c: nanos_to_micros_timestamp(c, zone_less) for c in ts_columns})

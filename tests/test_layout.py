@@ -154,3 +154,22 @@ def test_hot_system_is_split_across_tasks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(parts) > 1 and max(parts) < 0.3 * sum(parts)  # the hot third is split
     assert ids == list(range(len(ids)))
+
+
+def test_scan_nanosecond_timestamps(spark, scratch):
+    import datetime as dt
+
+    import pyarrow as pa
+
+    from pvtide.sources.readings import scan_nanos
+    ns = [1_704_069_000_000_000_000, 1_704_070_800_123_456_789, -501]  # last: 1969-12-31 23:59:59.999999499
+    t = pa.table({"ss_id": pa.array([1, 2, 3], pa.int32()),
+                  "datetime_GMT": pa.array(ns, pa.timestamp("ns", tz="UTC")),
+                  "generation_Wh": pa.array([1.5, 2.5, 3.5], pa.float32())})
+    pq.write_table(t, f"{scratch}/ns.parquet")
+    got = scan_nanos(spark, f"{scratch}/ns.parquet").orderBy("ss_id").collect()
+    assert [r.datetime_GMT for r in got] == [T("2024-01-01 00:30:00"), T("2024-01-01 01:00:00.123456"),
+                                             T("1969-12-31 23:59:59.999999")]
+    ntz = scan_nanos(spark, f"{scratch}/ns.parquet", zone_less=True)
+    assert dict(ntz.dtypes)["datetime_GMT"] == "timestamp_ntz"
+    assert ntz.orderBy("ss_id").first().datetime_GMT == dt.datetime(2024, 1, 1, 0, 30)
