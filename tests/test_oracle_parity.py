@@ -56,3 +56,14 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "ss_id"
     assert df.count() > 0
+
+
+def test_parity_does_not_depend_on_session_zone(spark, con):
+    """The driver's session may use any time zone; zone-less data must not move."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        bad = [name for name, fn in entry.queries().items()
+               if _canon(fn(spark, SF_DIR).toPandas()) != _canon(con.execute(entry.oracle_sql()[name]).df())]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert bad == []
