@@ -69,3 +69,12 @@ def wide_to_tall(df: DataFrame, value: str = GEN) -> DataFrame:
     tall = df.unpivot([TS], id_cols, SS_ID, value)
     return (tall.filter(F.col(value).isNotNull())
             .select(TS, F.col(SS_ID).cast("int").alias(SS_ID), value))
+
+
+def write_wide_months(wide: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write the wide matrix as one time-sorted file per month (K4):
+    ``path/year=YYYY/month=MM``. Wide rows are few (one per timestamp) and
+    large, so each month is one task; rows are sorted by time inside it."""
+    keyed = wide.withColumns({"year": F.year(TS).cast("smallint"), "month": F.date_format(TS, "MM")})
+    (keyed.repartition("year", "month").sortWithinPartitions("year", "month", TS)
+     .write.mode(mode).partitionBy("year", "month").parquet(path))

@@ -97,3 +97,24 @@ def test_head_and_tail(spark):
     assert [r.a for r in head(df, ["a"], 3).collect()] == [0, 1, 2]
     assert [r.a for r in tail(df, ["a"], 3).collect()] == [97, 98, 99]
     assert [(r.b, r.a) for r in tail(df, ["b", "a"], 2).collect()] == [(6, 90), (6, 97)]
+
+
+def test_write_wide_months_roundtrip(spark, scratch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from pvtide.operators.pivot import write_wide_months
+    from pvtide.sources.readings import scan_wide
+    tall = spark.createDataFrame([(1, T("2024-01-31 23:30"), 1.0), (2, T("2024-01-31 23:30"), 2.0),
+                                  (1, T("2024-02-01 00:00"), 3.0), (2, T("2024-01-01 00:30"), 4.0)], READINGS_DDL)
+    root = f"{scratch}/wide"
+    write_wide_months(pivot_systems(tall, [1, 2]), root)
+    files = sorted(glob.glob(f"{root}/year=2024/month=*/*.parquet"))
+    assert [f.split("month=")[1][:2] for f in files] == ["01", "02"]
+    times = pq.read_table(files[0]).column("datetime_GMT").to_pylist()
+    assert times == sorted(times)
+    back = scan_wide(spark, f"{root}/year=*/month=*", [1, 2, 3]).orderBy("datetime_GMT").collect()
+    assert [tuple(r) for r in back] == [(T("2024-01-01 00:30"), None, 4.0, None),
+                                        (T("2024-01-31 23:30"), 1.0, 2.0, None),
+                                        (T("2024-02-01 00:00"), 3.0, None, None)]
