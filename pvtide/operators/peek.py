@@ -25,3 +25,10 @@ def tail(df: DataFrame, order_by: list, n: int = 5) -> DataFrame:
     """The last n rows in ``order_by``, returned in ascending order."""
     last = df.orderBy(*[c.desc_nulls_last() for c in _cols(order_by)]).limit(n)
     return last.orderBy(*[c.asc_nulls_first() for c in _cols(order_by)])
+
+
+def slice_rows(df: DataFrame, order_by: list, offset: int, length: int) -> DataFrame:
+    """Rows ``offset .. offset+length-1`` in ``order_by`` (O6). The sort
+    keeps ``offset + length`` rows per partition before the final cut."""
+    ordered = df.orderBy(*[c.asc_nulls_first() for c in _cols(order_by)])
+    return ordered.limit(offset + length).offset(offset)

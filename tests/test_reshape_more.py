@@ -118,3 +118,9 @@ def test_write_wide_months_roundtrip(spark, scratch):
     assert [tuple(r) for r in back] == [(T("2024-01-01 00:30"), None, 4.0, None),
                                         (T("2024-01-31 23:30"), 1.0, 2.0, None),
                                         (T("2024-02-01 00:00"), 3.0, None, None)]
+
+
+def test_slice_rows(spark):
+    from pvtide.operators.peek import slice_rows
+    df = spark.range(100).select(F.col("id").alias("a")).repartition(6)
+    assert [r.a for r in slice_rows(df, ["a"], 10, 4).collect()] == [10, 11, 12, 13]
