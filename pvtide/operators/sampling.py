@@ -3,7 +3,7 @@ and the readings around outliers (P15)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvtide.functions.timecols import (
@@ -82,8 +82,30 @@ def sample_windows(metadata: DataFrame, bounds, days: int = 7, seed: int = 42,
             .withColumn(W_END, add_days(F.col(W_START), days)))
 
 
+# Spark turns an IN filter of at most this many values into exact Parquet
+# predicates (spark.sql.parquet.pushdown.inFilterThreshold); above it, a range.
+SCAN_ID_LIST_MAX = 10
+
+
+def _scan_filter(win: DataFrame, ts_type: str) -> Column:
+    """Literal predicates for the readings scan from a few windows: their
+    ids and overall time range. On files sorted by (ss_id, datetime_GMT)
+    Parquet statistics then skip the row groups of every other system."""
+    stats = win.agg(F.min(W_START).cast("string"), F.max(W_END).cast("string"),
+                    F.min(SS_ID), F.max(SS_ID), F.countDistinct(SS_ID)).first()
+    lo, hi, id_lo, id_hi, n_ids = stats
+    if lo is None:
+        return F.lit(False)
+    cond = F.col(TS).between(ts_literal(lo, ts_type), ts_literal(hi, ts_type))
+    if n_ids <= SCAN_ID_LIST_MAX:
+        ids = [r[0] for r in win.select(SS_ID).distinct().collect()]
+        return cond & F.col(SS_ID).isin(ids)
+    return cond & F.col(SS_ID).between(F.lit(id_lo), F.lit(id_hi))
+
+
 def fetch_windows(readings: DataFrame, windows: DataFrame,
-                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, materialize: bool = True) -> DataFrame:
+                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, materialize: bool = True,
+                  scan_filter: bool = True) -> DataFrame:
     """All readings of each ``(ss_id, window_start, window_end)``, closed range.
 
     One job instead of one query per window. The windows side is broadcast
@@ -93,7 +115,9 @@ def fetch_windows(readings: DataFrame, windows: DataFrame,
     dynamic partition pruning reads only those months (the windows side is
     filtered, which the pruning rule needs). Windows derived from the
     readings themselves are materialised once (``materialize``) so the size
-    check does not rescan the readings.
+    check does not rescan the readings. When the windows fit the broadcast
+    bound, ``scan_filter`` also gives the readings scan literal predicates
+    (their ids and time range) that Parquet statistics use to skip row groups.
     """
     win = windows.select(SS_ID, W_START, W_END)
     keys = [SS_ID]
@@ -110,7 +134,9 @@ def fetch_windows(readings: DataFrame, windows: DataFrame,
         win = reliable_checkpoint(win)
     # The predicate stays above the checkpoint: partition pruning needs one.
     win = win.filter(F.col(W_START) <= F.col(W_END))
-    win, _ = bounded_broadcast(win, max_broadcast_rows)
+    win, small = bounded_broadcast(win, max_broadcast_rows)
+    if small and scan_filter:
+        readings = readings.filter(_scan_filter(win, dict(readings.dtypes)[TS]))
     joined = readings.join(win, keys, "inner").filter(F.col(TS).between(F.col(W_START), F.col(W_END)))
     out = [c for c in readings.columns if c not in (YEAR, MONTH)] + [W_START, W_END]
     return joined.select(*out)

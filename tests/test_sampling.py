@@ -112,3 +112,23 @@ def test_windows_on_zone_less_data_ignore_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert utc == other and len(utc) == 5
+
+
+def test_few_windows_push_ids_and_time_to_the_scan(spark, scratch):
+    rd = _readings(spark, n_systems=20)
+    root = f"{scratch}/30_minutely"
+    write_sorted_months(rd, root)
+    part = scan_readings(spark, root)
+    win = spark.createDataFrame([(2, T("2024-01-30 10:00"), T("2024-02-02 10:00")),
+                                 (7, T("2024-02-10 00:00"), T("2024-02-12 00:00"))],
+                                "ss_id int, window_start timestamp, window_end timestamp")
+    q = fetch_windows(part, win)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = q._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan.split("PushedFilters: [")[1].split("], ")[0]
+    assert "In(ss_id" in pushed and "GreaterThanOrEqual(datetime_GMT" in pushed
+    assert sorted(tuple(r) for r in q.collect()) == _brute(rd, win)
+    assert sorted(tuple(r) for r in fetch_windows(part, win, scan_filter=False).collect()) == _brute(rd, win)
