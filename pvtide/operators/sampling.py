@@ -3,6 +3,8 @@ and the readings around outliers (P15)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from pvtide.functions.timecols import (
     partition_month_start,
     ts_literal,
 )
-from pvtide.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast, reliable_checkpoint
+from pvtide.operators.sizing import DEFAULT_BROADCAST_ROWS, reliable_checkpoint
 from pvtide.schema import END, MONTH, SS_ID, START, TS, YEAR
 
 W_START = "window_start"
@@ -38,14 +40,18 @@ def sample_systems(ids: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
 
 
 def _bound_columns(bounds, ts_type: str) -> tuple:
-    """``(min, max)`` as Columns. A one-row frame becomes two scalar
-    subqueries, evaluated once inside the plan (no driver round trip, no
-    join); Python values become typed literals."""
+    """``(min, max)`` as typed literals. A one-row frame is evaluated once
+    (one job, one row to the driver): referenced as a scalar subquery it
+    would be re-planned at each of its four uses, and each copy can rescan
+    the readings."""
     if isinstance(bounds, DataFrame):
         lo_name, hi_name = bounds.columns[:2]
-        return (bounds.select(F.col(lo_name).cast(ts_type)).scalar(),
-                bounds.select(F.col(hi_name).cast(ts_type)).scalar())
-    lo, hi = bounds
+        row = bounds.select(F.col(lo_name).cast("string"), F.col(hi_name).cast("string")).first()
+        lo, hi = (None, None) if row is None else row
+    else:
+        lo, hi = bounds
+    if lo is None or hi is None:
+        return F.lit(None).cast(ts_type), F.lit(None).cast(ts_type)
     return ts_literal(lo, ts_type), ts_literal(hi, ts_type)
 
 
@@ -85,43 +91,106 @@ def sample_windows(metadata: DataFrame, bounds, days: int = 7, seed: int = 42,
 # Spark turns an IN filter of at most this many values into exact Parquet
 # predicates (spark.sql.parquet.pushdown.inFilterThreshold); above it, a range.
 SCAN_ID_LIST_MAX = 10
+# Up to this many windows are fetched with literal predicates: one scan, no join.
+FEW_WINDOWS = 10
+
+
+def _exact(c: str, ts_type: str) -> Column:
+    """A time column in a form that survives the trip to the driver exactly:
+    epoch microseconds for ``timestamp`` (no zone or DST ambiguity), the
+    zone-free text for ``timestamp_ntz``."""
+    return F.unix_micros(F.col(c)) if ts_type == "timestamp" else F.col(c).cast("string")
+
+
+def _exact_literal(v, ts_type: str) -> Column:
+    if ts_type == "timestamp":
+        return F.timestamp_micros(F.lit(v))
+    return ts_literal(v, ts_type)
+
+
+def _window_stats(win: DataFrame, ts_type: str):
+    """One job over the (materialised) windows: their count, overall time
+    range, id range and distinct id count."""
+    return win.agg(F.count(F.lit(1)).alias("n"), F.min(_exact(W_START, ts_type)),
+                   F.max(_exact(W_END, ts_type)), F.min(SS_ID), F.max(SS_ID),
+                   F.countDistinct(SS_ID)).first()
 
 
-def _scan_filter(win: DataFrame, ts_type: str) -> Column:
-    """Literal predicates for the readings scan from a few windows: their
-    ids and overall time range. On files sorted by (ss_id, datetime_GMT)
+def _scan_filter(win: DataFrame, stats, ts_type: str) -> Column:
+    """Literal predicates for the readings scan from a bounded window set:
+    their ids and overall time range. On files sorted by (ss_id, datetime_GMT)
     Parquet statistics then skip the row groups of every other system."""
-    stats = win.agg(F.min(W_START).cast("string"), F.max(W_END).cast("string"),
-                    F.min(SS_ID), F.max(SS_ID), F.countDistinct(SS_ID)).first()
-    lo, hi, id_lo, id_hi, n_ids = stats
+    _, lo, hi, id_lo, id_hi, n_ids = stats
     if lo is None:
         return F.lit(False)
-    cond = F.col(TS).between(ts_literal(lo, ts_type), ts_literal(hi, ts_type))
+    cond = F.col(TS).between(_exact_literal(lo, ts_type), _exact_literal(hi, ts_type))
     if n_ids <= SCAN_ID_LIST_MAX:
         ids = [r[0] for r in win.select(SS_ID).distinct().collect()]
         return cond & F.col(SS_ID).isin(ids)
     return cond & F.col(SS_ID).between(F.lit(id_lo), F.lit(id_hi))
 
 
+def _fetch_few(readings: DataFrame, rows, ts_type: str, partitioned: bool) -> DataFrame:
+    """A few windows as literal predicates on the readings
+    scan: ids, overall time range and (on the month layout) the months
+    spanned are plain conjuncts that reach the Parquet reader and the
+    partition pruner; each reading then takes the windows it falls in."""
+    out = [c for c in readings.columns if c not in (YEAR, MONTH)]
+    if not rows:
+        return readings.filter(F.lit(False)).select(*out, F.lit(None).cast(ts_type).alias(W_START),
+                                                     F.lit(None).cast(ts_type).alias(W_END))
+    wins = [(i, _exact_literal(s, ts_type), _exact_literal(e, ts_type)) for i, s, e in rows]
+    ts = F.col(TS)
+    lo = _exact_literal(min(s for _, s, _ in rows), ts_type)
+    hi = _exact_literal(max(e for _, _, e in rows), ts_type)
+    cond = F.col(SS_ID).isin(sorted({i for i, _, _ in wins})) & ts.between(lo, hi)
+    if partitioned:
+        month = partition_month_start()
+        cond = cond & reduce(lambda a, b: a | b, [month.between(first_of_month(s), first_of_month(e))
+                                                  for _, s, e in wins])
+    each = F.array(*[F.when((F.col(SS_ID) == F.lit(i)) & ts.between(s, e),
+                            F.struct(s.alias(W_START), e.alias(W_END))) for i, s, e in wins])
+    matched = F.filter(each, lambda w: w.isNotNull())
+    return readings.filter(cond).select(*out, F.inline(matched))
+
+
 def fetch_windows(readings: DataFrame, windows: DataFrame,
                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, materialize: bool = True,
-                  scan_filter: bool = True) -> DataFrame:
+                  scan_filter: bool = True, few_windows: int = FEW_WINDOWS) -> DataFrame:
     """All readings of each ``(ss_id, window_start, window_end)``, closed range.
 
-    One job instead of one query per window. The windows side is broadcast
-    after a row-count check; beyond the bound the join shuffles (AQE splits
-    skewed systems). When the readings carry the Hive month keys, each
-    window is exploded to the months it spans and the keys join too, so
-    dynamic partition pruning reads only those months (the windows side is
-    filtered, which the pruning rule needs). Windows derived from the
-    readings themselves are materialised once (``materialize``) so the size
-    check does not rescan the readings. When the windows fit the broadcast
-    bound, ``scan_filter`` also gives the readings scan literal predicates
-    (their ids and time range) that Parquet statistics use to skip row groups.
+    One job instead of one query per window. Up to ``few_windows`` windows
+    (the reference's run: 8) become literal scan predicates, so the fetch
+    is a single pruned scan. More windows are a join: the windows side is
+    broadcast after a row-count check; beyond the bound the join shuffles
+    (AQE splits skewed systems). When the readings carry the Hive month
+    keys, each window is exploded to the months it spans and the keys join
+    too, so dynamic partition pruning reads only those months (the windows
+    side is filtered, which the pruning rule needs). Windows derived from
+    the readings themselves are materialised once (``materialize``) so the
+    size check does not rescan the readings; windows from a stored table
+    need not be. When the windows fit the broadcast bound, ``scan_filter``
+    also gives the readings scan literal predicates (their ids and time
+    range) that Parquet statistics use to skip row groups.
     """
-    win = windows.select(SS_ID, W_START, W_END)
-    keys = [SS_ID]
+    ts_type = dict(readings.dtypes)[TS]
+    id_type = dict(readings.dtypes)[SS_ID]
     partitioned = YEAR in readings.columns and MONTH in readings.columns
+    base = windows.select(F.col(SS_ID).cast(id_type).alias(SS_ID),
+                          F.col(W_START).cast(ts_type).alias(W_START),
+                          F.col(W_END).cast(ts_type).alias(W_END))
+    if materialize:
+        base = reliable_checkpoint(base)
+    # A window with a null bound or start after end holds no reading.
+    base = base.filter(F.col(W_START) <= F.col(W_END))
+    if few_windows > 0 and scan_filter:
+        first = base.select(SS_ID, _exact(W_START, ts_type), _exact(W_END, ts_type)).limit(few_windows + 1)
+        rows = [tuple(r) for r in first.collect()]
+        if len(rows) <= few_windows:
+            return _fetch_few(readings, rows, ts_type, partitioned)
+
+    win = base
+    keys = [SS_ID]
     if partitioned:
         months = F.sequence(first_of_month(W_START), first_of_month(W_END), F.expr("INTERVAL 1 MONTH"))
         win = (win.withColumn("_m", F.explode(months))
@@ -129,14 +198,14 @@ def fetch_windows(readings: DataFrame, windows: DataFrame,
                        F.year("_m").cast("smallint").alias(YEAR),
                        F.month("_m").cast("tinyint").alias(MONTH)))
         keys = [SS_ID, YEAR, MONTH]
-    win = win.withColumn(SS_ID, F.col(SS_ID).cast(dict(readings.dtypes)[SS_ID]))
-    if materialize:
-        win = reliable_checkpoint(win)
-    # The predicate stays above the checkpoint: partition pruning needs one.
-    win = win.filter(F.col(W_START) <= F.col(W_END))
-    win, small = bounded_broadcast(win, max_broadcast_rows)
+    # One pass over the windows (never the readings) gives the size check
+    # and the scan predicates.
+    stats = _window_stats(win, ts_type)
+    small = stats[0] <= max_broadcast_rows
+    if small:
+        win = F.broadcast(win)
     if small and scan_filter:
-        readings = readings.filter(_scan_filter(win, dict(readings.dtypes)[TS]))
+        readings = readings.filter(_scan_filter(win, stats, ts_type))
     joined = readings.join(win, keys, "inner").filter(F.col(TS).between(F.col(W_START), F.col(W_END)))
     out = [c for c in readings.columns if c not in (YEAR, MONTH)] + [W_START, W_END]
     return joined.select(*out)

@@ -60,7 +60,7 @@ def test_fetch_matches_brute_force(spark):
 def test_fetch_without_broadcast_is_the_same(spark):
     rd = _readings(spark)
     win = sample_windows(activity_bounds(rd), dataset_bounds(rd), days=7, seed=3)
-    q = fetch_windows(rd, win, max_broadcast_rows=2)
+    q = fetch_windows(rd, win, max_broadcast_rows=2, few_windows=0)
     assert "BroadcastExchange" not in q._jdf.queryExecution().sparkPlan().toString()
     assert sorted(tuple(r) for r in q.collect()) == _brute(rd, win)
 
@@ -72,7 +72,7 @@ def test_fetch_on_month_layout_uses_dynamic_pruning(spark, scratch):
     part = scan_readings(spark, root)
     win = spark.createDataFrame([(2, T("2024-01-30 10:00"), T("2024-02-02 10:00"))],
                                 "ss_id int, window_start timestamp, window_end timestamp")
-    q = fetch_windows(part, win)
+    q = fetch_windows(part, win, few_windows=0)
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruningexpression" in plan.lower()
     got = sorted(tuple(r) for r in q.collect())
@@ -132,3 +132,37 @@ def test_few_windows_push_ids_and_time_to_the_scan(spark, scratch):
     assert "In(ss_id" in pushed and "GreaterThanOrEqual(datetime_GMT" in pushed
     assert sorted(tuple(r) for r in q.collect()) == _brute(rd, win)
     assert sorted(tuple(r) for r in fetch_windows(part, win, scan_filter=False).collect()) == _brute(rd, win)
+
+
+def test_fetch_join_path_matches_brute_force(spark):
+    rd = _readings(spark)
+    win = sample_windows(activity_bounds(rd), dataset_bounds(rd), days=7, seed=3)
+    got = sorted(tuple(r) for r in fetch_windows(rd, win, few_windows=0).collect())
+    assert got == _brute(rd, win)
+
+
+def test_few_windows_prune_months_statically_and_keep_overlaps(spark, scratch):
+    rd = _readings(spark, n_systems=20)
+    root = f"{scratch}/30_minutely"
+    write_sorted_months(rd, root)
+    part = scan_readings(spark, root)
+    # Two overlapping windows of one system: a reading in both appears twice.
+    win = spark.createDataFrame([(2, T("2024-02-05 10:00"), T("2024-02-07 10:00")),
+                                 (2, T("2024-02-06 10:00"), T("2024-02-08 10:00")),
+                                 (9, T("2024-02-20 00:00"), T("2024-02-20 00:00")),
+                                 (4, T("2024-02-08 00:00"), T("2024-02-01 00:00"))],  # empty window
+                                "ss_id int, window_start timestamp, window_end timestamp")
+    q = fetch_windows(part, win)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = q._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "Join" not in plan
+    partition_filters = plan.split("PartitionFilters: [")[1].split("], ")[0]
+    assert "make_date" in partition_filters
+    got = sorted(tuple(r) for r in q.collect())
+    assert got == _brute(rd, win)
+    assert len(got) == 97 + 97 + 1
+    empty = spark.createDataFrame([], "ss_id int, window_start timestamp, window_end timestamp")
+    assert fetch_windows(part, empty).count() == 0
