@@ -71,10 +71,24 @@ def wide_to_tall(df: DataFrame, value: str = GEN) -> DataFrame:
             .select(TS, F.col(SS_ID).cast("int").alias(SS_ID), value))
 
 
-def write_wide_months(wide: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write the wide matrix as one time-sorted file per month (K4):
-    ``path/year=YYYY/month=MM``. Wide rows are few (one per timestamp) and
-    large, so each month is one task; rows are sorted by time inside it."""
+def write_wide_months(wide: DataFrame, path: str, mode: str = "errorifexists",
+                      one_file: bool = True, num_partitions: int | None = None) -> None:
+    """Write the wide matrix as time-sorted month files (K4):
+    ``path/year=YYYY/month=MM``.
+
+    ``one_file=True`` (the reference's layout): one file per month, one
+    task per month. A month holds at most one row per timestamp, so the task
+    is bounded by timestamps x systems, but at 5-minute resolution and tens
+    of thousands of systems that is a gigabyte; ``one_file=False``
+    range-partitions on ``(year, month, datetime_GMT)`` so a month is split
+    into several files with disjoint, ordered time ranges.
+    """
     keyed = wide.withColumns({"year": F.year(TS).cast("smallint"), "month": F.date_format(TS, "MM")})
-    (keyed.repartition("year", "month").sortWithinPartitions("year", "month", TS)
+    if one_file:
+        arranged = keyed.repartition("year", "month")
+    elif num_partitions:
+        arranged = keyed.repartitionByRange(num_partitions, "year", "month", TS)
+    else:
+        arranged = keyed.repartitionByRange("year", "month", TS)
+    (arranged.sortWithinPartitions("year", "month", TS)
      .write.mode(mode).partitionBy("year", "month").parquet(path))

@@ -124,3 +124,30 @@ def test_slice_rows(spark):
     from pvtide.operators.peek import slice_rows
     df = spark.range(100).select(F.col("id").alias("a")).repartition(6)
     assert [r.a for r in slice_rows(df, ["a"], 10, 4).collect()] == [10, 11, 12, 13]
+
+
+def test_write_wide_months_split_by_time_range(spark, scratch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from pvtide.operators.pivot import write_wide_months
+    from pvtide.sources.readings import scan_wide
+    tall = spark.range(2 * 31 * 48).select(
+        (F.col("id") % 2 + 1).cast("int").alias("ss_id"),
+        (F.lit(T("2024-01-01 00:30")).cast("timestamp")
+         + F.expr("INTERVAL 30 MINUTES") * F.floor(F.col("id") / 2)).alias("datetime_GMT"),
+        F.col("id").cast("float").alias("generation_Wh"))
+    wide = pivot_systems(tall, [1, 2])
+    root = f"{scratch}/wide_split"
+    write_wide_months(wide, root, one_file=False, num_partitions=4)
+    files = sorted(glob.glob(f"{root}/year=2024/month=01/*.parquet"))
+    assert len(files) > 1
+    ranges = sorted((min(t), max(t)) for t in
+                    (pq.read_table(f).column("datetime_GMT").to_pylist() for f in files))
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    for f in files:
+        times = pq.read_table(f).column("datetime_GMT").to_pylist()
+        assert times == sorted(times)
+    back = scan_wide(spark, f"{root}/year=*/month=*", [1, 2])
+    assert back.count() == wide.count() == 31 * 48
