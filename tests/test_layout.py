@@ -173,3 +173,19 @@ def test_scan_nanosecond_timestamps(spark, scratch):
     ntz = scan_nanos(spark, f"{scratch}/ns.parquet", zone_less=True)
     assert dict(ntz.dtypes)["datetime_GMT"] == "timestamp_ntz"
     assert ntz.orderBy("ss_id").first().datetime_GMT == dt.datetime(2024, 1, 1, 0, 30)
+
+
+def test_inferred_keys_scan_and_positional_access(spark, scratch):
+    from pvtide.operators.indexing import nth, with_row_index
+    df = _readings(spark, 400)
+    root = f"{scratch}/inferred"
+    write_sorted_months(df, root)
+    back = scan_readings(spark, root, typed_keys=False)
+    assert dict(back.dtypes)["year"] == "int" and dict(back.dtypes)["month"] == "int"
+    assert back.count() == 400
+    idx = with_row_index(back.drop("year", "month"), ["ss_id", "datetime_GMT"])
+    expected = sorted((r.ss_id, r.datetime_GMT) for r in df.collect())
+    for i in (0, 123, 399):
+        row = nth(idx, i).collect()
+        assert len(row) == 1 and (row[0].ss_id, row[0].datetime_GMT) == expected[i]
+    assert nth(idx, 400).count() == 0

@@ -151,3 +151,14 @@ def test_write_wide_months_split_by_time_range(spark, scratch):
         assert times == sorted(times)
     back = scan_wide(spark, f"{root}/year=*/month=*", [1, 2])
     assert back.count() == wide.count() == 31 * 48
+
+
+def test_unpivot_series_and_sorted_metadata(spark):
+    from pvtide.operators.metadata import sort_metadata
+    from pvtide.operators.reshape import unpivot_series
+    wide = spark.createDataFrame([(T("2024-01-01 00:30"), 1.0, 2, None)],
+                                 "datetime_GMT timestamp, a double, b int, c float")
+    long = unpivot_series(wide, ["datetime_GMT"], "source", "power_W").collect()
+    assert [(r.source, r.power_W) for r in long] == [("a", 1.0), ("b", 2.0), ("c", None)]
+    meta = spark.createDataFrame([(3,), (1,), (2,)], "ss_id bigint")
+    assert [r.ss_id for r in sort_metadata(meta).collect()] == [1, 2, 3]
