@@ -30,10 +30,21 @@ def dedup(df: DataFrame, keys: list[str], order_by: list | None = None) -> DataF
     if order_by is None:
         return df.dropDuplicates(keys)
     others = [c for c in df.columns if c not in keys]
-    order_struct = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order_by])
-    kept = (df.groupBy(*keys)
-            .agg(F.min_by(F.struct(*others), order_struct).alias("_kept")))
-    return kept.select(*keys, *[F.col("_kept")[c].alias(c) for c in others])
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    kept = df.groupBy(*keys).agg(F.min_by(_struct_of(others), F.struct(*order)).alias("_kept"))
+    # One projection for all fields (wide inputs have dozens of columns).
+    return kept.selectExpr(*[quote(k) for k in keys], *[f"_kept.{quote(c)} AS {quote(c)}" for c in others])
+
+
+def quote(name: str) -> str:
+    """A column name as an SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _struct_of(cols: list[str]):
+    """``struct(c1, c2, ...)`` in one expression (one call into the JVM,
+    however many columns)."""
+    return F.expr("struct(" + ", ".join(quote(c) for c in cols) + ")")
 
 
 def wide_halfhour_to_tall(wide: DataFrame, prefix: str = "t", minutes: int = 30,
@@ -58,7 +69,10 @@ def wide_halfhour_to_tall(wide: DataFrame, prefix: str = "t", minutes: int = 30,
     slots = slot_columns(wide, prefix)
     if not slots:
         raise ValueError(f"no slot columns {prefix}<n> in {wide.columns}")
-    typed = wide.select(TS, SS_ID, *[F.col(c).cast("double").alias(c) for c in slots])
+    # Generated projections are SQL expression lists: one call into the JVM
+    # each, instead of a few per slot and operator.
+    typed = wide.selectExpr(quote(TS), quote(SS_ID),
+                            *[f"CAST({quote(c)} AS DOUBLE) AS {quote(c)}" for c in slots])
     if deduplicate and day_aligned:
         ts_type = dict(typed.dtypes)[TS]
         midnight = F.to_date(F.col(TS)).cast(ts_type)
@@ -71,9 +85,8 @@ def wide_halfhour_to_tall(wide: DataFrame, prefix: str = "t", minutes: int = 30,
         typed = dedup(typed, [TS, SS_ID], dedup_order)
     # Unpivot with the slot number as a literal per slot (known from the
     # column names), so no row parses a column name.
-    pairs = F.array(*[F.struct(F.lit(int(c[len(prefix):])).alias("_slot"), F.col(c).alias(GEN))
-                      for c in slots])
-    tall = typed.select(TS, SS_ID, F.inline(pairs))
+    pairs = ", ".join(f"named_struct('_slot', {int(c[len(prefix):])}, '{GEN}', {quote(c)})" for c in slots)
+    tall = typed.selectExpr(quote(TS), quote(SS_ID), f"inline(array({pairs}))")
     tall = tall.select(
         F.col(SS_ID).cast("int").alias(SS_ID),
         add_minutes(F.col(TS), F.col("_slot") * F.lit(minutes)).alias(TS),
@@ -98,12 +111,12 @@ def halfhour_slots_to_wide(readings: DataFrame, prefix: str = "t", minutes: int
     slot = (F.floor((F.hour(TS) * 60 + F.minute(TS)) / F.lit(minutes)) + F.lit(1)).cast("int")
     keyed = readings.select(day.cast(ts_type).alias(TS), F.col(SS_ID), slot.alias("_slot"), F.col(value))
     return keyed.groupBy(TS, SS_ID).agg(*[
-        F.sum(F.when(F.col("_slot") == F.lit(k), F.col(value))).alias(f"{prefix}{k}")
+        F.expr(f"sum(CASE WHEN _slot = {k} THEN {quote(value)} END) AS {quote(prefix + str(k))}")
         for k in range(1, n_slots + 1)])
 
 
 def unpivot_series(df: DataFrame, index: list[str], variable: str, value: str) -> DataFrame:
     """Unpivot every non-index column (F7); values cast to double first."""
     on = [c for c in df.columns if c not in index]
-    typed = df.select(*index, *[F.col(c).cast("double").alias(c) for c in on])
+    typed = df.selectExpr(*[quote(c) for c in index], *[f"CAST({quote(c)} AS DOUBLE) AS {quote(c)}" for c in on])
     return typed.unpivot(index, on, variable, value)
