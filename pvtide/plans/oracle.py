@@ -245,4 +245,47 @@ ORACLE_SQL: dict[str, str] = {
         select cast(year(l_shipdate) as smallint) as year, cast(month(l_shipdate) as tinyint) as month,
           count(*) as n_readings, min(l_shipdate) as first_reading, max(l_shipdate) as last_reading
         from lineitem group by all""",
+
+    "earliest_readings": _with("readings_long") + """
+        select ss_id, datetime_GMT, generation_Wh from readings_long
+        order by datetime_GMT asc nulls first, ss_id asc nulls first, generation_Wh asc nulls first
+        limit 5""",
+
+    "readings_slice": _with("readings_long") + """
+        select ss_id, datetime_GMT, generation_Wh from readings_long
+        order by datetime_GMT asc nulls first, ss_id asc nulls first, generation_Wh asc nulls first
+        limit 25 offset 1000""",
+
+    "exact_months_bounded": _with("readings_long") + """
+        select ss_id, datetime_GMT, generation_Wh,
+          cast(year(datetime_GMT) as smallint) as year, cast(month(datetime_GMT) as tinyint) as month
+        from readings_long
+        where (generation_Wh is null or not isnan(generation_Wh))
+          and datetime_GMT >= timestamp '1995-01-01 00:00:00' and datetime_GMT < timestamp '1997-01-01 00:00:00'""",
+
+    "outlier_context_row": _with("readings_long", "capacity") + """,
+        o as (select r.ss_id, r.datetime_GMT,
+                     row_number() over (order by r.ss_id, r.datetime_GMT, r.generation_Wh) - 1 as idx
+              from readings_long r join capacity c on r.ss_id = c.ss_id
+              where r.generation_Wh > c.kWp * 750),
+        f as (select ss_id, min(datetime_GMT) as t from o
+              where ss_id in (select ss_id from o where idx = 7) group by ss_id),
+        w as (select ss_id, t - hour(t) * interval 1 hour - interval 100 days as window_start from f)
+        select r.ss_id, r.datetime_GMT, r.generation_Wh, w.window_start,
+               w.window_start + interval 200 days as window_end
+        from readings_long r join w on r.ss_id = w.ss_id
+          and r.datetime_GMT between w.window_start and w.window_start + interval 200 days""",
+
+    "wide_months_roundtrip": _with("halfhour_nn") + """
+        select *, cast(null as float) as "-1" from (
+          pivot (select datetime_GMT, ss_id, generation_Wh from halfhour_nn)
+          on ss_id using first(generation_Wh) group by datetime_GMT)""",
+
+    "metadata_csv_roundtrip": _with("metadata_old", "readings_new") + """,
+        nb as (select ss_id, min(datetime_GMT) as ns, max(datetime_GMT) as ne from readings_new group by ss_id)
+        select m.ss_id, coalesce(m.start_datetime_GMT, nb.ns) as start_datetime_GMT,
+          case when m.end_datetime_GMT is null or m.end_datetime_GMT < nb.ne then nb.ne
+               else m.end_datetime_GMT end as end_datetime_GMT,
+          m.latitude_rounded, m.longitude_rounded, m.orientation, m.tilt, m.kWp
+        from metadata_old m left join nb on m.ss_id = nb.ss_id""",
 }

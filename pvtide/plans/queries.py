@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvtide.operators import (
+    indexing,
     layout,
     metadata,
     months,
@@ -30,9 +31,23 @@ from pvtide.operators import (
 from pvtide.schema import GEN, MONTH, SS_ID, TS, YEAR
 from pvtide.session import ensure_checkpoint_dir
 from pvtide.sources import fixtures as fx
-from pvtide.sources.readings import narrow_readings, scan_readings
+from pvtide.sources.csvfiles import read_metadata, write_metadata
+from pvtide.sources.readings import narrow_readings, scan_readings, scan_wide
 
 # Parameters of the registered runs.
+# The reference plots the system of row 7 of its outlier table, from 100
+# days before its first outlier, for 200 days.
+OUTLIER_ROW = 7
+OUTLIER_ROW_BEFORE_DAYS = 100
+OUTLIER_ROW_LENGTH_DAYS = 200
+# Bounded month repartition: [1995-01-01, 1997-01-01).
+EXACT_MONTHS_START = "1995-01-01"
+EXACT_MONTHS_END = "1997-01-01"
+# Ordered slice of the readings: rows 1000 .. 1024.
+SLICE_OFFSET = 1000
+SLICE_LENGTH = 25
+# An id with no readings, declared in the wide schema: read as an all-null column.
+ABSENT_ID = -1
 OUTLIER_CONTEXT_THRESHOLD = 400.0
 OUTLIER_CONTEXT_BEFORE_DAYS = 2
 OUTLIER_CONTEXT_LENGTH_DAYS = 4
@@ -168,6 +183,30 @@ def q_latest_readings(spark, sf_dir):
     return peek.tail(fx.readings_long(spark, sf_dir), [TS, SS_ID, GEN], 5)
 
 
+def q_earliest_readings(spark, sf_dir):
+    return peek.head(fx.readings_long(spark, sf_dir), [TS, SS_ID, GEN], 5)
+
+
+def q_readings_slice(spark, sf_dir):
+    return peek.slice_rows(fx.readings_long(spark, sf_dir), [TS, SS_ID, GEN], SLICE_OFFSET, SLICE_LENGTH)
+
+
+def q_exact_months_bounded(spark, sf_dir):
+    return layout.repartition_exact_months(fx.readings_long(spark, sf_dir),
+                                           start=EXACT_MONTHS_START, end=EXACT_MONTHS_END)
+
+
+def q_outlier_context_row(spark, sf_dir):
+    """P15 as the reference runs it: the system at row 7 of the sorted,
+    indexed outliers (O8), all of its outliers, and the readings from 100
+    days before the first one's day (hour set to 0), for 200 days."""
+    rl = fx.readings_long(spark, sf_dir)
+    outliers = quality.capacity_outliers(rl, fx.capacity(spark, sf_dir), op="gt")
+    chosen = indexing.nth(outliers, OUTLIER_ROW).select(SS_ID)
+    return sampling.outlier_context(rl, outliers.join(chosen, SS_ID, "left_semi"),
+                                    OUTLIER_ROW_BEFORE_DAYS, OUTLIER_ROW_LENGTH_DAYS)
+
+
 def _scratch(spark, name: str) -> str:
     """A new folder under the shared checkpoint folder for a written layout."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -198,6 +237,25 @@ def q_relayout_months(spark, sf_dir):
                                           F.min(TS).alias("first_reading"), F.max(TS).alias("last_reading"))
 
 
+def q_wide_months_roundtrip(spark, sf_dir):
+    """K4 + S4/U6: the wide matrix written as month files, read back under a
+    declared schema that also lists an id without readings (a null column)."""
+    tall = _halfhour_tall(spark, sf_dir).filter(F.col(GEN).isNotNull())
+    ids = [r[0] for r in fx.readings(spark, sf_dir).select(SS_ID).distinct()
+           .limit(pivot.DEFAULT_MAX_COLUMNS + 1).collect()]
+    root = _scratch(spark, "wide-months")
+    pivot.write_wide_months(pivot.pivot_systems(tall, ids), root)
+    ts_type = T.TimestampNTZType() if dict(tall.dtypes)[TS] == "timestamp_ntz" else T.TimestampType()
+    return scan_wide(spark, f"{root}/year=*/month=*", sorted(ids) + [ABSENT_ID], ts_type)
+
+
+def q_metadata_csv_roundtrip(spark, sf_dir):
+    """P8's result written as metadata.csv (K5) and read back."""
+    root = _scratch(spark, "metadata-csv")
+    write_metadata(q_metadata_merge(spark, sf_dir), root)
+    return read_metadata(spark, root, zone_less=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "activity_bounds": q_activity_bounds,
     "metadata_merge": q_metadata_merge,
@@ -225,4 +283,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_readings": q_latest_readings,
     "month_layout_roundtrip": q_month_layout_roundtrip,
     "relayout_months": q_relayout_months,
+    "earliest_readings": q_earliest_readings,
+    "readings_slice": q_readings_slice,
+    "exact_months_bounded": q_exact_months_bounded,
+    "outlier_context_row": q_outlier_context_row,
+    "wide_months_roundtrip": q_wide_months_roundtrip,
+    "metadata_csv_roundtrip": q_metadata_csv_roundtrip,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from pvtide.schema import METADATA, NEW_METADATA
 
@@ -10,12 +11,20 @@ from pvtide.schema import METADATA, NEW_METADATA
 CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+def read_metadata(spark: SparkSession, path: str, zone_less: bool = False) -> DataFrame:
     """metadata.csv with parsed timestamps (S5, S6); explicit schema, no
-    inference pass over the file."""
+    inference pass over the file. ``...Z`` times are UTC instants
+    (``timestamp``); ``zone_less`` reads the same text as ``timestamp_ntz``
+    wall-clock times (for data kept zone-less), independent of the session
+    time zone."""
+    schema = METADATA
+    if zone_less:
+        schema = T.StructType([T.StructField(f.name, T.TimestampNTZType()) if f.dataType == T.TimestampType()
+                               else f for f in METADATA.fields])
     return (spark.read.option("header", True)
             .option("timestampFormat", CSV_TIMESTAMP_FORMAT)
-            .option("timeZone", "UTC").schema(METADATA).csv(path))
+            .option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT)
+            .option("timeZone", "UTC").schema(schema).csv(path))
 
 
 def read_new_metadata(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
