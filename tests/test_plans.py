@@ -1,0 +1,31 @@
+"""Plan guards over every registered query: the shapes that do not survive
+100 TB (all-pairs joins, row-at-a-time Python) never appear."""
+
+import pytest
+
+import __spark_entry__ as entry
+
+SF_DIR = "/root/testdata/sf0.001"
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+             "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
+
+
+def _plan_text(df) -> str:
+    qe = df._jdf.queryExecution()
+    return qe.optimizedPlan().toString() + "\n" + qe.executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_no_all_pairs_join_and_no_python_in_plan(spark, name):
+    plan = _plan_text(entry.queries()[name](spark, SF_DIR))
+    found = [f for f in FORBIDDEN if f in plan]
+    assert found == [], f"{name}: {found}"
+
+
+def test_aggregates_combine_before_the_shuffle(spark):
+    """Grouped queries aggregate partially on the map side, so a key holding
+    a third of all rows is reduced in every map task before the exchange."""
+    for name in ("activity_bounds", "metadata_merge", "resample_right_closed", "compare_resolutions",
+                 "hex_density", "dedup_readings", "max_excluding_point"):
+        plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "partial_" in plan, name
