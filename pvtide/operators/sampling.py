@@ -181,8 +181,8 @@ def fetch_windows(readings: DataFrame, windows: DataFrame,
                           F.col(W_END).cast(ts_type).alias(W_END))
     if materialize:
         base = reliable_checkpoint(base)
-    # A window with a null bound or start after end holds no reading.
-    base = base.filter(F.col(W_START) <= F.col(W_END))
+    # A window with a null id or bound, or start after end, holds no reading.
+    base = base.filter(F.col(SS_ID).isNotNull() & (F.col(W_START) <= F.col(W_END)))
     if few_windows > 0 and scan_filter:
         first = base.select(SS_ID, _exact(W_START, ts_type), _exact(W_END, ts_type)).limit(few_windows + 1)
         rows = [tuple(r) for r in first.collect()]

@@ -150,7 +150,8 @@ def test_few_windows_prune_months_statically_and_keep_overlaps(spark, scratch):
     win = spark.createDataFrame([(2, T("2024-02-05 10:00"), T("2024-02-07 10:00")),
                                  (2, T("2024-02-06 10:00"), T("2024-02-08 10:00")),
                                  (9, T("2024-02-20 00:00"), T("2024-02-20 00:00")),
-                                 (4, T("2024-02-08 00:00"), T("2024-02-01 00:00"))],  # empty window
+                                 (4, T("2024-02-08 00:00"), T("2024-02-01 00:00")),  # empty window
+                                 (None, T("2024-02-05 10:00"), T("2024-02-07 10:00"))],  # no system
                                 "ss_id int, window_start timestamp, window_end timestamp")
     q = fetch_windows(part, win)
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
