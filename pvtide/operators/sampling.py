@@ -36,7 +36,14 @@ def sample_systems(ids: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
     ids = ids.select(SS_ID).distinct()
     if n is None:
         return ids
-    return ids.orderBy(F.xxhash64(F.col(SS_ID), F.lit(seed)), F.col(SS_ID)).limit(n)
+    return sample_rows(ids, n, seed)
+
+
+def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = SS_ID) -> DataFrame:
+    """``n`` whole rows of a frame with one row per ``key`` (for example one
+    window per system), in the same seeded order as ``sample_systems``: the
+    same systems are chosen, without a distinct or a join."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
 
 
 def _bound_columns(bounds, ts_type: str) -> tuple:

@@ -8,6 +8,7 @@ from pvtide.operators.metadata import activity_bounds, dataset_bounds
 from pvtide.operators.sampling import (
     fetch_windows,
     outlier_context,
+    sample_rows,
     sample_systems,
     sample_windows,
 )
@@ -87,6 +88,8 @@ def test_sample_systems_reproducible(spark):
     c = [r.ss_id for r in sample_systems(ids, 8, seed=2).collect()]
     assert a == b and len(set(a)) == 8 and a != c
     assert sample_systems(ids, None).count() == 1000
+    rows = ids.withColumn("w", F.col("ss_id") * 2)
+    assert [r.ss_id for r in sample_rows(rows, 8, seed=1).collect()] == a
 
 
 def test_outlier_context(spark):
