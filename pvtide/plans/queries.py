@@ -227,10 +227,10 @@ def q_relayout_months(spark, sf_dir):
     read back with the keys taken from each file's path; rows per month."""
     raw = _scratch(spark, "raw-tree")
     readings = fx.readings_long(spark, sf_dir)
-    # Each task writes its own files into the month folders it touches: a
-    # month holding a third of the rows is still spread over every task.
+    # Range-partitioned on (month, system): a task writes a few neighbouring
+    # months, and a month holding a third of the rows is split over tasks.
     (readings.withColumns({"y": F.date_format(TS, "yyyy"), "m": F.date_format(TS, "MM")})
-     .write.partitionBy("y", "m").parquet(raw))
+     .repartitionByRange("y", "m", SS_ID).write.partitionBy("y", "m").parquet(raw))
     moved = layout.relayout_by_path(spark, f"{raw}/*/*/*.parquet",
                                     pattern=r"/y=(\d{4})/m=(\d{2})/[^/]*$")
     return moved.groupBy(YEAR, MONTH).agg(F.count(F.lit(1)).alias("n_readings"),
