@@ -17,9 +17,22 @@ _PID = "_pvt_pid"
 _POS = "_pvt_pos"
 
 
+_TIE = "_pvt_tie"
+
+
 def with_row_index(df: DataFrame, order_by: list, name: str = "index") -> DataFrame:
-    """Sort by ``order_by`` and prepend a 0-based ``bigint`` row index."""
-    tagged = (df.orderBy(*order_by)
+    """Sort by ``order_by`` and prepend a 0-based ``bigint`` row index.
+
+    The sort ends with a tie-breaker taken before the shuffle
+    (``monotonically_increasing_id``: partition and position of the input,
+    so a recomputed task produces the same values). Range partitioning can
+    then split rows that tie on every ``order_by`` column, such as a third
+    of all rows being copies of one reading; tied rows are equal in the
+    ordering columns, so their order among themselves does not matter.
+    """
+    keyed = df.withColumn(_TIE, F.monotonically_increasing_id())
+    tagged = (keyed.orderBy(*order_by, F.col(_TIE))
+              .drop(_TIE)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_POS, F.monotonically_increasing_id()))
     # The ids must be the same in both jobs below: materialise once.

@@ -189,3 +189,24 @@ def test_inferred_keys_scan_and_positional_access(spark, scratch):
         row = nth(idx, i).collect()
         assert len(row) == 1 and (row[0].ss_id, row[0].datetime_GMT) == expected[i]
     assert nth(idx, 400).count() == 0
+
+
+def test_row_index_splits_identical_copies(spark):
+    from pvtide.operators.indexing import with_row_index
+    # A third of all rows are copies of one reading.
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id").cast("int")).alias("ss_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(T("2024-05-01"))).otherwise(
+            F.lit(T("2024-05-01")) + F.expr("INTERVAL 1 MINUTE") * F.col("id")).cast("timestamp").alias("datetime_GMT"),
+        F.lit(1.0).cast("float").alias("generation_Wh")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        idx = with_row_index(df, ["ss_id", "datetime_GMT", "generation_Wh"])
+        parts = [r[1] for r in idx.groupBy(F.spark_partition_id()).count().collect()]
+        rows = sorted((r["index"], r.ss_id, r.datetime_GMT) for r in idx.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(parts) < 0.3 * sum(parts)
+    expected = sorted((r.ss_id, r.datetime_GMT) for r in df.collect())
+    assert [r[0] for r in rows] == list(range(30000))
+    assert [(r[1], r[2]) for r in rows] == expected
