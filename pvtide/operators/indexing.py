@@ -10,27 +10,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pvtide.operators.sizing import reliable_checkpoint
 
 _PID = "_pvt_pid"
 _POS = "_pvt_pos"
-
-
 _TIE = "_pvt_tie"
 
 
 def with_row_index(df: DataFrame, order_by: list, name: str = "index") -> DataFrame:
     """Sort by ``order_by`` and prepend a 0-based ``bigint`` row index.
 
-    The sort ends with a tie-breaker taken before the shuffle
-    (``monotonically_increasing_id``: partition and position of the input,
-    so a recomputed task produces the same values). Range partitioning can
-    then split rows that tie on every ``order_by`` column, such as a third
-    of all rows being copies of one reading; tied rows are equal in the
-    ordering columns, so their order among themselves does not matter.
+    The sort ends with a tie-breaker taken before the shuffle, so range
+    partitioning can split rows that tie on every ``order_by`` column (a
+    third of all rows being copies of one reading). The tie-breaker is the
+    row's position after a local sort on all of its columns: it depends only
+    on which rows an input partition holds, not on the order they arrive in,
+    so a task re-run after an executor loss routes every row as before. Tied
+    rows are equal in the ordering columns, so their order among themselves
+    does not change the result.
     """
-    keyed = df.withColumn(_TIE, F.monotonically_increasing_id())
+    orderable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    keyed = df.sortWithinPartitions(*orderable).withColumn(_TIE, F.monotonically_increasing_id())
     tagged = (keyed.orderBy(*order_by, F.col(_TIE))
               .drop(_TIE)
               .withColumn(_PID, F.spark_partition_id())
