@@ -210,3 +210,15 @@ def test_row_index_splits_identical_copies(spark):
     expected = sorted((r.ss_id, r.datetime_GMT) for r in df.collect())
     assert [r[0] for r in rows] == list(range(30000))
     assert [(r[1], r[2]) for r in rows] == expected
+
+
+def test_row_group_size_option(spark, scratch):
+    root = f"{scratch}/small_groups"
+    df = spark.range(200000).select(
+        (F.col("id") % 50).cast("int").alias("ss_id"),
+        (F.lit(T("2024-05-01")).cast("timestamp") + F.expr("INTERVAL 1 SECOND") * F.col("id")).alias("datetime_GMT"),
+        F.rand(1).cast("float").alias("generation_Wh"))
+    write_sorted_months(df, root, num_partitions=1, row_group_bytes=256 * 1024)
+    files = _files(root)
+    assert max(pq.ParquetFile(f).metadata.num_row_groups for f in files) > 1
+    assert scan_readings(spark, root).count() == 200000
