@@ -20,14 +20,31 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def add_minutes(ts, minutes) -> Column:
-    """``ts + minutes`` (X4/X11); ``minutes`` may be a column."""
+# For ``timestamp`` (instants) Spark adds day-time intervals and measures
+# ``timestampdiff``/``end - start`` in wall-clock time of the session zone:
+# across a DST change "7 days" is 7 days +- 1 hour. The reference adds and
+# measures exact durations, so for instants the helpers below work on epoch
+# microseconds (pass ``ts_type``). ``timestamp_ntz`` arithmetic is zone-free.
+
+def _add_micros(ts, micros: Column, ts_type: str | None) -> Column:
+    if ts_type == "timestamp":
+        return F.timestamp_micros(F.unix_micros(_c(ts)) + micros)
+    return _c(ts) + F.expr("INTERVAL '0.000001' SECOND") * micros
+
+
+def add_minutes(ts, minutes, ts_type: str | None = None) -> Column:
+    """``ts + minutes`` (X4/X11), an exact duration; ``minutes`` may be a column."""
     m = minutes if isinstance(minutes, Column) else F.lit(minutes)
+    if ts_type == "timestamp":
+        return _add_micros(ts, m.cast("bigint") * F.lit(60_000_000), ts_type)
     return _c(ts) + F.expr("INTERVAL '1' MINUTE") * m.cast("bigint")
 
 
-def add_days(ts, days) -> Column:
+def add_days(ts, days, ts_type: str | None = None) -> Column:
+    """``ts + days`` of 24 hours each."""
     d = days if isinstance(days, Column) else F.lit(days)
+    if ts_type == "timestamp":
+        return _add_micros(ts, d.cast("bigint") * F.lit(86_400_000_000), ts_type)
     return _c(ts) + F.expr("INTERVAL '1' DAY") * d.cast("bigint")
 
 
@@ -73,19 +90,21 @@ def partition_month_start(year="year", month="month") -> Column:
     return F.make_date(_c(year).cast("int"), _c(month).cast("int"), F.lit(1))
 
 
-def micros_between(start, end) -> Column:
+def micros_between(start, end, ts_type: str | None = None) -> Column:
     """Exact duration from start to end in microseconds."""
+    if ts_type == "timestamp":
+        return F.unix_micros(_c(end)) - F.unix_micros(_c(start))
     return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
 
 
-def seconds_between(start, end) -> Column:
+def seconds_between(start, end, ts_type: str | None = None) -> Column:
     """Whole seconds from start to end, truncated."""
-    return F.floor(micros_between(start, end) / F.lit(1_000_000)).cast("bigint")
+    return F.floor(micros_between(start, end, ts_type) / F.lit(1_000_000)).cast("bigint")
 
 
-def half_hours_between(start, end, minutes: int = 30) -> Column:
+def half_hours_between(start, end, minutes: int = 30, ts_type: str | None = None) -> Column:
     """``int(duration / 30 min)`` for a non-negative duration."""
-    return F.floor(micros_between(start, end) / F.lit(60_000_000 * minutes)).cast("bigint")
+    return F.floor(micros_between(start, end, ts_type) / F.lit(60_000_000 * minutes)).cast("bigint")
 
 
 def ts_literal(value, ts_type: str = "timestamp") -> Column:

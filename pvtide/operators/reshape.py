@@ -89,7 +89,7 @@ def wide_halfhour_to_tall(wide: DataFrame, prefix: str = "t", minutes: int = 30,
     tall = typed.selectExpr(quote(TS), quote(SS_ID), f"inline(array({pairs}))")
     tall = tall.select(
         F.col(SS_ID).cast("int").alias(SS_ID),
-        add_minutes(F.col(TS), F.col("_slot") * F.lit(minutes)).alias(TS),
+        add_minutes(F.col(TS), F.col("_slot") * F.lit(minutes), dict(typed.dtypes)[TS]).alias(TS),
         F.col(GEN).cast("float").alias(GEN))
     if deduplicate and not day_aligned:
         tall = dedup(tall, [TS, SS_ID], dedup_order)

@@ -13,6 +13,7 @@ from pvtide.functions.timecols import (
     add_minutes,
     first_of_month,
     half_hours_between,
+    micros_between,
     midnight_keep_minutes,
     partition_month_start,
     ts_literal,
@@ -53,12 +54,13 @@ def _bound_columns(bounds, ts_type: str) -> tuple:
     the readings."""
     if isinstance(bounds, DataFrame):
         lo_name, hi_name = bounds.columns[:2]
-        row = bounds.select(F.col(lo_name).cast("string"), F.col(hi_name).cast("string")).first()
+        row = bounds.select(_exact(F.col(lo_name).cast(ts_type), ts_type),
+                            _exact(F.col(hi_name).cast(ts_type), ts_type)).first()
         lo, hi = (None, None) if row is None else row
-    else:
-        lo, hi = bounds
-    if lo is None or hi is None:
-        return F.lit(None).cast(ts_type), F.lit(None).cast(ts_type)
+        if lo is None or hi is None:
+            return F.lit(None).cast(ts_type), F.lit(None).cast(ts_type)
+        return _exact_literal(lo, ts_type), _exact_literal(hi, ts_type)
+    lo, hi = bounds
     return ts_literal(lo, ts_type), ts_literal(hi, ts_type)
 
 
@@ -83,16 +85,17 @@ def sample_windows(metadata: DataFrame, bounds, days: int = 7, seed: int = 42,
                .select(F.col(SS_ID),
                        F.greatest(F.col(START), lo_c).alias("clipped_start"),
                        F.least(F.col(END), hi_c).alias("clipped_end")))
-    long_enough = F.col("clipped_end") - F.col("clipped_start") > F.make_dt_interval(days=F.lit(days))
+    long_enough = (micros_between("clipped_start", "clipped_end", ts_type)
+                   > F.lit(days * 86_400_000_000))
     clipped = clipped.filter(long_enough)
-    n_slots = half_hours_between("clipped_start", "clipped_end", minutes)
+    n_slots = half_hours_between("clipped_start", "clipped_end", minutes, ts_type)
     if full_only:
         n_slots = n_slots - F.lit(days * 24 * 60 // minutes) + F.lit(1)
     k = F.pmod(F.col(SS_ID).cast("bigint") * F.lit(SLOT_MULTIPLIER) + F.lit(seed), n_slots)
-    start = add_minutes(F.col("clipped_start"), k * F.lit(minutes))
+    start = add_minutes(F.col("clipped_start"), k * F.lit(minutes), ts_type)
     return (clipped.filter(n_slots > 0)
             .select(SS_ID, start.alias(W_START))
-            .withColumn(W_END, add_days(F.col(W_START), days)))
+            .withColumn(W_END, add_days(F.col(W_START), days, ts_type)))
 
 
 # Spark turns an IN filter of at most this many values into exact Parquet
@@ -102,11 +105,12 @@ SCAN_ID_LIST_MAX = 10
 FEW_WINDOWS = 10
 
 
-def _exact(c: str, ts_type: str) -> Column:
+def _exact(c, ts_type: str) -> Column:
     """A time column in a form that survives the trip to the driver exactly:
     epoch microseconds for ``timestamp`` (no zone or DST ambiguity), the
     zone-free text for ``timestamp_ntz``."""
-    return F.unix_micros(F.col(c)) if ts_type == "timestamp" else F.col(c).cast("string")
+    col = F.col(c) if isinstance(c, str) else c
+    return F.unix_micros(col) if ts_type == "timestamp" else col.cast("string")
 
 
 def _exact_literal(v, ts_type: str) -> Column:
@@ -239,7 +243,9 @@ def outlier_context(readings: DataFrame, outliers: DataFrame, before_days: int =
     for one chosen system; here every system with an outlier gets its
     window, fetched in one job.
     """
+    ts_type = dict(outliers.dtypes)[TS]
     first = outliers.groupBy(SS_ID).agg(F.min(TS).alias("_first"))
-    win = first.select(SS_ID, add_days(midnight_keep_minutes(F.col("_first")), -before_days).alias(W_START))
-    win = win.withColumn(W_END, add_days(F.col(W_START), length_days))
+    win = first.select(SS_ID, add_days(midnight_keep_minutes(F.col("_first")), -before_days, ts_type)
+                       .alias(W_START))
+    win = win.withColumn(W_END, add_days(F.col(W_START), length_days, ts_type))
     return fetch_windows(readings, win)

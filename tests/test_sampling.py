@@ -170,3 +170,25 @@ def test_few_windows_prune_months_statically_and_keep_overlaps(spark, scratch):
     assert len(got) == 97 + 97 + 1
     empty = spark.createDataFrame([], "ss_id int, window_start timestamp, window_end timestamp")
     assert fetch_windows(part, empty).count() == 0
+
+
+def test_window_bounds_are_exact_across_a_dst_change(spark):
+    # The last reading is 01:30 UTC on 2023-10-29, the second 01:30 of that
+    # night in London; as local text it would read back an hour earlier.
+    rd = spark.range(0, 9 * 48 + 4).select(
+        F.lit(1).cast("int").alias("ss_id"),
+        (F.lit(T("2023-10-20 00:00")).cast("timestamp")
+         + F.expr("INTERVAL 30 MINUTES") * F.col("id")).alias("datetime_GMT"),
+        F.lit(1.0).cast("float").alias("generation_Wh"))
+
+    def starts():
+        w = sample_windows(activity_bounds(rd), dataset_bounds(rd), days=7, seed=11)
+        return [r[0] for r in w.select(F.unix_micros("window_start")).collect()]
+
+    utc = starts()
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        london = starts()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == london and len(utc) == 1
