@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvtide.operators import (
-    indexing,
     layout,
     metadata,
     months,
@@ -197,12 +196,14 @@ def q_exact_months_bounded(spark, sf_dir):
 
 
 def q_outlier_context_row(spark, sf_dir):
-    """P15 as the reference runs it: the system at row 7 of the sorted,
-    indexed outliers (O8), all of its outliers, and the readings from 100
-    days before the first one's day (hour set to 0), for 200 days."""
+    """P15 as the reference runs it: the system at row 7 of the outliers
+    sorted by (ss_id, datetime_GMT) (O8), all of its outliers, and the
+    readings from 100 days before the first one's day (hour set to 0), for
+    200 days. Row 7 is taken as an ordered slice (a per-partition top 8),
+    not from a full row index: the same row without a global sort."""
     rl = fx.readings_long(spark, sf_dir)
-    outliers = quality.capacity_outliers(rl, fx.capacity(spark, sf_dir), op="gt")
-    chosen = indexing.nth(outliers, OUTLIER_ROW).select(SS_ID)
+    outliers = quality.capacity_outliers(rl, fx.capacity(spark, sf_dir), op="gt", index=False)
+    chosen = peek.slice_rows(outliers, [SS_ID, TS, GEN], OUTLIER_ROW, 1).select(SS_ID)
     return sampling.outlier_context(rl, outliers.join(chosen, SS_ID, "left_semi"),
                                     OUTLIER_ROW_BEFORE_DAYS, OUTLIER_ROW_LENGTH_DAYS)
 
