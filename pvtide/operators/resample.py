@@ -50,7 +50,8 @@ def compare_resolutions(fine: DataFrame, coarse: DataFrame, day: dt.date | None
     ``(ss_id, datetime_GMT)``: a time present in any series yields a row per
     series, null where that series lacks it. It is computed as one grouped
     aggregation over the union of the three inputs (one shuffle) instead of
-    two full outer joins (three). NaN rows are dropped, nulls kept.
+    two full outer joins (three); the fine series is scanned once for both
+    of its forms. NaN rows are dropped, nulls kept.
     """
     f_fine = 60.0 / fine_minutes
     f_coarse = 60.0 / coarse_minutes
@@ -66,9 +67,12 @@ def compare_resolutions(fine: DataFrame, coarse: DataFrame, day: dt.date | None
         fine_sel = fine_sel.filter(F.col(TS).between(lo, hi))
         coarse_sel = coarse_sel.filter(F.col(TS).between(lo, hi))
 
-    tagged = (fine_sel.select(SS_ID, F.col(TS).alias("_label"), F.lit(0).alias("_src"), value)
-              .unionByName(fine_sel.select(SS_ID, right_closed_end(F.col(TS), every).alias("_label"),
-                                           F.lit(1).alias("_src"), value))
+    # The fine series is read once: each reading yields its own label and
+    # its right-closed window label (a generator, no second scan).
+    fine_twice = fine_sel.select(SS_ID, value, F.inline(F.array(
+        F.struct(F.col(TS).alias("_label"), F.lit(0).alias("_src")),
+        F.struct(right_closed_end(F.col(TS), every).alias("_label"), F.lit(1).alias("_src")))))
+    tagged = (fine_twice.select(SS_ID, "_label", "_src", value)
               .unionByName(coarse_sel.select(SS_ID, F.col(TS).alias("_label"),
                                              F.lit(2).alias("_src"), value)))
     v = F.col(value).cast("double")
