@@ -192,3 +192,20 @@ def test_window_bounds_are_exact_across_a_dst_change(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert utc == london and len(utc) == 1
+
+
+def test_shuffle_fetch_with_a_hot_system_matches_brute_force(spark):
+    # System 0 holds a third of all readings and a third of the windows;
+    # the windows side is over the broadcast bound, so the join shuffles.
+    rd = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise((F.col("id") % 20).cast("int")).alias("ss_id"),
+        (F.lit(T("2024-01-01")).cast("timestamp") + F.expr("INTERVAL 10 MINUTES") * F.col("id")).alias("datetime_GMT"),
+        (F.col("id") % 11).cast("float").alias("generation_Wh"))
+    win = spark.range(30).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise((F.col("id") % 20).cast("int")).alias("ss_id"),
+        (F.lit(T("2024-01-02")).cast("timestamp") + F.expr("INTERVAL 1 DAY") * (F.col("id") % 50)).alias("window_start"))
+    win = win.withColumn("window_end", F.col("window_start") + F.expr("INTERVAL 2 DAYS"))
+    q = fetch_windows(rd, win, max_broadcast_rows=5)
+    assert "BroadcastExchange" not in q._jdf.queryExecution().sparkPlan().toString()
+    got = sorted(tuple(r) for r in q.collect())
+    assert got == _brute(rd, win) and len(got) > 0
