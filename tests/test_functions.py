@@ -89,3 +89,17 @@ def test_hex_cell_is_a_tiling(spark):
         for dq, dr in [(1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)]:
             nx, ny = centre(row.q + dq, row.r + dr)
             assert d_own <= math.hypot(x - nx, y - ny) + 1e-9
+
+
+def test_durations_are_exact_for_instants_in_any_zone(spark):
+    from pvtide.functions.timecols import add_days, add_minutes, micros_between
+    df = spark.sql("select timestamp_micros(1697760000000000) as a, timestamp_micros(1698543000000000) as b")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        r = df.select(micros_between("a", "b", "timestamp").alias("d"),
+                      F.unix_micros(add_days("a", 10, "timestamp")).alias("a10"),
+                      F.unix_micros(add_minutes("a", 14400, "timestamp")).alias("am")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert r.d == 1698543000000000 - 1697760000000000
+    assert r.a10 == r.am == 1697760000000000 + 10 * 86_400_000_000
