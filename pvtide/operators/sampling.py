@@ -142,10 +142,11 @@ def _scan_filter(win: DataFrame, stats, ts_type: str) -> Column:
 
 
 def _fetch_few(readings: DataFrame, rows, ts_type: str, partitioned: bool) -> DataFrame:
-    """A few windows as literal predicates on the readings
-    scan: ids, overall time range and (on the month layout) the months
-    spanned are plain conjuncts that reach the Parquet reader and the
-    partition pruner; each reading then takes the windows it falls in."""
+    """A few windows as literal predicates on the readings scan: ids,
+    overall time range and (on the month layout) the months spanned are
+    plain conjuncts that reach the Parquet reader and the partition pruner;
+    each reading then takes the windows it falls in (a generator, so a
+    reading in two overlapping windows appears twice, as in a join)."""
     out = [c for c in readings.columns if c not in (YEAR, MONTH)]
     if not rows:
         return readings.filter(F.lit(False)).select(*out, F.lit(None).cast(ts_type).alias(W_START),
