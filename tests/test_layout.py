@@ -222,3 +222,20 @@ def test_row_group_size_option(spark, scratch):
     files = _files(root)
     assert max(pq.ParquetFile(f).metadata.num_row_groups for f in files) > 1
     assert scan_readings(spark, root).count() == 200000
+
+
+def test_exact_months_layout_is_idempotent(spark, scratch):
+    df = _readings(spark, 1200)
+    first = f"{scratch}/first"
+    write_sorted_months(repartition_exact_months(df), first, num_partitions=4)
+    again = f"{scratch}/again"
+    write_sorted_months(repartition_exact_months(scan_readings(spark, first)), again, num_partitions=4)
+    a, b = scan_readings(spark, first), scan_readings(spark, again)
+    assert a.count() == b.count() == df.filter(~F.isnan("generation_Wh") | F.col("generation_Wh").isNull()).count()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    for f in _files(again):
+        t = pq.read_table(f)
+        keys = list(zip(t.column("ss_id").to_pylist(), t.column("datetime_GMT").to_pylist()))
+        assert keys == sorted(keys)
+        y, m = f.split("year=")[1].split("/month=")
+        assert {(ts.year, ts.month) for ts in t.column("datetime_GMT").to_pylist()} == {(int(y), int(m[:2]))}
