@@ -3,8 +3,6 @@ and the readings around outliers (P15)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,29 +139,47 @@ def _scan_filter(win: DataFrame, stats, ts_type: str) -> Column:
     return cond & F.col(SS_ID).between(F.lit(id_lo), F.lit(id_hi))
 
 
+def _sql_time(v, ts_type: str) -> str:
+    """A collected exact time (see ``_exact``) as an SQL literal."""
+    if ts_type == "timestamp":
+        return f"timestamp_micros({int(v)})"
+    return f"TIMESTAMP_NTZ '{v}'"
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _fetch_few(readings: DataFrame, rows, ts_type: str, partitioned: bool) -> DataFrame:
     """A few windows as literal predicates on the readings scan: ids,
     overall time range and (on the month layout) the months spanned are
     plain conjuncts that reach the Parquet reader and the partition pruner;
     each reading then takes the windows it falls in (a generator, so a
-    reading in two overlapping windows appears twice, as in a join)."""
+    reading in two overlapping windows appears twice, as in a join).
+
+    Predicate and generator are each one SQL expression: built from Column
+    objects they would cost a few calls into the JVM per window and term,
+    which is most of the latency of a small fetch.
+    """
     out = [c for c in readings.columns if c not in (YEAR, MONTH)]
     if not rows:
         return readings.filter(F.lit(False)).select(*out, F.lit(None).cast(ts_type).alias(W_START),
                                                      F.lit(None).cast(ts_type).alias(W_END))
-    wins = [(i, _exact_literal(s, ts_type), _exact_literal(e, ts_type)) for i, s, e in rows]
-    ts = F.col(TS)
-    lo = _exact_literal(min(s for _, s, _ in rows), ts_type)
-    hi = _exact_literal(max(e for _, _, e in rows), ts_type)
-    cond = F.col(SS_ID).isin(sorted({i for i, _, _ in wins})) & ts.between(lo, hi)
+    sid, ts = _q(SS_ID), _q(TS)
+    wins = [(int(i), _sql_time(st, ts_type), _sql_time(en, ts_type)) for i, st, en in rows]
+    lo = _sql_time(min(st for _, st, _ in rows), ts_type)
+    hi = _sql_time(max(en for _, _, en in rows), ts_type)
+    ids = ", ".join(str(i) for i in sorted({i for i, _, _ in wins}))
+    cond = f"{sid} IN ({ids}) AND {ts} BETWEEN {lo} AND {hi}"
     if partitioned:
-        month = partition_month_start()
-        cond = cond & reduce(lambda a, b: a | b, [month.between(first_of_month(s), first_of_month(e))
-                                                  for _, s, e in wins])
-    each = F.array(*[F.when((F.col(SS_ID) == F.lit(i)) & ts.between(s, e),
-                            F.struct(s.alias(W_START), e.alias(W_END))) for i, s, e in wins])
-    matched = F.filter(each, lambda w: w.isNotNull())
-    return readings.filter(cond).select(*out, F.inline(matched))
+        month = f"make_date(CAST({_q(YEAR)} AS INT), CAST({_q(MONTH)} AS INT), 1)"
+        spans = " OR ".join(f"{month} BETWEEN trunc(to_date({st}), 'MM') AND trunc(to_date({en}), 'MM')"
+                            for _, st, en in wins)
+        cond += f" AND ({spans})"
+    each = ", ".join(f"CASE WHEN {sid} = {i} AND {ts} BETWEEN {st} AND {en} "
+                     f"THEN named_struct('{W_START}', {st}, '{W_END}', {en}) END" for i, st, en in wins)
+    gen = f"inline(filter(array({each}), w -> w IS NOT NULL))"
+    return readings.where(cond).selectExpr(*[_q(c) for c in out], gen)
 
 
 def fetch_windows(readings: DataFrame, windows: DataFrame,
