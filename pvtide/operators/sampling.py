@@ -73,8 +73,9 @@ def sample_windows(metadata: DataFrame, bounds, days: int = 7, seed: int = 42,
     a run can be repeated (and checked by SQL). A window may run past the
     span's end, as in the reference; ``full_only`` keeps it inside.
 
-    ``bounds``: a one-row ``(min, max)`` frame (used as scalar subqueries)
-    or a ``(min, max)`` pair of Python values.
+    ``bounds``: a one-row ``(min, max)`` frame (evaluated once; its one row
+    comes to the driver as exact literals) or a ``(min, max)`` pair of
+    Python values. Durations are exact for zone-aware timestamps too.
     """
     ts_type = dict(metadata.dtypes)[START]
     lo_c, hi_c = _bound_columns(bounds, ts_type)
