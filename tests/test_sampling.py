@@ -209,3 +209,16 @@ def test_shuffle_fetch_with_a_hot_system_matches_brute_force(spark):
     assert "BroadcastExchange" not in q._jdf.queryExecution().sparkPlan().toString()
     got = sorted(tuple(r) for r in q.collect())
     assert got == _brute(rd, win) and len(got) > 0
+
+
+def test_literal_and_join_paths_agree_on_zone_less_month_layout(spark, scratch):
+    rd = _readings(spark, n_systems=8).withColumn("datetime_GMT", F.col("datetime_GMT").cast("timestamp_ntz"))
+    root = f"{scratch}/ntz_layout"
+    write_sorted_months(rd, root)
+    part = spark.read.parquet(root)
+    win = sample_windows(activity_bounds(rd), dataset_bounds(rd), days=3, seed=9)
+    literal = fetch_windows(part, win)
+    assert "Join" not in literal._jdf.queryExecution().executedPlan().toString()
+    few = sorted(tuple(r) for r in literal.collect())
+    joined = sorted(tuple(r) for r in fetch_windows(part, win, few_windows=0).collect())
+    assert few == joined and len(few) == 8 * (3 * 48 + 1)
