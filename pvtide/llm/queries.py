@@ -12,10 +12,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvtide.llm import exact_dedup, sharding, source_mixing
+from pvtide.llm import (
+    exact_dedup,
+    language_id,
+    license_scan,
+    minhash_dedup,
+    quality_model,
+    sentencepiece_codec,
+    sharding,
+    source_mixing,
+    url_filter,
+    winnowing,
+)
 
 SHARDS = 16
 SEED = 20_240_607
+# Rules of the URL filter: (action, host and path).
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+             ("allow", "com/fr/"), ("block", "com/de/"))
+# Parts of host names that label a URL as unwanted when the URL filter is trained.
+SEED_WORDS = ("casino", "bets", "pills", "adult", "spam", "ads", "warez", "porn", "poker", "viagra", "loans")
 
 
 def documents(spark, sf_dir) -> DataFrame:
@@ -41,10 +57,54 @@ def q_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_report(documents(spark, sf_dir))
 
 
+def q_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir)).drop("class_digest")
+
+
+def q_sentencepiece(spark, sf_dir):
+    model = sentencepiece_codec.load_model()
+    return sentencepiece_codec.encode(documents(spark, sf_dir), model, keep=["doc_id"])
+
+
+def q_quality_model(spark, sf_dir):
+    return quality_model.score_documents(documents(spark, sf_dir))
+
+
+def q_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    profiles = language_id.train_profiles(language_id.training_rows(docs))
+    judged = language_id.predict_languages(docs, profiles, keep=["doc_id"])
+    return judged.select("kept.doc_id", language_id.held_out(F.col("kept.doc_id")).alias("held_out"),
+                         "lang_pred", "score")
+
+
+def q_url_filter(spark, sf_dir):
+    return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES, SEED_WORDS)
+
+
+def q_winnowing(spark, sf_dir):
+    found = winnowing.compare_with_next(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+                        winnowing.digest(F.col("fingerprint")).alias("fingerprint"),
+                        winnowing.digest(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+                        "near_edited", "near_next", F.size("fingerprint").alias("n_fingerprints"))
+
+
+def q_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(documents(spark, sf_dir), license_scan.known_frame(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": q_minhash_dedup,
     "op2_sharding": q_sharding,
+    "op3_sentencepiece": q_sentencepiece,
+    "op4_quality_model": q_quality_model,
     "op5_source_mixing": q_source_mixing,
+    "op6_language_id": q_language_id,
     "op7_exact_dedup": q_exact_dedup,
+    "op8_url_filter": q_url_filter,
+    "op9_winnowing": q_winnowing,
+    "op10_license_scan": q_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -52,4 +112,5 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window w as (partition by coalesce(text, ''))""",
+    "op10_license_scan": license_scan.oracle_sql(),
 }

@@ -26,7 +26,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_REPEAT = 2
 BLOCK_WORDS = 4096
+# A source's random order is cut into buckets of this many rows on average, if
+# all rows were its own; there are at least MIN_BUCKETS, for parallel work.
 ROWS_PER_BUCKET = 20_000
+MIN_BUCKETS = 512
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE,
@@ -162,7 +165,7 @@ def plan_mix(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "do
     spread over tasks like any other.
     """
     carry = list(docs.columns) if carry is None else list(carry)
-    n_buckets = max(1, -(-docs.count() // ROWS_PER_BUCKET))
+    n_buckets = max(MIN_BUCKETS, -(-docs.count() // ROWS_PER_BUCKET))
     source = F.col(f"`{source_col}`")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("record"), source.alias("source"),

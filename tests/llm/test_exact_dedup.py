@@ -1,0 +1,60 @@
+import hashlib
+from collections import defaultdict
+
+from helpers import AWKWARD, frame
+from pyspark.sql import functions as F
+
+from pvtide.llm import exact_dedup
+
+
+def brute(rows):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1] or ""].append(r[0])
+    out = []
+    for text, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        keep = max(known) if known else None
+        left = 1
+        for i in sorted(ids, key=lambda x: (x is None, x or 0)):
+            kept = i == keep and left > 0
+            left -= kept
+            out.append((i, keep, len(ids), kept, hashlib.sha256(text.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_report_matches_brute_force(spark):
+    got = exact_dedup.duplicate_report(frame(spark, AWKWARD, clash=True)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(AWKWARD)
+
+
+def test_colliding_hashes_stay_apart(spark):
+    rows = [(i, f"text {i % 7}") for i in range(50)]
+    got = exact_dedup.duplicate_report(frame(spark, rows), hash_fn=lambda t: F.substring(F.md5(t), 1, 1)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    kept = exact_dedup.drop_duplicates(frame(spark, rows), hash_fn=lambda t: F.lit("same"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(43, 50))
+
+
+def test_drop_keeps_whole_rows(spark):
+    df = frame(spark, AWKWARD, clash=True)
+    kept = exact_dedup.drop_duplicates(df)
+    assert kept.columns == df.columns and kept.schema["text"].dataType == df.schema["text"].dataType
+    rows = kept.collect()
+    assert len(rows) == len({(r[1] or "") for r in AWKWARD})
+    assert {r.doc_id for r in rows} == {2, 4, 5, 6, 7, 8, 9, 10, 11, None}
+    assert next(r.lang for r in rows if r.doc_id == 2) == "fr"
+
+
+def test_hot_group_and_empty_table(spark):
+    rows = [(i, "the same" if i % 3 else f"own {i}") for i in range(3000)]
+    got = exact_dedup.duplicate_report(frame(spark, rows))
+    assert got.filter("kept").count() == 1001
+    assert got.filter("group_size = 2000 and keep_id = 2999").count() == 2000
+    assert exact_dedup.duplicate_report(frame(spark, [])).count() == 0
+    assert exact_dedup.drop_duplicates(frame(spark, [])).count() == 0
+
+
+def test_repeated_row_is_kept_once(spark):
+    got = exact_dedup.duplicate_report(frame(spark, [(5, "a")] * 9000 + [(4, "a")]))
+    assert got.count() == 9001 and got.filter("kept").count() == 1

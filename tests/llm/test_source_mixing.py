@@ -1,0 +1,98 @@
+import re
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import pytest
+from helpers import AWKWARD, frame, words
+
+from pvtide.llm import source_mixing as mixing
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def targets_by_hand(sizes):
+    """Sources by code point, null last, weigh 3, 1, 2; caps at twice; excess reshared."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, budget, free = {}, Fraction(3, 2) * sum(sizes.values()), set(order)
+    while free:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if budget * weight[s] > 2 * sizes[s] * total}
+        if not over:
+            target |= {s: budget * weight[s] / total for s in free}
+            break
+        target |= {s: Fraction(2 * sizes[s]) for s in over}
+        budget -= sum(2 * sizes[s] for s in over)
+        free -= over
+    return target
+
+
+def sizes_of(rows):
+    out = defaultdict(int)
+    for _, text, _, source in rows:
+        out[source] += len(WORD.findall(text or ""))
+    return out
+
+
+def mixed_rows(n=3000):
+    names = ["src0"] * 10 + [f"src{i}" for i in range(1, 8)] + [None]
+    return [(i, words(1 + i * 7919 % 60, i), "en", names[i * 31 % len(names)]) for i in range(n)]
+
+
+@pytest.mark.parametrize("rows", [AWKWARD, mixed_rows(400)])
+def test_targets_and_takings(spark, rows):
+    got = mixing.plan_mix(frame(spark, rows, clash=True), 4, seed=1).collect()
+    sizes, targets = sizes_of(rows), targets_by_hand(sizes_of(rows))
+    assert len(got) == len(rows)
+    taken = Counter()
+    for r in got:
+        assert r["size"] == len(WORD.findall(r.record.text or ""))
+        assert r.source_size == sizes[r.source]
+        assert abs(r.target - float(targets[r.source])) <= 1e-9 * max(1, r.target)
+        assert 0 <= r.words <= 2 * r["size"] and 0 <= r.copies <= 2 and len(r.shards) == r.copies
+        taken[r.source] += r.words
+    for source, target in targets.items():
+        assert target - 1 <= taken[source] <= target
+
+
+def test_reruns_agree_and_shards_share(spark):
+    df = frame(spark, mixed_rows())
+    key = lambda r: (r.record.doc_id, r.words, r.copies, tuple(r.shards))
+    plan = lambda: sorted(map(key, mixing.plan_mix(df, 8, seed=5, block_words=64).collect()))
+    first = plan()
+    assert first == plan()
+    load = Counter(s for *_, shards in first for s in shards)
+    assert set(load) == set(range(8)) and max(load.values()) < 1.5 * min(load.values())
+
+
+def test_quotas_are_split_exactly(spark):
+    quotas = spark.createDataFrame([(f"s{i}", 17 * i + i % 3) for i in range(12)], "skey string, quota long")
+    for shards in (1, 2, 5, 16):
+        rows = mixing.split_quotas(quotas, shards, seed=2).collect()
+        assert {r.skey: r.bounds[-1] for r in rows} == {f"s{i}": 17 * i + i % 3 for i in range(12)}
+        assert all(len(r.bounds) == shards and sorted(r.bounds) == r.bounds for r in rows)
+        per_shard = [sum(r.bounds[j] - (r.bounds[j - 1] if j else 0) for r in rows) for j in range(shards)]
+        assert max(per_shard) - min(per_shard) <= shards.bit_length()
+
+
+def test_hypergeometric_moments(spark):
+    from pyspark.sql import functions as F
+
+    pool, good, draws, n = 500, 120, 200, 4000
+    u = (F.col("id") + 0.5) / n
+    x = mixing.hypergeometric(F.lit(pool), F.lit(good), F.lit(draws), u)
+    mean, var, low, high = spark.range(n).select(x.alias("x")).agg(
+        F.avg("x"), F.variance("x"), F.min("x"), F.max("x")).first()
+    assert abs(mean - draws * good / pool) < 0.05
+    assert abs(var - draws * good / pool * (1 - good / pool) * (pool - draws) / (pool - 1)) < 0.5
+    assert 0 <= low and high <= good
+
+
+def test_mix_rows_write_and_empty(spark, scratch):
+    df = frame(spark, mixed_rows(500))
+    plan = {(r.record.doc_id): r.copies for r in mixing.plan_mix(df, 4, seed=9).collect()}
+    rows = mixing.mix_documents(df, 4, seed=9).collect()
+    assert Counter(r.record.doc_id for r in rows) == {k: v for k, v in plan.items() if v}
+    mixing.write_mix(df, f"{scratch}/mix", 4, seed=9)
+    assert spark.read.parquet(f"{scratch}/mix").count() == len(rows)
+    assert mixing.plan_mix(frame(spark, [])).count() == 0
