@@ -16,10 +16,12 @@ The plan, in tables of the shared folder:
    one leader, not with every other text; verified links give components.
 3. Only buckets that still hold texts of several components are looked at
    again: their texts outside the bucket's largest component meet the texts
-   of other components, and signature pairs that cannot belong to similar
-   texts (more than four standard deviations off) are dropped inside the
-   join. So no pair of a bucket is lost, and none is listed that the
-   components have settled.
+   of other components. Inside that join, pairs are dropped whose signatures
+   differ too much (by more than four standard deviations), and pairs that
+   hold too many shingles found in no other open text to be similar (an
+   exact bound). So no pair of a bucket is lost, none is listed that the
+   components have settled, and a crowd of texts around a common one, each
+   with changes of its own, does not make a square of pairs.
 4. Verification computes J_P exactly from the shingle sets.
 """
 
@@ -131,8 +133,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, bounds = shingle_hashes(*word_hashes(data, offsets), SHINGLE_WORDS)
             own = [weighted_set(shingles[bounds[i]:bounds[i + 1]]) for i in range(len(offsets) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(own)), pa.array([e.tobytes() for e, _ in own], pa.binary()),
-                 pa.array([w.astype(np.float32).tobytes() for _, w in own], pa.binary())],
+                [batch.column(0).slice(first, len(own)),
+                 pa.array([e.view(np.int64) for e, _ in own], pa.list_(pa.int64())),
+                 pa.array([w.astype(np.float32) for _, w in own], pa.list_(pa.float32()))],
                 names=["node", "elements", "weights"])
 
 
@@ -153,12 +156,18 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float(np.sum(1.0 / (x_upto / x + y_above / y)))
 
 
+def _parts(lists: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column as arrays, without copying."""
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [[np.frombuffer(v, kind) for v in batch.column(c).to_pylist()]
-                    for c, kind in ((2, np.uint64), (3, np.float32), (4, np.uint64), (5, np.float32))]
-            values = np.array([probability_jaccard(*s) for s in zip(*sets, strict=True)])
+            sets = [_parts(batch.column(c)) for c in range(2, 6)]
+            values = np.array([probability_jaccard(a.view(np.uint64), wa, b.view(np.uint64), wb)
+                               for a, wa, b, wb in zip(*sets, strict=True)])
             linked = pa.array(values >= threshold - 1e-9) if len(values) else pa.array([], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(values, pa.float64())],
@@ -216,33 +225,61 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def _verified(spark, texts: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float,
-              name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar, with the exact value."""
-    pairs = stored(pairs, f"{name}-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = stored(nodes.join(reps.select("node", "digest", "rep_id"), "node"), f"{name}-nodes")
+def _sets_of(texts: DataFrame, reps: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """``node, elements, weights`` of the given nodes: their weighted sets, read
+    from the texts of the representatives (ids are broadcast up to a bound)."""
+    needed = stored(nodes.distinct().join(reps.select("node", "digest", "rep_id"), "node"), f"{name}-nodes")
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
     found = (texts.join(needed, texts["digest"].eqNullSafe(needed["digest"])
                         & texts["id"].eqNullSafe(needed["rep_id"]))
              .select(needed["node"], texts["text"]))
-    sets = (found.mapInArrow(_sets, "node long, elements binary, weights binary")
-            .dropDuplicates(["node"]))
+    sets = found.mapInArrow(_sets, "node long, elements array<bigint>, weights array<float>")
+    return stored(sets.dropDuplicates(["node"]), f"{name}-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, name: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar, with the exact value."""
     joined = (pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "ea", "weights": "wa"}), "a")
               .join(sets.withColumnsRenamed({"node": "b", "elements": "eb", "weights": "wb"}), "b")
               .select("a", "b", "ea", "wa", "eb", "wb"))
     return stored(joined.mapInArrow(_verify(threshold), "a long, b long, similarity double"), f"{name}-links")
 
 
+def _private_shares(sets: DataFrame) -> DataFrame:
+    """``node, n, mass, own_n, own_mass``: size and weight of each set, and of
+    the shingles that no other of the given sets holds."""
+    items = sets.select("node", F.explode(F.arrays_zip("elements", "weights")).alias("e"))
+    own = (items.groupBy(F.col("e.elements").alias("element"))
+           .agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node"), F.min("e.weights").alias("w"))
+           .filter("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own_n"), F.sum("w").alias("own_mass")))
+    mass = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
+    sizes = sets.select("node", F.size("elements").alias("n"), mass.alias("mass"))
+    return sizes.join(own, "node", "left").fillna(0, ["own_n", "own_mass"])
+
+
+def _may_be_similar(threshold: float) -> Column:
+    """Whether an upper bound of J_P of sets x and y reaches the threshold.
+
+    With shares a and b of the two masses outside the other set,
+    ``J_P <= 1 / (1 + a/(1-a) + b/(1-b))``. Outside lie at least a set's own
+    shingles, and as many as it has more than the other can share (weights
+    are 1 at least).
+    """
+    out_x = F.greatest(F.col("x_own_mass"), (F.col("x_n") - F.col("y_n") + F.col("y_own_n")).cast("double"))
+    out_y = F.greatest(F.col("y_own_mass"), (F.col("y_n") - F.col("x_n") + F.col("x_own_n")).cast("double"))
+    odds = [out / F.greatest(F.col(mass) - out, F.lit(1e-9)) for out, mass in ((out_x, "x_mass"), (out_y, "y_mass"))]
+    return F.lit(1.0) / (F.lit(1.0) + odds[0] + odds[1]) >= F.lit(threshold - 1e-5)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     similarity: float = SIMILARITY) -> DataFrame:
     """The near-duplicate class of every row of ``docs``.
 
     Returns ``doc_id``, ``class_id`` (smallest id of the class: texts joined
-    by links of similarity 0.8 or more, and their copies), ``n_links``
-    (other texts this text was linked to), ``digest`` (MD5 of the text) and
-    ``class_digest`` (that of the class's text under its smallest id).
+    by links of similarity 0.8 or more, and their copies), ``digest`` (MD5 of
+    the text) and ``class_digest`` (that of the class's text under its
+    smallest id).
 
     Defined cases: texts without words have no shingles and are classed by
     equality only (null and empty text are equal); a text of one to four
@@ -250,7 +287,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     which is null if the class has no id; repeated rows are rows of one
     class; an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     text = F.col(f"`{text_col}`")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _digest(text).alias("digest"), text.alias("text"))
 
@@ -270,7 +306,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
            .join(planes.withColumnsRenamed({"node": "leader", "planes": "leader_planes"}), "leader")
            .filter(_mismatches(F.col("planes"), F.col("leader_planes")) <= limit)
            .select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    links = _verified(spark, texts, reps, led, similarity, "minhash-first")
+    led = stored(led, "minhash-first-pairs")
+    ends = led.select(F.col("a").alias("node")).union(led.select("b"))
+    links = _verified(led, _sets_of(texts, reps, ends, "minhash-first"), similarity, "minhash-first")
     roots = connected_components(links, "minhash-first")
 
     placed = (shared.join(roots, "node", "left")
@@ -279,30 +317,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = (sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"),
                                        F.count(F.lit(1)).alias("roots"))
              .filter("roots > 1").select("band", "main"))
-    open_ = stored(placed.join(mixed, "band").join(planes, "node"), "minhash-open")
-    outside = open_.filter("root != main").withColumnsRenamed({"node": "x", "root": "x_root", "planes": "x_planes"})
-    other = open_.withColumnsRenamed({"node": "y", "root": "y_root", "planes": "y_planes"}).withColumn(
-        "inside", F.col("y_root") == F.col("main")).drop("main")
+    open_ = stored(placed.join(mixed, "band"), "minhash-open")
+    sets = _sets_of(texts, reps, open_.select("node"), "minhash-second")
+    known = stored(_private_shares(sets).join(planes, "node"), "minhash-shares")
+    open_ = open_.join(known, "node").withColumnRenamed("node", "id")
+    named = lambda side: {c: f"{side}_{c}" for c in known.columns[1:] + ["root"]} | {"id": side}
+    outside = open_.filter("root != main").withColumnsRenamed(named("x"))
+    other = open_.withColumn("inside", F.col("root") == F.col("main")).drop("main").withColumnsRenamed(named("y"))
     pairs = (outside.join(other, (outside["band"] == other["band"]) & (outside["x_root"] != other["y_root"])
                           & (other["inside"] | (outside["x"] < other["y"]))
+                          & _may_be_similar(similarity)
                           & (_mismatches(outside["x_planes"], other["y_planes"]) <= limit))
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    more = _verified(spark, texts, reps, pairs, similarity, "minhash-second")
+    more = _verified(stored(pairs, "minhash-second-pairs"), sets, similarity, "minhash-second")
     links = links.select("a", "b").union(more.select("a", "b")).distinct()
     roots = connected_components(links, "minhash-all")
 
-    degrees = (links.select(F.col("a").alias("node")).union(links.select("b"))
-               .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
     classed = (reps.select("node", "digest", "rep_id").join(roots, "node", "left")
                .withColumn("root", F.coalesce("root", "node")))
     named = classed.groupBy("root").agg(
         F.min("rep_id").alias("class_id"),
         F.min_by("digest", F.struct(F.col("rep_id").isNull(), "rep_id", "digest")).alias("class_digest"))
-    by_text = (classed.join(named, "root").join(degrees, "node", "left")
-               .select("digest", "class_id", "class_digest",
-                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    by_text = classed.join(named, "root").select("digest", "class_id", "class_digest")
     return (texts.select("id", "digest").join(by_text, "digest")
-            .select(F.col("id").alias("doc_id"), "class_id", "n_links", F.lower(F.hex("digest")).alias("digest"),
+            .select(F.col("id").alias("doc_id"), "class_id", F.lower(F.hex("digest")).alias("digest"),
                     F.lower(F.hex("class_digest")).alias("class_digest")))
 
 
