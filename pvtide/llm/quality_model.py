@@ -44,16 +44,20 @@ GOOD, BAD, ABSTAIN = 1, 0, -1
 #: name, index of the statistic, bad below, good from, good up to, bad above (None: no such bound)
 LABELLERS = (
     ("symbols", "symbol_ratio", None, 0.0, 0.015, 0.05),
+    ("noisy_tokens", "noisy_ratio", None, 0.0, 0.03, 0.1),
+    ("symbol_runs", "run_ratio", None, 0.0, 0.005, 0.02),
+    ("loose_symbols", "loose_ratio", None, 0.0, 0.01, 0.05),
     ("capitals", "capital_ratio", None, 0.0, 0.15, 0.5),
     ("echoes", "echo_ratio", None, 0.0, 0.03, 0.15),
-    ("word_length", "word_length", 2.0, 3.0, 9.0, 14.0),
-    ("function_words", "function_ratio", 0.02, 0.08, 1.0, None),
-    ("repeated_lines", "repeated_line_ratio", None, 0.0, 0.05, 0.3),
     ("variety", "variety", 0.15, 0.45, 1.0, None),
+    ("repeated_lines", "repeated_line_ratio", None, 0.0, 0.05, 0.3),
+    ("function_words", "function_ratio", 0.02, 0.08, 1.0, None),
     ("length", "n_words", 5, 40, None, None),
 )
-STATISTICS = ("symbol_ratio", "capital_ratio", "echo_ratio", "word_length", "function_ratio",
-              "repeated_line_ratio", "variety", "n_words")
+#: statistic -> its factor when cut into twentieths for the scorer
+STATISTICS = {"symbol_ratio": 4.0, "noisy_ratio": 1.0, "run_ratio": 4.0, "loose_ratio": 2.0, "capital_ratio": 1.0,
+              "echo_ratio": 2.0, "variety": 1.0, "repeated_line_ratio": 1.0, "function_ratio": 1.0,
+              "word_length": 1 / 16, "n_words": 0.0}
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -70,6 +74,7 @@ _LOWER[65:91] += 32
 # Words of the statistics are runs of letters and digits; every other ASCII byte separates.
 _BETWEEN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LINE_END = _table(b"\n\r")
+_BLANK = _table(b" \t\n\v\f\r")
 
 
 def _hash_words(words) -> np.ndarray:
@@ -94,6 +99,25 @@ def _same_as_before(items: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return same
 
 
+def _token_shares(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's tokens between white space: the share that holds a hard
+    symbol, and the share that holds neither letter nor digit."""
+    rows = len(offsets) - 1
+    inside = ~_BLANK[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    row_starts = offsets[:-1][offsets[:-1] < len(data)]
+    begins[row_starts] = inside[row_starts]
+    token = np.cumsum(begins) - 1
+    n = int(token[-1]) + 1 if len(data) else 0
+    noisy, filled = np.zeros(n, bool), np.zeros(n, bool)
+    noisy[token[_SYMBOL[data]]] = True
+    filled[token[~_BETWEEN[data]]] = True
+    bounds = np.searchsorted(np.flatnonzero(begins), offsets) if n else np.zeros(rows + 1, np.int64)
+    count = np.maximum(np.diff(bounds), 1)
+    return _per_row(noisy, bounds) / count, _per_row(~filled, bounds) / count
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(statistics [row, k], word hashes, word bounds)`` of a piece of texts."""
     low = _LOWER[data]
@@ -109,17 +133,22 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     # long texts, which repeat common words, compare with short ones.
     variety = np.array([_variety(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
     alnum = _per_row(~_BETWEEN[data] & ((data < 0x80) | (data >= 0xC0)), offsets)
-    columns = [
-        _per_row(_SYMBOL[data], offsets) / filled,
-        _per_row(_CAPITAL[data], offsets) / letters,
-        _per_row(_same_as_before(words, bounds), bounds) / np.maximum(n_words, 1),
-        alnum / np.maximum(n_words, 1),
-        _per_row(np.isin(words, _FUNCTION_HASHES), bounds) / np.maximum(n_words, 1),
-        repeated / np.maximum(n_lines, 1),
-        variety,
-        n_words,
-    ]
-    return np.stack([np.asarray(c, np.float64) for c in columns], axis=1), words, bounds
+    symbol = _SYMBOL[data]
+    noisy, loose = _token_shares(data, offsets)
+    columns = {
+        "symbol_ratio": _per_row(symbol, offsets) / filled,
+        "noisy_ratio": noisy,
+        "run_ratio": _per_row(symbol & _same_as_before(data, offsets), offsets) / filled,
+        "loose_ratio": loose,
+        "capital_ratio": _per_row(_CAPITAL[data], offsets) / letters,
+        "echo_ratio": _per_row(_same_as_before(words, bounds), bounds) / np.maximum(n_words, 1),
+        "variety": variety,
+        "repeated_line_ratio": repeated / np.maximum(n_lines, 1),
+        "function_ratio": _per_row(np.isin(words, _FUNCTION_HASHES), bounds) / np.maximum(n_words, 1),
+        "word_length": alnum / np.maximum(n_words, 1),
+        "n_words": n_words,
+    }
+    return np.stack([np.asarray(columns[name], np.float64) for name in STATISTICS], axis=1), words, bounds
 
 
 def _variety(words: np.ndarray, window: int = 200) -> float:
@@ -132,8 +161,9 @@ def _variety(words: np.ndarray, window: int = 200) -> float:
 def votes(stats: np.ndarray) -> np.ndarray:
     """Votes [row, labeller] on rows of statistics."""
     out = np.full((len(stats), len(LABELLERS)), ABSTAIN, np.int8)
+    index = {name: i for i, name in enumerate(STATISTICS)}
     for j, (_, name, bad_below, good_from, good_to, bad_above) in enumerate(LABELLERS):
-        x = stats[:, STATISTICS.index(name)]
+        x = stats[:, index[name]]
         good = x >= good_from
         if good_to is not None:
             good &= x <= good_to
@@ -142,7 +172,7 @@ def votes(stats: np.ndarray) -> np.ndarray:
             out[x < bad_below, j] = BAD
         if bad_above is not None:
             out[x > bad_above, j] = BAD
-    out[stats[:, STATISTICS.index("n_words")] == 0] = BAD
+    out[stats[:, index["n_words"]] == 0] = BAD
     return out
 
 
@@ -198,7 +228,7 @@ def hashed_features(stats: np.ndarray, words: np.ndarray, bounds: np.ndarray
     """For each row, sorted feature numbers below ``2 ** HASH_BITS`` and values: words,
     as a vector of length 1, and one feature of value 1 per statistic and twentieth."""
     mask = np.uint64((1 << HASH_BITS) - 1)
-    scale = np.array([4.0, 1.0, 2.0, 1 / 16, 1.0, 1.0, 1.0, 0.0])
+    scale = np.array(list(STATISTICS.values()))
     steps = np.clip(stats * scale * SHAPE_STEPS, 0, SHAPE_STEPS).astype(np.int64)
     steps[:, -1] = np.minimum(np.log2(stats[:, -1] + 1), SHAPE_STEPS).astype(np.int64)
     shape = mix64((np.arange(stats.shape[1]) * 64 + steps + 1).astype(np.uint64)) & mask
@@ -256,7 +286,7 @@ def train_scorer(docs: DataFrame, posterior: dict[int, float]) -> tuple[np.ndarr
         F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("x"))
     both = both.select("features", "x.label", "x.w")
-    model = LogisticRegression(weightCol="w", regParam=1e-4, maxIter=40, standardization=False).fit(both)
+    model = LogisticRegression(weightCol="w", regParam=1e-2, maxIter=30).fit(both)
     return model.coefficients.toArray(), float(model.intercept)
 
 
