@@ -47,12 +47,11 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int
     none = F.expr("cast(array() as array<bigint>)")
     hashed = F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"),
                                   lambda w: w != ""), lambda w: F.xxhash64(w))
-    df = df.withColumn(words, hashed)
-    n = F.size(words)
+    df = df.withColumn(words, hashed).withColumn(f"{t}_n", F.size(words))
+    n = F.col(f"{t}_n")
     # Word hashes followed by k - 1 zeros, for texts of fewer than k words.
     df = df.withColumn(words, F.when(n < k, F.concat(words, F.array_repeat(F.lit(0).cast("long"), k - 1)))
-                       .otherwise(F.col(words))).withColumn(f"{t}_n", n)
-    n = F.col(f"{t}_n")
+                       .otherwise(F.col(words)))
 
     def gram(i):
         value = _rotate(F.get(F.col(words), i), k - 1)

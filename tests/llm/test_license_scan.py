@@ -1,0 +1,71 @@
+import duckdb
+from helpers import AWKWARD, frame, words
+
+from pvtide.llm import license_scan as scan
+from pvtide.llm.license_texts import KNOWN_TEXTS
+
+MIT = next(t for i, t in KNOWN_TEXTS if i == "MIT")
+
+
+def brute(text):
+    known = dict(scan.known_digests())
+    import hashlib
+    import re
+
+    text = text or ""
+    canon = [scan.canonical(line) for line in text.split("\n")]
+    raw_blank = []  # blank lines part paragraphs; copyright lines are left out without parting
+    for line, c in zip(text.split("\n"), canon, strict=True):
+        if c or not re.search(r"[^\W_]", re.sub(scan.SIGNS, " copyright ", line.lower())):
+            raw_blank.append(c)
+    paragraphs = [p.replace("\n", " ") for p in re.split("\n\n+", "\n".join(raw_blank))]
+    units = {" ".join(c for c in canon if c), *(p.strip() for p in paragraphs), *canon} - {""}
+    find = lambda u: known.get(hashlib.md5(u.encode()).hexdigest())
+    found = {find(u) for u in units} - {None}
+    return ",".join(sorted(found)), find(" ".join(c for c in canon if c))
+
+
+def texts():
+    wrapped = " ".join(MIT.split("\n\n", 2)[2].split())
+    return [MIT, MIT.upper(), MIT.replace("MIT License\n", ""), MIT.replace("<year> <copyright holders>", "2019-2024 Jane Doe"),
+            MIT.replace("sublicense", "sub-licence"), MIT.replace('"AS IS"', "“as is”"), wrapped,
+            "Copyright (C) 2001 X\nAll rights reserved.\n" + wrapped, MIT + "\nextra words here",
+            f"{words(20, 1)}\nReleased under the MIT Licence.\n{words(9, 2)}", "Licensed under CC BY-NC 4.0.",
+            f"{words(5, 3)}\n\nThis work is licensed under the GNU General\nPublic License, version 3.\n\n{words(5, 4)}",
+            "SPDX-License-Identifier: BSD-3-Clause\nLicensed under the Apache License, Version 2.0.", "© 2020 A",
+            "copyright notice and this permission notice", "Licensed under the MIT License. And more words."]
+
+
+def test_matches_brute_force(spark):
+    rows = AWKWARD + [(100 + i, t) for i, t in enumerate(texts())]
+    got = scan.scan_licenses(frame(spark, rows, clash=True), scan.known_frame(spark)).collect()
+    assert sorted(((r.doc_id, r.licenses, r.whole_license) for r in got), key=str) == \
+        sorted(((i, *brute(t)) for i, t, *_ in rows), key=str)
+    found = {r.doc_id - 100: (r.licenses, r.whole_license) for r in got if r.doc_id and r.doc_id >= 100}
+    assert all(found[i] == ("MIT", "MIT") for i in range(8)) and found[8] == ("", None)
+    assert found[9] == ("MIT", None) and found[11] == ("GPL-3.0-only", None)
+    assert found[12] == ("Apache-2.0,BSD-3-Clause", None)
+
+
+def test_column_and_python_forms_agree(spark):
+    for text in texts():
+        df = frame(spark, [(1, text)])
+        assert df.select(scan.whole_of(scan.canonical_lines(df.text))).first()[0] == scan.canonical(text)
+
+
+def test_sql_twin_agrees(spark):
+    rows = [(i, t) for i, t in enumerate(texts())] + [(99, None), (98, "")]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    sql = sorted(con.execute(f"select doc_id, licenses, whole_license from ({scan.oracle_sql()})").fetchall())
+    got = scan.scan_licenses(frame(spark, rows), scan.known_frame(spark)).collect()
+    assert sorted((r.doc_id, r.licenses, r.whole_license) for r in got) == sql
+
+
+def test_unbounded_table_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BROADCAST_ROWS", 3)
+    rows = [(i, texts()[i % len(texts())]) for i in range(200)]
+    got = scan.scan_licenses(frame(spark, rows), scan.known_frame(spark))
+    assert got.filter("licenses like '%MIT%'").count() == sum("MIT" in brute(t)[0] for _, t in rows)
+    assert scan.scan_licenses(frame(spark, []), scan.known_frame(spark)).count() == 0

@@ -1,0 +1,76 @@
+import pytest
+from helpers import AWKWARD, frame, words
+
+from pvtide.llm import sentencepiece_codec as codec
+
+sentencepiece = pytest.importorskip("sentencepiece")
+
+TRICKY = ["", " ", "  two  blanks ", "\t tab\nline\r\n", "<s> </s> <unk> <0x41> ▁ ▁▁", "漢字かな 🙂👩‍👩‍👧 é é", "\u0000\x07",
+          "a" * 5000, "ab " * 3000, "ÀÉÎ ñandú groß", "1234567890 3.14", "x\u00a0y\u3000z", "!!! ### $$$", "مرحبا שלום"]
+
+
+@pytest.fixture(scope="module")
+def model():
+    return codec.load_model()
+
+
+@pytest.fixture(scope="module")
+def processor(model):
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
+def test_model_file_is_read_like_the_library_reads_it(model, processor):
+    parsed = codec.parse_model(model)
+    assert len(parsed.pieces) == processor.get_piece_size() and parsed.unk_id == processor.unk_id()
+    for i in range(0, len(parsed.pieces), 37):
+        piece, score, kind = parsed.pieces[i]
+        assert piece == processor.id_to_piece(i)
+        assert abs(score - processor.get_score(i)) < 1e-6
+        assert (kind == codec.CONTROL) == processor.is_control(i) and (kind == codec.BYTE) == processor.is_byte(i)
+
+
+def test_ids_equal_those_of_the_library(model, processor):
+    tokenizer = codec.build_tokenizer(codec.parse_model(model))
+    texts = TRICKY + [words(200, i) for i in range(20)]
+    for text in texts:
+        mine = tokenizer.encode(text, add_special_tokens=False).ids if text else []
+        assert mine == processor.encode(text), repr(text[:40])
+
+
+def test_encode_decode_round_trip_on_spark(spark, model, processor):
+    rows = AWKWARD + [(100 + i, t) for i, t in enumerate(TRICKY)]
+    df = frame(spark, rows, clash=True)
+    got = codec.encode(df, model, keep=["doc_id", "text", "ids"])
+    assert got.columns[:3] == ["doc_id", "text", "ids"]
+    tokens = codec.encode(df, model, keep=["doc_id", "text"])
+    for r in tokens.collect():
+        if r.text is None:
+            assert r.ids is None and r.n_tokens == 0 and r.round_trip is None
+        else:
+            assert r.ids == processor.encode(r.text) and r.n_tokens == len(r.ids) and r.round_trip
+    back = codec.decode(tokens, model, keep=["text"])
+    assert [r for r in back.selectExpr("text as a").collect()]
+    assert codec.encode(frame(spark, []), model, keep=["doc_id"]).count() == 0
+
+
+def test_parity_report_on_documents(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    report = codec.parity_report(docs, model)
+    assert report.count() == docs.count() and report.filter("not equal").count() == 0
+
+
+def test_unigram_model_is_rebuilt():
+    """A hand-made unigram model: the lattice takes the best sum of scores."""
+    model = codec.PieceModel(
+        [("<unk>", 0.0, codec.UNKNOWN), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.0, 1), ("ab", -1.0, 1), ("▁ab", -2.5, 1)],
+        model_type=codec.UNIGRAM, remove_extra_whitespaces=False)
+    tokenizer = codec.build_tokenizer(model)
+    assert tokenizer.encode("abab b", add_special_tokens=False).tokens == ["▁ab", "ab", "▁", "b"]
+    assert tokenizer.decode(tokenizer.encode("abab b", add_special_tokens=False).ids) == "abab b"
+
+
+def test_oversized_model_is_refused(tmp_path, monkeypatch):
+    monkeypatch.setattr(codec, "MAX_MODEL_BYTES", 10)
+    (tmp_path / "m").write_bytes(b"x" * 11)
+    with pytest.raises(ValueError):
+        codec.load_model(str(tmp_path / "m"))
