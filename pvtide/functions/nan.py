@@ -32,7 +32,3 @@ def nan_max(c) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     return F.max(F.when(~F.isnan(col), col))
 
-
-def nan_min(c) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.min(F.when(~F.isnan(col), col))

@@ -57,10 +57,6 @@ def right_closed_end(ts, every: str = "30 minutes") -> Column:
     return F.window(_c(ts) - _one_micro(), every).end
 
 
-def left_closed_start(ts, every: str = "30 minutes") -> Column:
-    return F.window(_c(ts), every).start
-
-
 def midnight_keep_minutes(ts) -> Column:
     """Hour set to 0, minutes and seconds kept (X18, ``replace(hour=0)``)."""
     return _c(ts) - F.make_dt_interval(hours=F.hour(_c(ts)))
@@ -97,9 +93,11 @@ def micros_between(start, end, ts_type: str | None = None) -> Column:
     return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
 
 
-def seconds_between(start, end, ts_type: str | None = None) -> Column:
-    """Whole seconds from start to end, truncated."""
-    return F.floor(micros_between(start, end, ts_type) / F.lit(1_000_000)).cast("bigint")
+def micros_since_epoch(ts, ts_type: str | None = None) -> Column:
+    """Microseconds since 1970-01-01 00:00 (of the zone-less clock for ``timestamp_ntz``)."""
+    if ts_type == "timestamp":
+        return F.unix_micros(_c(ts))
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
 
 
 def half_hours_between(start, end, minutes: int = 30, ts_type: str | None = None) -> Column:

@@ -14,6 +14,11 @@ from pvtide.functions.nan import not_nan
 from pvtide.functions.timecols import month_dir_value, month_key, ts_literal, year_key
 from pvtide.schema import GEN, MONTH, SS_ID, TS, YEAR
 
+# A range of the sorted layout holds about this much of the estimated input,
+# and a job has at most so many (the driver tracks every one of them).
+RANGE_BYTES = 128 << 20
+MAX_RANGES = 100_000
+
 
 def with_month_keys(df: DataFrame) -> DataFrame:
     """Recompute ``year``/``month`` from ``datetime_GMT`` (old keys dropped)."""
@@ -22,22 +27,30 @@ def with_month_keys(df: DataFrame) -> DataFrame:
 
 
 def sorted_month_frame(df: DataFrame, num_partitions: int | None = None,
-                       one_file: bool = False) -> DataFrame:
+                       one_file: bool = False, keep_keys: bool = False) -> DataFrame:
     """Readings arranged for the month layout (P2), not yet written.
 
+    Both keys have one source: the reading time, or with ``keep_keys`` the
+    frame's own ``year`` and ``month`` (P4 and P14 rewrite a layout as it
+    is). Keys already in the frame are otherwise recomputed, never mixed.
+
     Default: range-partitioned on ``(year, month, ss_id, datetime_GMT)``,
     so a month is split into several files with disjoint id (and, for a
     very busy system, time) ranges; a dense month or a hot system never
-    becomes one task. Without ``num_partitions`` the range count is left to
-    AQE, which starts from ``spark.sql.shuffle.partitions`` and merges
-    neighbouring ranges up to ``spark.sql.adaptive.advisoryPartitionSizeInBytes``
-    (on a cluster: set the former high, e.g. input bytes / 128 MB).
+    becomes one task. Without ``num_partitions`` the range count follows the
+    input's size (``estimated_partitions``); for small inputs AQE merges
+    neighbouring ranges up to ``spark.sql.adaptive.advisoryPartitionSizeInBytes``.
     ``one_file=True`` gives the reference's one file per month (one task
     per month). The partition keys lead the in-file sort, so the writer
     does not sort again.
     """
-    keyed = df if (YEAR in df.columns and MONTH in df.columns) else with_month_keys(df)
-    keyed = keyed.withColumn("_month_dir", month_dir_value(F.col(TS)))
+    if keep_keys:
+        if not {YEAR, MONTH} <= set(df.columns):
+            raise ValueError("keep_keys needs year and month columns")
+        keyed = df.withColumn("_month_dir", F.lpad(F.col(MONTH).cast("string"), 2, "0"))
+    else:
+        keyed = with_month_keys(df).withColumn("_month_dir", month_dir_value(F.col(TS)))
+    num_partitions = num_partitions or estimated_partitions(df)
     if one_file:
         arranged = keyed.repartition(YEAR, "_month_dir")
     elif num_partitions:
@@ -47,28 +60,53 @@ def sorted_month_frame(df: DataFrame, num_partitions: int | None = None,
     return arranged.sortWithinPartitions(YEAR, "_month_dir", SS_ID, TS)
 
 
+def estimated_partitions(df: DataFrame) -> int | None:
+    """Ranges of about RANGE_BYTES of the files that df reads, if that asks
+    for more than ``spark.sql.shuffle.partitions`` (else None: AQE merges
+    neighbouring ranges from that number down). Sources of unknown size
+    count as nothing."""
+    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    wanted = -(-sum(s for s in sizes if s < unknown) // RANGE_BYTES)
+    if wanted <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return None
+    return min(wanted, MAX_RANGES)
+
+
 def write_sorted_months(df: DataFrame, path: str, mode: str = "errorifexists",
                         num_partitions: int | None = None, one_file: bool = False,
-                        row_group_bytes: int | None = None) -> None:
+                        row_group_bytes: int | None = None, keep_keys: bool = False) -> None:
     """Write readings as sorted month partitions.
 
-    ``mode="overwrite"`` with the session's dynamic partition overwrite
-    replaces only the months present in df. Never write onto the folder
+    ``mode="overwrite"`` replaces only the months present in df. Never write onto the folder
     being read: write a new root and switch over. ``row_group_bytes`` sets
     the Parquet row-group size: smaller groups hold fewer systems each, so
     a window fetch on the sorted files skips more of them by their min/max.
+    ``keep_keys`` files every row under the keys it carries.
+
+    Zone-aware times need ``spark.sql.parquet.outputTimestampType`` other
+    than INT96 (no statistics); ``build_session`` sets it.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.parquet.outputTimestampType") == "INT96":
-        spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
-    arranged = sorted_month_frame(df, num_partitions, one_file)
+    require_time_statistics(df)
+    arranged = sorted_month_frame(df, num_partitions, one_file, keep_keys)
     cols = [c for c in df.columns if c not in (YEAR, MONTH)]
     writer = arranged.select(*cols, YEAR, F.col("_month_dir").alias(MONTH)).write.mode(mode)
+    if mode == "overwrite":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if row_group_bytes:
         writer = writer.option("parquet.block.size", int(row_group_bytes))
     writer.partitionBy(YEAR, MONTH).parquet(path)
 
 
+def require_time_statistics(df: DataFrame) -> None:
+    """Raise if the session would write df's times as INT96, without min/max."""
+    zoned = any(kind == "timestamp" for _, kind in df.dtypes)
+    if zoned and df.sparkSession.conf.get("spark.sql.parquet.outputTimestampType") == "INT96":
+        raise ValueError("set spark.sql.parquet.outputTimestampType to TIMESTAMP_MICROS: INT96 times "
+                         "carry no statistics, so window fetches could not skip row groups")
+
+
 def repartition_exact_months(df: DataFrame, start=None, end=None, value: str = GEN) -> DataFrame:
     """Put every reading into the partition of its own month.
 

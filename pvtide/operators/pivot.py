@@ -1,49 +1,68 @@
 """Tall readings to the system-wide matrix (P6, A10) and back.
 
-Two forms:
-
-* ``pivot_systems``: one float column per listed id. The id list comes
-  from metadata (as in the reference) and must be bounded: analysis and
-  codegen cost grow with the column count, so above ``max_columns`` the
-  map form is the one to use.
-* ``pivot_systems_map``: one ``map<id, value>`` per timestamp, any number
-  of ids.
-
-Both raise on a duplicate ``(datetime_GMT, ss_id)``, as a pivot without an
-aggregate does in the reference. Both group by time only: the input is
-hash-partitioned on time once and every later step reuses that
-partitioning (one shuffle).
+Three forms:
+
+* ``pivot_blocks``: the matrix cut into blocks of a fixed number of ids. A
+  row is one time and one block; its columns are the ids' places inside the
+  block, so the schema is constant whatever the number of systems, no id
+  list is needed, and a busy timestamp is spread over its blocks.
+* ``pivot_systems_map``: one ``map<id, value>`` per timestamp.
+* ``pivot_systems``: one float column per id of an explicit list.
+
+All raise on a duplicate ``(datetime_GMT, ss_id)``, as a pivot without an
+aggregate does in the reference. Duplicates are counted with map-side
+combining before any value is gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pvtide.schema import GEN, SS_ID, TS
-
-# Bound on the wide form's id list: above the reference's 30,757 systems.
-# Measured locally: 8,000 columns about 24 s, 31,000 columns about 85 s
-# (20 timestamps; nearly all of it per-column planning and code generation).
-DEFAULT_MAX_COLUMNS = 32_768
+from pvtide.operators.layout import estimated_partitions, require_time_statistics
+from pvtide.schema import BLOCK, BLOCK_WIDTH, GEN, SS_ID, TS, block_column
 
 
 def _checked_values(df: DataFrame, value: str) -> DataFrame:
     """One value per (time, id); a duplicate key fails the job."""
-    return (df.repartition(TS)
-            .groupBy(TS, SS_ID)
+    return (df.groupBy(TS, SS_ID)
             .agg(F.when(F.count(F.lit(1)) > 1,
                         F.raise_error(F.lit("duplicate (datetime_GMT, ss_id) in pivot input")))
                  .otherwise(F.first(F.col(value))).cast("float").alias(value)))
 
 
-def pivot_systems(df: DataFrame, ids, value: str = GEN,
-                  max_columns: int = DEFAULT_MAX_COLUMNS) -> DataFrame:
-    """``datetime_GMT`` + one float column per id, ids in numeric order."""
-    ids = sorted(int(i) for i in ids)
-    if len(ids) > max_columns:
-        raise ValueError(f"{len(ids)} id columns exceed {max_columns}; use pivot_systems_map")
+def id_block(ss_id: Column, width: int = BLOCK_WIDTH) -> Column:
+    """Block of an id: ids ``block * width`` to ``block * width + width - 1``."""
+    return F.floor(ss_id / F.lit(width)).cast("bigint")
+
+
+def pivot_blocks(df: DataFrame, value: str = GEN, width: int = BLOCK_WIDTH) -> DataFrame:
+    """``datetime_GMT, id_block`` + one float column per place in the block.
+
+    Column ``c007`` of block 3 holds id ``3 * width + 7``. One constant
+    schema for any number of systems; a group holds at most ``width`` values.
+    """
     checked = _checked_values(df.select(TS, SS_ID, value), value)
+    ids = F.col(SS_ID)
+    placed = checked.select(TS, id_block(ids, width).alias(BLOCK), F.pmod(ids, F.lit(width)).alias("_place"), value)
+    places = [F.first(F.when(F.col("_place") == i, F.col(value)), ignorenulls=True).alias(block_column(i, width))
+              for i in range(width)]
+    return placed.groupBy(TS, BLOCK).agg(*places)
+
+
+def blocks_to_tall(wide: DataFrame, value: str = GEN, width: int = BLOCK_WIDTH) -> DataFrame:
+    """Block form back to ``(datetime_GMT, ss_id, value)``; empty cells dropped."""
+    cells = F.inline(F.array(*[F.struct((F.col(BLOCK) * width + i).cast("int").alias(SS_ID),
+                                        F.col(block_column(i, width)).alias(value)) for i in range(width)]))
+    return wide.select(TS, cells).filter(F.col(value).isNotNull())
+
+
+def pivot_systems(df: DataFrame, ids, value: str = GEN) -> DataFrame:
+    """``datetime_GMT`` + one float column per id of the caller's list, ids in
+    numeric order. Planning and code generation cost grow with the list
+    (about 3 ms an id); for all systems use ``pivot_blocks``."""
+    ids = sorted({int(i) for i in ids})
+    checked = _checked_values(df.select(TS, SS_ID, value).filter(F.col(SS_ID).isin(ids)), value)
     # Columns come out in the order of ``ids``; no reordering projection
     # (building one Column per id costs more than the pivot at 30k ids).
     return checked.groupBy(TS).pivot(SS_ID, ids).agg(F.first(value))
@@ -52,13 +71,12 @@ def pivot_systems(df: DataFrame, ids, value: str = GEN,
 def pivot_systems_map(df: DataFrame, value: str = GEN, out: str = "values") -> DataFrame:
     """``datetime_GMT`` + ``map<ss_id, float>`` of every system reporting then.
 
-    ``map_from_entries`` rejects duplicate keys under the default
-    ``spark.sql.mapKeyDedupPolicy=EXCEPTION``. A map holds one entry per
-    system, so its size is bounded by the number of systems.
+    Duplicates fail before the maps are gathered, so a map holds one entry
+    per system and its size is bounded by the number of systems.
     """
-    entries = F.array_sort(F.collect_list(F.struct(F.col(SS_ID), F.col(value).cast("float"))))
-    return (df.select(TS, SS_ID, value).repartition(TS)
-            .groupBy(TS).agg(F.map_from_entries(entries).alias(out)))
+    checked = _checked_values(df.select(TS, SS_ID, value), value)
+    entries = F.array_sort(F.collect_list(F.struct(F.col(SS_ID), F.col(value))))
+    return checked.groupBy(TS).agg(F.map_from_entries(entries).alias(out))
 
 
 def map_to_tall(df: DataFrame, column: str = "values", value: str = GEN) -> DataFrame:
@@ -75,23 +93,24 @@ def wide_to_tall(df: DataFrame, value: str = GEN) -> DataFrame:
 
 
 def write_wide_months(wide: DataFrame, path: str, mode: str = "errorifexists",
-                      one_file: bool = True, num_partitions: int | None = None) -> None:
-    """Write the wide matrix as time-sorted month files (K4):
-    ``path/year=YYYY/month=MM``.
-
-    ``one_file=True`` (the reference's layout): one file per month, one
-    task per month. A month holds at most one row per timestamp, so the task
-    is bounded by timestamps x systems, but at 5-minute resolution and tens
-    of thousands of systems that is a gigabyte; ``one_file=False``
-    range-partitions on ``(year, month, datetime_GMT)`` so a month is split
-    into several files with disjoint, ordered time ranges.
+                      one_file: bool = False, num_partitions: int | None = None) -> None:
+    """Write a wide matrix (id columns or blocks) as time-sorted month files
+    (K4): ``path/year=YYYY/month=MM``.
+
+    Default: range-partitioned on ``(year, month, datetime_GMT)`` and the
+    block, so a month is split into several files with disjoint, ordered
+    ranges. ``one_file=True`` is the reference's layout: one file, and so
+    one task, per month.
     """
+    require_time_statistics(wide)
     keyed = wide.withColumns({"year": F.year(TS).cast("smallint"), "month": F.date_format(TS, "MM")})
+    order = ["year", "month", TS] + ([BLOCK] if BLOCK in wide.columns else [])
+    num_partitions = num_partitions or estimated_partitions(wide)
     if one_file:
         arranged = keyed.repartition("year", "month")
     elif num_partitions:
-        arranged = keyed.repartitionByRange(num_partitions, "year", "month", TS)
+        arranged = keyed.repartitionByRange(num_partitions, *order)
     else:
-        arranged = keyed.repartitionByRange("year", "month", TS)
-    (arranged.sortWithinPartitions("year", "month", TS)
+        arranged = keyed.repartitionByRange(*order)
+    (arranged.sortWithinPartitions(*order)
      .write.mode(mode).partitionBy("year", "month").parquet(path))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvtide.functions.nan import not_nan
@@ -36,8 +36,19 @@ def _ts_type(df: DataFrame) -> str:
     return dict(df.dtypes)[TS]
 
 
+def _only(mine: Column, value: Column) -> Column:
+    """The one value of a series at a time; a second one fails the job."""
+    return F.when(F.count(F.when(mine, 1)) > 1,
+                  F.raise_error(F.lit("duplicate (datetime_GMT, ss_id) in a compared series")).cast("double")
+                  ).otherwise(F.max(F.when(mine, value)))
+
+
+# The reference compares the hours from 5 to 21.
+COMPARED_HOURS = (5, 21)
+
+
 def compare_resolutions(fine: DataFrame, coarse: DataFrame, day: dt.date | None = None,
-                        hours: tuple[int, int] = (5, 21), fine_minutes: int = 5,
+                        hours: tuple[int, int] = COMPARED_HOURS, fine_minutes: int = 5,
                         coarse_minutes: int = 30, value: str = GEN) -> DataFrame:
     """Power of one series at three resolutions, aligned on time, long form.
 
@@ -51,7 +62,9 @@ def compare_resolutions(fine: DataFrame, coarse: DataFrame, day: dt.date | None
     series, null where that series lacks it. It is computed as one grouped
     aggregation over the union of the three inputs (one shuffle) instead of
     two full outer joins (three); the fine series is scanned once for both
-    of its forms. NaN rows are dropped, nulls kept.
+    of its forms. NaN rows are dropped, nulls kept. A second reading of one
+    system and time in a series fails the job: remove duplicates first
+    (``reshape.dedup``).
     """
     f_fine = 60.0 / fine_minutes
     f_coarse = 60.0 / coarse_minutes
@@ -62,8 +75,9 @@ def compare_resolutions(fine: DataFrame, coarse: DataFrame, day: dt.date | None
     coarse_sel = coarse.select(SS_ID, TS, value)
     if day is not None:
         # Superset on raw time, so the scans prune; the exact rule is below.
-        lo = lit_ts(dt.datetime.combine(day, dt.time()) - dt.timedelta(hours=1), ntz)
-        hi = lit_ts(dt.datetime.combine(day, dt.time()) + dt.timedelta(days=1, hours=1), ntz)
+        margin = dt.timedelta(minutes=coarse_minutes)
+        lo = lit_ts(dt.datetime.combine(day, dt.time()) - margin, ntz)
+        hi = lit_ts(dt.datetime.combine(day, dt.time()) + dt.timedelta(days=1) + margin, ntz)
         fine_sel = fine_sel.filter(F.col(TS).between(lo, hi))
         coarse_sel = coarse_sel.filter(F.col(TS).between(lo, hi))
 
@@ -77,9 +91,9 @@ def compare_resolutions(fine: DataFrame, coarse: DataFrame, day: dt.date | None
                                              F.lit(2).alias("_src"), value)))
     v = F.col(value).cast("double")
     aligned = (tagged.groupBy(SS_ID, F.col("_label").alias(TS))
-               .agg(F.max(F.when(F.col("_src") == 0, v * F.lit(f_fine))).alias(SOURCE_FINE),
+               .agg(_only(F.col("_src") == 0, v * F.lit(f_fine)).alias(SOURCE_FINE),
                     F.avg(F.when(F.col("_src") == 1, v * F.lit(f_fine))).alias(SOURCE_RESAMPLED),
-                    F.max(F.when(F.col("_src") == 2, v * F.lit(f_coarse))).alias(SOURCE_COARSE)))
+                    _only(F.col("_src") == 2, v * F.lit(f_coarse)).alias(SOURCE_COARSE)))
     cond = F.hour(F.col(TS)).between(hours[0], hours[1])
     if day is not None:
         cond = cond & (F.to_date(F.col(TS)) == F.lit(day))

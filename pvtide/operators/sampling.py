@@ -12,6 +12,7 @@ from pvtide.functions.timecols import (
     first_of_month,
     half_hours_between,
     micros_between,
+    micros_since_epoch,
     midnight_keep_minutes,
     partition_month_start,
     ts_literal,
@@ -19,10 +20,10 @@ from pvtide.functions.timecols import (
 from pvtide.operators.sizing import DEFAULT_BROADCAST_ROWS, reliable_checkpoint
 from pvtide.schema import END, MONTH, SS_ID, START, TS, YEAR
 
+_BUCKET = "_pvt_bucket"
 W_START = "window_start"
 W_END = "window_end"
-# Fixed value: multiplier of the reproducible slot choice.
-SLOT_MULTIPLIER = 7919
+DRAW = "draw"
 
 
 def sample_systems(ids: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
@@ -33,16 +34,21 @@ def sample_systems(ids: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
     every system.
     """
     ids = ids.select(SS_ID).distinct()
-    if n is None:
-        return ids
-    return sample_rows(ids, n, seed)
+    return ids if n is None else sample_rows(ids, n, seed)
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = SS_ID) -> DataFrame:
     """``n`` whole rows of a frame with one row per ``key`` (for example one
     window per system), in the same seeded order as ``sample_systems``: the
     same systems are chosen, without a distinct or a join."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(_draw(F.col(key), 0, seed), F.col(key)).limit(n)
+
+
+def _draw(key: Column, draw, seed: int) -> Column:
+    """A draw as 32 hexadecimal digits: MD5 of ``key:draw:seed``, so that
+    other seeds and draws are unrelated and SQL can repeat it."""
+    draw = draw if isinstance(draw, Column) else F.lit(draw)
+    return F.md5(F.concat_ws(":", key.cast("string"), draw.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
 def _bound_columns(bounds, ts_type: str) -> tuple:
@@ -63,15 +69,19 @@ def _bound_columns(bounds, ts_type: str) -> tuple:
 
 
 def sample_windows(metadata: DataFrame, bounds, days: int = 7, seed: int = 42,
-                   minutes: int = 30, full_only: bool = False) -> DataFrame:
-    """One window of ``days`` per system, starting on a ``minutes`` slot.
+                   minutes: int = 30, full_only: bool = False, draws: int = 1,
+                   n: int | None = None) -> DataFrame:
+    """``draws`` random windows of ``days`` per system, or ``n`` of them in
+    total, each starting on a ``minutes`` slot (P13).
 
     As the reference: systems must overlap the dataset bounds, their active
     span is clipped to them and must be longer than ``days``; the start is
     slot ``k`` of that span, ``k`` in ``[0, n)`` with ``n`` whole slots.
-    ``k = (ss_id * 7919 + seed) mod n`` replaces ``random.randint`` so that
+    ``k`` is 60 bits of the MD5 of system, draw and seed, modulo ``n``, so
     a run can be repeated (and checked by SQL). A window may run past the
-    span's end, as in the reference; ``full_only`` keeps it inside.
+    span's end, as in the reference; ``full_only`` keeps it inside. Column
+    ``draw`` counts a system's windows from 0; ``n`` keeps the windows whose
+    MD5 comes first (a top-n, as ``sample_rows``).
 
     ``bounds``: a one-row ``(min, max)`` frame (evaluated once; its one row
     comes to the driver as exact literals) or a ``(min, max)`` pair of
@@ -90,18 +100,22 @@ def sample_windows(metadata: DataFrame, bounds, days: int = 7, seed: int = 42,
     n_slots = half_hours_between("clipped_start", "clipped_end", minutes, ts_type)
     if full_only:
         n_slots = n_slots - F.lit(days * 24 * 60 // minutes) + F.lit(1)
-    k = F.pmod(F.col(SS_ID).cast("bigint") * F.lit(SLOT_MULTIPLIER) + F.lit(seed), n_slots)
+    drawn = (clipped.withColumn("n_slots", n_slots).filter("n_slots > 0")
+             .withColumn(DRAW, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))))
+    digest = _draw(F.col(SS_ID), F.col(DRAW), seed)
+    if n is not None:
+        drawn = drawn.orderBy(digest, SS_ID, DRAW).limit(n)
+    k = F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.col("n_slots"))
     start = add_minutes(F.col("clipped_start"), k * F.lit(minutes), ts_type)
-    return (clipped.filter(n_slots > 0)
-            .select(SS_ID, start.alias(W_START))
+    return (drawn.select(SS_ID, DRAW, start.alias(W_START))
             .withColumn(W_END, add_days(F.col(W_START), days, ts_type)))
 
 
+# The most windows a caller may turn into literal predicates.
+MAX_LITERAL_WINDOWS = 100
 # Spark turns an IN filter of at most this many values into exact Parquet
 # predicates (spark.sql.parquet.pushdown.inFilterThreshold); above it, a range.
 SCAN_ID_LIST_MAX = 10
-# Up to this many windows are fetched with literal predicates: one scan, no join.
-FEW_WINDOWS = 10
 
 
 def _exact(c, ts_type: str) -> Column:
@@ -120,17 +134,17 @@ def _exact_literal(v, ts_type: str) -> Column:
 
 def _window_stats(win: DataFrame, ts_type: str):
     """One job over the (materialised) windows: their count, overall time
-    range, id range and distinct id count."""
+    range, id range, distinct id count and longest duration."""
     return win.agg(F.count(F.lit(1)).alias("n"), F.min(_exact(W_START, ts_type)),
                    F.max(_exact(W_END, ts_type)), F.min(SS_ID), F.max(SS_ID),
-                   F.countDistinct(SS_ID)).first()
+                   F.countDistinct(SS_ID), F.max(micros_between(W_START, W_END, ts_type))).first()
 
 
 def _scan_filter(win: DataFrame, stats, ts_type: str) -> Column:
     """Literal predicates for the readings scan from a bounded window set:
     their ids and overall time range. On files sorted by (ss_id, datetime_GMT)
     Parquet statistics then skip the row groups of every other system."""
-    _, lo, hi, id_lo, id_hi, n_ids = stats
+    _, lo, hi, id_lo, id_hi, n_ids, _ = stats
     if lo is None:
         return F.lit(False)
     cond = F.col(TS).between(_exact_literal(lo, ts_type), _exact_literal(hi, ts_type))
@@ -185,17 +199,20 @@ def _fetch_few(readings: DataFrame, rows, ts_type: str, partitioned: bool) -> Da
 
 def fetch_windows(readings: DataFrame, windows: DataFrame,
                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, materialize: bool = True,
-                  scan_filter: bool = True, few_windows: int = FEW_WINDOWS) -> DataFrame:
+                  scan_filter: bool = True, literal_windows: bool = False) -> DataFrame:
     """All readings of each ``(ss_id, window_start, window_end)``, closed range.
 
-    One job instead of one query per window. Up to ``few_windows`` windows
-    (the reference's run: 8) become literal scan predicates, so the fetch
-    is a single pruned scan. More windows are a join: the windows side is
+    One job instead of one query per window: a join, whose windows side is
     broadcast after a row-count check; beyond the bound the join shuffles
-    (AQE splits skewed systems). When the readings carry the Hive month
+    (AQE splits skewed systems). Time is part of the join key, so a reading
+    meets only windows near it. When the readings carry the Hive month
     keys, each window is exploded to the months it spans and the keys join
     too, so dynamic partition pruning reads only those months (the windows
-    side is filtered, which the pruning rule needs). Windows derived from
+    side is filtered, which the pruning rule needs). Otherwise the key is a
+    time bucket as long as the longest window; a window lies in two at most.
+    A caller who has a handful of windows (the reference's run: 8) may ask
+    for ``literal_windows``: they become predicates of one pruned scan, at
+    most MAX_LITERAL_WINDOWS of them. Windows derived from
     the readings themselves are materialised once (``materialize``) so the
     size check does not rescan the readings; windows from a stored table
     need not be. When the windows fit the broadcast bound, ``scan_filter``
@@ -212,11 +229,12 @@ def fetch_windows(readings: DataFrame, windows: DataFrame,
         base = reliable_checkpoint(base)
     # A window with a null id or bound, or start after end, holds no reading.
     base = base.filter(F.col(SS_ID).isNotNull() & (F.col(W_START) <= F.col(W_END)))
-    if few_windows > 0 and scan_filter:
-        first = base.select(SS_ID, _exact(W_START, ts_type), _exact(W_END, ts_type)).limit(few_windows + 1)
+    if literal_windows:
+        first = base.select(SS_ID, _exact(W_START, ts_type), _exact(W_END, ts_type)).limit(MAX_LITERAL_WINDOWS + 1)
         rows = [tuple(r) for r in first.collect()]
-        if len(rows) <= few_windows:
-            return _fetch_few(readings, rows, ts_type, partitioned)
+        if len(rows) > MAX_LITERAL_WINDOWS:
+            raise ValueError(f"more than {MAX_LITERAL_WINDOWS} windows: fetch them by the join")
+        return _fetch_few(readings, rows, ts_type, partitioned)
 
     win = base
     keys = [SS_ID]
@@ -233,10 +251,19 @@ def fetch_windows(readings: DataFrame, windows: DataFrame,
     small = stats[0] <= max_broadcast_rows
     if small:
         win = F.broadcast(win)
+    out = [c for c in readings.columns if c not in (YEAR, MONTH)] + [W_START, W_END]
     if small and scan_filter:
         readings = readings.filter(_scan_filter(win, stats, ts_type))
+    if not partitioned:
+        # A bucket is as long as the longest window (and one microsecond, for
+        # windows of no length), so a window spans two buckets at most.
+        length = (stats[-1] or 0) + 1
+        bucket = lambda c: F.floor(micros_since_epoch(c, ts_type) / F.lit(length)).cast("bigint")
+        win = win.withColumn(_BUCKET, F.explode(F.sequence(bucket(W_START), bucket(W_END))))
+        win = F.broadcast(win) if small else win
+        readings = readings.withColumn(_BUCKET, bucket(TS))
+        keys = [SS_ID, _BUCKET]
     joined = readings.join(win, keys, "inner").filter(F.col(TS).between(F.col(W_START), F.col(W_END)))
-    out = [c for c in readings.columns if c not in (YEAR, MONTH)] + [W_START, W_END]
     return joined.select(*out)
 
 

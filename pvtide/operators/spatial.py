@@ -13,9 +13,11 @@ CAPACITY_EDGES = [0, 1, 2, 3, 4, 10, 50, 100, 150, 200, 250]
 
 def hex_density(metadata: DataFrame, edge_km: float = DEFAULT_EDGE_KM,
                 lat: str = "latitude_rounded", lon: str = "longitude_rounded") -> DataFrame:
-    """Systems per hexagonal cell (P11, A3): Column math, then one grouped count."""
+    """Systems per hexagonal cell (P11, A3): Column math, then one grouped
+    count. Systems without coordinates (null or NaN) are in no cell."""
     q, r = hex_cell(F.col(lat), F.col(lon), edge_km)
-    return (metadata.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    known = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (lat, lon)]
+    return (metadata.filter(known[0] & known[1])
             .select(q.alias("cell_q"), r.alias("cell_r"))
             .groupBy("cell_q", "cell_r").agg(F.count(F.lit(1)).alias("n_systems")))
 

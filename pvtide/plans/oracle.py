@@ -10,6 +10,10 @@ _VIEWS = {
     "readings": """select user_id as ss_id, ts as datetime_GMT, value as generation_Wh from events""",
     "readings_long": """select l_partkey as ss_id, l_shipdate as datetime_GMT,
         l_extendedprice as generation_Wh, l_orderkey, l_linenumber from lineitem""",
+    "readings_gaps": """select l_partkey as ss_id, l_shipdate as datetime_GMT,
+        case when (l_orderkey * 7 + l_linenumber) % 11 = 0 then null
+             when (l_orderkey * 7 + l_linenumber) % 13 = 0 then cast('nan' as double)
+             else l_extendedprice end as generation_Wh from lineitem""",
     "capacity": """select p_partkey as ss_id, cast(p_size as double) as kWp from part""",
     "site": """select c_custkey,
         50e0 + ((c_custkey * 37) % 1000) / 100e0 as latitude_rounded,
@@ -45,20 +49,21 @@ _VIEWS = {
     "resampled": """select ss_id,
         time_bucket(interval 30 minutes, datetime_GMT - interval 1 microsecond) + interval 30 minutes as datetime_GMT,
         avg(generation_Wh * 12e0) as power_W from readings group by all""",
-    "sample_windows": """select ss_id, ws as window_start, ws + interval 7 days as window_end from (
-          select ss_id, cs + (((ss_id * 7919 + 42) % n) * 30) * interval 1 minute as ws from (
+    "sample_windows": """select ss_id, draw, ws as window_start, ws + interval 7 days as window_end from (
+          select ss_id, draw, cs + ((cast('0x' || substr(md5(concat_ws(':', ss_id, draw, 42)), 1, 15) as bigint) % n)
+                                    * 30) * interval 1 minute as ws from (
             select ss_id, cs, cast(floor((epoch_us(ce) - epoch_us(cs)) / 1800000000e0) as bigint) as n from (
               select ab.ss_id, greatest(ab.s, b.lo) as cs, least(ab.e, b.hi) as ce
               from (select ss_id, min(datetime_GMT) as s, max(datetime_GMT) as e from readings group by ss_id) ab,
                    (select min(datetime_GMT) as lo, max(datetime_GMT) as hi from readings) b
               where ab.s < b.hi and ab.e > b.lo)
-            where ce - cs > interval 7 days)
+            where ce - cs > interval 7 days), (values (0), (1)) d(draw)
           where n > 0)""",
 }
 
 # Which views each query needs, in dependency order.
 _DEPS = {
-    "readings": [], "readings_long": [], "capacity": [], "site": [],
+    "readings": [], "readings_long": [], "readings_gaps": [], "capacity": [], "site": [],
     "metadata_raw": ["site"], "metadata_old": ["site"], "readings_new": [],
     "halfhour": ["readings"], "halfhour_nn": ["halfhour"], "resampled": ["readings"],
     "sample_windows": ["readings"],
@@ -79,6 +84,7 @@ def _with(*names: str) -> str:
     return "with " + ",\n".join(f"{n} as ({_VIEWS[n]})" for n in order) + "\n"
 
 
+# The reference's capacity bin edges.
 _HIST_EDGES = [0, 1, 2, 3, 4, 10, 50, 100, 150, 200, 250]
 
 
@@ -90,6 +96,32 @@ def _hist_values() -> str:
     return ", ".join(rows)
 
 
+_COMPARED = _with("readings", "resampled", "halfhour_nn") + """,
+        a as (select ss_id, datetime_GMT, generation_Wh * 12e0 as v from readings),
+        c as (select ss_id, datetime_GMT, cast(generation_Wh as double) * 2e0 as v from halfhour_nn),
+        j as (select ss_id, datetime_GMT, a.v as fine, resampled.power_W as res, c.v as coarse
+              from a full outer join resampled using (ss_id, datetime_GMT)
+                     full outer join c using (ss_id, datetime_GMT)),
+        l as (select ss_id, datetime_GMT, '5 minutely' as source, fine as power_W from j
+              union all select ss_id, datetime_GMT, '5 minutely resampled to 30 minutes', res from j
+              union all select ss_id, datetime_GMT, '30 minutely', coarse from j)
+        select ss_id, datetime_GMT, source, round(power_W, 6) as power_W from l
+        where hour(datetime_GMT) between 5 and 21 and (power_W is null or not isnan(power_W))"""
+
+_EXACT_MONTHS = _with("readings_gaps") + """
+        select ss_id, datetime_GMT, generation_Wh,
+          cast(year(datetime_GMT) as smallint) as year, cast(month(datetime_GMT) as tinyint) as month
+        from readings_gaps where generation_Wh is null or not isnan(generation_Wh)"""
+
+# The matrix in blocks of 100 ids: one constant column per place.
+_BLOCKS = ",\n".join(f"max(case when ss_id % 100 = {i} then generation_Wh end) as c{i:02d}" for i in range(100))
+_WIDE = _with("halfhour_nn") + f"""
+        select datetime_GMT, cast(floor(ss_id / 100) as bigint) as id_block, {_BLOCKS} {{extra}}
+        from halfhour_nn group by datetime_GMT, floor(ss_id / 100)"""
+
+_NARROW = """select cast(l_partkey as integer) as ss_id, l_shipdate as datetime_GMT,
+          cast(l_extendedprice as float) as generation_Wh from lineitem"""
+
 ORACLE_SQL: dict[str, str] = {
     "activity_bounds": _with("readings_long") + """
         select ss_id, min(datetime_GMT) as start_datetime_GMT, max(datetime_GMT) as end_datetime_GMT
@@ -133,17 +165,7 @@ ORACLE_SQL: dict[str, str] = {
     "resample_right_closed": _with("resampled") + """
         select ss_id, datetime_GMT, round(power_W, 6) as power_W from resampled""",
 
-    "compare_resolutions": _with("readings", "resampled", "halfhour_nn") + """,
-        a as (select ss_id, datetime_GMT, generation_Wh * 12e0 as v from readings),
-        c as (select ss_id, datetime_GMT, cast(generation_Wh as double) * 2e0 as v from halfhour_nn),
-        j as (select ss_id, datetime_GMT, a.v as fine, resampled.power_W as res, c.v as coarse
-              from a full outer join resampled using (ss_id, datetime_GMT)
-                     full outer join c using (ss_id, datetime_GMT)),
-        l as (select ss_id, datetime_GMT, '5 minutely' as source, fine as power_W from j
-              union all select ss_id, datetime_GMT, '5 minutely resampled to 30 minutes', res from j
-              union all select ss_id, datetime_GMT, '30 minutely', coarse from j)
-        select ss_id, datetime_GMT, source, round(power_W, 6) as power_W from l
-        where hour(datetime_GMT) between 5 and 21 and (power_W is null or not isnan(power_W))""",
+    "compare_resolutions": _COMPARED,
 
     "capacity_outliers_lt": _with("readings_long", "capacity") + """
         select cast(row_number() over (order by r.ss_id, r.datetime_GMT, r.generation_Wh) - 1 as bigint) as index,
@@ -157,15 +179,16 @@ ORACLE_SQL: dict[str, str] = {
         from readings_long r left join capacity c on r.ss_id = c.ss_id
         where r.generation_Wh > c.kWp * 750""",
 
-    "remove_implausible": _with("readings_long") + """
-        select ss_id, datetime_GMT, generation_Wh,
-          cast(year(datetime_GMT) as smallint) as year, cast(month(datetime_GMT) as tinyint) as month
-        from readings_long where generation_Wh < 100000""",
+    "compare_resolutions_day": _COMPARED + """
+          and cast(datetime_GMT as date) = date '2024-01-15'""",
 
-    "exact_months": _with("readings_long") + """
+    "remove_implausible": _with("readings_gaps") + """
         select ss_id, datetime_GMT, generation_Wh,
           cast(year(datetime_GMT) as smallint) as year, cast(month(datetime_GMT) as tinyint) as month
-        from readings_long where generation_Wh is null or not isnan(generation_Wh)""",
+        from readings_gaps where generation_Wh < 100000 and not isnan(generation_Wh)""",
+
+    "exact_months": _EXACT_MONTHS,
+    "exact_months_repair": _EXACT_MONTHS,
 
     "capacity_histogram": _with("metadata_raw") + f""",
         edges(bin_index, lower_edge, upper_edge, bin_edges) as (values {_hist_values()})
@@ -189,7 +212,11 @@ ORACLE_SQL: dict[str, str] = {
         from df group by all""",
 
     "sample_windows": _with("sample_windows") + """
-        select ss_id, window_start, window_end from sample_windows""",
+        select ss_id, draw, window_start, window_end from sample_windows""",
+
+    "sample_systems": _with("readings") + """
+        select ss_id from (select distinct ss_id from readings)
+        order by md5(concat_ws(':', ss_id, 0, 42)), ss_id limit 50""",
 
     "sample_fetch": _with("readings", "sample_windows") + """
         select r.ss_id, r.datetime_GMT, r.generation_Wh, w.window_start, w.window_end
@@ -204,9 +231,7 @@ ORACLE_SQL: dict[str, str] = {
         from readings r join w on r.ss_id = w.ss_id
           and r.datetime_GMT between w.window_start and w.window_start + interval 4 days""",
 
-    "pivot_systems": _with("halfhour_nn") + """
-        pivot (select datetime_GMT, ss_id, generation_Wh from halfhour_nn)
-        on ss_id using first(generation_Wh) group by datetime_GMT""",
+    "pivot_systems": _WIDE.format(extra=""),
 
     "pivot_map": _with("halfhour_nn") + """
         select datetime_GMT, count(*) over (partition by datetime_GMT) as n_systems, ss_id, generation_Wh
@@ -256,10 +281,10 @@ ORACLE_SQL: dict[str, str] = {
         order by datetime_GMT asc nulls first, ss_id asc nulls first, generation_Wh asc nulls first
         limit 25 offset 1000""",
 
-    "exact_months_bounded": _with("readings_long") + """
+    "exact_months_bounded": _with("readings_gaps") + """
         select ss_id, datetime_GMT, generation_Wh,
           cast(year(datetime_GMT) as smallint) as year, cast(month(datetime_GMT) as tinyint) as month
-        from readings_long
+        from readings_gaps
         where (generation_Wh is null or not isnan(generation_Wh))
           and datetime_GMT >= timestamp '1995-01-01 00:00:00' and datetime_GMT < timestamp '1997-01-01 00:00:00'""",
 
@@ -276,10 +301,41 @@ ORACLE_SQL: dict[str, str] = {
         from readings_long r join w on r.ss_id = w.ss_id
           and r.datetime_GMT between w.window_start and w.window_start + interval 200 days""",
 
-    "wide_months_roundtrip": _with("halfhour_nn") + """
-        select *, cast(null as float) as "-1" from (
-          pivot (select datetime_GMT, ss_id, generation_Wh from halfhour_nn)
-          on ss_id using first(generation_Wh) group by datetime_GMT)""",
+    "wide_months_roundtrip": _WIDE.format(extra=", cast(null as float) as absent"),
+
+    "layout_reads": f"""with r as ({_NARROW})
+        select 'month' as how, ss_id, datetime_GMT, generation_Wh from r
+        where year(datetime_GMT) = 1996 and month(datetime_GMT) = 2
+        union all
+        select 'folder', ss_id, datetime_GMT, generation_Wh from r
+        where year(datetime_GMT) = 1996 and month(datetime_GMT) = 2
+        union all
+        select 'range', ss_id, datetime_GMT, generation_Wh from r
+        where datetime_GMT between timestamp '1997-11-17 00:00:00' and timestamp '1998-02-03 00:00:00'
+        union all
+        select distinct 'ids', ss_id, cast(null as timestamp), cast(null as float) from r
+        where year(datetime_GMT) = 1996""",
+
+    "layout_overwrite_months": f"""with r as ({_NARROW}),
+        k as (select *, cast(year(datetime_GMT) as smallint) as year, cast(month(datetime_GMT) as tinyint) as month
+              from r)
+        select ss_id, datetime_GMT,
+          case when (year = 1996 and month = 3) or (year = 1997 and month = 12)
+               then cast(cast(generation_Wh as double) / 2 as float) else generation_Wh end as generation_Wh,
+          year, month from k""",
+
+    "relayout_rewrite": """
+        select l_partkey as ss_id, l_shipdate as datetime_GMT, l_extendedprice as generation_Wh,
+          cast(year(l_shipdate) as smallint) as year, cast(month(l_shipdate) as tinyint) as month
+        from lineitem""",
+
+    "system_bounds": _with("readings_long") + """
+        select min(datetime_GMT) as min_datetime_GMT, max(datetime_GMT) as max_datetime_GMT
+        from readings_long where ss_id = 42""",
+
+    "new_metadata_inferred": _with("metadata_raw") + """
+        select cast(ss_id as integer) as ss_id, cast(owner_id as integer) as owner_id, owner_name, system_id,
+          latitude_rounded, longitude_rounded, orientation, tilt, kWp from metadata_raw""",
 
     "metadata_csv_roundtrip": _with("metadata_old", "readings_new") + """,
         nb as (select ss_id, min(datetime_GMT) as ns, max(datetime_GMT) as ne from readings_new group by ss_id)
@@ -289,3 +345,4 @@ ORACLE_SQL: dict[str, str] = {
           m.latitude_rounded, m.longitude_rounded, m.orientation, m.tilt, m.kWp
         from metadata_old m left join nb on m.ss_id = nb.ss_id""",
 }
+ORACLE_SQL["metadata_sorted"] = ORACLE_SQL["metadata_merge"]

@@ -8,6 +8,7 @@ decimals on both sides so that summation order cannot change the check.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -27,11 +28,12 @@ from pvtide.operators import (
     sampling,
     spatial,
 )
-from pvtide.schema import GEN, MONTH, SS_ID, TS, YEAR
+from pvtide.schema import END, GEN, MONTH, PARTITIONED_READINGS, SS_ID, START, TS, YEAR
+from pvtide.operators.sizing import reliable_checkpoint
 from pvtide.session import ensure_checkpoint_dir
 from pvtide.sources import fixtures as fx
-from pvtide.sources.csvfiles import read_metadata, write_metadata
-from pvtide.sources.readings import narrow_readings, scan_readings, scan_wide
+from pvtide.sources.csvfiles import read_metadata, read_new_metadata, write_csv, write_metadata
+from pvtide.sources.readings import narrow_readings, scan_partition, scan_readings, scan_wide_blocks
 
 # Parameters of the registered runs.
 # The reference plots the system of row 7 of its outlier table, from 100
@@ -45,13 +47,21 @@ EXACT_MONTHS_END = "1997-01-01"
 # Ordered slice of the readings: rows 1000 .. 1024.
 SLICE_OFFSET = 1000
 SLICE_LENGTH = 25
-# An id with no readings, declared in the wide schema: read as an all-null column.
-ABSENT_ID = -1
+# A column that no wide file has, declared in the schema: read as all null.
+ABSENT_COLUMN = "absent"
+# One compared day, one reference system, and the months read or replaced.
+COMPARED_DAY = dt.date(2024, 1, 15)
+REFERENCE_SYSTEM = 42
+READ_YEAR, READ_MONTH = 1996, 2
+RANGE_START, RANGE_END = "1997-11-17 00:00:00", "1998-02-03 00:00:00"
+REPLACED_MONTHS = ((1996, 3), (1997, 12))
 OUTLIER_CONTEXT_THRESHOLD = 400.0
 OUTLIER_CONTEXT_BEFORE_DAYS = 2
 OUTLIER_CONTEXT_LENGTH_DAYS = 4
 SAMPLE_DAYS = 7
 SAMPLE_SEED = 42
+SAMPLE_DRAWS = 2
+SAMPLE_SYSTEMS = 50
 FINE_MINUTES = 5
 
 
@@ -112,12 +122,39 @@ def q_capacity_outliers_gt(spark, sf_dir):
     return quality.capacity_outliers(fx.readings_long(spark, sf_dir), fx.capacity(spark, sf_dir), op="gt")
 
 
+def q_compare_resolutions_day(spark, sf_dir):
+    """P7 for one day, as the reference draws it, of every system."""
+    coarse = _halfhour_tall(spark, sf_dir).filter(F.col(GEN).isNotNull())
+    out = resample.compare_resolutions(fx.readings(spark, sf_dir), coarse, day=COMPARED_DAY,
+                                       fine_minutes=FINE_MINUTES)
+    return out.withColumn("power_W", F.round("power_W", 6))
+
+
 def q_remove_implausible(spark, sf_dir):
-    return layout.with_month_keys(quality.remove_implausible(fx.readings_long(spark, sf_dir)))
+    """Filter, rewrite the month layout, read it back with its keys."""
+    kept = quality.remove_implausible(fx.readings_gaps(spark, sf_dir))
+    root = _scratch(spark, "plausible")
+    layout.write_sorted_months(kept, root)
+    return scan_readings(spark, root, schema=_layout_schema(kept))
 
 
 def q_exact_months(spark, sf_dir):
-    return layout.repartition_exact_months(fx.readings_long(spark, sf_dir))
+    return layout.repartition_exact_months(fx.readings_gaps(spark, sf_dir))
+
+
+def q_exact_months_repair(spark, sf_dir):
+    """P3 + P2 on a layout with misfiled rows: a third of the systems are
+    filed one month late, and a few a year early; the repaired layout is
+    read back with its keys."""
+    readings = fx.readings_gaps(spark, sf_dir)
+    filed = F.when(F.col(SS_ID) % 3 == 0, F.add_months(F.to_date(TS), 1)) \
+        .when(F.col(SS_ID) % 50 == 1, F.add_months(F.to_date(TS), -12)).otherwise(F.to_date(TS))
+    wrong = readings.withColumns({YEAR: F.year(filed).cast("smallint"), MONTH: F.month(filed).cast("tinyint")})
+    before, after = _scratch(spark, "misfiled"), _scratch(spark, "repaired")
+    layout.write_sorted_months(wrong, before, keep_keys=True)
+    misfiled = scan_readings(spark, before, schema=_layout_schema(readings))
+    layout.write_sorted_months(layout.repartition_exact_months(misfiled), after)
+    return scan_readings(spark, after, schema=_layout_schema(readings))
 
 
 def q_capacity_histogram(spark, sf_dir):
@@ -129,15 +166,21 @@ def q_hex_density(spark, sf_dir):
 
 
 def _sample_windows(spark, sf_dir):
-    rd = fx.readings(spark, sf_dir)
-    return sampling.sample_windows(metadata.activity_bounds(rd), metadata.dataset_bounds(rd),
-                                   days=SAMPLE_DAYS, seed=SAMPLE_SEED)
+    # The dataset's bounds are those of the systems' bounds: one scan of the readings.
+    active = reliable_checkpoint(metadata.activity_bounds(fx.readings(spark, sf_dir)))
+    bounds = active.agg(F.min(START), F.max(END))
+    return sampling.sample_windows(active, bounds,
+                                   days=SAMPLE_DAYS, seed=SAMPLE_SEED, draws=SAMPLE_DRAWS)
 
 
 def q_sample_windows(spark, sf_dir):
     return _sample_windows(spark, sf_dir)
 
 
+def q_sample_systems(spark, sf_dir):
+    return sampling.sample_systems(fx.readings(spark, sf_dir), SAMPLE_SYSTEMS, SAMPLE_SEED)
+
+
 def q_sample_fetch(spark, sf_dir):
     return sampling.fetch_windows(fx.readings(spark, sf_dir), _sample_windows(spark, sf_dir))
 
@@ -149,12 +192,8 @@ def q_outlier_context(spark, sf_dir):
 
 
 def q_pivot_systems(spark, sf_dir):
-    tall = _halfhour_tall(spark, sf_dir).filter(F.col(GEN).isNotNull())
-    # The column list is the schema of the result: a bounded id list, read
-    # with a cap one above the limit so an oversized list fails fast.
-    ids_df = fx.readings(spark, sf_dir).select(SS_ID).distinct()
-    ids = [r[0] for r in ids_df.limit(pivot.DEFAULT_MAX_COLUMNS + 1).collect()]
-    return pivot.pivot_systems(tall, ids)
+    """The wide matrix of all systems, in blocks of 100 ids."""
+    return pivot.pivot_blocks(_halfhour_tall(spark, sf_dir).filter(F.col(GEN).isNotNull()))
 
 
 def q_pivot_map(spark, sf_dir):
@@ -191,7 +230,7 @@ def q_readings_slice(spark, sf_dir):
 
 
 def q_exact_months_bounded(spark, sf_dir):
-    return layout.repartition_exact_months(fx.readings_long(spark, sf_dir),
+    return layout.repartition_exact_months(fx.readings_gaps(spark, sf_dir),
                                            start=EXACT_MONTHS_START, end=EXACT_MONTHS_END)
 
 
@@ -218,36 +257,110 @@ def q_month_layout_roundtrip(spark, sf_dir):
     readings = narrow_readings(fx.readings_long(spark, sf_dir))
     root = _scratch(spark, "month-layout")
     layout.write_sorted_months(readings, root)
-    schema = T.StructType(readings.schema.fields + [T.StructField(YEAR, T.ShortType()),
-                                                    T.StructField(MONTH, T.ByteType())])
-    return scan_readings(spark, root, schema=schema)
+    return scan_readings(spark, root, schema=_layout_schema(readings))
+
+
+def _layout_schema(readings: DataFrame) -> T.StructType:
+    """The readings' schema with typed Hive keys."""
+    return T.StructType([f for f in readings.schema.fields if f.name not in (YEAR, MONTH)]
+                        + PARTITIONED_READINGS.fields[-2:])
+
+
+def q_layout_reads(spark, sf_dir):
+    """The month layout read in four ways: one month by key equality
+    under typed keys (S1), a time range with the key predicate (F13, X7)
+    under inferred keys (S2), one folder (S3), and the distinct ids of a
+    year's inferred keys."""
+    readings = narrow_readings(fx.readings_long(spark, sf_dir))
+    root = _scratch(spark, "month-reads")
+    layout.write_sorted_months(readings, root)
+    typed = scan_readings(spark, root, schema=_layout_schema(readings))
+    inferred = scan_readings(spark, root, typed_keys=False)
+    parts = {
+        "month": typed.filter((F.col(YEAR) == READ_YEAR) & (F.col(MONTH) == READ_MONTH)),
+        "range": sampling.with_month_pruning(inferred, RANGE_START, RANGE_END),
+        "folder": scan_partition(spark, root, READ_YEAR, READ_MONTH, schema=_layout_schema(readings)),
+        "ids": inferred.filter(F.col(YEAR) == READ_YEAR).select(SS_ID).distinct().withColumns(
+            {TS: F.lit(None).cast("timestamp_ntz"), GEN: F.lit(None).cast("float")}),
+    }
+    frames = [df.select(F.lit(how).alias("how"), SS_ID, TS, GEN) for how, df in parts.items()]
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def q_layout_overwrite_months(spark, sf_dir):
+    """K1 + K2: the layout with one file per month, two of whose months are
+    then replaced (readings halved); read back with keys."""
+    readings = narrow_readings(fx.readings_long(spark, sf_dir))
+    root = _scratch(spark, "month-overwrite")
+    layout.write_sorted_months(readings, root, one_file=True)
+    months_in = F.lit(False)
+    for y, m in REPLACED_MONTHS:
+        months_in = months_in | ((F.year(TS) == y) & (F.month(TS) == m))
+    new = readings.filter(months_in).withColumn(GEN, (F.col(GEN) / 2).cast("float"))
+    layout.write_sorted_months(new, root, mode="overwrite", one_file=True)
+    return scan_readings(spark, root, schema=_layout_schema(readings))
+
+
+def q_relayout_rewrite(spark, sf_dir):
+    """P14 + P2: the raw path-encoded tree rewritten as the month layout
+    under the paths' keys, and read back by them."""
+    raw, root = _raw_tree(spark, sf_dir), _scratch(spark, "relaid")
+    layout.write_sorted_months(_relaid(spark, raw), root, keep_keys=True)
+    return scan_readings(spark, root, schema=_layout_schema(_relaid(spark, raw)))
+
+
+def q_system_bounds(spark, sf_dir):
+    """A1 of one reference system."""
+    return metadata.dataset_bounds(fx.readings_long(spark, sf_dir), ss_id=REFERENCE_SYSTEM)
+
+
+def q_metadata_sorted(spark, sf_dir):
+    """O2: the merged metadata in its final order."""
+    return metadata.sort_metadata(q_metadata_merge(spark, sf_dir))
+
+
+def q_new_metadata_inferred(spark, sf_dir):
+    """K6 + S7: the provider's extract written in Spark's default formats and
+    read back with types inferred over the whole file."""
+    root = _scratch(spark, "extract-csv")
+    write_csv(fx.metadata_raw(spark, sf_dir), root)
+    return read_new_metadata(spark, root, infer=True)
+
+
+def _raw_tree(spark, sf_dir) -> str:
+    """Readings in a tree whose paths alone tell year and month.
+
+    Range-partitioned on (month, system): a task writes a few neighbouring
+    months, and a month holding a third of the rows is split over tasks."""
+    raw = _scratch(spark, "raw-tree")
+    (fx.readings_long(spark, sf_dir)
+     .withColumns({"y": F.date_format(TS, "yyyy"), "m": F.date_format(TS, "MM")})
+     .repartitionByRange("y", "m", SS_ID).write.partitionBy("y", "m").parquet(raw))
+    return raw
+
+
+def _relaid(spark, raw: str) -> DataFrame:
+    return layout.relayout_by_path(spark, f"{raw}/*/*/*.parquet", pattern=r"/y=(\d{4})/m=(\d{2})/[^/]*$")
 
 
 def q_relayout_months(spark, sf_dir):
     """P14 + S9: a raw tree that encodes year and month only in its paths,
     read back with the keys taken from each file's path; rows per month."""
-    raw = _scratch(spark, "raw-tree")
-    readings = fx.readings_long(spark, sf_dir)
-    # Range-partitioned on (month, system): a task writes a few neighbouring
-    # months, and a month holding a third of the rows is split over tasks.
-    (readings.withColumns({"y": F.date_format(TS, "yyyy"), "m": F.date_format(TS, "MM")})
-     .repartitionByRange("y", "m", SS_ID).write.partitionBy("y", "m").parquet(raw))
-    moved = layout.relayout_by_path(spark, f"{raw}/*/*/*.parquet",
-                                    pattern=r"/y=(\d{4})/m=(\d{2})/[^/]*$")
+    moved = _relaid(spark, _raw_tree(spark, sf_dir))
     return moved.groupBy(YEAR, MONTH).agg(F.count(F.lit(1)).alias("n_readings"),
                                           F.min(TS).alias("first_reading"), F.max(TS).alias("last_reading"))
 
 
 def q_wide_months_roundtrip(spark, sf_dir):
-    """K4 + S4/U6: the wide matrix written as month files, read back under a
-    declared schema that also lists an id without readings (a null column)."""
-    tall = _halfhour_tall(spark, sf_dir).filter(F.col(GEN).isNotNull())
-    ids = [r[0] for r in fx.readings(spark, sf_dir).select(SS_ID).distinct()
-           .limit(pivot.DEFAULT_MAX_COLUMNS + 1).collect()]
+    """K4 + S4/U6: the wide matrix written as month files, read back as one
+    table under a declared schema that also lists a column no file has."""
+    wide = q_pivot_systems(spark, sf_dir)
     root = _scratch(spark, "wide-months")
-    pivot.write_wide_months(pivot.pivot_systems(tall, ids), root)
-    ts_type = T.TimestampNTZType() if dict(tall.dtypes)[TS] == "timestamp_ntz" else T.TimestampType()
-    return scan_wide(spark, f"{root}/year=*/month=*", sorted(ids) + [ABSENT_ID], ts_type)
+    pivot.write_wide_months(wide, root)
+    return scan_wide_blocks(spark, f"{root}/year=*/month=*", [ABSENT_COLUMN], wide.schema[TS].dataType)
 
 
 def q_metadata_csv_roundtrip(spark, sf_dir):
@@ -269,11 +382,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_resolutions": q_compare_resolutions,
     "capacity_outliers_lt": q_capacity_outliers_lt,
     "capacity_outliers_gt": q_capacity_outliers_gt,
+    "compare_resolutions_day": q_compare_resolutions_day,
     "remove_implausible": q_remove_implausible,
     "exact_months": q_exact_months,
+    "exact_months_repair": q_exact_months_repair,
     "capacity_histogram": q_capacity_histogram,
     "hex_density": q_hex_density,
     "sample_windows": q_sample_windows,
+    "sample_systems": q_sample_systems,
     "sample_fetch": q_sample_fetch,
     "outlier_context": q_outlier_context,
     "pivot_systems": q_pivot_systems,
@@ -283,7 +399,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "largest_systems": q_largest_systems,
     "latest_readings": q_latest_readings,
     "month_layout_roundtrip": q_month_layout_roundtrip,
+    "layout_reads": q_layout_reads,
+    "layout_overwrite_months": q_layout_overwrite_months,
     "relayout_months": q_relayout_months,
+    "relayout_rewrite": q_relayout_rewrite,
+    "system_bounds": q_system_bounds,
+    "metadata_sorted": q_metadata_sorted,
+    "new_metadata_inferred": q_new_metadata_inferred,
     "earliest_readings": q_earliest_readings,
     "readings_slice": q_readings_slice,
     "exact_months_bounded": q_exact_months_bounded,

@@ -46,6 +46,10 @@ PARTITIONED_READINGS = T.StructType(READINGS.fields + [
     T.StructField(MONTH, T.ByteType()),
 ])
 
+# The block form of the wide matrix: ids per block, and its column names.
+BLOCK = "id_block"
+BLOCK_WIDTH = 100
+
 METADATA = T.StructType([
     T.StructField("ss_id", T.LongType()),
     T.StructField("start_datetime_GMT", T.TimestampType()),
@@ -57,6 +61,7 @@ METADATA = T.StructType([
     T.StructField("kWp", T.DoubleType()),
 ])
 
+# The columns of the provider's new extract.
 NEW_METADATA = T.StructType([
     T.StructField("ss_id", T.LongType()),
     T.StructField("owner_id", T.StringType()),
@@ -74,3 +79,15 @@ def wide_schema(ids, ts_type: T.DataType = T.TimestampType()) -> T.StructType:
     """Declared schema of the system-wide matrix: time + one float per id."""
     return T.StructType([T.StructField(TS, ts_type)]
                         + [T.StructField(str(i), T.FloatType()) for i in ids])
+
+
+def block_column(place: int, width: int = BLOCK_WIDTH) -> str:
+    """Column of a place in a block, e.g. ``c07``."""
+    return f"c{place:0{len(str(width - 1))}d}"
+
+
+def wide_block_schema(width: int = BLOCK_WIDTH, extra=(), ts_type: T.DataType = T.TimestampType()) -> T.StructType:
+    """Declared schema of the block form; ``extra`` lists further float columns."""
+    names = [block_column(i, width) for i in range(width)] + list(extra)
+    return T.StructType([T.StructField(TS, ts_type), T.StructField(BLOCK, T.LongType())]
+                        + [T.StructField(c, T.FloatType()) for c in names])

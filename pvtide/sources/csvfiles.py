@@ -16,12 +16,13 @@ def read_metadata(spark: SparkSession, path: str, zone_less: bool = False) -> Da
     inference pass over the file. ``...Z`` times are UTC instants
     (``timestamp``); ``zone_less`` reads the same text as ``timestamp_ntz``
     wall-clock times (for data kept zone-less), independent of the session
-    time zone."""
+    time zone. A value that does not parse (another time format, a bad id)
+    fails the job: read as null, P8 would take it for missing and fill it."""
     schema = METADATA
     if zone_less:
         schema = T.StructType([T.StructField(f.name, T.TimestampNTZType()) if f.dataType == T.TimestampType()
                                else f for f in METADATA.fields])
-    return (spark.read.option("header", True)
+    return (spark.read.option("header", True).option("mode", "FAILFAST")
             .option("timestampFormat", CSV_TIMESTAMP_FORMAT)
             .option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT)
             .option("timeZone", "UTC").schema(schema).csv(path))
@@ -30,19 +31,25 @@ def read_metadata(spark: SparkSession, path: str, zone_less: bool = False) -> Da
 def read_new_metadata(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
     """The provider's new extract (S7). ``infer=True`` scans the whole file
     for types, as the reference asks; the declared schema avoids that pass."""
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("mode", "FAILFAST")
     if infer:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(NEW_METADATA).csv(path)
 
 
-def write_metadata(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = True) -> None:
-    """metadata.csv with ``...T..:..:..Z`` timestamps (K5, K6).
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A table as CSV in Spark's default formats, one file per task (K6)."""
+    df.write.mode(mode).option("header", True).csv(path)
 
-    Metadata has one row per system; ``single_file`` gathers it into one
-    file as consumers expect. Write to a new path, never over the input.
+
+def write_metadata(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
+    """metadata.csv with ``...T..:..:..Z`` timestamps (K5).
+
+    ``single_file`` gathers the rows (one per system) into one file, behind
+    a shuffle, so that the tasks that make them stay parallel. Write to a
+    new path, never over the input.
     """
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
     (out.write.mode(mode).option("header", True).option("timeZone", "UTC")
      .option("timestampFormat", CSV_TIMESTAMP_FORMAT)
      .option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT).csv(path))

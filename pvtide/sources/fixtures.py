@@ -38,6 +38,16 @@ def readings_long(spark: SparkSession, sf_dir: str, extra: bool = False) -> Data
     return table(spark, sf_dir, "lineitem").select(*cols)
 
 
+def readings_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``readings_long`` with missing values: about one reading in eleven is
+    null and one in thirteen NaN."""
+    rl = readings_long(spark, sf_dir, extra=True)
+    number = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    gen = (F.when(F.pmod(number, F.lit(11)) == 0, F.lit(None))
+           .when(F.pmod(number, F.lit(13)) == 0, F.lit(float("nan"))).otherwise(F.col(GEN)))
+    return rl.select(SS_ID, TS, gen.alias(GEN))
+
+
 def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kWp per system of ``readings_long``."""
     return table(spark, sf_dir, "part").select(

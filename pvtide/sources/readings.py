@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pvtide.schema import PARTITIONED_READINGS, READINGS, TS, wide_schema
+from pvtide.schema import PARTITIONED_READINGS, READINGS, TS, wide_block_schema, wide_schema
 
 
 def scan_readings(spark: SparkSession, root: str, typed_keys: bool = True,
@@ -23,10 +23,11 @@ def scan_readings(spark: SparkSession, root: str, typed_keys: bool = True,
     return reader.parquet(root)
 
 
-def scan_partition(spark: SparkSession, root: str, year: int, month: int) -> DataFrame:
+def scan_partition(spark: SparkSession, root: str, year: int, month: int,
+                   schema: T.StructType | None = None) -> DataFrame:
     """One month folder, keeping its keys (S3): ``basePath`` is the root."""
     path = f"{root.rstrip('/')}/year={year}/month={month:02d}"
-    return spark.read.schema(PARTITIONED_READINGS).option("basePath", root).parquet(path)
+    return spark.read.schema(schema or PARTITIONED_READINGS).option("basePath", root).parquet(path)
 
 
 def scan_files(spark: SparkSession, paths, schema: T.StructType | None = None) -> DataFrame:
@@ -41,6 +42,12 @@ def scan_wide(spark: SparkSession, paths, ids, ts_type: T.DataType = T.Timestamp
     return scan_files(spark, paths, wide_schema(ids, ts_type))
 
 
+def scan_wide_blocks(spark: SparkSession, paths, extra=(), ts_type: T.DataType = T.TimestampType()) -> DataFrame:
+    """Monthly files of the block form under its declared schema; ``extra``
+    columns that no file has read as null (S4, U6)."""
+    return scan_files(spark, paths, wide_block_schema(extra=extra, ts_type=ts_type))
+
+
 def narrow_readings(df: DataFrame) -> DataFrame:
     """Reading columns in order with the narrow types (F1, F5): int ids,
     float readings. The time column keeps its type (zone-less stays zone-less)."""
@@ -63,11 +70,12 @@ def scan_nanos(spark: SparkSession, paths, ts_columns=(TS,), zone_less: bool = F
     """Parquet files with nanosecond timestamps (the reference writes
     ``Datetime("ns", "UTC")``), which Spark rejects as an illegal type.
 
-    Sets ``spark.sql.legacy.parquet.nanosAsLong`` on the session (it is read
-    when the file schema is converted), then turns the listed columns into
-    microsecond timestamps; instants for zone-aware files, ``timestamp_ntz``
-    with ``zone_less``.
+    Needs a session with ``spark.sql.legacy.parquet.nanosAsLong`` (it is read
+    when the file schema is converted; ``build_session`` sets it), and turns
+    the listed columns into microsecond timestamps; instants for zone-aware
+    files, ``timestamp_ntz`` with ``zone_less``.
     """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    if spark.conf.get("spark.sql.legacy.parquet.nanosAsLong", "false") != "true":
+        raise ValueError("set spark.sql.legacy.parquet.nanosAsLong to true to read nanosecond times")
     df = scan_files(spark, paths)
     return df.withColumns({c: nanos_to_micros_timestamp(c, zone_less) for c in ts_columns})

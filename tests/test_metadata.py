@@ -7,10 +7,10 @@ from pvtide.operators.metadata import (
     merge_activity_bounds,
     refresh_metadata,
 )
-from pvtide.sources.csvfiles import read_metadata, write_metadata
+from pvtide.schema import METADATA, METADATA_COLUMNS
+from pvtide.sources.csvfiles import read_metadata, write_csv, write_metadata
 
-META_DDL = ("ss_id bigint, start_datetime_GMT timestamp, end_datetime_GMT timestamp, latitude_rounded double, "
-            "longitude_rounded double, orientation double, tilt double, kWp double")
+META_DDL = METADATA
 
 
 @pytest.fixture()
@@ -49,9 +49,7 @@ def test_merge_rules(meta, new_readings):
     assert out[3].start_datetime_GMT == T("2020-06-01")        # start only filled when missing
     assert out[4].start_datetime_GMT == T("2024-03-02") and out[4].end_datetime_GMT == T("2024-03-03")
     assert out[5].end_datetime_GMT == T("2021-01-01")
-    assert list(merge_activity_bounds(meta, new_readings).columns) == [
-        "ss_id", "start_datetime_GMT", "end_datetime_GMT", "latitude_rounded", "longitude_rounded",
-        "orientation", "tilt", "kWp"]
+    assert list(merge_activity_bounds(meta, new_readings).columns) == METADATA_COLUMNS
 
 
 def test_refresh_keeps_ids_with_data(spark, meta, new_readings):
@@ -84,3 +82,30 @@ def test_metadata_csv_roundtrip(spark, meta, new_readings, scratch):
     assert "2024-03-31T00:00:00Z" in text
     back = read_metadata(spark, path)
     assert sorted(back.collect()) == sorted(merged.collect())
+
+
+@pytest.mark.parametrize("start", ["2020-01-01 00:00:00", "2020-01-01T00:00:00.000000+0000", "1 Jan 2020"])
+def test_other_time_formats_fail_instead_of_reading_as_missing(spark, scratch, start):
+    text = spark.createDataFrame([(",".join(METADATA_COLUMNS),), (f"1,{start},2024-01-01T00:00:00Z,51,-1,180,30,4",)], "value string")
+    text.coalesce(1).write.text(f"{scratch}/bad")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        read_metadata(spark, f"{scratch}/bad").collect()
+
+
+def test_bad_id_fails(spark, scratch):
+    text = spark.createDataFrame([(",".join(METADATA_COLUMNS),), ("x1,,,51,-1,180,30,4",)], "value string")
+    text.coalesce(1).write.text(f"{scratch}/bad")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        read_metadata(spark, f"{scratch}/bad").collect()
+
+
+def test_sinks_stay_parallel_unless_one_file_is_asked_for(spark, scratch, meta):
+    import glob
+
+    wide = meta.repartition(4)
+    write_metadata(wide, f"{scratch}/many")
+    write_metadata(wide, f"{scratch}/one", single_file=True)
+    write_csv(wide.drop("start_datetime_GMT", "end_datetime_GMT"), f"{scratch}/plain")
+    count = lambda name: len(glob.glob(f"{scratch}/{name}/part-*.csv"))
+    assert count("many") > 1 and count("one") == 1 and count("plain") > 1
+    assert read_metadata(spark, f"{scratch}/many").count() == read_metadata(spark, f"{scratch}/one").count() == 5

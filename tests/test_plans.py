@@ -3,7 +3,7 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from pvtide.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
@@ -15,9 +15,9 @@ def _plan_text(df) -> str:
     return qe.optimizedPlan().toString() + "\n" + qe.executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_all_pairs_join_and_no_python_in_plan(spark, name):
-    plan = _plan_text(entry.queries()[name](spark, SF_DIR))
+    plan = _plan_text(QUERIES[name](spark, SF_DIR))
     found = [f for f in FORBIDDEN if f in plan]
     assert found == [], f"{name}: {found}"
 
@@ -27,5 +27,5 @@ def test_aggregates_combine_before_the_shuffle(spark):
     a third of all rows is reduced in every map task before the exchange."""
     for name in ("activity_bounds", "metadata_merge", "resample_right_closed", "compare_resolutions",
                  "hex_density", "dedup_readings", "max_excluding_point"):
-        plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "partial_" in plan, name

@@ -109,7 +109,7 @@ def test_write_wide_months_roundtrip(spark, scratch):
     tall = spark.createDataFrame([(1, T("2024-01-31 23:30"), 1.0), (2, T("2024-01-31 23:30"), 2.0),
                                   (1, T("2024-02-01 00:00"), 3.0), (2, T("2024-01-01 00:30"), 4.0)], READINGS_DDL)
     root = f"{scratch}/wide"
-    write_wide_months(pivot_systems(tall, [1, 2]), root)
+    write_wide_months(pivot_systems(tall, [1, 2]), root, one_file=True)
     files = sorted(glob.glob(f"{root}/year=2024/month=*/*.parquet"))
     assert [f.split("month=")[1][:2] for f in files] == ["01", "02"]
     times = pq.read_table(files[0]).column("datetime_GMT").to_pylist()
@@ -162,3 +162,74 @@ def test_unpivot_series_and_sorted_metadata(spark):
     assert [(r.source, r.power_W) for r in long] == [("a", 1.0), ("b", 2.0), ("c", None)]
     meta = spark.createDataFrame([(3,), (1,), (2,)], "ss_id bigint")
     assert [r.ss_id for r in sort_metadata(meta).collect()] == [1, 2, 3]
+
+
+def test_block_pivot_has_no_cap(spark):
+    """More ids than any column list would bear: the schema stays constant."""
+    from pvtide.operators.pivot import blocks_to_tall, pivot_blocks
+
+    n = 40_000
+    tall = spark.range(n).select(F.col("id").cast("int").alias("ss_id"),
+                                 F.lit(T("2024-05-01")).cast("timestamp").alias("datetime_GMT"),
+                                 (F.col("id") % 1000).cast("float").alias("generation_Wh"))
+    wide = pivot_blocks(tall)
+    assert len(wide.columns) == 2 + 100 and wide.columns[2] == "c00" and wide.columns[-1] == "c99"
+    assert wide.count() == n // 100
+    row = wide.filter("id_block = 329").first()
+    assert (row["c00"], row["c99"]) == (900.0, 999.0)
+    back = blocks_to_tall(wide)
+    assert back.count() == n and back.exceptAll(tall.select(*back.columns)).count() == 0
+
+
+def test_block_pivot_matches_brute_force(spark, tall):
+    from pvtide.operators.pivot import pivot_blocks
+    from pvtide.schema import block_column
+
+    wide = {(r.datetime_GMT, r.id_block): r for r in pivot_blocks(tall, width=8).collect()}
+    rows = tall.collect()
+    assert set(wide) == {(r.datetime_GMT, r.ss_id // 8) for r in rows}
+    for (t, b), r in wide.items():
+        cells = {x.ss_id: x.generation_Wh for x in rows if x.datetime_GMT == t and x.ss_id // 8 == b}
+        assert {b * 8 + i: r[block_column(i, 8)] for i in range(8) if r[block_column(i, 8)] is not None} == {
+            k: v for k, v in cells.items() if v is not None}
+
+
+def test_block_pivot_duplicates_raise_before_gathering(spark, tall):
+    from pvtide.operators.pivot import pivot_blocks, pivot_systems_map
+
+    dup = tall.union(tall.limit(1))
+    with pytest.raises(Exception, match="duplicate"):
+        pivot_blocks(dup).collect()
+    plan = pivot_systems_map(tall)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_count") >= 1  # copies combine before the shuffle
+
+
+def test_comparison_reads_whole_windows_of_a_day(spark):
+    """A window of two hours that ends at midnight takes all of its readings."""
+    import datetime as dt
+
+    rows = [(1, T("2024-01-09 22:30"), 100.0), (1, T("2024-01-09 23:30"), 200.0), (1, T("2024-01-10 00:00"), 300.0)]
+    fine = spark.createDataFrame(rows, READINGS_DDL)
+    coarse = fine.filter("generation_Wh > 250")
+    options = {"hours": (0, 23), "fine_minutes": 60, "coarse_minutes": 120}
+    pick = lambda df: sorted((r.source, r.power_W) for r in df.filter("datetime_GMT = '2024-01-10'").collect())
+    whole = pick(compare_resolutions(fine, coarse, **options))
+    assert pick(compare_resolutions(fine, coarse, day=dt.date(2024, 1, 10), **options)) == whole
+    assert ("5 minutely resampled to 30 minutes", 200.0) in whole
+
+
+def test_comparison_fails_on_a_second_reading_of_a_time(spark):
+    fine = spark.createDataFrame([(1, T("2024-01-10 10:00"), 100.0), (1, T("2024-01-10 10:00"), 300.0)], READINGS_DDL)
+    coarse = fine.limit(1)
+    with pytest.raises(Exception, match="duplicate"):
+        compare_resolutions(fine, coarse).collect()
+    with pytest.raises(Exception, match="duplicate"):
+        compare_resolutions(coarse, fine).collect()
+
+
+def test_hex_density_has_no_cell_for_unknown_places(spark):
+    from pvtide.operators.spatial import hex_density
+
+    df = spark.createDataFrame([(51.0, -1.0), (float("nan"), -1.0), (51.0, float("nan")), (None, -1.0)],
+                               "latitude_rounded double, longitude_rounded double")
+    assert [r.n_systems for r in hex_density(df).collect()] == [1]

@@ -1,10 +1,13 @@
 import datetime as dt
+import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import READINGS_DDL, T
 from pvtide.operators.layout import write_sorted_months
 from pvtide.operators.metadata import activity_bounds, dataset_bounds
+from pvtide.operators import sampling
 from pvtide.operators.sampling import (
     fetch_windows,
     outlier_context,
@@ -43,7 +46,7 @@ def test_windows_rules(spark):
     w = sample_windows(meta, (T("2024-01-10"), T("2024-02-20")), days=7, seed=42).collect()
     assert [r.ss_id for r in w] == [1]
     n = int((T("2024-02-20") - T("2024-01-10")).total_seconds() // 1800)
-    k = (1 * 7919 + 42) % n
+    k = int(hashlib.md5(b"1:0:42").hexdigest()[:15], 16) % n
     assert w[0].window_start == T("2024-01-10") + dt.timedelta(minutes=30 * k)
     assert w[0].window_end == w[0].window_start + dt.timedelta(days=7)
     full = sample_windows(meta, (T("2024-01-10"), T("2024-02-20")), full_only=True).first()
@@ -61,7 +64,7 @@ def test_fetch_matches_brute_force(spark):
 def test_fetch_without_broadcast_is_the_same(spark):
     rd = _readings(spark)
     win = sample_windows(activity_bounds(rd), dataset_bounds(rd), days=7, seed=3)
-    q = fetch_windows(rd, win, max_broadcast_rows=2, few_windows=0)
+    q = fetch_windows(rd, win, max_broadcast_rows=2)
     assert "BroadcastExchange" not in q._jdf.queryExecution().sparkPlan().toString()
     assert sorted(tuple(r) for r in q.collect()) == _brute(rd, win)
 
@@ -73,7 +76,7 @@ def test_fetch_on_month_layout_uses_dynamic_pruning(spark, scratch):
     part = scan_readings(spark, root)
     win = spark.createDataFrame([(2, T("2024-01-30 10:00"), T("2024-02-02 10:00"))],
                                 "ss_id int, window_start timestamp, window_end timestamp")
-    q = fetch_windows(part, win, few_windows=0)
+    q = fetch_windows(part, win)
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruningexpression" in plan.lower()
     got = sorted(tuple(r) for r in q.collect())
@@ -125,7 +128,7 @@ def test_few_windows_push_ids_and_time_to_the_scan(spark, scratch):
     win = spark.createDataFrame([(2, T("2024-01-30 10:00"), T("2024-02-02 10:00")),
                                  (7, T("2024-02-10 00:00"), T("2024-02-12 00:00"))],
                                 "ss_id int, window_start timestamp, window_end timestamp")
-    q = fetch_windows(part, win)
+    q = fetch_windows(part, win, literal_windows=True)
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     try:
         plan = q._jdf.queryExecution().executedPlan().toString()
@@ -140,7 +143,7 @@ def test_few_windows_push_ids_and_time_to_the_scan(spark, scratch):
 def test_fetch_join_path_matches_brute_force(spark):
     rd = _readings(spark)
     win = sample_windows(activity_bounds(rd), dataset_bounds(rd), days=7, seed=3)
-    got = sorted(tuple(r) for r in fetch_windows(rd, win, few_windows=0).collect())
+    got = sorted(tuple(r) for r in fetch_windows(rd, win).collect())
     assert got == _brute(rd, win)
 
 
@@ -156,7 +159,7 @@ def test_few_windows_prune_months_statically_and_keep_overlaps(spark, scratch):
                                  (4, T("2024-02-08 00:00"), T("2024-02-01 00:00")),  # empty window
                                  (None, T("2024-02-05 10:00"), T("2024-02-07 10:00"))],  # no system
                                 "ss_id int, window_start timestamp, window_end timestamp")
-    q = fetch_windows(part, win)
+    q = fetch_windows(part, win, literal_windows=True)
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     try:
         plan = q._jdf.queryExecution().executedPlan().toString()
@@ -170,6 +173,13 @@ def test_few_windows_prune_months_statically_and_keep_overlaps(spark, scratch):
     assert len(got) == 97 + 97 + 1
     empty = spark.createDataFrame([], "ss_id int, window_start timestamp, window_end timestamp")
     assert fetch_windows(part, empty).count() == 0
+    assert fetch_windows(part, empty, literal_windows=True).count() == 0
+    assert sorted(tuple(r) for r in fetch_windows(part, win).collect()) == got
+    many = spark.range(sampling.MAX_LITERAL_WINDOWS + 1).select(
+        F.col("id").cast("int").alias("ss_id"), F.lit(T("2024-02-05")).alias("window_start"),
+        F.lit(T("2024-02-06")).alias("window_end"))
+    with pytest.raises(ValueError):
+        fetch_windows(part, many, literal_windows=True)
 
 
 def test_window_bounds_are_exact_across_a_dst_change(spark):
@@ -216,9 +226,49 @@ def test_literal_and_join_paths_agree_on_zone_less_month_layout(spark, scratch):
     root = f"{scratch}/ntz_layout"
     write_sorted_months(rd, root)
     part = spark.read.parquet(root)
-    win = sample_windows(activity_bounds(rd), dataset_bounds(rd), days=3, seed=9)
-    literal = fetch_windows(part, win)
+    win = sample_windows(activity_bounds(rd), dataset_bounds(rd), days=3, seed=9, full_only=True)
+    literal = fetch_windows(part, win, literal_windows=True)
     assert "Join" not in literal._jdf.queryExecution().executedPlan().toString()
     few = sorted(tuple(r) for r in literal.collect())
-    joined = sorted(tuple(r) for r in fetch_windows(part, win, few_windows=0).collect())
+    joined = sorted(tuple(r) for r in fetch_windows(part, win).collect())
     assert few == joined and len(few) == 8 * (3 * 48 + 1)
+
+
+def test_flat_join_meets_only_windows_near_a_reading(spark):
+    """On a flat table the join key has a time bucket: a reading of a system
+    with many windows is not compared with all of them."""
+    rd = _readings(spark, n_systems=2, days=60)
+    win = spark.range(300).select(
+        F.when(F.col("id") % 3 < 2, 0).otherwise(1).cast("int").alias("ss_id"),
+        (F.lit(T("2024-01-20")).cast("timestamp") + F.expr("INTERVAL 4 HOURS") * F.col("id")).alias("window_start"))
+    win = win.withColumn("window_end", F.col("window_start") + F.expr("INTERVAL 6 HOURS"))
+    q = fetch_windows(rd, win, max_broadcast_rows=5)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    assert "_pvt_bucket" in join, join
+    got = sorted(tuple(r) for r in q.collect())
+    assert got == _brute(rd, win) and len(got) > 1000
+
+
+def test_draws_are_unrelated_across_seeds_and_systems(spark):
+    meta = spark.range(400).select(F.col("id").cast("int").alias("ss_id"),
+                                   F.lit(T("2024-01-01")).alias("start_datetime_GMT"),
+                                   F.lit(T("2024-12-31")).alias("end_datetime_GMT"))
+    bounds = (T("2024-01-01"), T("2024-12-31"))
+
+    def slots(seed, **options):
+        rows = sample_windows(meta, bounds, days=7, seed=seed, **options).collect()
+        return {(r.ss_id, r.draw): (r.window_start - T("2024-01-01")).total_seconds() / 1800 for r in rows}
+
+    one, two = slots(1), slots(2)
+    moved = [(two[k] - one[k]) % (364 * 48) for k in one]
+    assert len(set(moved)) > 350  # a fixed shift would give one value
+    x, y = list(one.values()), [two[k] for k in one]
+    mx, my = sum(x) / 400, sum(y) / 400
+    corr = sum((a - mx) * (b - my) for a, b in zip(x, y)) / (
+        sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y)) ** 0.5
+    assert abs(corr) < 0.2
+    several = slots(1, draws=3)
+    assert len(several) == 1200 and all(several[k, 0] == one[k, 0] for k in range(400))
+    some = slots(1, draws=3, n=50)
+    assert len(some) == 50 and set(some.items()) <= set(several.items())
