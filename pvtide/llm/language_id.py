@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pvtide.llm.textkernels import freed
+
 PROFILE_LENGTH = 400
 MAX_N = 3
 UNKNOWN = "und"
@@ -98,9 +100,9 @@ def _count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 names=["lang", "gram", "n"])
         held.clear()
 
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            grams, counts = ngram_counts(text)
+    for batch in freed(batches):
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            grams, counts = ngram_counts(text.as_py())
             if not len(grams):
                 continue
             parts = held.setdefault(lang, [])
@@ -179,7 +181,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], text_col
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             found = [scorer.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in found], pa.string()),

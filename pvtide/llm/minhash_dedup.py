@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pvtide.llm.common import stored
-from pvtide.llm.textkernels import mix64, shingle_hashes, utf8_pieces, word_hashes
+from pvtide.llm.textkernels import freed, mix64, shingle_hashes, utf8_pieces, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -102,7 +102,7 @@ def bit_planes(winner: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freed(batches):
         digests = batch.column(1).to_pylist()
         seen: dict[bytes, tuple] = {}  # copies inside a batch are hashed once
         for first, data, offsets in utf8_pieces(batch.column(2)):
@@ -128,7 +128,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freed(batches):
         for first, data, offsets in utf8_pieces(batch.column(1)):
             shingles, bounds = shingle_hashes(*word_hashes(data, offsets), SHINGLE_WORDS)
             own = [weighted_set(shingles[bounds[i]:bounds[i + 1]]) for i in range(len(offsets) - 1)]
@@ -164,7 +164,7 @@ def _parts(lists: pa.ListArray) -> list[np.ndarray]:
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             sets = [_parts(batch.column(c)) for c in range(2, 6)]
             values = np.array([probability_jaccard(a.view(np.uint64), wa, b.view(np.uint64), wb)
                                for a, wa, b, wb in zip(*sets, strict=True)])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvtide.llm.common import shared_folder
-from pvtide.llm.textkernels import mix64, utf8_pieces, word_hashes
+from pvtide.llm.textkernels import freed, mix64, utf8_pieces, word_hashes
 
 HASH_BITS = 16
 # Documents that the scorer learns from at most, on average (chosen by hash of the text).
@@ -242,7 +242,7 @@ def hashed_features(stats: np.ndarray, words: np.ndarray, bounds: np.ndarray
 
 
 def _with_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freed(batches):
         for first, data, offsets in utf8_pieces(batch.column(1)):
             stats, _, _ = statistics(data, offsets)
             yield pa.RecordBatch.from_arrays(
@@ -256,7 +256,7 @@ _SPARSE = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.l
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Patterns and features; a sparse vector in the layout Spark stores it in."""
-    for batch in batches:
+    for batch in freed(batches):
         for _, data, offsets in utf8_pieces(batch.column(0)):
             stats, words, bounds = statistics(data, offsets)
             vectors = [{"type": 0, "size": 1 << HASH_BITS, "indices": i.astype(np.int32), "values": v}
@@ -317,7 +317,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = {ABSTAIN: ".", GOOD: "+", BAD: "-"}
-        for batch in batches:
+        for batch in freed(batches):
             for first, data, offsets in utf8_pieces(batch.column(1)):
                 stats, words, bounds = statistics(data, offsets)
                 v = votes(stats)

@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pvtide.llm.textkernels import freed
+
 DEFAULT_MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MAX_MODEL_BYTES = 64 << 20
 # Texts are handed to the library in groups of about this many characters.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 1 << 19
 
 # Field and enum numbers of the public SentencePiece model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -245,7 +247,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep=(), check
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(model)
         identity = not parse_header(model)
-        for batch in batches:
+        for batch in freed(batches):
             texts = batch.column(1).to_pylist()
             for start, end in _groups([t or "" for t in texts]):
                 own = texts[start:end]
@@ -296,7 +298,7 @@ def decode(tokens: DataFrame, model: bytes, ids_col: str = "ids", keep=()) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(model)
-        for batch in batches:
+        for batch in freed(batches):
             ids = batch.column(1).to_pylist()
             back = tokenizer.decode_batch([x or [] for x in ids], skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays(
@@ -325,7 +327,7 @@ def parity_report(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
 
         tokenizer = _tokenizer(model)
         other = sentencepiece.SentencePieceProcessor(model_proto=model)
-        for batch in batches:
+        for batch in freed(batches):
             texts = batch.column(1).to_pylist()
             mine = [e.ids if t else [] for t, e in zip(
                 texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]

@@ -1,8 +1,10 @@
 """Array kernels over batches of texts, used inside tasks.
 
 Texts stay in Arrow's UTF-8 buffer; words and shingles are found and hashed
-with whole-array operations, a few megabytes of text at a time, so memory
-does not depend on the batch (a longer text is a piece of its own).
+with whole-array operations, half a megabyte of text at a time, so memory
+does not depend on the batch (a longer text is a piece of its own). A batch's
+memory goes back to the system when the batch is done: executors hold the
+JVM's heap and one Python worker per core.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 # Multipliers of the hashes: any odd 64-bit numbers do.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -47,11 +49,22 @@ def _geometric(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, one by one; what Arrow keeps of a batch that is done is
+    given back before the next comes."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def utf8_pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first row, bytes, row offsets)`` of runs of rows of about PIECE_BYTES."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.fill_null("").cast(pa.large_binary())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    texts = texts.cast(pa.large_binary())
     if len(texts) == 0:
         return
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]

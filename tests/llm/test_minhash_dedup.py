@@ -51,11 +51,6 @@ def brute_classes(rows):
     return sorted(((r[0], small[find(number[r[1] or ""])]) for r in rows), key=str)
 
 
-def classes(spark, rows, **options):
-    got = near.near_duplicates(frame(spark, rows, **options)).collect()
-    return sorted(((r.doc_id, r.class_id) for r in got), key=str)
-
-
 def near_rows():
     rows, i = [], 0
     for g in range(40):
@@ -129,20 +124,15 @@ def test_bit_planes_count_differing_registers(spark):
 
 
 def test_classes_match_brute_force(spark):
-    rows = near_rows()
-    assert classes(spark, rows, clash=True) == brute_classes(rows)
-
-
-def test_awkward_rows(spark):
-    assert classes(spark, AWKWARD, clash=True) == brute_classes(AWKWARD)
-    assert classes(spark, []) == []
-
-
-def test_crowd_around_a_leader_loses_no_link(spark):
-    """Many near copies of one text, most of them too far from the bucket's leader."""
+    """Near copies, copies, a common passage, awkward rows, and a crowd of near
+    copies of one text, most of them too far from their bucket's leader."""
     base = words(150, 77)
-    rows = [(i, edited(base, 0.002 * (i % 40), seed=i)) for i in range(240)]
-    assert classes(spark, rows) == brute_classes(rows)
+    crowd = [(200_000 + i, edited(base, 0.002 * (i % 40), seed=i)) for i in range(240)]
+    rows = near_rows() + [(r[0] and r[0] + 100_000, *r[1:]) for r in AWKWARD] + crowd
+    got = near.near_duplicates(frame(spark, rows, clash=True)).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute_classes(rows)
+    text = {r[0]: r[1] or "" for r in rows if r[0] is not None}
+    assert all(r.digest == hashlib.md5(text[r.doc_id].encode()).hexdigest() for r in got if r.doc_id is not None)
 
 
 def test_one_document_of_each_class_stays(spark):
@@ -155,6 +145,17 @@ def test_one_document_of_each_class_stays(spark):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
-def test_digest_is_that_of_the_text(spark):
-    got = near.near_duplicates(frame(spark, [(1, "a b"), (2, None)])).collect()
-    assert {r.doc_id: r.digest for r in got} == {1: hashlib.md5(b"a b").hexdigest(), 2: hashlib.md5(b"").hexdigest()}
+def test_bound_is_never_below_the_similarity(spark):
+    """The bound by which the second round drops pairs, on sets whose private
+    shingles are private to the pair."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = rng.integers(1, 30)
+        shared = rng.choice(1000, n, replace=False)
+        a = {int(k): 1 + math.log(rng.integers(1, 4)) for k in [*shared, *range(2000, 2000 + rng.integers(0, 12))]}
+        b = {int(k): 1 + math.log(rng.integers(1, 4)) for k in [*shared, *range(3000, 3000 + rng.integers(0, 12))]}
+        exact = near.probability_jaccard(*[f(s) for s in (a, b) for f in (
+            lambda s: np.array(sorted(s), np.uint64), lambda s: np.array([s[k] for k in sorted(s)]))])
+        own = [sum(w for k, w in s.items() if k >= 2000) for s in (a, b)]
+        odds = [o / max(sum(s.values()) - o, 1e-9) for o, s in zip(own, (a, b), strict=True)]
+        assert exact <= 1 / (1 + sum(odds)) + 1e-9
