@@ -35,6 +35,8 @@ DEFAULT_MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe
 MAX_MODEL_BYTES = 64 << 20
 # Texts are handed to the library in groups of about this many characters.
 GROUP_CHARS = 1 << 19
+# Threads of the library in a task, unless RAYON_NUM_THREADS says otherwise.
+THREADS = "2"
 
 # Field and enum numbers of the public SentencePiece model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -164,6 +166,8 @@ def words_are_independent(model: PieceModel) -> bool:
 
 def build_tokenizer(model: PieceModel):
     """A ``tokenizers.Tokenizer`` that encodes like the model."""
+    # A few threads per task: every core of an executor has a task of its own.
+    os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     if model.model_type == UNIGRAM:

@@ -9,6 +9,7 @@ JVM's heap and one Python worker per core.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,12 +51,27 @@ def _geometric(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches, one by one; what Arrow keeps of a batch that is done is
-    given back before the next comes."""
+    """The batches, one by one; memory that Arrow and the C library keep of
+    a batch that is done goes back to the system before the next comes.
+    Workers live on from task to task, so what they kept would add up."""
     for batch in batches:
         yield batch
         del batch
         pa.default_memory_pool().release_unused()
+        if _libc is not None:
+            _libc.malloc_trim(0)
+
+
+def _c_library():
+    """glibc, or None where another C library has no ``malloc_trim``."""
+    try:
+        library = ctypes.CDLL(None)
+        return library if hasattr(library, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_libc = _c_library()
 
 
 def utf8_pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
