@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,9 @@ NOT_ALPHANUMERIC = r"[^\p{L}\p{N}]+"
 # A copyright line starts with the word and goes on to a year, a placeholder or a name,
 # or reserves all rights; "copyright notice ..." is licence text.
 COPYRIGHT_LINE = r"^((copyright )+(\d{4}|year|yyyy|by )|copyright .* all rights reserved$|all rights reserved$)"
+# Every built-in text holds one of these (``known_digests`` checks it), and a word of a
+# canonical form stands in the text itself, so a text with none of them matches nothing.
+ANCHORS = ("licen", "permission", "redistribution", "software")
 # Known texts are broadcast up to this many rows (about 60 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -86,7 +91,10 @@ def known_digests(texts=KNOWN_TEXTS) -> list[tuple[str, str]]:
     for license_id, text in texts:
         title, _, rest = text.partition("\n")
         for form in (text, rest) if rest and len(title.split()) <= 4 else (text,):
-            found.setdefault(hashlib.md5(canonical(form).encode()).hexdigest(), license_id)
+            plain = canonical(form)
+            if not any(a in plain for a in ANCHORS):
+                raise ValueError(f"a text of {license_id} holds none of {ANCHORS}")
+            found.setdefault(hashlib.md5(plain.encode()).hexdigest(), license_id)
     return sorted(found.items())
 
 
@@ -94,7 +102,8 @@ def known_frame(spark: SparkSession, texts=KNOWN_TEXTS) -> DataFrame:
     return spark.createDataFrame(known_digests(texts), "digest string, license_id string")
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  anchors=ANCHORS) -> DataFrame:
     """The known licences among the entire texts of every document.
 
     Returns ``doc_id``, ``licenses`` (identifiers found in the document, its
@@ -102,7 +111,10 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     ``whole_license`` (that of the whole text, else null), one row per
     input row.
 
-    ``known``: ``digest, license_id``, one row per digest.
+    ``known``: ``digest, license_id``, one row per digest. ``anchors``: parts
+    of words one of which every known text holds, in lower case; only texts
+    that hold one are brought to canonical form. Pass None for a table of
+    which that is not known.
 
     Defined cases: a null text is empty, and an empty canonical form matches
     no licence; repeated rows and null ids are reported row by row; an empty
@@ -114,7 +126,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"),
                        F.md5(text.cast("binary")).alias("text_md5"))
-    lined = rows.select("text_md5", canonical_lines(F.col("text")).alias("lines"))
+    scanned = rows
+    if anchors:
+        low = F.lower("text")
+        scanned = rows.filter(reduce(or_, [F.contains(low, F.lit(a)) for a in anchors]))
+    lined = scanned.select("text_md5", canonical_lines(F.col("text")).alias("lines"))
     lined = lined.select("text_md5", F.md5(whole_of(F.col("lines")).cast("binary")).alias("whole_md5"),
                          units_of(F.col("lines")).alias("units"))
     hits = (lined.select("text_md5", "whole_md5", F.explode("units").alias("digest"))
