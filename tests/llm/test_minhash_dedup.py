@@ -40,8 +40,13 @@ def brute_classes(rows):
         for k in s:
             posting[k].append(i)
     pairs = {p for own in posting.values() for p in itertools.combinations(own, 2)}
-    for i, j in pairs:
-        if find(i) != find(j) and jaccard_p(sets[i], sets[j]) >= 0.8:
+    number_of = {k: n for n, k in enumerate(posting)}
+    arrays = []
+    for own in sets:
+        items = sorted((number_of[k], 1 + math.log(n)) for k, n in own.items())
+        arrays.append((np.array([k for k, _ in items], np.uint64), np.array([w for _, w in items])))
+    for i, j in pairs:  # the fast form is tested against the definition below
+        if find(i) != find(j) and near.probability_jaccard(*arrays[i], *arrays[j]) >= 0.8 - 1e-9:
             parent[max(find(i), find(j))] = min(find(i), find(j))
     ids = defaultdict(list)
     number = {t: i for i, t in enumerate(texts)}
