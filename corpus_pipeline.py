@@ -7,7 +7,7 @@ one before kept. Every stage but the last returns the columns of its input.
 3. MinHash near-dedup: of each near-duplicate class, one document stays;
 4. mixing: sources are taken up to their target weights, in whole
    documents, up to twice each;
-5. SentencePiece: texts become token ids, with the decoding checked.
+5. SentencePiece: texts become token ids, each row decoded to check it.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, source, ids, n_tokens, round_trip`` of every row."""
+    """``doc_id, source, ids, n_tokens, round_trip, round_trip_exact`` of every row."""
     model = sentencepiece_codec.load_model()
     return sentencepiece_codec.encode(docs, model, keep=["doc_id", "source"])
 

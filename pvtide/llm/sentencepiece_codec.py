@@ -35,6 +35,8 @@ DEFAULT_MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe
 MAX_MODEL_BYTES = 64 << 20
 # Texts are handed to the library in groups of about this many characters.
 GROUP_CHARS = 1 << 19
+# Their ids are decoded in smaller groups: the decoder holds a string for every token.
+DECODE_CHARS = 1 << 17
 # Threads of the library in a task, unless RAYON_NUM_THREADS says otherwise.
 THREADS = "2"
 
@@ -194,8 +196,9 @@ def build_tokenizer(model: PieceModel):
     if special:
         tokenizer.add_tokens(special)
     tail = [decoders.Strip(" ", 1, 0)] if model.add_dummy_prefix else []
+    # Metaspace puts a blank for every marker of a piece, as Replace does with a regular expression.
     tokenizer.decoder = decoders.Sequence(
-        [decoders.Replace(METASPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
+        [decoders.Metaspace(METASPACE, prepend_scheme="never"), decoders.ByteFallback(), decoders.Fuse(), *tail])
     return tokenizer
 
 
@@ -215,10 +218,10 @@ def load_model(path: str = DEFAULT_MODEL) -> bytes:
 
 # --- inside tasks ---------------------------------------------------------------
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > GROUP_CHARS:
+        if size and size + len(text) > chars:
             yield start, i
             start, size = i, 0
         size += len(text)
@@ -237,12 +240,13 @@ def _token_batch(kept: pa.Array, ids: list[list[int]], extra: list[tuple[str, pa
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep=(), check: bool = True) -> DataFrame:
     """``keep`` columns + ``ids`` (array of int), ``n_tokens`` (int) and, with
-    ``check``, ``round_trip``: whether the pieces put together give the text
-    back, up to the model's normaliser (to which the space marker itself is
-    a blank).
+    ``check``, what decoding the ids of each row gives: ``round_trip``,
+    whether that is the text up to the model's normaliser (to which the space
+    marker itself is a blank), and ``round_trip_exact``, whether it is the
+    text itself, character by character.
 
-    Defined cases: a null text has null ``ids``, no tokens and a null
-    ``round_trip``; an empty text has empty ``ids``; special tokens are
+    Defined cases: a null text has null ``ids``, no tokens and null
+    round trips; an empty text has empty ``ids``; special tokens are
     neither added nor recognised in texts (a text that spells a control
     symbol is ordinary text); repeated rows are encoded alike; an empty
     table gives an empty result. Texts are encoded whole.
@@ -251,10 +255,10 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep=(), check
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(model)
-        normal, pieces = _normaliser(model), _piece_bytes(model)
+        normal = _normaliser(model)
         for batch in freed(batches):
             texts = batch.column(1).to_pylist()
-            for start, end in _groups([t or "" for t in texts]):
+            for start, end in _groups([t or "" for t in texts], GROUP_CHARS):
                 own = texts[start:end]
                 # An empty text gets no dummy prefix.
                 full = [t for t in own if t]
@@ -262,37 +266,39 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep=(), check
                 ids = [next(encoded) if t else [] for t in own]
                 extra = [("n_tokens", pa.array([len(x) for x in ids], pa.int32()))]
                 if check:
-                    # Put together, the pieces (bytes for byte pieces) are the normal text: what
-                    # decoding does, without the cost of the decoder.
-                    same = [None if t is None else b"".join([pieces[i] for i in x]) == normal(t)
-                            for t, x in zip(own, ids, strict=True)]
-                    extra.append(("round_trip", pa.array(same, pa.bool_())))
+                    back = _decoded(tokenizer, own, ids)
+                    up_to, exact = (
+                        [None if t is None else b == form(t) for t, b in zip(own, back, strict=True)]
+                        for form in (normal, str))
+                    extra += [("round_trip", pa.array(up_to, pa.bool_())),
+                              ("round_trip_exact", pa.array(exact, pa.bool_()))]
                 out = _token_batch(batch.column(0).slice(start, end - start), ids, extra)
                 null = pa.array([t is None for t in own], pa.bool_())
                 tokens = pa.compute.if_else(null, pa.scalar(None, out.column(1).type), out.column(1))
                 yield out.set_column(1, "ids", tokens)
 
-    fields = "ids array<int>, n_tokens int" + (", round_trip boolean" if check else "")
+    fields = "ids array<int>, n_tokens int" + (", round_trip boolean, round_trip_exact boolean" if check else "")
     schema = T.StructType([source.schema["kept"], *T.StructType.fromDDL(fields).fields])
-    columns = ["ids", "n_tokens"] + (["round_trip"] if check else [])
+    columns = ["ids", "n_tokens"] + (["round_trip", "round_trip_exact"] if check else [])
     return source.mapInArrow(run, schema).select("kept.*", *columns)
 
 
-@functools.lru_cache(maxsize=1)
-def _piece_bytes(data: bytes) -> list[bytes]:
-    """What each id stands for in normal text, as UTF-8."""
-    return [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() for p, _, kind in parse_model(data).pieces]
+def _decoded(tokenizer, texts: list[str | None], ids: list[list[int]]) -> list[str]:
+    """What the decoder makes of the ids of the texts, group by group."""
+    back = []
+    for start, end in _groups([t or "" for t in texts], DECODE_CHARS):
+        back += tokenizer.decode_batch(ids[start:end], skip_special_tokens=False)
+    return back
 
 
 def _normaliser(data: bytes):
-    """A function from a text to its normal form in UTF-8 (empty for an empty text)."""
+    """A function from a text to its normal form, as decoding gives it: blanks
+    for markers, no dummy prefix (empty for an empty text)."""
     model = parse_model(data)
-    marker = METASPACE.encode()
     if not (model.charsmap or model.remove_extra_whitespaces) and model.escape_whitespaces:
-        prefix = marker if model.add_dummy_prefix else b""
-        return lambda text: prefix + text.encode().replace(b" ", marker) if text else b""
-    normalizer = _tokenizer(data).normalizer
-    return lambda text: normalizer.normalize_str(text).encode() if text else b""
+        return lambda text: text.replace(METASPACE, " ")
+    normalizer, prefix = _tokenizer(data).normalizer, int(model.add_dummy_prefix)
+    return lambda text: normalizer.normalize_str(text).replace(METASPACE, " ")[prefix:] if text else ""
 
 
 def decode(tokens: DataFrame, model: bytes, ids_col: str = "ids", keep=()) -> DataFrame:

@@ -74,3 +74,35 @@ def test_oversized_model_is_refused(tmp_path, monkeypatch):
     (tmp_path / "m").write_bytes(b"x" * 11)
     with pytest.raises(ValueError):
         codec.load_model(str(tmp_path / "m"))
+
+
+def test_a_fault_of_the_decoder_shows(spark, model, monkeypatch):
+    """Round trips are those of the decoder: one that leaves markers in makes them false."""
+    import corpus_pipeline
+    from pvtide.llm import queries
+
+    rows = [(1, "two words"), (2, "a \u2581 marker"), (3, None), (4, ""), (5, "漢\u0007 🙂")]
+    df = frame(spark, rows)
+    monkeypatch.setattr(queries, "documents", lambda *_: df)
+    for got in (queries.q_sentencepiece(spark, ""), corpus_pipeline.encode_texts(spark, df, "")):
+        flags = {r.doc_id: (r.round_trip, r.round_trip_exact) for r in got.collect()}
+        assert flags == {1: (True, True), 2: (True, False), 3: (None, None), 4: (True, True), 5: (True, True)}
+
+    from tokenizers import decoders
+
+    broken = codec.build_tokenizer(codec.parse_model(model))
+    broken.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
+    texts = [t for _, t in rows]
+    ids = [broken.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+    back = codec._decoded(broken, texts, ids)
+    normal = codec._normaliser(model)
+    assert [b == normal(t or "") for t, b in zip(texts, back, strict=True)] == [False, False, True, True, False]
+
+
+def test_normal_form_of_a_rewriting_model_is_not_the_text():
+    """A model that drops blanks: equal up to the normaliser, not exactly."""
+    model = codec.PieceModel([("<unk>", 0.0, codec.UNKNOWN), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.0, 1)],
+                             remove_extra_whitespaces=True)
+    tokenizer = codec.build_tokenizer(model)
+    ids = tokenizer.encode(" a  b ", add_special_tokens=False).ids
+    assert codec._decoded(tokenizer, [" a  b "], [ids]) == ["a b"]
