@@ -83,7 +83,7 @@ def q_url_filter(spark, sf_dir):
 
 
 def q_winnowing(spark, sf_dir):
-    found = winnowing.compare_with_next(documents(spark, sf_dir))
+    found = winnowing.compare_with_next(documents(spark, sf_dir), longest_word=winnowing.LONGEST_WORD)
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
                         winnowing.digest(F.col("fingerprint")).alias("fingerprint"),
                         winnowing.digest(F.col("edited_fingerprint")).alias("edited_fingerprint"),

@@ -1,6 +1,8 @@
 """Document fingerprints by winnowing.
 
-The k-grams of a text are its runs of K words; a k-gram's hash is a rolling
+The k-grams of a text are its runs of K words, where a run without blanks
+that is no word (longer than LONGEST_WORD, or in a script written without
+blanks) counts as many words of one code point. A k-gram's hash is a rolling
 cyclic polynomial (buzhash) over word hashes: moving on by a word rotates
 the value, drops the oldest word and takes in the next. Of every window of
 WINDOW consecutive k-grams the smallest hash is chosen, the rightmost one on
@@ -23,6 +25,10 @@ from pvtide.llm.common import default_parallelism
 
 K = 5
 WINDOW = 8
+# Runs without blanks of more code points than this are broken into code points ...
+LONGEST_WORD = 24
+# ... and so is, whatever its length, a run with a letter of a script written without blanks.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 BLOCK_BYTES = 32 << 20
 
 # Selection compares the upper 33 bits of a hash; the position fills the rest.
@@ -34,9 +40,20 @@ def _rotate(x: Column, bits: int) -> Column:
     return x if bits == 0 else F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int = WINDOW) -> DataFrame:
+def _broken(text: Column, words: Column, longest_word: int) -> Column:
+    """``words`` with every run that is no word broken into code points."""
+    # One look at the text spares ordinary prose the look at each word.
+    any_run = text.rlike(rf"{UNSPACED}|[^\x20\x09-\x0D]{{{longest_word + 1}}}")
+    parts = F.transform(words, lambda w: F.when((F.char_length(w) > longest_word) | w.rlike(UNSPACED), F.split(w, ""))
+                        .otherwise(F.array(w)))
+    return F.when(any_run, F.flatten(parts)).otherwise(words)
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int = WINDOW,
+                     longest_word: int | None = LONGEST_WORD) -> DataFrame:
     """``df`` with column ``out``: the fingerprint of column ``text``, an
     array of ``struct<pos: long, hash: long>`` in order of position.
+    ``longest_word`` None leaves every run without blanks whole, as one word.
 
     A text of fewer than k words has one k-gram of all its words; fewer
     k-grams than a window form one window; a text without words (null, empty
@@ -45,9 +62,12 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int
     t = f"__{out}"  # working columns, dropped again
     words, grams, packed = f"{t}_words", f"{t}_grams", f"{t}_packed"
     none = F.expr("cast(array() as array<bigint>)")
-    hashed = F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"),
-                                  lambda w: w != ""), lambda w: F.xxhash64(w))
-    df = df.withColumn(words, hashed).withColumn(f"{t}_n", F.size(words))
+    full = F.coalesce(F.col(text), F.lit(""))
+    split = F.filter(F.split(full, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    if longest_word is not None:
+        df = df.withColumn(words, split)
+        split = _broken(full, F.col(words), longest_word)
+    df = df.withColumn(words, F.transform(split, lambda w: F.xxhash64(w))).withColumn(f"{t}_n", F.size(words))
     n = F.col(f"{t}_n")
     # Word hashes followed by k - 1 zeros, for texts of fewer than k words.
     df = df.withColumn(words, F.when(n < k, F.concat(words, F.array_repeat(F.lit(0).cast("long"), k - 1)))
@@ -153,13 +173,15 @@ def _position(value: Column, cuts: list[int]) -> Column:
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * F.lit(step) + inside)
 
 
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      longest_word: int | None = None) -> DataFrame:
     """Every text's fingerprint beside that of its edited text and of the
     next document.
 
     The edited text is the text with its last ``floor(n_chars / 2)`` code
     points replaced by the first as many (or all) of the next document's in
-    descending order of id; after the last comes the first. Returns
+    descending order of id; after the last comes the first. ``longest_word``:
+    as in ``with_fingerprint`` (query op9 gives LONGEST_WORD). Returns
     ``doc_id, n_chars, edited_text, fingerprint, edited_fingerprint,
     near_edited, near_next``.
 
@@ -174,8 +196,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     placed = placed.withColumn("n_chars", n).withColumn("edited_text", F.concat(
         F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half)))
     placed = placed.drop("next_text")
-    placed = with_fingerprint(placed, "text", "fingerprint")
-    placed = with_fingerprint(placed.drop("text"), "edited_text", "edited_fingerprint")
+    placed = with_fingerprint(placed, "text", "fingerprint", longest_word=longest_word)
+    placed = with_fingerprint(placed.drop("text"), "edited_text", "edited_fingerprint", longest_word=longest_word)
     placed = placed.withColumn("next_hashes", F.lead("fingerprint.hash").over(window))
     return placed.filter(~F.col("is_head")).select(
         F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_text",

@@ -99,3 +99,41 @@ def test_query_digests(spark, monkeypatch):
     assert {i: r.edited_sha256 for i, r in got.items()} == {
         r[0]: hashlib.sha256(r[2].encode()).hexdigest() for r in brute(rows)}
     assert got[1].near_edited > got[1].near_next
+
+
+def unspaced(n, seed, alphabet):
+    import random
+
+    rng = random.Random(seed)
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+HAN, THAI = "".join(map(chr, range(0x4E00, 0x4F00))) + "𠀀𠀁", "กขคงจฉชซญฎฐณดตถทธนบปผฝพฟภมยรลวศษสหอฮ"
+
+
+def test_texts_without_blanks_have_many_grams(spark, monkeypatch):
+    """Half-edited texts without blanks keep the half that is the same, and near copies match."""
+    from pvtide.llm import queries
+
+    texts = [unspaced(400, 1, HAN), unspaced(400, 2, THAI), unspaced(3000, 3, "abcdef0123(){};=🙂"),
+             " ".join(unspaced(9, s, THAI) for s in range(40)), "\n".join(unspaced(7, 50 + s, HAN) for s in range(40))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10, "漢字 " + texts[0][3:] + " ordinary words")]
+    df = frame(spark, rows)
+    monkeypatch.setattr(queries, "documents", lambda *_: df)
+    got = {r.doc_id: r for r in queries.q_winnowing(spark, "").collect()}
+    assert all(r.near_edited > 0.2 and r.n_fingerprints > 40 for r in got.values())
+    assert got[10].near_next < 0.1  # after 10 comes 4, another text
+    prints = {r.doc_id: {e["hash"] for e in r.fingerprint} for r in winnowing.fingerprint_documents(df).collect()}
+    assert len(prints[0] & prints[10]) > 0.8 * len(prints[0])
+
+
+def test_runs_are_broken_into_code_points(spark):
+    """The fingerprint is that of the text with blanks put into its broken runs; prose stays as it is."""
+    long, limit = "q" * (winnowing.LONGEST_WORD + 1) + "🙂é", "a" * winnowing.LONGEST_WORD
+    cases = [(f"some words {long} and more of them", f"some words {' '.join(long)} and more of them"),
+             (f"{limit} two three four five six", f"{limit} two three four five six"),
+             ("a 漢字𠀀x b c d", "a 漢 字 𠀀 x b c d"), ("สวัสดี", " ".join("สวัสดี")),
+             (words(60, 4), words(60, 4)), ("", ""), (None, "")]
+    got = winnowing.fingerprint_documents(frame(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()
+    assert {r.doc_id: [tuple(e) for e in r.fingerprint] for r in got} == {
+        i: brute_fingerprint(apart) for i, (_, apart) in enumerate(cases)}
