@@ -1,8 +1,8 @@
 """A training corpus from ``documents``: five stages, each on all rows the
 one before kept. Every stage but the last returns the columns of its input.
 
-1. language ID: texts that no profile claims (no letters, or next to no
-   n-gram in common with any language) go;
+1. language ID: texts that no profile claims (no letters, or an order of
+   n-grams hardly closer to any language's than that of shuffled letters) go;
 2. exact dedup: of equal texts, the row with the largest id stays;
 3. MinHash near-dedup: of each near-duplicate class, one document stays;
 4. mixing: sources are taken up to their target weights, in whole
@@ -18,18 +18,27 @@ from pyspark.sql import functions as F
 from pvtide.llm import exact_dedup, language_id, minhash_dedup, queries, sentencepiece_codec, source_mixing
 from pvtide.llm.common import repeat_rows, shared_folder
 
-# A text's order shares almost nothing with any language's below this score.
+# Where there are too few held-out texts to take a cut from: a text's order shares
+# almost nothing with any language's below this score.
 MIN_LANGUAGE_SCORE = 0.05
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known. Profiles are learnt from the
-    stage's own input as in query op6; a rejected document is ``und`` or
-    scores below MIN_LANGUAGE_SCORE (all are, if nothing is labelled)."""
+    stage's own input as in query op6, and so are the lowest scores that
+    count, from the rows held out of training, by language and size of the
+    text (``language_id.score_cuts``). A rejected document is ``und`` or
+    scores below (all are, if nothing is labelled)."""
     profiles = language_id.train_profiles(language_id.training_rows(docs))
+    cuts = language_id.score_cuts(language_id.held_out_rows(docs), profiles)
+    lowest = F.lit(MIN_LANGUAGE_SCORE)
+    if cuts:
+        table = F.create_map(*[F.lit(x) for (lang, size), cut in cuts.items() for x in (f"{size} {lang}", cut)])
+        key = F.concat_ws(" ", language_id.size_class(F.col("n_grams")).cast("string"), "lang_pred")
+        lowest = F.greatest(F.coalesce(F.try_element_at(table, key), lowest), lowest)
     judged = language_id.predict_languages(docs, profiles, keep=docs.columns)
     return judged.filter((F.col("lang_pred") != language_id.UNKNOWN)
-                         & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("kept.*")
+                         & (F.col("score") >= lowest)).select("kept.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ UNKNOWN = "und"
 FLUSH_GRAMS = 200_000
 # Letters a document is ranked by at a time (a text of any length is read whole).
 PIECE_CHARS = 1 << 20
+# Held-out texts (and as many shuffled ones) that a cut between their scores takes.
+MIN_HELD_OUT = 100
 
 
 @functools.lru_cache(maxsize=1)
@@ -154,22 +157,26 @@ class Scorer:
     def predict(self, text: str | None) -> tuple[str, float]:
         """The closest language (ties: the first by name) and a score: 1 is
         the language's own order, 0 shares no n-gram with its profile."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, int]:
+        """``predict`` and the number of n-grams the text was ranked by."""
         grams, counts = ngram_counts(text) if text else (np.zeros(0, np.int64),) * 2
         if not len(grams) or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         top = top_grams(grams, counts, self.length)
         at = np.minimum(np.searchsorted(self.vocabulary, top), len(self.vocabulary) - 1)
         at[self.vocabulary[at] != top] = len(self.vocabulary)
         off = np.abs(self.places[:, at] - np.arange(len(top)))
         distance = np.minimum(off, self.length).sum(axis=1)
         best = int(np.argmin(distance))
-        return self.langs[best], 1.0 - float(distance[best]) / (self.length * len(top))
+        return self.langs[best], 1.0 - float(distance[best]) / (self.length * len(top)), len(top)
 
 
 def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text",
                       length: int = PROFILE_LENGTH, keep=()) -> DataFrame:
-    """``kept`` (a struct of the ``keep`` columns), ``lang_pred`` and
-    ``score`` for every row of ``docs``.
+    """``kept`` (a struct of the ``keep`` columns), ``lang_pred``, ``score``
+    and ``n_grams`` (how many n-grams were ranked) for every row of ``docs``.
 
     Defined cases: a null, empty or letterless text is ``und`` with score 0,
     as is any text if there are no profiles; ties go to the first language
@@ -182,22 +189,87 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in freed(batches):
-            found = [scorer.predict(t.as_py()) for t in batch.column(1)]
+            found = [scorer.judge(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x for x, _ in found], pa.string()),
-                 pa.array([x for _, x in found], pa.float64())], names=["kept", "lang_pred", "score"])
+                [batch.column(0), pa.array([x for x, _, _ in found], pa.string()),
+                 pa.array([x for _, x, _ in found], pa.float64()), pa.array([x for _, _, x in found], pa.int32())],
+                names=["kept", "lang_pred", "score", "n_grams"])
 
     schema = T.StructType([kept.schema["kept"], T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+                           T.StructField("score", T.DoubleType()), T.StructField("n_grams", T.IntegerType())])
     return kept.mapInArrow(run, schema)
 
 
+def shuffled(text: str) -> str:
+    """The text with its letters in another order (always the same one): as
+    many of each, and as long words, but no language."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    letter = _letters()[codes] > 0
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    codes[letter] = rng.permutation(codes[letter])
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def size_class(n_grams: Column) -> Column:
+    """Texts ranked by 1, 2 to 3, 4 to 7, ... n-grams; short ones score higher, noise too."""
+    return F.length(F.bin(n_grams.cast("long")))
+
+
+def score_cuts(unseen: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang",
+               length: int = PROFILE_LENGTH) -> dict[tuple[str, int], float]:
+    """The lowest score of a text that has a language, by language found and
+    size class, from all labelled rows of ``unseen`` (not trained on).
+
+    Every text is scored as it is and with its letters shuffled. The cut is
+    the score that 99 % of the shuffled ones stay below or, where that comes
+    near the texts as they are, half way between the shuffled ones' median
+    and what 0.1 % of the others stay below. A language with fewer than
+    MIN_HELD_OUT of either in a class takes the cut of all languages
+    together; a class with fewer than that, the lowest cut of the others.
+    Empty if there is none. One row per group comes to the driver.
+    """
+    rows = (unseen.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+            .filter("lang is not null and text is not null").select("text"))
+    scorer = Scorer(profiles, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            texts = [t.as_py() for t in batch.column(0)]
+            for noise in (False, True):
+                found = [scorer.judge(shuffled(t) if noise else t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64()),
+                     pa.array([x for _, _, x in found], pa.int32()), pa.array([noise] * len(found), pa.bool_())],
+                    names=["lang", "score", "n_grams", "noise"])
+
+    scored = rows.mapInArrow(run, "lang string, score double, n_grams int, noise boolean").filter("n_grams > 0")
+    scored = scored.withColumn("size", size_class(F.col("n_grams")))
+    # Maps combine to one row per language, class and kind; grouping sets add all languages together.
+    figures = scored.groupingSets([["lang", "size", "noise"], ["size", "noise"]], "lang", "size", "noise").agg(
+        F.count("*").alias("n"), F.percentile_approx("score", [0.001, 0.5, 0.99], 10_000).alias("q"))
+    groups = {(r["lang"], r["size"], r["noise"]): r["q"] for r in figures.collect() if r["n"] >= MIN_HELD_OUT}
+    own = {}
+    for (lang, size, noise), (_, median, high) in groups.items():
+        if noise and (lang, size, False) in groups:
+            own[lang, size] = min(high, (median + groups[lang, size, False][0]) / 2)
+    if not own:
+        return {}
+    lowest = min(own.values())
+    return {(lang, size): own.get((lang, size), own.get((None, size), lowest))
+            for lang in profiles for size in range(1, length.bit_length() + 1)}
+
+
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     """Whether a document is held out of training, by the CRC of its id
     (false for a null id, whose documents are not trained on either)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def held_out_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents that ``training_rows`` leaves out by their id."""
+    return docs.filter(held_out(F.col(f"`{id_col}`")))
+
+
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that may be learnt from: those not held out."""
     key = F.col(f"`{id_col}`")

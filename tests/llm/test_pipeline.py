@@ -107,3 +107,37 @@ def test_stages_take_clashing_columns_and_empty_tables(spark):
             out.count()
     assert corpus_pipeline.encode_texts(spark, clash, "").count() == clash.count()
     assert corpus_pipeline.encode_texts(spark, empty, "").count() == 0
+
+
+POLISH = ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i "
+          "sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i "
+          "wolności zawarte w niniejszej Deklaracji bez względu na jakiekolwiek różnice rasy, koloru, płci, języka")
+
+
+def test_language_stage_rejects_noise_and_unlearnt_languages(spark):
+    """All documents of sf0.1 stay; letter noise, base64 and unlearnt languages go."""
+    import base64
+    import random
+
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(*COLUMNS)
+    clean = docs.filter(F.regexp_count("text", F.lit(r"\p{L}")) > 0)
+    rng = random.Random(3)
+    bad = [POLISH, POLISH * 3, POLISH[:120]]
+    for n in (30, 120, 700):
+        bad.append(" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+                            for _ in range(n)))
+        bad.append(base64.b64encode(rng.randbytes(6 * n)).decode())
+    extra = frame(spark, [(-1 - i, t, None) for i, t in enumerate(bad)]).select(*COLUMNS)
+    got = corpus_pipeline.identify_languages(spark, docs.unionByName(extra), "")
+    assert got.filter("doc_id < 0").count() == 0
+    assert clean.select("doc_id").subtract(got.select("doc_id")).count() == 0
+    assert got.filter("doc_id >= 0").count() == clean.count()
+    # Learnt without German, most German documents go.
+    unlearnt = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    kept = corpus_pipeline.identify_languages(spark, unlearnt, "").select("doc_id").join(docs, "doc_id")
+    by_lang = {r.lang: r["count"] for r in kept.groupBy("lang").count().collect()}
+    all_by = {r.lang: r["count"] for r in clean.groupBy("lang").count().collect()}
+    assert by_lang.get("de", 0) < 0.1 * all_by["de"]
+    assert all(by_lang[x] == n for x, n in all_by.items() if x != "de")
