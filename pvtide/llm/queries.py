@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +22,14 @@ from pvtide.llm import (
     sentencepiece_codec,
     sharding,
     source_mixing,
+    token_files,
     url_filter,
     winnowing,
 )
+from pvtide.llm.common import shared_folder
 
+# The tokenizer file of op13 (a path on the driver; its contents travel with the tasks).
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = 16
 SEED = 20_240_607
 # Rules of the URL filter: (action, host and path).
@@ -94,6 +99,12 @@ def q_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(documents(spark, sf_dir), license_scan.known_frame(spark))
 
 
+def q_token_files(spark, sf_dir):
+    path = shared_folder(spark, "token-files")
+    token_files.write_tokens(documents(spark, sf_dir), path, token_files.load_tokenizer(TOKENIZER), end_id=0)
+    return token_files.token_index(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": q_minhash_dedup,
     "op2_sharding": q_sharding,
@@ -105,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": q_url_filter,
     "op9_winnowing": q_winnowing,
     "op10_license_scan": q_license_scan,
+    "op13_token_files": q_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
