@@ -33,17 +33,22 @@ _SELECTOR = np.uint64(60)
 
 def _selectors(ids: np.ndarray, block_ids: int) -> np.ndarray:
     """For every position the selector of a word that begins there: the one
-    of most ids, all narrow enough and of the position's block."""
+    of most ids, all narrow enough and of the position's block. Where a code
+    of more ids fits, every code of fewer fits too, so each step looks only at
+    the positions that the step before has left."""
     n = len(ids)
-    at = np.arange(n, dtype=np.int32)
-    end = np.minimum((at // block_ids + 1) * np.int32(block_ids), n).astype(np.int32)
     best = np.full(n, ESCAPE, np.uint8)
-    # From one id in a word to the most: what fits later is the better.
+    left = np.arange(n)
     for selector in range(ESCAPE - 1, -1, -1):
         count, width = CODES[selector]
-        stop = np.where(ids >> np.uint64(width) != 0, at, end)  # at a wide id, or the block's end
-        np.minimum.accumulate(stop[::-1], out=stop[::-1])
-        best[np.minimum(stop, end) - at >= count] = selector
+        stop = np.minimum((left // block_ids + 1) * block_ids, n)
+        wide = np.flatnonzero(ids >> np.uint64(width))
+        if len(wide):  # no word reaches the next id that is too wide
+            stop = np.minimum(stop, np.append(wide, n)[np.searchsorted(wide, left)])
+        left = left[stop - left >= count]
+        if not len(left):
+            break
+        best[left] = selector
     return best
 
 

@@ -74,22 +74,28 @@ def _c_library():
 _libc = _c_library()
 
 
-def utf8_pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(first row, bytes, row offsets)`` of runs of rows of about PIECE_BYTES."""
+def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts (null: none), and where each row's begin and end."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = texts.fill_null("")
     texts = texts.cast(pa.large_binary())
     if len(texts) == 0:
-        return
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    first = 0
-    while first < len(texts):
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def utf8_pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(first row, bytes, row offsets)`` of runs of rows of about PIECE_BYTES."""
+    data, offsets = utf8_bytes(texts)
+    first, rows = 0, len(offsets) - 1
+    while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, side="right")) - 1
-        last = min(max(last, first + 1), len(texts))
+        last = min(max(last, first + 1), rows)
         yield first, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
         first = last
 

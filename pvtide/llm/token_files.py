@@ -14,15 +14,17 @@
    parts before its own (one row per part, summed in order), of the segments
    before, and of the documents before it in the segment.
 
-Encoding: with a byte-level vocabulary whose pattern never joins a blank to a
-visible character before it, a text may be cut in front of such a blank
-without changing its ids. So texts are cut there, and each distinct piece is
-encoded once per worker (a bounded cache); other tokenizers get whole texts.
+Encoding: a byte-level tokenizer's pattern never joins white space to a
+visible character before it, nor a punctuation mark to a letter or digit
+before it. So texts may be cut in such places without changing their ids
+(``_cuts``), and each distinct piece is encoded once per worker (a bounded
+cache). Other tokenizers get whole texts.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import zlib
@@ -38,13 +40,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pvtide.llm import simple8b
-from pvtide.llm.textkernels import freed
+from pvtide.llm.textkernels import freed, utf8_bytes
 
 SEGMENT_IDS = 1 << 18
 # Texts are encoded in groups of about this many bytes.
 GROUP_BYTES = 8 << 20
 # Pieces a worker remembers; it forgets all of them when there are more.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 2_000_000
 # Threads of the library in a task, unless RAYON_NUM_THREADS says otherwise.
 THREADS = "2"
 MAX_TOKENIZER_BYTES = 64 << 20
@@ -66,20 +68,52 @@ def load_tokenizer(path: str) -> str:
 
 # --- inside tasks ---------------------------------------------------------
 
-def _cuts_at_blanks(description: dict) -> bool:
-    """Whether ids never depend on what lies across a blank that follows a
-    visible character: a plain byte-level pattern and nothing before it."""
+def _takes_pieces(description: dict) -> bool:
+    """Whether texts may be cut as ``_cuts`` does: a plain byte-level pattern
+    and nothing before it."""
     before = description.get("pre_tokenizer") or {}
     return (description.get("normalizer") is None and before.get("type") == "ByteLevel"
-            and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-            and not any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
-                        for t in description.get("added_tokens", [])))
+            and before.get("use_regex", True) and not before.get("add_prefix_space", True))
 
 
-def _ends_in_space(piece: str) -> bool:
-    """Whether a blank after the piece may belong to it: it is empty, or its
-    last character is white space (or one that some tables count as such)."""
-    return not piece or piece[-1].isspace() or piece[-1] in "\u180e\u200b\ufeff"
+def _bytes_where(*spans: tuple[int, int]) -> np.ndarray:
+    table = np.zeros(256, bool)
+    for low, high in spans:
+        table[low:high + 1] = True
+    return table
+
+
+_SPACE = _bytes_where((0x09, 0x0D), (0x20, 0x20))
+_MARK = _bytes_where((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+# First bytes of characters that are never white space (two-byte ones from
+# U+00C0 on, most of the others), and of those that are always letters here.
+_VISIBLE = _bytes_where((0x21, 0x7E), (0xC3, 0xDF), (0xE0, 0xE0), (0xE4, 0xED), (0xF0, 0xF4))
+_LETTER = _bytes_where((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0xD0, 0xD1))
+
+
+def _cuts(data: np.ndarray, row_starts: np.ndarray) -> np.ndarray:
+    """Where pieces begin in UTF-8 bytes, rows' beginnings included:
+
+    - in front of ASCII white space that follows a visible character;
+    - in front of an ASCII mark that follows an ASCII letter or digit, a
+      Cyrillic letter, or a Latin letter of U+00C0 to U+00FF;
+    - behind a line feed between two visible characters.
+    """
+    cut = np.zeros(len(data) + 1, bool)
+    at = np.flatnonzero(_SPACE[data] | _MARK[data])
+    at = at[at > 0]
+    first = at - 1  # the first byte of the character in front
+    for _ in range(3):
+        first = np.where((data[first] & 0xC0 == 0x80) & (first > 0), first - 1, first)
+    lead, after = data[first], data[np.minimum(first + 1, len(data) - 1)]
+    latin = (lead == 0xC3) & (after != 0x97) & (after != 0xB7)  # not the signs for times and divided by
+    space = _SPACE[data[at]]
+    cut[at] = np.where(space, _VISIBLE[lead], _LETTER[lead] | latin)
+    line = at[space & (data[at] == 0x0A) & cut[at]] + 1
+    line = line[line < len(data)]
+    cut[line[_VISIBLE[data[line]]]] = True
+    cut[row_starts] = True
+    return np.flatnonzero(cut[:-1])
 
 
 class Encoder:
@@ -91,60 +125,55 @@ class Encoder:
 
         self.library = Tokenizer.from_str(description)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.in_pieces = _cuts_at_blanks(json.loads(description))
-        self.known: dict[str, list[int]] = {}
-
-    def _ids_of(self, pieces: list[str]) -> list[list[int]]:
-        known = self.known
-        new = list({p for p in pieces if p not in known})
-        if len(known) + len(new) > CACHED_PIECES:
-            known.clear()
-            new = list(set(pieces))
-        for start in range(0, len(new), 1 << 16):
-            some = new[start:start + (1 << 16)]
-            for piece, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = found.ids
-        return [known[p] for p in pieces]
+        self.in_pieces = _takes_pieces(json.loads(description))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ends, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [], []
+        for start in range(0, len(texts), 1 << 15):
+            found = [e.ids for e in self.library.encode_batch_fast(texts[start:start + (1 << 15)],
+                                                                   add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32),
+                np.concatenate(lengths) if lengths else np.zeros(0, np.int64))
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The places of distinct pieces among those known; new ones are added."""
+        found = pc.index_in(pieces, value_set=self.known)
+        if found.null_count:
+            new = pieces.filter(found.is_null())
+            if len(self.known) and len(self.known) + len(new) > CACHED_PIECES:
+                self._forget()
+                return self._numbers(pieces)
+            ids, lengths = self._encode(new.to_pylist())
+            numbers = len(self.known) + np.cumsum(found.is_null().to_numpy(zero_copy_only=False)) - 1
+            found = np.where(found.is_null().to_numpy(zero_copy_only=False), numbers,
+                             found.fill_null(0).to_numpy(zero_copy_only=False))
+            self.known = pa.concat_arrays([self.known, new])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+            self.flat = np.concatenate([self.flat, ids])
+            return found
+        return found.to_numpy(zero_copy_only=False)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls), and the number of each text's."""
         if not self.in_pieces:
-            found = [e.ids for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return (np.array([i for own in found for i in own], np.uint64),
-                    np.array([len(own) for own in found], np.int64))
-        lists = pc.split_pattern(texts, " ")
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        parts = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
-        bounds -= bounds[0]
-        coded = parts.dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        # A part begins a piece unless the part before it ends in white space.
-        open_ = np.array([_ends_in_space(w) for w in words], bool)
-        heads = np.zeros(len(codes), bool)
-        heads[bounds[:-1]] = True
-        begins = heads.copy()
-        begins[1:] |= ~open_[codes[:-1]]
-        starts = np.flatnonzero(begins)
-        ends = np.append(starts[1:], len(codes))
-        # A blank and one part is numbered as the part; other pieces come after.
-        number = codes[starts].astype(np.int64)
-        odd = np.flatnonzero(heads[starts] | (ends - starts > 1))
-        texts_of_odd = []
-        for a, b, head in zip(starts[odd].tolist(), ends[odd].tolist(), heads[starts[odd]].tolist(), strict=True):
-            joined = " ".join(words[c] for c in codes[a:b])
-            texts_of_odd.append(joined if head else " " + joined)
-        number[odd] = len(words) + np.arange(len(odd))
-        ids = self._ids_of([" " + w for w in words] + texts_of_odd)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for own in ids for i in own), np.uint64, int(lengths.sum()))
-        offsets = np.cumsum(lengths) - lengths
-        counts = lengths[number]
-        ends_at = np.cumsum(counts)
-        total = int(ends_at[-1]) if len(ends_at) else 0
-        out = flat[np.arange(total) + np.repeat(offsets[number] - (ends_at - counts), counts)]
-        upto = np.concatenate([[0], ends_at])
-        piece_bounds = np.searchsorted(starts, bounds)
-        return out, np.diff(upto[piece_bounds])
+            return self._encode(texts.to_pylist())
+        data, offsets = utf8_bytes(texts)
+        starts = _cuts(data, offsets[:-1][np.diff(offsets) > 0]) if len(data) else np.zeros(0, np.int64)
+        pieces = pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data))
+        coded = pieces.dictionary_encode()
+        number = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        begins, counts = self.ends[number], self.ends[number + 1] - self.ends[number]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        out = self.flat[np.arange(upto[-1]) + np.repeat(begins - upto[:-1], counts)]
+        return out, np.diff(upto[np.searchsorted(starts, offsets)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -171,7 +200,7 @@ def _segments(description: str, end_id: int | None):
             for low, high in _groups(sizes, GROUP_BYTES):
                 ids, lengths = encoder(texts.slice(low, high - low))
                 if end_id is not None:
-                    ids = np.insert(ids, np.cumsum(lengths), np.uint64(end_id))
+                    ids = np.insert(ids, np.cumsum(lengths), end_id)
                     lengths = lengths + 1
                 upto = np.concatenate([[0], np.cumsum(lengths)])
                 for a, b in _groups(lengths, SEGMENT_IDS):
