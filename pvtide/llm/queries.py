@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pvtide.llm import (
+    embedding_whitening,
     exact_dedup,
     language_id,
     license_scan,
@@ -99,6 +100,16 @@ def q_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(documents(spark, sf_dir), license_scan.known_frame(spark))
 
 
+def q_embedding_whitening(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = embedding_whitening.fit(table)
+    error = 0.0 if model is None else embedding_whitening.identity_error(table, model)
+    rows = embedding_whitening.whiten(table, model, keep=["vec_id"])
+    # Beyond 64 bits the exact value is in exact_deviation only.
+    return rows.select("vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened",
+                       "explained", F.lit(error).alias("identity_error"), F.col("deviation").alias("exact_deviation"))
+
+
 def q_token_files(spark, sf_dir):
     path = shared_folder(spark, "token-files")
     token_files.write_tokens(documents(spark, sf_dir), path, token_files.load_tokenizer(TOKENIZER), end_id=0)
@@ -116,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": q_url_filter,
     "op9_winnowing": q_winnowing,
     "op10_license_scan": q_license_scan,
+    "op11_embedding_whitening": q_embedding_whitening,
     "op13_token_files": q_token_files,
 }
 
