@@ -20,6 +20,7 @@ from pvtide.llm import (
     license_scan,
     minhash_dedup,
     quality_model,
+    ranked_search,
     sentencepiece_codec,
     sharding,
     source_mixing,
@@ -110,6 +111,10 @@ def q_embedding_whitening(spark, sf_dir):
                        "explained", F.lit(error).alias("identity_error"), F.col("deviation").alias("exact_deviation"))
 
 
+def q_ranked_search(spark, sf_dir):
+    return ranked_search.rank_documents(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
+
+
 def q_token_files(spark, sf_dir):
     path = shared_folder(spark, "token-files")
     token_files.write_tokens(documents(spark, sf_dir), path, token_files.load_tokenizer(TOKENIZER), end_id=0)
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_winnowing": q_winnowing,
     "op10_license_scan": q_license_scan,
     "op11_embedding_whitening": q_embedding_whitening,
+    "op12_ranked_search": q_ranked_search,
     "op13_token_files": q_token_files,
 }
 
@@ -137,4 +143,5 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window w as (partition by coalesce(text, ''))""",
     "op10_license_scan": license_scan.oracle_sql(),
+    "op12_ranked_search": ranked_search.oracle_sql(),
 }
