@@ -34,22 +34,25 @@ _SELECTOR = np.uint64(60)
 def _selectors(ids: np.ndarray, block_ids: int) -> np.ndarray:
     """For every position the selector of a word that begins there: the one
     of most ids, all narrow enough and of the position's block. Where a code
-    of more ids fits, every code of fewer fits too, so each step looks only at
-    the positions that the step before has left."""
+    of more ids fits, every code of fewer fits too, so the selector is the
+    escape's less the number of codes that fit."""
     n = len(ids)
-    best = np.full(n, ESCAPE, np.uint8)
-    left = np.arange(n)
-    for selector in range(ESCAPE - 1, -1, -1):
-        count, width = CODES[selector]
-        stop = np.minimum((left // block_ids + 1) * block_ids, n)
-        wide = np.flatnonzero(ids >> np.uint64(width))
-        if len(wide):  # no word reaches the next id that is too wide
-            stop = np.minimum(stop, np.append(wide, n)[np.searchsorted(wide, left)])
-        left = left[stop - left >= count]
-        if not len(left):
+    blocks = np.zeros((-(-n // block_ids), block_ids), np.uint64)
+    blocks.reshape(-1)[:n] = ids
+    given = np.arange(blocks.size).reshape(blocks.shape) < n
+    best = np.full(blocks.shape, ESCAPE, np.uint8)
+    for count, width in reversed(CODES):
+        # Whether the next ``count`` ids are narrow: windows of 1, 2, 4, ... that overlap.
+        window, have = (blocks < np.uint64(1 << width)) & given, 1
+        while have < count:
+            step = min(have, count - have)
+            window[:, :-step] &= window[:, step:]
+            window[:, -step:] = False
+            have += step
+        if not window.any():
             break
-        best[left] = selector
-    return best
+        best -= window.view(np.uint8)
+    return best.reshape(-1)[:n]
 
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:

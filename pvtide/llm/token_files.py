@@ -44,12 +44,16 @@ from pvtide.llm.textkernels import freed, utf8_bytes
 
 SEGMENT_IDS = 1 << 18
 # Texts are encoded in groups of about this many bytes.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 # Pieces a worker remembers; it forgets all of them when there are more.
-CACHED_PIECES = 2_000_000
+CACHED_PIECES = 1_500_000
 # Threads of the library in a task, unless RAYON_NUM_THREADS says otherwise.
 THREADS = "2"
 MAX_TOKENIZER_BYTES = 64 << 20
+# Pieces that may be encoded as lines of one text (at most a blank, then
+# visible ASCII and Latin letters), and lines in such a text.
+PLAIN = "^ ?[!-~\u00c0-\u024f]+$"
+LINES = 512
 
 SEGMENTS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("segment", T.IntegerType()),
@@ -85,6 +89,7 @@ def _bytes_where(*spans: tuple[int, int]) -> np.ndarray:
 
 _SPACE = _bytes_where((0x09, 0x0D), (0x20, 0x20))
 _MARK = _bytes_where((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+_BREAK = _SPACE | _MARK
 # First bytes of characters that are never white space (two-byte ones from
 # U+00C0 on, most of the others), and of those that are always letters here.
 _VISIBLE = _bytes_where((0x21, 0x7E), (0xC3, 0xDF), (0xE0, 0xE0), (0xE4, 0xED), (0xF0, 0xF4))
@@ -100,13 +105,17 @@ def _cuts(data: np.ndarray, row_starts: np.ndarray) -> np.ndarray:
     - behind a line feed between two visible characters.
     """
     cut = np.zeros(len(data) + 1, bool)
-    at = np.flatnonzero(_SPACE[data] | _MARK[data])
+    at = np.flatnonzero(_BREAK[data])
     at = at[at > 0]
-    first = at - 1  # the first byte of the character in front
+    lead = data[at - 1].copy()
+    latin = np.zeros(len(at), bool)
+    far = np.flatnonzero(lead >= 0x80)  # the character in front has several bytes: find its first
+    first = at[far] - 1
     for _ in range(3):
-        first = np.where((data[first] & 0xC0 == 0x80) & (first > 0), first - 1, first)
-    lead, after = data[first], data[np.minimum(first + 1, len(data) - 1)]
-    latin = (lead == 0xC3) & (after != 0x97) & (after != 0xB7)  # not the signs for times and divided by
+        first = first - ((data[first] & 0xC0 == 0x80) & (first > 0))
+    lead[far] = data[first]
+    second = data[first + 1]
+    latin[far] = (data[first] == 0xC3) & (second != 0x97) & (second != 0xB7)  # not the signs for times and divided by
     space = _SPACE[data[at]]
     cut[at] = np.where(space, _VISIBLE[lead], _LETTER[lead] | latin)
     line = at[space & (data[at] == 0x0A) & cut[at]] + 1
@@ -126,6 +135,8 @@ class Encoder:
         self.library = Tokenizer.from_str(description)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.in_pieces = _takes_pieces(json.loads(description))
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
@@ -133,14 +144,28 @@ class Encoder:
         self.ends, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, lengths = [], []
+        """Ids and lengths of texts that are encoded one by one."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for start in range(0, len(texts), 1 << 15):
             found = [e.ids for e in self.library.encode_batch_fast(texts[start:start + (1 << 15)],
                                                                    add_special_tokens=False)]
             lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
             ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
-        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32),
-                np.concatenate(lengths) if lengths else np.zeros(0, np.int64))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _encode_lines(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain pieces, as lines of longer texts: a line feed in
+        front of them, or behind, changes no ids and has an id of its own."""
+        strings = pieces.to_pylist()
+        lines = ["\n".join(strings[i:i + LINES]) for i in range(0, len(strings), LINES)]
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for found in self.library.encode_batch_fast(lines, add_special_tokens=False):
+            own = np.array(found.ids, np.uint32)
+            feeds = np.flatnonzero(own == self.feed)
+            lengths.append(np.diff(np.concatenate([[-1], feeds, [len(own)]])) - 1)
+            ids.append(own[own != self.feed])
+        ids, lengths = np.concatenate(ids), np.concatenate(lengths)
+        return (ids, lengths) if len(lengths) == len(pieces) else self._encode(strings)
 
     def _numbers(self, pieces: pa.Array) -> np.ndarray:
         """The places of distinct pieces among those known; new ones are added."""
@@ -150,14 +175,20 @@ class Encoder:
             if len(self.known) and len(self.known) + len(new) > CACHED_PIECES:
                 self._forget()
                 return self._numbers(pieces)
-            ids, lengths = self._encode(new.to_pylist())
-            numbers = len(self.known) + np.cumsum(found.is_null().to_numpy(zero_copy_only=False)) - 1
-            found = np.where(found.is_null().to_numpy(zero_copy_only=False), numbers,
-                             found.fill_null(0).to_numpy(zero_copy_only=False))
-            self.known = pa.concat_arrays([self.known, new])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-            self.flat = np.concatenate([self.flat, ids])
-            return found
+            plain = pc.match_substring_regex(new, PLAIN) if self.feed is not None else pa.array(np.zeros(len(new), bool))
+            parts = [(new.filter(plain), self._encode_lines), (new.filter(pc.invert(plain)), lambda x: self._encode(x.to_pylist()))]
+            for some, encode in parts:
+                ids, lengths = encode(some)
+                self.known = pa.concat_arrays([self.known, some])
+                self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+                self.flat = np.concatenate([self.flat, ids])
+            is_new, plain = found.is_null().to_numpy(zero_copy_only=False), plain.to_numpy(zero_copy_only=False)
+            numbers = np.empty(len(new), np.int64)
+            numbers[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = \
+                np.arange(len(self.known) - len(new), len(self.known))
+            out = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            out[is_new] = numbers
+            return out
         return found.to_numpy(zero_copy_only=False)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,11 +200,15 @@ class Encoder:
         pieces = pa.LargeStringArray.from_buffers(
             len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data))
         coded = pieces.dictionary_encode()
-        number = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
-        begins, counts = self.ends[number], self.ends[number + 1] - self.ends[number]
+        number = self._numbers(coded.dictionary)
+        begins, lengths = self.ends[number], self.ends[number + 1] - self.ends[number]
+        codes = coded.indices.to_numpy()
+        counts = lengths[codes]
         upto = np.concatenate([[0], np.cumsum(counts)])
-        out = self.flat[np.arange(upto[-1]) + np.repeat(begins - upto[:-1], counts)]
-        return out, np.diff(upto[np.searchsorted(starts, offsets)])
+        kind = np.int32 if max(upto[-1], len(self.flat)) < 1 << 31 else np.int64
+        at = np.repeat((begins[codes] - upto[:-1]).astype(kind), counts)
+        at += np.arange(upto[-1], dtype=kind)
+        return self.flat[at], np.diff(upto[np.searchsorted(starts, offsets)])
 
 
 @functools.lru_cache(maxsize=2)
