@@ -35,6 +35,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").alias(name) for name, src in columns.items()])
 
 
+def orderable_columns(df: DataFrame) -> list[str]:
+    """Names of the columns that Spark can order by."""
+    return [f.name for f in df.schema.fields
+            if not any(word in f.dataType.simpleString() for word in ("map<", "variant", "void"))]
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

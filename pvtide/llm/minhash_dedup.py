@@ -13,16 +13,24 @@ The plan, in tables of the shared folder:
 1. Signatures are computed where a text is read; equal texts collapse to one
    representative, so copies cost nothing further.
 2. Bands of registers form buckets. Every text of a bucket is compared with
-   one leader, not with every other text; verified links give components.
-3. Only buckets that still hold texts of several components are looked at
-   again: their texts outside the bucket's largest component meet the texts
-   of other components. Inside that join, pairs are dropped whose signatures
-   differ too much (by more than four standard deviations), and pairs that
-   hold too many shingles found in no other open text to be similar (an
-   exact bound). So no pair of a bucket is lost, none is listed that the
-   components have settled, and a crowd of texts around a common one, each
-   with changes of its own, does not make a square of pairs.
-4. Verification computes J_P exactly from the shingle sets.
+   its leader, the text whose buckets are largest: amid a crowd of edited
+   copies that is one near the original. Verified links give components.
+3. Rounds: in each bucket that still holds several components, a few texts
+   outside the largest become leaders of the others, until no link is found.
+4. What is still open is settled exactly. In buckets of a few texts all
+   pairs across components are compared. The texts of larger ones meet by an
+   equi-join on rare shingles: if two sets reach the threshold, then each has
+   in the other one of its rarest shingles, as many of them as it could do
+   without given both sizes (``_prefixes``). Shingles that no other text has
+   fill most of such a prefix, so a crowd around a common text, each with
+   changes of its own, does not meet as a square of pairs.
+5. Verification computes J_P exactly from the shingle sets, which are built
+   once for all texts that share a bucket.
+
+Recall: two texts of similarity 0.8 share a bucket with probability
+1 - (1 - 0.8^6)^32 = 0.99994, more similar ones almost surely. Before pairs
+of a bucket are verified, signatures that differ by more than six standard
+deviations are dropped (below 1e-7 at the threshold); the prefixes are exact.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pvtide.llm.common import stored
+from pvtide.llm.common import orderable_columns, stored
 from pvtide.llm.textkernels import freed, mix64, shingle_hashes, utf8_pieces, word_hashes
 
 SHINGLE_WORDS = 5
@@ -44,8 +52,16 @@ SIMILARITY = 0.8
 BANDS = 32
 BAND_ROWS = 6
 REGISTERS = BANDS * BAND_ROWS  # 192: three 64-bit words per bit plane
-# Ids of texts to verify are broadcast up to this many rows (24 bytes each).
+# Ids of texts to verify are broadcast up to this many rows (32 bytes each).
 BROADCAST_ROWS = 500_000
+# Standard deviations by which the signatures of a pair to verify may differ.
+DEVIATIONS = 6
+# New leaders of a bucket in a later round.
+LEADERS = 4
+# All pairs of components are compared in buckets of up to so many texts.
+SMALL_BUCKET = 8
+# Sizes of partners are told apart in classes of 3 %, mean weights in classes of 10 %.
+SIZE_STEP, WEIGHT_STEP = 1.03, 1.1
 
 
 # --- inside tasks ---------------------------------------------------------
@@ -175,10 +191,67 @@ def _verify(threshold: float):
     return run
 
 
+def _odds(outside, mass):
+    """a / (1 - a) of the share a of a mass that lies outside."""
+    return outside / np.maximum(mass - outside, 1e-9)
+
+
+def prefix_lengths(n: int, mass: float, weights: np.ndarray, partner_n: np.ndarray, partner_mass: np.ndarray,
+                   similarity: float) -> np.ndarray:
+    """How many of a set's elements (``weights`` in their order) make up its
+    prefix against partners of at least ``partner_n`` elements and at most
+    ``partner_mass``: a partner that has none of them is not similar.
+
+    With shares a and b of the two masses outside the other set,
+    ``J_P <= 1 / (1 + a/(1-a) + b/(1-b))``. If the first q elements are
+    outside, so is their mass, and of the partner all but ``n - q`` elements
+    (weights are 1 at least). An element belongs to the prefix while those
+    before it alone do not bring the bound below the threshold.
+    """
+    before = np.concatenate([[0.0], np.cumsum(weights, dtype=np.float64)[:-1]])
+    rest = np.maximum(0, partner_n[:, None] - n + np.arange(len(weights)))
+    total = _odds(before, mass) + _odds(rest, partner_mass[:, None])
+    return (total <= 1 / similarity - 1 + 1e-5).sum(axis=1)
+
+
+def _prefixes(partners: list[tuple[int, int, float]], similarity: float):
+    """Of every set: the elements of its prefix for each class of partners.
+    Its private elements come first in the order; they fill the prefix, but
+    can meet nothing, so only the others are returned."""
+    code, least_n, most_mass = (np.array(x) for x in zip(*partners, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            for i in range(batch.num_rows):
+                node, own_class, n, mass, own_n, own_mass = (batch.column(c)[i].as_py() for c in range(6))
+                shared = batch.column(6)[i].values
+                if shared is None or not len(shared):
+                    continue
+                weights = shared.field("w").to_numpy().astype(np.float64)
+                elements = shared.field("element").to_numpy()
+                private = np.full(own_n, own_mass / max(1, own_n))
+                lengths = prefix_lengths(n, mass, np.concatenate([private, weights]), least_n, most_mass, similarity) - own_n
+                some = np.flatnonzero(lengths > 0)
+                if not len(some):
+                    continue
+                counts = lengths[some]
+                at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(elements[at]), pa.array(np.full(len(at), own_class)), pa.array(np.repeat(code[some], counts)),
+                     pa.array(np.full(len(at), node))], names=["element", "own", "partner", "node"])
+    return run
+
+
 # --- on Spark ---------------------------------------------------------------
 
 def _digest(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    """MD5 and a second hash of the text: rows that agree in both are copies."""
+    text = F.coalesce(text, F.lit(""))
+    return F.unhex(F.concat(F.md5(text.cast("binary")), F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
+
+
+def _md5(digest) -> Column:
+    return F.lower(F.substring(F.hex(digest), 1, 32))
 
 
 def _mismatches(a: Column, b: Column) -> Column:
@@ -195,10 +268,10 @@ def _mismatches(a: Column, b: Column) -> Column:
 
 
 def max_mismatches(similarity: float) -> int:
-    """Registers that may differ in a pair to verify: four standard
+    """Registers that may differ in a pair to verify: six standard
     deviations more than expected at the threshold."""
     spread = math.sqrt(similarity * (1 - similarity) / REGISTERS)
-    return math.ceil(REGISTERS * (1 - similarity + 4 * spread))
+    return math.ceil(REGISTERS * (1 - similarity + DEVIATIONS * spread))
 
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
@@ -246,30 +319,87 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, name: str) ->
     return stored(joined.mapInArrow(_verify(threshold), "a long, b long, similarity double"), f"{name}-links")
 
 
-def _private_shares(sets: DataFrame) -> DataFrame:
-    """``node, n, mass, own_n, own_mass``: size and weight of each set, and of
-    the shingles that no other of the given sets holds."""
-    items = sets.select("node", F.explode(F.arrays_zip("elements", "weights")).alias("e"))
-    own = (items.groupBy(F.col("e.elements").alias("element"))
-           .agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node"), F.min("e.weights").alias("w"))
-           .filter("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own_n"), F.sum("w").alias("own_mass")))
-    mass = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
-    sizes = sets.select("node", F.size("elements").alias("n"), mass.alias("mass"))
-    return sizes.join(own, "node", "left").fillna(0, ["own_n", "own_mass"])
-
-
-def _may_be_similar(threshold: float) -> Column:
-    """Whether an upper bound of J_P of sets x and y reaches the threshold.
-
-    With shares a and b of the two masses outside the other set,
-    ``J_P <= 1 / (1 + a/(1-a) + b/(1-b))``. Outside lie at least a set's own
-    shingles, and as many as it has more than the other can share (weights
-    are 1 at least).
-    """
-    out_x = F.greatest(F.col("x_own_mass"), (F.col("x_n") - F.col("y_n") + F.col("y_own_n")).cast("double"))
-    out_y = F.greatest(F.col("y_own_mass"), (F.col("y_n") - F.col("x_n") + F.col("x_own_n")).cast("double"))
-    odds = [out / F.greatest(F.col(mass) - out, F.lit(1e-9)) for out, mass in ((out_x, "x_mass"), (out_y, "y_mass"))]
-    return F.lit(1.0) / (F.lit(1.0) + odds[0] + odds[1]) >= F.lit(threshold - 1e-5)
+def _linked(pairs: DataFrame, labels: DataFrame, planes: DataFrame, sets: DataFrame, similarity: float,
+            name: str, filtered: bool = True) -> tuple[DataFrame, int]:
+    """``labels`` (node, root) after joining the components that similar pairs
+    (a, b) connect, and the number of links. Only the links between roots
+    take part in the components, each once."""
+    if filtered:
+        pairs = (pairs.join(planes.withColumnsRenamed({"node": "a", "planes": "pa"}), "a")
+                 .join(planes.withColumnsRenamed({"node": "b", "planes": "pb"}), "b")
+                 .filter(_mismatches(F.col("pa"), F.col("pb")) <= max_mismatches(similarity)).select("a", "b"))
+    links = _verified(stored(pairs, f"{name}-pairs"), sets, similarity, name)
+    found = links.count()
+    if not found:
+        return labels, 0
+    edges = (links.select("a", "b").join(labels.withColumnsRenamed({"node": "a", "root": "ra"}), "a")
+             .join(labels.withColumnsRenamed({"node": "b", "root": "rb"}), "b")
+             .filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    roots = connected_components(edges, name).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    labels = labels.join(roots, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return stored(labels, f"{name}-components"), found
+
+
+def _open(shared: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """``band, node, score, root, main, n`` of buckets that hold several
+    components; main is the one of most texts."""
+    placed = shared.join(labels, "node")
+    sizes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"),
+                                       F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"))
+             .filter("roots > 1").select("band", "main", "n"))
+    return stored(placed.join(mixed, "band"), name)
+
+
+def _new_pairs(leaders: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs of the leaders (band, leader, its root) and the texts of other
+    components in their buckets."""
+    return (open_.join(leaders, "band").filter("root != leader_root")
+            .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+
+
+def _rare_pairs(open_: DataFrame, sets: DataFrame, similarity: float, name: str) -> DataFrame:
+    """Pairs of texts of different components, one of them outside its
+    bucket's main one, that share an element of both prefixes."""
+    nodes = open_.groupBy("node").agg(F.max(F.col("root") != F.col("main")).alias("outside"), F.first("root").alias("root"))
+    own = stored(sets.join(nodes, "node"), f"{name}-sets")
+    items = own.select("node", F.explode(F.arrays_zip("elements", "weights")).alias("e")).select(
+        "node", F.col("e.elements").alias("element"), F.col("e.weights").alias("w"))
+    held = items.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
+    common = (items.join(held.filter("df > 1"), "element").groupBy("node")
+              .agg(F.array_sort(F.collect_list(F.struct("df", "element", "w"))).alias("shared")))
+    weight_of = lambda array, get: F.aggregate(array, F.lit(0.0), lambda a, x: a + get(x))
+    described = own.select("node", "root", "outside", F.size("elements").cast("long").alias("n"),
+                           weight_of("weights", lambda w: w.cast("double")).alias("mass"))
+    size_class = F.floor(F.log("n") / math.log(SIZE_STEP)) * 1024 + F.floor(F.log(F.col("mass") / F.col("n")) / math.log(WEIGHT_STEP))
+    shared_n = F.coalesce(F.size("shared"), F.lit(0))
+    shared_mass = F.coalesce(weight_of("shared", lambda x: x["w"].cast("double")), F.lit(0.0))
+    texts = stored(described.withColumn("class", size_class.cast("long")).join(common, "node", "left")
+                   .withColumns({"own_n": (F.col("n") - shared_n).cast("int"),
+                                 "own_mass": F.greatest(F.col("mass") - shared_mass, F.lit(0.0))}), f"{name}-rare")
+    # Classes are bounded by their steps: some thousand rows at most.
+    classes = texts.groupBy("class", "outside").agg(F.min("n"), F.max("mass")).collect()
+    columns = ["node", "class", "n", "mass", "own_n", "own_mass", "shared"]
+    schema = "element long, own long, partner long, node long"
+
+    def prefixes(of: DataFrame, partners: list) -> DataFrame:
+        named = {}
+        for kind, _, least, most in partners:
+            old = named.get(kind, (least, most))
+            named[kind] = (min(least, old[0]), max(most, old[1]))
+        found = of.select(*columns).mapInArrow(_prefixes([(k, *v) for k, v in named.items()], similarity), schema)
+        return found.join(texts.select("node", "root", "outside"), "node")
+
+    outside = [c for c in classes if c["outside"]]
+    if not outside:
+        return open_.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    x = prefixes(texts.filter("outside"), classes)
+    y = prefixes(texts, outside).withColumnsRenamed({"own": "y_own", "partner": "y_partner", "node": "y", "root": "y_root",
+                                                     "outside": "y_outside", "element": "y_element"})
+    met = x.join(y, (F.col("element") == F.col("y_element")) & (F.col("own") == F.col("y_partner"))
+                 & (F.col("partner") == F.col("y_own")) & (F.col("root") != F.col("y_root"))
+                 & (~F.col("y_outside") | (F.col("node") < F.col("y"))))
+    return met.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -294,44 +424,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stored(signed.groupBy("digest").agg(
         F.min("id").alias("rep_id"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
         .withColumn("node", F.monotonically_increasing_id()), "minhash-reps")
-    planes = reps.select("node", "planes")
 
     members = reps.select("node", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(members.join(buckets.select("band", "leader"), "band"), "minhash-buckets")
-
-    limit = max_mismatches(similarity)
-    leaders = shared.filter("node != leader").groupBy("node").agg(F.min("leader").alias("leader"))
-    led = (leaders.join(planes, "node")
-           .join(planes.withColumnsRenamed({"node": "leader", "planes": "leader_planes"}), "leader")
-           .filter(_mismatches(F.col("planes"), F.col("leader_planes")) <= limit)
-           .select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    led = stored(led, "minhash-first-pairs")
-    ends = led.select(F.col("a").alias("node")).union(led.select("b"))
-    links = _verified(led, _sets_of(texts, reps, ends, "minhash-first"), similarity, "minhash-first")
-    roots = connected_components(links, "minhash-first")
-
-    placed = (shared.join(roots, "node", "left")
-              .select("band", "node", F.coalesce("root", "node").alias("root")))
-    sizes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"),
-                                       F.count(F.lit(1)).alias("roots"))
-             .filter("roots > 1").select("band", "main"))
-    open_ = stored(placed.join(mixed, "band"), "minhash-open")
-    sets = _sets_of(texts, reps, open_.select("node"), "minhash-second")
-    known = stored(_private_shares(sets).join(planes, "node"), "minhash-shares")
-    open_ = open_.join(known, "node").withColumnRenamed("node", "id")
-    named = lambda side: {c: f"{side}_{c}" for c in known.columns[1:] + ["root"]} | {"id": side}
-    outside = open_.filter("root != main").withColumnsRenamed(named("x"))
-    other = open_.withColumn("inside", F.col("root") == F.col("main")).drop("main").withColumnsRenamed(named("y"))
-    pairs = (outside.join(other, (outside["band"] == other["band"]) & (outside["x_root"] != other["y_root"])
-                          & (other["inside"] | (outside["x"] < other["y"]))
-                          & _may_be_similar(similarity)
-                          & (_mismatches(outside["x_planes"], other["y_planes"]) <= limit))
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    more = _verified(stored(pairs, "minhash-second-pairs"), sets, similarity, "minhash-second")
-    links = links.select("a", "b").union(more.select("a", "b")).distinct()
-    roots = connected_components(links, "minhash-all")
+    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = members.join(buckets, "band")
+    scores = met.groupBy("node").agg(F.sum("n").alias("score"))
+    shared = stored(met.select("node", "band").join(scores, "node"), "minhash-buckets")
+    labels = stored(scores.select("node", F.col("node").alias("root")), "minhash-components")
+    planes = reps.select("node", "planes")
+    sets = _sets_of(texts, reps, labels.select("node"), "minhash")
+
+    central = F.struct("score", "node")
+    leaders = shared.groupBy("band").agg(F.max_by("node", central).alias("leader"))
+    pairs = (shared.join(leaders, "band").filter("node != leader")
+             .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    labels, found = _linked(pairs, labels, planes, sets, similarity, "minhash-first")
+
+    round_no = 1
+    while found:  # every round joins components or is the last
+        open_ = _open(shared, labels, "minhash-open")
+        # The most central text outside the main component, and some drawn by hash.
+        drawn = F.xxhash64("node", F.lit(round_no))
+        outside = open_.filter("root != main")
+        one = outside.groupBy("band").agg(F.max_by(F.struct("node", "root"), central).alias("l")).select("band", "l.*")
+        first = Window.partitionBy("band").orderBy(drawn, "node")
+        some = (outside.withColumn("place", F.row_number().over(first)).filter(F.col("place") < LEADERS)
+                .select("band", "node", "root"))
+        leaders = one.union(some).select("band", F.col("node").alias("leader"), F.col("root").alias("leader_root")).distinct()
+        labels, found = _linked(_new_pairs(leaders, open_), labels, planes, sets, similarity, f"minhash-round-{round_no}")
+        round_no += 1
+
+    open_ = _open(shared, labels, "minhash-rest")
+    few, many = open_.filter(F.col("n") <= SMALL_BUCKET), open_.filter(F.col("n") > SMALL_BUCKET)
+    leaders = few.filter("root != main").select("band", F.col("node").alias("leader"), F.col("root").alias("leader_root"))
+    labels, _ = _linked(_new_pairs(leaders, few), labels, planes, sets, similarity, "minhash-few")
+    roots, _ = _linked(_rare_pairs(many, sets, similarity, "minhash-many"), labels, planes, sets, similarity,
+                       "minhash-many", filtered=False)
 
     classed = (reps.select("node", "digest", "rep_id").join(roots, "node", "left")
                .withColumn("root", F.coalesce("root", "node")))
@@ -340,22 +468,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min_by("digest", F.struct(F.col("rep_id").isNull(), "rep_id", "digest")).alias("class_digest"))
     by_text = classed.join(named, "root").select("digest", "class_id", "class_digest")
     return (texts.select("id", "digest").join(by_text, "digest")
-            .select(F.col("id").alias("doc_id"), "class_id", F.lower(F.hex("digest")).alias("digest"),
-                    F.lower(F.hex("class_digest")).alias("class_digest")))
+            .select(F.col("id").alias("doc_id"), "class_id", _md5("digest").alias("digest"),
+                    _md5("class_digest").alias("class_digest")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          similarity: float = SIMILARITY) -> DataFrame:
     """The rows that stay: of each near-duplicate class the row with the
-    smallest id (one of them if that row is repeated), columns unchanged."""
+    smallest id, columns unchanged. Rows that tie on id and text are ordered
+    by their other columns of orderable type (nulls first), and the first
+    stays, so reruns keep the same row."""
     classes = near_duplicates(docs, id_col, text_col, similarity)
     keep = (classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest")))
             .select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("k"), F.col("doc_id").isNull().alias("k_null"),
                     F.col("digest").alias("d")))
     text, key = F.col("record").getField(text_col), F.col("record").getField(id_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
-    rows = rows.select("record", F.coalesce(key, F.lit(0).cast("long")).alias("k"), key.isNull().alias("k_null"),
-                       F.lower(F.hex(_digest(text))).alias("d"))
-    one = Window.partitionBy("k", "k_null", "d").orderBy("k")
-    return (rows.join(keep, ["k", "k_null", "d"], "left_semi")
-            .withColumn("n", F.row_number().over(one)).filter("n = 1").select("record.*"))
+    order = F.struct(*[F.col(f"`{c}`") for c in orderable_columns(docs)])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), order.alias("order"))
+    rows = rows.select("record", "order", F.coalesce(key, F.lit(0).cast("long")).alias("k"), key.isNull().alias("k_null"),
+                       _md5(_digest(text)).alias("d"))
+    # Repeats of a row combine before they are shuffled.
+    return (rows.join(keep, ["k", "k_null", "d"], "left_semi").groupBy("k", "k_null", "d")
+            .agg(F.min_by("record", "order").alias("record")).select("record.*"))

@@ -8,7 +8,9 @@ import pyarrow as pa
 from helpers import AWKWARD, edited, frame, words
 
 from pvtide.llm import minhash_dedup as near
+from pvtide.llm import queries
 from pvtide.llm import textkernels as kernels
+from pvtide.llm.common import stored as stored_as_is
 
 
 def shingles(text):
@@ -150,17 +152,78 @@ def test_one_document_of_each_class_stays(spark):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
-def test_bound_is_never_below_the_similarity(spark):
-    """The bound by which the second round drops pairs, on sets whose private
-    shingles are private to the pair."""
+def test_similar_sets_meet_in_their_prefixes():
+    """Any two similar sets share an element of both prefixes, in any order of
+    the elements; partners are known by a least size and a largest mass."""
     rng = np.random.default_rng(4)
-    for _ in range(200):
-        n = rng.integers(1, 30)
+    similar = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 40))
         shared = rng.choice(1000, n, replace=False)
-        a = {int(k): 1 + math.log(rng.integers(1, 4)) for k in [*shared, *range(2000, 2000 + rng.integers(0, 12))]}
-        b = {int(k): 1 + math.log(rng.integers(1, 4)) for k in [*shared, *range(3000, 3000 + rng.integers(0, 12))]}
-        exact = near.probability_jaccard(*[f(s) for s in (a, b) for f in (
-            lambda s: np.array(sorted(s), np.uint64), lambda s: np.array([s[k] for k in sorted(s)]))])
-        own = [sum(w for k, w in s.items() if k >= 2000) for s in (a, b)]
-        odds = [o / max(sum(s.values()) - o, 1e-9) for o, s in zip(own, (a, b), strict=True)]
-        assert exact <= 1 / (1 + sum(odds)) + 1e-9
+        a, b = ({int(k): 1 + math.log(rng.integers(1, 4)) for k in [*shared, *range(low, low + rng.integers(0, n // 5 + 2))]}
+                for low in (2000, 3000))
+        for k in shared:
+            b[int(k)] = a[int(k)] if rng.random() < 0.9 else b[int(k)]
+        arrays = [(np.array(sorted(s), np.uint64), np.array([s[k] for k in sorted(s)])) for s in (a, b)]
+        if near.probability_jaccard(*arrays[0], *arrays[1]) < 0.8:
+            continue
+        similar += 1
+        place = {k: rng.random() for k in {**a, **b}}
+        prefixes = []
+        for own, other in ((a, b), (b, a)):
+            order = sorted(own, key=place.get)
+            length = near.prefix_lengths(len(own), sum(own.values()), np.array([own[k] for k in order]),
+                                         np.array([len(other) - int(rng.integers(0, 2))]),
+                                         np.array([sum(other.values()) * (1 + 0.1 * rng.random())]), 0.8)[0]
+            prefixes.append(set(order[:length]))
+        assert prefixes[0] & prefixes[1]
+    assert similar > 200
+
+
+def crowd(n, seed=0):
+    """Edited copies of one text; most pairs of them are not similar, all share buckets."""
+    base = words(150, 77)
+    return [(i, edited(base, 0.0015 * (i % 25), seed=seed + i)) for i in range(n)]
+
+
+def test_a_crowd_does_not_make_a_square_of_pairs(spark, monkeypatch):
+    counts = []
+    for n in (300, 600):
+        made = []
+
+        def counted(df, name, made=made):
+            out = stored_as_is(df, name)
+            if name.endswith("-pairs"):
+                made.append(out.count())
+            return out
+
+        monkeypatch.setattr(near, "stored", counted)
+        rows = crowd(n)
+        got = near.near_duplicates(frame(spark, rows)).collect()
+        assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute_classes(rows)
+        counts.append(sum(made))
+    assert counts[1] <= 2.5 * counts[0] and counts[1] < 25 * 600  # of 179,700
+
+
+def test_clusters_that_share_buckets_need_further_rounds(spark):
+    """Two families in the same buckets, one less central than the other, and
+    single texts between them."""
+    base = words(150, 5)
+    other = edited(base, 0.05, seed=3)
+    rows = [(i, edited(base, 0.004, seed=i)) for i in range(60)] + [(100 + i, edited(other, 0.004, seed=i)) for i in range(40)]
+    rows += [(200 + i, edited(base, 0.03, seed=900 + i)) for i in range(60)]
+    got = near.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute_classes(rows)
+
+
+def test_kept_row_of_repeats_is_defined(spark):
+    rows = [(1, "a b c d e f g", "en", s) for s in ("z", "a", None, "m")] + [(2, "a b c d e f g", "en", "a")]
+    for parts in (1, 3):
+        kept = near.drop_near_duplicates(frame(spark, rows).repartition(parts)).collect()
+        assert [(r.doc_id, r.source) for r in kept] == [(1, None)]
+
+
+def test_classes_of_all_documents_match_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = queries.QUERIES["op1_minhash_dedup"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute_classes(rows)
