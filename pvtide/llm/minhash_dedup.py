@@ -214,23 +214,24 @@ def prefix_lengths(n: int, mass: float, weights: np.ndarray, partner_n: np.ndarr
     return (total <= 1 / similarity - 1 + 1e-5).sum(axis=1)
 
 
-def _prefixes(partners: list[tuple[int, int, float]], similarity: float):
-    """Of every set: the elements of its prefix for each class of partners.
-    Its private elements come first in the order; they fill the prefix, but
-    can meet nothing, so only the others are returned."""
-    code, least_n, most_mass = (np.array(x) for x in zip(*partners, strict=True))
-
+def _prefixes(bounds: dict[int, tuple[int, float]], similarity: float):
+    """Of every set: the elements of its prefix for each of its classes of
+    partners, whose least size and largest mass are in ``bounds``. Private
+    elements come first in the order; they fill the prefix, but can meet
+    nothing, so only the others are returned."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in freed(batches):
             for i in range(batch.num_rows):
-                node, own_class, n, mass, own_n, own_mass = (batch.column(c)[i].as_py() for c in range(6))
-                shared = batch.column(6)[i].values
-                if shared is None or not len(shared):
+                node, own_class, n, mass, own_n, own_mass, partners = (batch.column(c)[i].as_py() for c in range(7))
+                shared = batch.column(7)[i].values
+                if shared is None or not partners:
                     continue
-                weights = shared.field("w").to_numpy().astype(np.float64)
+                code = np.array(partners)
+                least_n, most_mass = np.array([bounds[c] for c in partners]).T
+                weights = np.concatenate([np.full(own_n, own_mass / max(1, own_n)),
+                                          shared.field("w").to_numpy().astype(np.float64)])
                 elements = shared.field("element").to_numpy()
-                private = np.full(own_n, own_mass / max(1, own_n))
-                lengths = prefix_lengths(n, mass, np.concatenate([private, weights]), least_n, most_mass, similarity) - own_n
+                lengths = prefix_lengths(n, mass, weights, least_n, most_mass, similarity) - own_n
                 some = np.flatnonzero(lengths > 0)
                 if not len(some):
                     continue
@@ -378,24 +379,24 @@ def _rare_pairs(open_: DataFrame, sets: DataFrame, similarity: float, name: str)
                    .withColumns({"own_n": (F.col("n") - shared_n).cast("int"),
                                  "own_mass": F.greatest(F.col("mass") - shared_mass, F.lit(0.0))}), f"{name}-rare")
     # Classes are bounded by their steps: some thousand rows at most.
-    classes = texts.groupBy("class", "outside").agg(F.min("n"), F.max("mass")).collect()
-    columns = ["node", "class", "n", "mass", "own_n", "own_mass", "shared"]
-    schema = "element long, own long, partner long, node long"
-
-    def prefixes(of: DataFrame, partners: list) -> DataFrame:
-        named = {}
-        for kind, _, least, most in partners:
-            old = named.get(kind, (least, most))
-            named[kind] = (min(least, old[0]), max(most, old[1]))
-        found = of.select(*columns).mapInArrow(_prefixes([(k, *v) for k, v in named.items()], similarity), schema)
+    bounds = {r[0]: (r[1], r[2]) for r in texts.groupBy("class").agg(F.min("n"), F.max("mass")).collect()}
+    # Partners of a text are those of its buckets.
+    kinds = (open_.select("band", "node").join(texts.select("node", "class", "outside"), "node")
+             .groupBy("band").agg(F.collect_set("class").alias("any"),
+                                  F.collect_set(F.when(F.col("outside"), F.col("class"))).alias("out")))
+    partners = (open_.select("band", "node").join(kinds, "band").groupBy("node")
+                .agg(F.array_distinct(F.flatten(F.collect_set("any"))).alias("any"),
+                     F.array_distinct(F.flatten(F.collect_set("out"))).alias("out")))
+    texts = stored(texts.join(partners, "node"), f"{name}-partners")
+
+    def prefixes(of: DataFrame, which: str) -> DataFrame:
+        found = (of.select("node", "class", "n", "mass", "own_n", "own_mass", which, "shared")
+                 .mapInArrow(_prefixes(bounds, similarity), "element long, own long, partner long, node long"))
         return found.join(texts.select("node", "root", "outside"), "node")
 
-    outside = [c for c in classes if c["outside"]]
-    if not outside:
-        return open_.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    x = prefixes(texts.filter("outside"), classes)
-    y = prefixes(texts, outside).withColumnsRenamed({"own": "y_own", "partner": "y_partner", "node": "y", "root": "y_root",
-                                                     "outside": "y_outside", "element": "y_element"})
+    x = prefixes(texts.filter("outside"), "any")
+    y = prefixes(texts, "out").withColumnsRenamed({"own": "y_own", "partner": "y_partner", "node": "y", "root": "y_root",
+                                                   "outside": "y_outside", "element": "y_element"})
     met = x.join(y, (F.col("element") == F.col("y_element")) & (F.col("own") == F.col("y_partner"))
                  & (F.col("partner") == F.col("y_own")) & (F.col("root") != F.col("y_root"))
                  & (~F.col("y_outside") | (F.col("node") < F.col("y"))))
