@@ -7,7 +7,7 @@ the row-group statistics can skip time ranges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pvtide.functions.nan import not_nan
@@ -76,20 +76,25 @@ def estimated_partitions(df: DataFrame) -> int | None:
 
 def write_sorted_months(df: DataFrame, path: str, mode: str = "errorifexists",
                         num_partitions: int | None = None, one_file: bool = False,
-                        row_group_bytes: int | None = None, keep_keys: bool = False) -> None:
+                        row_group_bytes: int | None = None, keep_keys: bool = False,
+                        observation: Observation | None = None) -> None:
     """Write readings as sorted month partitions.
 
     ``mode="overwrite"`` replaces only the months present in df. Never write onto the folder
     being read: write a new root and switch over. ``row_group_bytes`` sets
     the Parquet row-group size: smaller groups hold fewer systems each, so
     a window fetch on the sorted files skips more of them by their min/max.
-    ``keep_keys`` files every row under the keys it carries.
+    ``keep_keys`` files every row under the keys it carries. ``observation``
+    gets ``rows`` and an order-free ``checksum`` of ids and times, taken by the
+    tasks that write (behind the shuffle, so sampling for ranges does not count).
 
     Zone-aware times need ``spark.sql.parquet.outputTimestampType`` other
     than INT96 (no statistics); ``build_session`` sets it.
     """
     require_time_statistics(df)
     arranged = sorted_month_frame(df, num_partitions, one_file, keep_keys)
+    if observation is not None:
+        arranged = arranged.observe(observation, F.count(F.lit(1)).alias("rows"), key_checksum().alias("checksum"))
     cols = [c for c in df.columns if c not in (YEAR, MONTH)]
     writer = arranged.select(*cols, YEAR, F.col("_month_dir").alias(MONTH)).write.mode(mode)
     if mode == "overwrite":
@@ -99,6 +104,12 @@ def write_sorted_months(df: DataFrame, path: str, mode: str = "errorifexists",
     writer.partitionBy(YEAR, MONTH).parquet(path)
 
 
+def key_checksum() -> Column:
+    """A checksum of ids and times that does not depend on the rows' order."""
+    total = F.sum(F.xxhash64(SS_ID, TS).cast("decimal(20,0)"))
+    return F.coalesce(total, F.lit(0).cast("decimal(30,0)")).cast("string")
+
+
 def require_time_statistics(df: DataFrame) -> None:
     """Raise if the session would write df's times as INT96, without min/max."""
     zoned = any(kind == "timestamp" for _, kind in df.dtypes)

@@ -165,6 +165,33 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def few_windows(windows: DataFrame, columns) -> list[tuple]:
+    """The windows on the driver, as (id, exact start, exact end): at most
+    MAX_LITERAL_WINDOWS. ``columns``: the readings' schema. A window with a
+    null id or bound, or start after end, holds no reading and is left out."""
+    ts_type = columns[TS].dataType.simpleString()
+    base = windows.select(F.col(SS_ID).cast(columns[SS_ID].dataType).alias(SS_ID),
+                          F.col(W_START).cast(ts_type).alias(W_START), F.col(W_END).cast(ts_type).alias(W_END))
+    base = base.filter(F.col(SS_ID).isNotNull() & (F.col(W_START) <= F.col(W_END)))
+    first = base.select(SS_ID, _exact(W_START, ts_type), _exact(W_END, ts_type)).limit(MAX_LITERAL_WINDOWS + 1)
+    rows = [tuple(r) for r in first.collect()]
+    if len(rows) > MAX_LITERAL_WINDOWS:
+        raise ValueError(f"more than {MAX_LITERAL_WINDOWS} windows: fetch them by the join")
+    return rows
+
+
+def fetch_few(readings: DataFrame, rows: list[tuple]) -> DataFrame:
+    """Readings of the windows of ``few_windows``, from a frame without month keys."""
+    return _fetch_few(readings, rows, dict(readings.dtypes)[TS], False)
+
+
+def exact_text(value) -> str:
+    """A zone-free time on the driver in the form that ``few_windows`` gives
+    (Spark's text: no trailing zeros in the fraction, so texts sort as times)."""
+    text = value.strftime("%Y-%m-%d %H:%M:%S")
+    return text + f".{value.microsecond:06d}".rstrip("0") if value.microsecond else text
+
+
 def _fetch_few(readings: DataFrame, rows, ts_type: str, partitioned: bool) -> DataFrame:
     """A few windows as literal predicates on the readings scan: ids,
     overall time range and (on the month layout) the months spanned are
@@ -230,11 +257,7 @@ def fetch_windows(readings: DataFrame, windows: DataFrame,
     # A window with a null id or bound, or start after end, holds no reading.
     base = base.filter(F.col(SS_ID).isNotNull() & (F.col(W_START) <= F.col(W_END)))
     if literal_windows:
-        first = base.select(SS_ID, _exact(W_START, ts_type), _exact(W_END, ts_type)).limit(MAX_LITERAL_WINDOWS + 1)
-        rows = [tuple(r) for r in first.collect()]
-        if len(rows) > MAX_LITERAL_WINDOWS:
-            raise ValueError(f"more than {MAX_LITERAL_WINDOWS} windows: fetch them by the join")
-        return _fetch_few(readings, rows, ts_type, partitioned)
+        return _fetch_few(readings, few_windows(base, readings.schema), ts_type, partitioned)
 
     win = base
     keys = [SS_ID]

@@ -59,6 +59,16 @@ _VIEWS = {
               where ab.s < b.hi and ab.e > b.lo)
             where ce - cs > interval 7 days), (values (0), (1)) d(draw)
           where n > 0)""",
+    "sample_windows_long": """select ss_id, draw, ws as window_start, ws + interval 7 days as window_end from (
+          select ss_id, draw, cs + ((cast('0x' || substr(md5(concat_ws(':', ss_id, draw, 42)), 1, 15) as bigint) % n)
+                                    * 30) * interval 1 minute as ws from (
+            select ss_id, cs, cast(floor((epoch_us(ce) - epoch_us(cs)) / 1800000000e0) as bigint) as n from (
+              select ab.ss_id, greatest(ab.s, b.lo) as cs, least(ab.e, b.hi) as ce
+              from (select ss_id, min(datetime_GMT) as s, max(datetime_GMT) as e from readings_long group by ss_id) ab,
+                   (select min(datetime_GMT) as lo, max(datetime_GMT) as hi from readings_long) b
+              where ab.s < b.hi and ab.e > b.lo)
+            where ce - cs > interval 7 days), (values (0), (1)) d(draw)
+          where n > 0)""",
 }
 
 # Which views each query needs, in dependency order.
@@ -66,7 +76,7 @@ _DEPS = {
     "readings": [], "readings_long": [], "readings_gaps": [], "capacity": [], "site": [],
     "metadata_raw": ["site"], "metadata_old": ["site"], "readings_new": [],
     "halfhour": ["readings"], "halfhour_nn": ["halfhour"], "resampled": ["readings"],
-    "sample_windows": ["readings"],
+    "sample_windows": ["readings"], "sample_windows_long": ["readings_long"],
 }
 
 
@@ -324,6 +334,28 @@ ORACLE_SQL: dict[str, str] = {
                then cast(cast(generation_Wh as double) / 2 as float) else generation_Wh end as generation_Wh,
           year, month from k""",
 
+    "snapshot_versions": f"""with r as ({_NARROW}),
+        k as (select *, cast(year(datetime_GMT) as smallint) as year, cast(month(datetime_GMT) as tinyint) as month
+              from r)
+        select ss_id, datetime_GMT, year, month, version,
+          case when version = 2 and ((year = 1996 and month = 3) or (year = 1997 and month = 12))
+               then cast(cast(generation_Wh as double) / 2 as float) else generation_Wh end as generation_Wh
+        from k, (values (1), (2)) v(version)""",
+
+    "zone_map": f"""with r as ({_NARROW})
+        select cast(year(datetime_GMT) as smallint) as year, cast(month(datetime_GMT) as tinyint) as month,
+          count(*) as n_readings, min(ss_id) as id_min, max(ss_id) as id_max,
+          min(datetime_GMT) as ts_min, max(datetime_GMT) as ts_max from r group by all""",
+
+    "zone_map_fetch": _with("sample_windows_long") + f""",
+        r as ({_NARROW})
+        select r.ss_id, r.datetime_GMT, w.window_start, w.window_end,
+          case when (year(datetime_GMT) = 1996 and month(datetime_GMT) = 3)
+                 or (year(datetime_GMT) = 1997 and month(datetime_GMT) = 12)
+               then cast(cast(generation_Wh as double) / 2 as float) else generation_Wh end as generation_Wh
+        from r join sample_windows_long w
+          on r.ss_id = w.ss_id and r.datetime_GMT between w.window_start and w.window_end""",
+
     "relayout_rewrite": """
         select l_partkey as ss_id, l_shipdate as datetime_GMT, l_extendedprice as generation_Wh,
           cast(year(l_shipdate) as smallint) as year, cast(month(l_shipdate) as tinyint) as month

@@ -26,6 +26,7 @@ from pvtide.operators import (
     resample,
     reshape,
     sampling,
+    snapshots,
     spatial,
 )
 from pvtide.schema import END, GEN, MONTH, PARTITIONED_READINGS, SS_ID, START, TS, YEAR
@@ -330,6 +331,43 @@ def q_new_metadata_inferred(spark, sf_dir):
     return read_new_metadata(spark, root, infer=True)
 
 
+def _snapshots(spark, sf_dir):
+    """A versioned table: all readings, then two of its months replaced (halved)."""
+    readings = narrow_readings(fx.readings_long(spark, sf_dir))
+    root = _scratch(spark, "snapshots")
+    first = snapshots.write_snapshot(readings, root)
+    months_in = F.lit(False)
+    for y, m in REPLACED_MONTHS:
+        months_in = months_in | ((F.col(YEAR) == y) & (F.col(MONTH) == m))
+    new = first.readings().filter(months_in).withColumn(GEN, (F.col(GEN) / 2).cast("float"))
+    return first, snapshots.write_snapshot(new, root)
+
+
+def q_snapshot_versions(spark, sf_dir):
+    """K2: both versions of the table, the older one read after the rewrite."""
+    first, second = _snapshots(spark, sf_dir)
+    return (first.readings().withColumn("version", F.lit(first.version))
+            .unionByName(second.readings().withColumn("version", F.lit(second.version))))
+
+
+def q_zone_map_fetch(spark, sf_dir):
+    """Windows of all systems, from the files that the zone map of the
+    rewritten table picks."""
+    _, table = _snapshots(spark, sf_dir)
+    active = reliable_checkpoint(metadata.activity_bounds(fx.readings_long(spark, sf_dir)))
+    windows = reliable_checkpoint(sampling.sample_windows(active, active.agg(F.min(START), F.max(END)), days=SAMPLE_DAYS,
+                                                          seed=SAMPLE_SEED, draws=SAMPLE_DRAWS))
+    return table.fetch_windows(windows, materialize=False)
+
+
+def q_zone_map(spark, sf_dir):
+    """The zone map against its files, as rows and bounds per month."""
+    _, table = _snapshots(spark, sf_dir)
+    return table.zones().groupBy(YEAR, MONTH).agg(
+        F.sum("rows").alias("n_readings"), F.min("id_min").alias("id_min"), F.max("id_max").alias("id_max"),
+        F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"))
+
+
 def _raw_tree(spark, sf_dir) -> str:
     """Readings in a tree whose paths alone tell year and month.
 
@@ -412,4 +450,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outlier_context_row": q_outlier_context_row,
     "wide_months_roundtrip": q_wide_months_roundtrip,
     "metadata_csv_roundtrip": q_metadata_csv_roundtrip,
+    "snapshot_versions": q_snapshot_versions,
+    "zone_map": q_zone_map,
+    "zone_map_fetch": q_zone_map_fetch,
 }
