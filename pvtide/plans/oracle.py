@@ -342,6 +342,12 @@ ORACLE_SQL: dict[str, str] = {
                then cast(cast(generation_Wh as double) / 2 as float) else generation_Wh end as generation_Wh
         from k, (values (1), (2)) v(version)""",
 
+    "bucketed_fetch": _with("readings_long") + """
+        select r.ss_id, r.datetime_GMT, r.generation_Wh, o.o_orderdate as window_start,
+          o.o_orderdate + interval 30 days as window_end
+        from readings_long r join orders o on r.ss_id = o.o_custkey
+          and r.datetime_GMT between o.o_orderdate and o.o_orderdate + interval 30 days""",
+
     "zone_map": f"""with r as ({_NARROW})
         select cast(year(datetime_GMT) as smallint) as year, cast(month(datetime_GMT) as tinyint) as month,
           count(*) as n_readings, min(ss_id) as id_min, max(ss_id) as id_max,

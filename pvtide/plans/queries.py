@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvtide.operators import (
+    bucketed,
     layout,
     metadata,
     months,
@@ -64,6 +65,7 @@ SAMPLE_SEED = 42
 SAMPLE_DRAWS = 2
 SAMPLE_SYSTEMS = 50
 FINE_MINUTES = 5
+BUCKETS = 8
 
 
 def _halfhour_tall(spark, sf_dir) -> DataFrame:
@@ -360,6 +362,18 @@ def q_zone_map_fetch(spark, sf_dir):
     return table.fetch_windows(windows, materialize=False)
 
 
+def q_bucketed_fetch(spark, sf_dir):
+    """J7 beyond the broadcast bound: every order is a window of 30 days of
+    the system of its customer, fetched from a bucketed table."""
+    table, path = f"readings_{uuid.uuid4().hex}", _scratch(spark, "bucketed")
+    bucketed.write_bucketed(fx.readings_long(spark, sf_dir), table, path, BUCKETS)
+    start = F.col("o_orderdate").cast("timestamp_ntz")
+    windows = fx.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias(SS_ID), start.alias("window_start"),
+        (start + F.expr("INTERVAL 30 DAYS")).alias("window_end"))
+    return bucketed.fetch_windows(spark, table, windows)
+
+
 def q_zone_map(spark, sf_dir):
     """The zone map against its files, as rows and bounds per month."""
     _, table = _snapshots(spark, sf_dir)
@@ -450,6 +464,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outlier_context_row": q_outlier_context_row,
     "wide_months_roundtrip": q_wide_months_roundtrip,
     "metadata_csv_roundtrip": q_metadata_csv_roundtrip,
+    "bucketed_fetch": q_bucketed_fetch,
     "snapshot_versions": q_snapshot_versions,
     "zone_map": q_zone_map,
     "zone_map_fetch": q_zone_map_fetch,
