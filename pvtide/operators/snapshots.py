@@ -83,12 +83,15 @@ class Snapshot:
     def _zone_rows(self) -> list | None:
         return self.zones().collect() if self.n_files <= MAX_ZONE_ROWS else None
 
-    def scan(self, paths: list[str]) -> DataFrame:
-        """Readings with their keys of some files or folders (relative to the root)."""
-        if not paths:
-            return self.spark.createDataFrame([], _scan_schema(self.columns)).drop(WRITE)
-        return (self.spark.read.schema(_scan_schema(self.columns)).option("basePath", f"{self.root}/data")
-                .parquet(*[f"{self.root}/{p}" for p in paths]).drop(WRITE))
+    def scan(self, paths: list[str], keep_write: bool = False) -> DataFrame:
+        """Readings with their keys of some files or folders (relative to the
+        root); ``keep_write`` adds the write that each reading's folder is of."""
+        if paths:
+            found = (self.spark.read.schema(_scan_schema(self.columns)).option("basePath", f"{self.root}/data")
+                     .parquet(*[f"{self.root}/{p}" for p in paths]))
+        else:
+            found = self.spark.createDataFrame([], _scan_schema(self.columns))
+        return found if keep_write else found.drop(WRITE)
 
     def readings(self) -> DataFrame:
         """All readings, with ``year`` and ``month``: a scan of the version's

@@ -348,6 +348,25 @@ ORACLE_SQL: dict[str, str] = {
         from readings_long r join orders o on r.ss_id = o.o_custkey
           and r.datetime_GMT between o.o_orderdate and o.o_orderdate + interval 30 days""",
 
+    "incremental_activity": f"""with r as ({_NARROW})
+        select ss_id, min(datetime_GMT) as start_datetime_GMT, max(datetime_GMT) as end_datetime_GMT
+        from r group by ss_id""",
+
+    "incremental_id_counts": """
+        select cast(year(l_shipdate) as smallint) as year, cast(month(l_shipdate) as tinyint) as month,
+          count(distinct l_partkey) as n_ids from lineitem group by all""",
+
+    "incremental_id_overlap": """
+        select count(distinct l_partkey) as n_ids_with_readings,
+          count(distinct l_partkey) filter (where l_partkey in (select c_custkey from customer)) as n_ids_in_metadata
+        from lineitem""",
+
+    # Weeks are counted from the epoch.
+    "incremental_resample": f"""with r as ({_NARROW})
+        select ss_id, time_bucket(interval 7 days, datetime_GMT - interval 1 microsecond, timestamp '1970-01-01')
+            + interval 7 days as datetime_GMT,
+          round(avg(cast(generation_Wh as double)), 6) as generation_Wh from r group by all""",
+
     "zone_map": f"""with r as ({_NARROW})
         select cast(year(datetime_GMT) as smallint) as year, cast(month(datetime_GMT) as tinyint) as month,
           count(*) as n_readings, min(ss_id) as id_min, max(ss_id) as id_max,

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from pvtide.operators import (
     bucketed,
+    derived,
     layout,
     metadata,
     months,
@@ -66,6 +67,8 @@ SAMPLE_DRAWS = 2
 SAMPLE_SYSTEMS = 50
 FINE_MINUTES = 5
 BUCKETS = 8
+GROWTH_YEAR = 1997
+GROWTH_WINDOW = "7 days"
 
 
 def _halfhour_tall(spark, sf_dir) -> DataFrame:
@@ -374,6 +377,47 @@ def q_bucketed_fetch(spark, sf_dir):
     return bucketed.fetch_windows(spark, table, windows)
 
 
+def _grown_table(spark, sf_dir, *kinds):
+    """A table that grows, with aggregates kept up to date: the early years,
+    then the later ones, then two early months once more (late readings are
+    added to what was written of them first). Every version is updated."""
+    readings = narrow_readings(fx.readings_long(spark, sf_dir))
+    late = F.lit(False)
+    for y, m in REPLACED_MONTHS:
+        late = late | ((F.year(TS) == y) & (F.month(TS) == m))
+    early = F.year(TS) < GROWTH_YEAR
+    held_back = late & (F.dayofmonth(TS) > 10)
+    root = _scratch(spark, "grown")
+    for part in (readings.filter(early & ~held_back), readings.filter(~early & ~held_back), readings.filter(late)):
+        table = snapshots.write_snapshot(part, root)
+        for kind in kinds:
+            derived.update(table, kind)
+    return table
+
+
+def q_incremental_id_counts(spark, sf_dir):
+    """Distinct systems of every month, from bitmaps of month folders."""
+    return derived.id_counts_by_month(_grown_table(spark, sf_dir, derived.ID_BITMAPS))
+
+
+def q_incremental_id_overlap(spark, sf_dir):
+    """Ids with readings and those with metadata, from bitmaps."""
+    return derived.id_overlap_counts(_grown_table(spark, sf_dir, derived.ID_BITMAPS), fx.metadata_raw(spark, sf_dir))
+
+
+def q_incremental_activity(spark, sf_dir):
+    """A2: first and last reading of every system, from states of month folders."""
+    return derived.merged(_grown_table(spark, sf_dir, derived.ACTIVITY), derived.ACTIVITY)
+
+
+def q_incremental_resample(spark, sf_dir):
+    """Weekly right-closed means, many of them across months, from
+    sums and counts of month folders."""
+    kind = derived.resample_sums(GROWTH_WINDOW)
+    out = derived.merged(_grown_table(spark, sf_dir, kind), kind)
+    return out.withColumn(GEN, F.round(GEN, 6))
+
+
 def q_zone_map(spark, sf_dir):
     """The zone map against its files, as rows and bounds per month."""
     _, table = _snapshots(spark, sf_dir)
@@ -465,6 +509,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wide_months_roundtrip": q_wide_months_roundtrip,
     "metadata_csv_roundtrip": q_metadata_csv_roundtrip,
     "bucketed_fetch": q_bucketed_fetch,
+    "incremental_activity": q_incremental_activity,
+    "incremental_id_counts": q_incremental_id_counts,
+    "incremental_id_overlap": q_incremental_id_overlap,
+    "incremental_resample": q_incremental_resample,
     "snapshot_versions": q_snapshot_versions,
     "zone_map": q_zone_map,
     "zone_map_fetch": q_zone_map_fetch,
