@@ -11,7 +11,7 @@ Three forms:
 
 All raise on a duplicate ``(datetime_GMT, ss_id)``, as a pivot without an
 aggregate does in the reference. Duplicates are counted with map-side
-combining before any value is gathered.
+combining, in the block form in the same shuffle as the values.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ from pvtide.operators.layout import estimated_partitions, require_time_statistic
 from pvtide.schema import BLOCK, BLOCK_WIDTH, GEN, SS_ID, TS, block_column
 
 
+DUPLICATE = "duplicate (datetime_GMT, ss_id) in pivot input"
+
+
 def _checked_values(df: DataFrame, value: str) -> DataFrame:
     """One value per (time, id); a duplicate key fails the job."""
     return (df.groupBy(TS, SS_ID)
             .agg(F.when(F.count(F.lit(1)) > 1,
-                        F.raise_error(F.lit("duplicate (datetime_GMT, ss_id) in pivot input")))
+                        F.raise_error(F.lit(DUPLICATE)))
                  .otherwise(F.first(F.col(value))).cast("float").alias(value)))
 
 
@@ -41,13 +44,25 @@ def pivot_blocks(df: DataFrame, value: str = GEN, width: int = BLOCK_WIDTH) -> D
 
     Column ``c007`` of block 3 holds id ``3 * width + 7``. One constant
     schema for any number of systems; a group holds at most ``width`` values.
+
+    One shuffle, on time and block, after map-side combining. Duplicates are
+    seen there too: a group has more rows than places that occur, counted as
+    the bits of masks of 62 places each.
     """
-    checked = _checked_values(df.select(TS, SS_ID, value), value)
     ids = F.col(SS_ID)
-    placed = checked.select(TS, id_block(ids, width).alias(BLOCK), F.pmod(ids, F.lit(width)).alias("_place"), value)
+    place = F.pmod(ids, F.lit(width)).cast("int")
+    placed = df.select(TS, id_block(ids, width).alias(BLOCK), place.alias("_place"), F.col(value).cast("float").alias(value))
     places = [F.first(F.when(F.col("_place") == i, F.col(value)), ignorenulls=True).alias(block_column(i, width))
               for i in range(width)]
-    return placed.groupBy(TS, BLOCK).agg(*places)
+    masks = [F.bit_or(F.when(F.col("_place").between(low, low + 61), F.expr(f"shiftleft(1L, _place - {low})")))
+             for low in range(0, width, 62)]
+    named = [mask.alias(f"_mask{i}") for i, mask in enumerate(masks)]
+    grouped = placed.groupBy(TS, BLOCK).agg(*places, F.count(F.lit(1)).alias("_rows"), *named)
+    seen = sum((F.bit_count(F.coalesce(F.col(f"_mask{i}"), F.lit(0).cast("bigint"))) for i in range(len(masks))), F.lit(0))
+    # The check stands in a column of the result, so no plan drops it.
+    block = F.when((F.col(BLOCK).isNotNull()) & (F.col("_rows") != seen), F.raise_error(F.lit(DUPLICATE)).cast("bigint")) \
+        .otherwise(F.col(BLOCK))
+    return grouped.select(TS, block.alias(BLOCK), *[block_column(i, width) for i in range(width)])
 
 
 def blocks_to_tall(wide: DataFrame, value: str = GEN, width: int = BLOCK_WIDTH) -> DataFrame:
