@@ -58,8 +58,8 @@ def _bound_columns(bounds, ts_type: str) -> tuple:
     the readings."""
     if isinstance(bounds, DataFrame):
         lo_name, hi_name = bounds.columns[:2]
-        row = bounds.select(_exact(F.col(lo_name).cast(ts_type), ts_type),
-                            _exact(F.col(hi_name).cast(ts_type), ts_type)).first()
+        row = bounds.select(exact_time(F.col(lo_name).cast(ts_type), ts_type),
+                            exact_time(F.col(hi_name).cast(ts_type), ts_type)).first()
         lo, hi = (None, None) if row is None else row
         if lo is None or hi is None:
             return F.lit(None).cast(ts_type), F.lit(None).cast(ts_type)
@@ -118,7 +118,7 @@ MAX_LITERAL_WINDOWS = 100
 SCAN_ID_LIST_MAX = 10
 
 
-def _exact(c, ts_type: str) -> Column:
+def exact_time(c, ts_type: str) -> Column:
     """A time column in a form that survives the trip to the driver exactly:
     epoch microseconds for ``timestamp`` (no zone or DST ambiguity), the
     zone-free text for ``timestamp_ntz``."""
@@ -135,8 +135,8 @@ def _exact_literal(v, ts_type: str) -> Column:
 def _window_stats(win: DataFrame, ts_type: str):
     """One job over the (materialised) windows: their count, overall time
     range, id range, distinct id count and longest duration."""
-    return win.agg(F.count(F.lit(1)).alias("n"), F.min(_exact(W_START, ts_type)),
-                   F.max(_exact(W_END, ts_type)), F.min(SS_ID), F.max(SS_ID),
+    return win.agg(F.count(F.lit(1)).alias("n"), F.min(exact_time(W_START, ts_type)),
+                   F.max(exact_time(W_END, ts_type)), F.min(SS_ID), F.max(SS_ID),
                    F.countDistinct(SS_ID), F.max(micros_between(W_START, W_END, ts_type))).first()
 
 
@@ -155,7 +155,7 @@ def _scan_filter(win: DataFrame, stats, ts_type: str) -> Column:
 
 
 def _sql_time(v, ts_type: str) -> str:
-    """A collected exact time (see ``_exact``) as an SQL literal."""
+    """A collected exact time (see ``exact_time``) as an SQL literal."""
     if ts_type == "timestamp":
         return f"timestamp_micros({int(v)})"
     return f"TIMESTAMP_NTZ '{v}'"
@@ -173,7 +173,7 @@ def few_windows(windows: DataFrame, columns) -> list[tuple]:
     base = windows.select(F.col(SS_ID).cast(columns[SS_ID].dataType).alias(SS_ID),
                           F.col(W_START).cast(ts_type).alias(W_START), F.col(W_END).cast(ts_type).alias(W_END))
     base = base.filter(F.col(SS_ID).isNotNull() & (F.col(W_START) <= F.col(W_END)))
-    first = base.select(SS_ID, _exact(W_START, ts_type), _exact(W_END, ts_type)).limit(MAX_LITERAL_WINDOWS + 1)
+    first = base.select(SS_ID, exact_time(W_START, ts_type), exact_time(W_END, ts_type)).limit(MAX_LITERAL_WINDOWS + 1)
     rows = [tuple(r) for r in first.collect()]
     if len(rows) > MAX_LITERAL_WINDOWS:
         raise ValueError(f"more than {MAX_LITERAL_WINDOWS} windows: fetch them by the join")
@@ -185,13 +185,6 @@ def fetch_few(readings: DataFrame, rows: list[tuple]) -> DataFrame:
     return _fetch_few(readings, rows, dict(readings.dtypes)[TS], False)
 
 
-def exact_text(value) -> str:
-    """A zone-free time on the driver in the form that ``few_windows`` gives
-    (Spark's text: no trailing zeros in the fraction, so texts sort as times)."""
-    text = value.strftime("%Y-%m-%d %H:%M:%S")
-    return text + f".{value.microsecond:06d}".rstrip("0") if value.microsecond else text
-
-
 def _fetch_few(readings: DataFrame, rows, ts_type: str, partitioned: bool) -> DataFrame:
     """A few windows as literal predicates on the readings scan: ids,
     overall time range and (on the month layout) the months spanned are

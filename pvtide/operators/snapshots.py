@@ -80,8 +80,14 @@ class Snapshot:
         return self.spark.read.schema(_zone_schema(self.columns)).parquet(f"{self.root}/manifests/{self.name}")
 
     @cached_property
-    def _zone_rows(self) -> list | None:
-        return self.zones().collect() if self.n_files <= MAX_ZONE_ROWS else None
+    def _zone_rows(self) -> list[tuple] | None:
+        """(file, least id, largest id, first time, last time) of every file,
+        times in the exact form of ``sampling.few_windows``."""
+        if self.n_files > MAX_ZONE_ROWS:
+            return None
+        times = [sampling.exact_time(c, self._ts_type) for c in ("ts_min", "ts_max")]
+        known = self.zones().filter("id_min IS NOT NULL AND ts_min IS NOT NULL")
+        return [tuple(r) for r in known.select("file", "id_min", "id_max", *times).collect()]
 
     def scan(self, paths: list[str], keep_write: bool = False) -> DataFrame:
         """Readings with their keys of some files or folders (relative to the
@@ -118,26 +124,19 @@ class Snapshot:
     def fetch_windows(self, windows: DataFrame, literal_windows: bool = False, **options) -> DataFrame:
         """All readings of each ``(ss_id, window_start, window_end)``, as
         ``sampling.fetch_windows`` gives them, from the files that the zone
-        map picks. ``literal_windows`` (a handful of windows, as there) picks
-        them without a job once the zone map is at hand. Times must be zone-free."""
-        if self._ts_type != "timestamp_ntz" or not literal_windows or self._zone_rows is None:
+        map picks. ``literal_windows`` (a handful of windows, as there) picks them
+        without a further job once the zone map is at hand."""
+        if not literal_windows or self._zone_rows is None:
             return sampling.fetch_windows(self.scan(self.files_for(windows)), windows, literal_windows=literal_windows, **options)
         rows = sampling.few_windows(windows, self.columns)
-        return sampling.fetch_few(self.scan(self._few_files(rows)).drop(YEAR, MONTH), rows)
+        files = sorted({name for name, low, high, first, last in self._zone_rows for i, start, end in rows
+                        if low <= i <= high and first <= end and last >= start})
+        return sampling.fetch_few(self.scan(files).drop(YEAR, MONTH), rows)
 
     @property
     def _ts_type(self) -> str:
         return self.columns[TS].dataType.simpleString()
 
-    def _few_files(self, rows: list[tuple]) -> list[str]:
-        """Files for a few windows (id, exact start, exact end), from the zone rows at hand."""
-        found = set()
-        for i, start, end in rows:
-            found.update(z.file for z in self._zone_rows
-                         if z.id_min is not None and z.id_min <= i <= z.id_max
-                         and sampling.exact_text(z.ts_min) <= end and sampling.exact_text(z.ts_max) >= start)
-        return sorted(found)
-
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
     """One row per version: ``version, name, files, rows, columns``."""

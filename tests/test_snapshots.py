@@ -137,9 +137,3 @@ def test_empty_tables_and_zoned_times(spark, scratch):
     expected = sampling.fetch_windows(zoned, wanted)
     for literal in (False, True):
         assert sorted(table.fetch_windows(wanted, literal_windows=literal).collect()) == sorted(expected.collect())
-
-
-def test_exact_text_is_sparks_text(spark):
-    for text in ("2024-01-02 03:04:05", "2024-01-02 03:04:05.5", "2024-01-02 03:04:05.000001", "1999-12-31 00:00:00.123456"):
-        row = spark.sql(f"select timestamp_ntz '{text}' as t, cast(timestamp_ntz '{text}' as string) as s").first()
-        assert sampling.exact_text(row.t) == row.s == text
