@@ -18,6 +18,8 @@ from pvtide.schema import GEN, MONTH, SS_ID, TS, YEAR
 # and a job has at most so many (the driver tracks every one of them).
 RANGE_BYTES = 128 << 20
 MAX_RANGES = 100_000
+# Where a raw tree's paths have year and month.
+RAW_PATH = r"/(\d{4})/(\d{1,2})/[^/]*$"
 
 
 def with_month_keys(df: DataFrame) -> DataFrame:
@@ -135,12 +137,12 @@ def repartition_exact_months(df: DataFrame, start=None, end=None, value: str = G
     return with_month_keys(out.select(*cols))
 
 
-def relayout_by_path(spark, path_glob: str, pattern: str = r"/(\d{4})/(\d{1,2})/[^/]*$",
+def relayout_by_path(spark, path_glob: str | list[str], pattern: str = RAW_PATH,
                      columns=(SS_ID, TS, GEN)) -> DataFrame:
     """Read a raw ``.../YYYY/MM/file.parquet`` tree and attach year and month
     taken from each file's path (P14, S9); write it with
     ``write_sorted_months``. Replaces the reference's file moves."""
-    raw = spark.read.parquet(path_glob).select(*columns, "_metadata.file_path")
+    raw = spark.read.parquet(*([path_glob] if isinstance(path_glob, str) else path_glob)).select(*columns, "_metadata.file_path")
     return (raw.withColumns({
         YEAR: F.regexp_extract("file_path", pattern, 1).cast("smallint"),
         MONTH: F.regexp_extract("file_path", pattern, 2).cast("tinyint")})

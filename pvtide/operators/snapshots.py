@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -45,7 +46,8 @@ WRITE = "write"
 MAX_ZONE_ROWS = 100_000
 POINTER = T.StructType([
     T.StructField("version", T.LongType()), T.StructField("name", T.StringType()),
-    T.StructField("files", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("columns", T.StringType())])
+    T.StructField("files", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("columns", T.StringType()),
+    T.StructField("beside", T.ArrayType(T.StringType()))])
 
 
 def _zone_schema(columns: T.StructType) -> T.StructType:
@@ -73,6 +75,14 @@ class Snapshot:
     n_files: int
     n_rows: int
     columns: T.StructType
+    tables: tuple[str, ...] = ()
+
+    def has_beside(self, kind: str) -> bool:
+        """Whether the version was published with such a table beside it."""
+        return kind in self.tables
+
+    def beside(self, kind: str) -> str:
+        return f"{self.root}/beside/{kind}/{self.name}"
 
     def zones(self) -> DataFrame:
         """The zone map: ``file, write, year, month, rows, id_min, id_max,
@@ -139,7 +149,7 @@ class Snapshot:
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
-    """One row per version: ``version, name, files, rows, columns``."""
+    """One row per version: ``version, name, files, rows, columns, beside``."""
     return spark.read.schema(POINTER).json(f"{root.rstrip('/')}/pointers/*")
 
 
@@ -159,16 +169,20 @@ def open_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
             raise ValueError(f"{root} has no version {version}")
         return None
     return Snapshot(spark, root.rstrip("/"), row.version, row.name, row.files, row.rows,
-                    T.StructType.fromJson(json.loads(row.columns)))
+                    T.StructType.fromJson(json.loads(row.columns)), tuple(row.beside or ()))
 
 
 def write_snapshot(readings: DataFrame, root: str, months=None, replace_all: bool = False,
                    num_partitions: int | None = None, one_file: bool = False,
-                   row_group_bytes: int | None = None) -> Snapshot:
+                   row_group_bytes: int | None = None, keep_keys: bool = False,
+                   beside: dict[str, Callable[[str], None]] | None = None) -> Snapshot:
     """Publish a new version (K2): ``readings`` replace the months they fall
     in, and the ``(year, month)`` pairs of ``months``, which may so become
     empty; all other months stay (``replace_all``: none does). Returns the
-    new version. Columns must be those of the versions before.
+    new version. Columns must be those of the versions before. ``keep_keys``
+    files rows under the keys they carry. ``beside``: writers of further
+    tables of the version, each called with the path to write to; they are
+    done before the version is published.
 
     The cost is one sorted write of the readings and one pass over ids and
     times of the files just written; months that stay are not touched.
@@ -183,7 +197,7 @@ def write_snapshot(readings: DataFrame, root: str, months=None, replace_all: boo
     name = f"{version:08d}-{uuid.uuid4().hex}"
     path, written = f"{root}/data/{WRITE}={name}", Observation()
     layout.write_sorted_months(readings, path, num_partitions=num_partitions, one_file=one_file,
-                               row_group_bytes=row_group_bytes, observation=written)
+                               row_group_bytes=row_group_bytes, keep_keys=keep_keys, observation=written)
 
     found = spark.read.schema(_scan_schema(columns)).option("basePath", f"{root}/data").parquet(path)
     relative = F.concat(F.lit(f"data/{WRITE}="), F.substring_index("_metadata.file_path", f"/data/{WRITE}=", -1))
@@ -204,7 +218,9 @@ def write_snapshot(readings: DataFrame, root: str, months=None, replace_all: boo
             gone = gone.union(spark.createDataFrame([(int(y), int(m)) for y, m in months], f"{YEAR} smallint, {MONTH} tinyint"))
         zones = zones.unionByName(before.zones().join(gone, [YEAR, MONTH], "left_anti"))
     zones.orderBy(YEAR, MONTH, "id_min", "ts_min").write.parquet(f"{root}/manifests/{name}")
-    return _publish(spark, root, version, name, columns)
+    for kind, write in (beside or {}).items():
+        write(f"{root}/beside/{kind}/{name}")
+    return _publish(spark, root, version, name, columns, sorted(beside or {}))
 
 
 def _require_same(written: dict, held) -> None:
@@ -214,12 +230,13 @@ def _require_same(written: dict, held) -> None:
                            f"the writer got {written['rows']} ({written['checksum']}); not published")
 
 
-def _publish(spark: SparkSession, root: str, version: int, name: str, columns: T.StructType) -> Snapshot:
+def _publish(spark: SparkSession, root: str, version: int, name: str, columns: T.StructType,
+             beside: list[str] | None = None) -> Snapshot:
     """Write the version's pointer. If another writer made the same version
     meanwhile, the first by name is the version; the other fails."""
     files, rows = spark.read.parquet(f"{root}/manifests/{name}").agg(
         F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    pointer = spark.createDataFrame([(version, name, files, rows, columns.json())], POINTER)
+    pointer = spark.createDataFrame([(version, name, files, rows, columns.json(), beside or [])], POINTER)
     pointer.coalesce(1).write.json(f"{root}/pointers/{name}")
     published = open_snapshot(spark, root, version)
     if published.name != name:

@@ -361,6 +361,11 @@ ORACLE_SQL: dict[str, str] = {
           count(distinct l_partkey) filter (where l_partkey in (select c_custkey from customer)) as n_ids_in_metadata
         from lineitem""",
 
+    "incremental_relayout": """
+        select l_partkey as ss_id, l_shipdate as datetime_GMT, l_extendedprice as generation_Wh,
+          cast(year(l_shipdate) as smallint) as year, cast(month(l_shipdate) as tinyint) as month
+        from lineitem""",
+
     # Weeks are counted from the epoch.
     "incremental_resample": f"""with r as ({_NARROW})
         select ss_id, time_bucket(interval 7 days, datetime_GMT - interval 1 microsecond, timestamp '1970-01-01')

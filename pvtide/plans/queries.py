@@ -25,6 +25,7 @@ from pvtide.operators import (
     peek,
     pivot,
     quality,
+    refresh,
     resample,
     reshape,
     sampling,
@@ -67,6 +68,7 @@ SAMPLE_DRAWS = 2
 SAMPLE_SYSTEMS = 50
 FINE_MINUTES = 5
 BUCKETS = 8
+RAW_TREE = r"/y=(\d{4})/m=(\d{2})/[^/]*$"
 GROWTH_YEAR = 1997
 GROWTH_WINDOW = "7 days"
 
@@ -426,6 +428,18 @@ def q_zone_map(spark, sf_dir):
         F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"))
 
 
+def q_incremental_relayout(spark, sf_dir):
+    """A raw tree that grows, laid out month by month as its files
+    appear; the second refresh reads the new months only."""
+    raw, root = _scratch(spark, "growing-tree"), _scratch(spark, "refreshed")
+    readings = fx.readings_long(spark, sf_dir).withColumns({"y": F.date_format(TS, "yyyy"), "m": F.date_format(TS, "MM")})
+    early = F.year(TS) < GROWTH_YEAR
+    for part in (readings.filter(early), readings.filter(~early)):
+        part.repartitionByRange("y", "m", SS_ID).write.mode("append").partitionBy("y", "m").parquet(raw)
+        table = refresh.refresh(spark, root, f"{raw}/*/*/*.parquet", RAW_TREE)
+    return table.readings()
+
+
 def _raw_tree(spark, sf_dir) -> str:
     """Readings in a tree whose paths alone tell year and month.
 
@@ -439,7 +453,7 @@ def _raw_tree(spark, sf_dir) -> str:
 
 
 def _relaid(spark, raw: str) -> DataFrame:
-    return layout.relayout_by_path(spark, f"{raw}/*/*/*.parquet", pattern=r"/y=(\d{4})/m=(\d{2})/[^/]*$")
+    return layout.relayout_by_path(spark, f"{raw}/*/*/*.parquet", pattern=RAW_TREE)
 
 
 def q_relayout_months(spark, sf_dir):
@@ -512,6 +526,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "incremental_activity": q_incremental_activity,
     "incremental_id_counts": q_incremental_id_counts,
     "incremental_id_overlap": q_incremental_id_overlap,
+    "incremental_relayout": q_incremental_relayout,
     "incremental_resample": q_incremental_resample,
     "snapshot_versions": q_snapshot_versions,
     "zone_map": q_zone_map,

@@ -1,0 +1,79 @@
+import pytest
+from pyspark.sql import functions as F
+
+from pvtide.operators import refresh, snapshots
+from test_snapshots import readings, rows
+
+PATTERN = r"/y=(\d{4})/m=(\d{2})/[^/]*$"
+
+
+def put(df, tree, mode="append"):
+    (df.withColumns({"y": F.date_format("datetime_GMT", "yyyy"), "m": F.date_format("datetime_GMT", "MM")})
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("y", "m").parquet(tree))
+
+
+def part(spark, *months, scale=1.0):
+    return readings(spark, scale=scale).filter(F.month("datetime_GMT").isin(*months))
+
+
+def folders(table):
+    return {(r.month, r.write) for r in table.zones().collect()}
+
+
+def test_only_changed_months_are_read(spark, scratch):
+    tree, root = f"{scratch}/tree", f"{scratch}/table"
+    run = lambda glob=f"{tree}/*/*/*.parquet": refresh.refresh(spark, root, glob, PATTERN)
+    put(part(spark, 1, 2), tree)
+    first = run()
+    assert rows(first.readings()) == rows(part(spark, 1, 2)) and refresh.ledger_of(first).count() > 0
+    assert run().version == first.version  # nothing new: nothing is written
+
+    put(part(spark, 3), tree)
+    second = run()
+    assert rows(second.readings()) == rows(part(spark, 1, 2, 3))
+    assert {m for m, _ in folders(second) - folders(first)} == {3}
+
+    put(part(spark, 2, scale=5.0), tree, mode="overwrite")  # one month's files are replaced
+    third = run()
+    assert rows(third.readings()) == rows(part(spark, 1, 3).union(part(spark, 2, scale=5.0)))
+    assert {m for m, _ in folders(third) - folders(second)} == {2}
+
+    fourth = run(f"{tree}/*/m=0[12]/*.parquet")  # the third month's files are gone
+    assert rows(fourth.readings()) == rows(part(spark, 1).union(part(spark, 2, scale=5.0)))
+    assert folders(fourth) < folders(third)
+    assert rows(snapshots.open_snapshot(spark, root, 2).readings()) == rows(part(spark, 1, 2, 3))
+
+
+def test_rows_are_filed_by_their_path(spark, scratch):
+    tree = f"{scratch}/tree"
+    part(spark, 1).write.parquet(f"{tree}/y=2024/m=07")
+    part(spark, 2).write.parquet(f"{tree}/elsewhere/m=07")  # no year in the path
+    table = refresh.refresh(spark, f"{scratch}/table", f"{tree}/*/*/*.parquet", PATTERN)
+    assert rows(table.readings()) == rows(part(spark, 1))
+    assert {(r.year, r.month) for r in table.zones().collect()} == {(2024, 7)}
+
+
+def test_a_failed_refresh_is_made_up_for(spark, scratch, monkeypatch):
+    tree, root = f"{scratch}/tree", f"{scratch}/table"
+    put(part(spark, 1), tree)
+    refresh.refresh(spark, root, f"{tree}/*/*/*.parquet", PATTERN)
+    put(part(spark, 2), tree)
+    publish = snapshots._publish
+
+    def stopped(*args):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(snapshots, "_publish", stopped)
+    with pytest.raises(RuntimeError, match="stopped"):
+        refresh.refresh(spark, root, f"{tree}/*/*/*.parquet", PATTERN)
+    monkeypatch.setattr(snapshots, "_publish", publish)
+    table = refresh.refresh(spark, root, f"{tree}/*/*/*.parquet", PATTERN)
+    assert table.version == 2 and rows(table.readings()) == rows(part(spark, 1, 2))
+
+
+def test_a_table_written_by_other_means_is_read_anew(spark, scratch):
+    tree, root = f"{scratch}/tree", f"{scratch}/table"
+    snapshots.write_snapshot(part(spark, 1, scale=9.0), root)
+    put(part(spark, 1), tree)
+    table = refresh.refresh(spark, root, f"{tree}/*/*/*.parquet", PATTERN)
+    assert rows(table.readings()) == rows(part(spark, 1))
