@@ -342,6 +342,13 @@ ORACLE_SQL: dict[str, str] = {
                then cast(cast(generation_Wh as double) / 2 as float) else generation_Wh end as generation_Wh
         from k, (values (1), (2)) v(version)""",
 
+    "dedup_stream": "select distinct l_partkey as ss_id, l_shipdate as datetime_GMT from lineitem",
+
+    "align_streams": _with("readings", "resampled", "halfhour_nn") + """
+        select coalesce(f.ss_id, cast(c.ss_id as bigint)) as ss_id, coalesce(f.datetime_GMT, c.datetime_GMT) as datetime_GMT,
+          round(f.power_W, 6) as mean_W, cast(c.generation_Wh as double) as coarse_Wh
+        from resampled f full outer join halfhour_nn c on f.ss_id = c.ss_id and f.datetime_GMT = c.datetime_GMT""",
+
     "bucketed_fetch": _with("readings_long") + """
         select r.ss_id, r.datetime_GMT, r.generation_Wh, o.o_orderdate as window_start,
           o.o_orderdate + interval 30 days as window_end

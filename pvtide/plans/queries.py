@@ -37,6 +37,7 @@ from pvtide.operators.sizing import reliable_checkpoint
 from pvtide.session import ensure_checkpoint_dir
 from pvtide.sources import fixtures as fx
 from pvtide.sources.csvfiles import read_metadata, read_new_metadata, write_csv, write_metadata
+from pvtide.streaming import aligned
 from pvtide.sources.readings import narrow_readings, scan_partition, scan_readings, scan_wide_blocks
 
 # Parameters of the registered runs.
@@ -68,6 +69,9 @@ SAMPLE_DRAWS = 2
 SAMPLE_SYSTEMS = 50
 FINE_MINUTES = 5
 BUCKETS = 8
+ARRIVALS = 4
+STREAM_SPAN = "4000 days"
+FAR_AHEAD = "2300-01-01 00:00:00"
 RAW_TREE = r"/y=(\d{4})/m=(\d{2})/[^/]*$"
 GROWTH_YEAR = 1997
 GROWTH_WINDOW = "7 days"
@@ -428,6 +432,47 @@ def q_zone_map(spark, sf_dir):
         F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"))
 
 
+def _arrivals(df: DataFrame, name: str, schema: str) -> DataFrame:
+    """The readings as files that arrive one after the other, as a stream."""
+    path = _scratch(df.sparkSession, name)
+    aligned.as_instants(df).repartitionByRange(ARRIVALS, TS).write.parquet(path)
+    return df.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _drained(stream: DataFrame, name: str, schema: str) -> DataFrame:
+    """What the stream has written when all files are taken, times zone-free."""
+    spark, path = stream.sparkSession, _scratch(stream.sparkSession, name)
+    aligned.append_to(stream, path, _scratch(spark, f"{name}-checkpoint")).awaitTermination()
+    out = spark.read.schema(schema).parquet(path)
+    return out.withColumn(TS, F.col(TS).cast("timestamp_ntz"))
+
+
+def q_dedup_stream(spark, sf_dir):
+    """A9 as a stream: the keys that a file stream with copies leaves. Files
+    arrive in any order, so the watermark spans the data."""
+    schema = f"{SS_ID} bigint, {TS} timestamp, {GEN} double"
+    stream = aligned.dedup_stream(_arrivals(fx.readings_long(spark, sf_dir), "dedup-arrivals", schema), STREAM_SPAN)
+    return _drained(stream, "dedup-stream", schema).select(SS_ID, TS)
+
+
+def q_align_streams(spark, sf_dir):
+    """J6 on streams: the fine series' half-hourly means against the coarse
+    series. One reading far ahead on either side moves the watermark past all
+    others, so that those without a partner come out."""
+    rd = fx.readings(spark, sf_dir)
+    means = resample.resample_right_closed(rd, factor=60.0 / FINE_MINUTES).select(
+        SS_ID, TS, F.col(GEN).cast("double").alias(GEN))
+    coarse = _halfhour_tall(spark, sf_dir).filter(F.col(GEN).isNotNull()).select(
+        F.col(SS_ID).cast("bigint").alias(SS_ID), TS, F.col(GEN).cast("double").alias(GEN))
+    schema = f"{SS_ID} bigint, {TS} timestamp, {GEN} double"
+    ahead = spark.range(1).select(F.lit(-1).cast("bigint").alias(SS_ID),
+                                  F.lit(FAR_AHEAD).cast("timestamp_ntz").alias(TS), F.lit(0.0).alias(GEN))
+    sides = [_arrivals(df.union(ahead), name, schema) for df, name in ((means, "fine-arrivals"), (coarse, "coarse-arrivals"))]
+    stream = aligned.align_streams(*sides, lateness=STREAM_SPAN, names=("mean_W", "coarse_Wh"))
+    out = _drained(stream, "aligned", f"{SS_ID} bigint, {TS} timestamp, mean_W double, coarse_Wh double")
+    return out.filter(F.col(SS_ID) >= 0).withColumn("mean_W", F.round("mean_W", 6))
+
+
 def q_incremental_relayout(spark, sf_dir):
     """A raw tree that grows, laid out month by month as its files
     appear; the second refresh reads the new months only."""
@@ -522,7 +567,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outlier_context_row": q_outlier_context_row,
     "wide_months_roundtrip": q_wide_months_roundtrip,
     "metadata_csv_roundtrip": q_metadata_csv_roundtrip,
+    "align_streams": q_align_streams,
     "bucketed_fetch": q_bucketed_fetch,
+    "dedup_stream": q_dedup_stream,
     "incremental_activity": q_incremental_activity,
     "incremental_id_counts": q_incremental_id_counts,
     "incremental_id_overlap": q_incremental_id_overlap,

@@ -1,0 +1,73 @@
+import datetime as dt
+
+from pvtide.streaming.aligned import align_streams, append_to, dedup_stream
+
+DDL = "ss_id int, datetime_GMT timestamp, generation_Wh float"
+DAY = dt.datetime(2024, 1, 1)
+
+
+def at(hours):
+    return DAY + dt.timedelta(hours=hours)
+
+
+def arrive(spark, path, *files):
+    """Files in order of their arrival (each its own append)."""
+    for rows in files:
+        spark.createDataFrame(rows, DDL).coalesce(1).write.mode("append").parquet(path)
+
+
+def stream(spark, path):
+    return spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def run(spark, frame, scratch, name):
+    query = append_to(frame, f"{scratch}/{name}", f"{scratch}/{name}-checkpoint")
+    query.awaitTermination()
+    return query, spark.read.parquet(f"{scratch}/{name}")
+
+
+def test_dedup_equals_batch_within_the_bound(spark, scratch):
+    """Copies in one file, in later files, out of order within two days; a
+    copy beyond the bound is dropped as late; the state stays bounded."""
+    files = []
+    for day in range(12):
+        rows = [(i, at(24 * day + h), float(day)) for i in range(5) for h in range(24)]
+        late = [(i, at(24 * day - 20), -1.0) for i in range(5)] if day else []
+        files.append(rows + rows[:30] + late)
+    files.append([(0, at(1), 99.0), (1, at(24 * 11), 98.0)])  # long past the watermark; a copy of the last day
+    arrive(spark, f"{scratch}/in", *files)
+    query, out = run(spark, dedup_stream(stream(spark, f"{scratch}/in"), "2 days"), scratch, "out")
+    found = sorted((r.ss_id, r.datetime_GMT, r.generation_Wh) for r in out.collect())
+    assert found == sorted((i, at(24 * day + h), float(day)) for day in range(12) for i in range(5) for h in range(24))
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # A key stays for the two days of lateness after its time has passed the watermark, itself two days behind.
+    assert max(rows) <= 5 * 24 * 5 < 5 * 24 * 12
+
+
+def test_alignment_equals_batch_and_emits_unmatched_rows(spark, scratch):
+    left = [[(i, at(24 * day + h), float(100 * day + h)) for i in range(3) for h in range(0, 24, 2)] for day in range(6)]
+    right = [[(i, at(24 * day + h), float(-h)) for i in range(1, 4) for h in range(0, 24, 3)] for day in range(6)]
+    left[2].append((None, at(50), 1.0))  # without an id: no partner to wait for
+    ahead = [(9, at(24 * 40), 0.0)]
+    arrive(spark, f"{scratch}/left", *left, ahead)
+    arrive(spark, f"{scratch}/right", *right, ahead)
+    frame = align_streams(stream(spark, f"{scratch}/left"), stream(spark, f"{scratch}/right"), "1 day")
+    query, out = run(spark, frame, scratch, "aligned")
+    a = {(i, t): v for rows in left for i, t, v in rows if i is not None}
+    b = {(i, t): v for rows in right for i, t, v in rows}
+    expected = sorted(((*k, a.get(k), b.get(k)) for k in {*a, *b}), key=str)
+    found = sorted((tuple(r) for r in out.collect() if r.ss_id != 9), key=str)
+    assert found == expected
+    assert any(r[2] is None for r in found) and any(r[3] is None for r in found)
+    last = query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+    assert last <= 2 * 1 + 1  # only what lies ahead of the watermark is left
+
+
+def test_restart_takes_up_where_it_stopped(spark, scratch):
+    first = [(1, at(h), 1.0) for h in range(10)]
+    arrive(spark, f"{scratch}/in", first)
+    run(spark, dedup_stream(stream(spark, f"{scratch}/in"), "2 days"), scratch, "out")
+    arrive(spark, f"{scratch}/in", [(1, at(h), 2.0) for h in range(5, 15)])
+    _, out = run(spark, dedup_stream(stream(spark, f"{scratch}/in"), "2 days"), scratch, "out")
+    assert sorted((r.datetime_GMT, r.generation_Wh) for r in out.collect()) == \
+        [(at(h), 1.0 if h < 10 else 2.0) for h in range(15)]
