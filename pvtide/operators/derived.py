@@ -12,7 +12,8 @@ Kinds of states:
 * ``ID_BITMAPS`` (A6-A8, U4, U5): exact bitmaps of ids, merged by OR;
 * ``activity`` (A2, P8): first and last reading of every system;
 * ``resample_sums`` (A4, W2): sum and count of every right-closed window, also
-  of those that two months share. Null and NaN rules are the mean's.
+  of those that two months share. Null and NaN rules are the mean's;
+* ``value_sketches`` (A11, P12): mergeable quantile sketches of the values.
 
 Layout: ``derived/<name>/states/batch=<id>/`` and, written last as a single
 file, ``derived/<name>/folders/<id>/`` with the folders of that batch.
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 
 from pvtide.functions.timecols import right_closed_end
 from pvtide.operators.snapshots import WRITE, Snapshot
+from pvtide.operators.spatial import value_sketch
 from pvtide.schema import END, GEN, MONTH, SS_ID, START, TS, YEAR
 
 BATCH = "batch"
@@ -86,6 +88,13 @@ def resample_sums(every: str = "30 minutes", value: str = GEN, factor: float = 1
     return Kind(f"resample-{every.replace(' ', '-')}-{value}-{factor}", partial, merge)
 
 
+def value_sketches(value: str = GEN, k: int = 200) -> Kind:
+    """Quantile sketches of the values of every month folder (A11), merged to
+    one; ``spatial.edges_of`` takes its quantiles."""
+    return Kind(f"sketch-{value}-{k}", lambda df: df.groupBy(*FOLDER).agg(value_sketch(value, k).alias("sketch")),
+                lambda states: states.agg(F.kll_merge_agg_double("sketch", k).alias("sketch")))
+
+
 # --- keeping them -----------------------------------------------------------
 
 def _root(table: Snapshot, kind: Kind) -> str:

@@ -7,8 +7,11 @@ the row-group statistics can skip time ranges.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pvtide.functions.nan import not_nan
 from pvtide.functions.timecols import month_dir_value, month_key, ts_literal, year_key
@@ -18,6 +21,7 @@ from pvtide.schema import GEN, MONTH, SS_ID, TS, YEAR
 # and a job has at most so many (the driver tracks every one of them).
 RANGE_BYTES = 128 << 20
 MAX_RANGES = 100_000
+_KEPT = "_pvt_kept"
 # Where a raw tree's paths have year and month.
 RAW_PATH = r"/(\d{4})/(\d{1,2})/[^/]*$"
 
@@ -106,9 +110,52 @@ def write_sorted_months(df: DataFrame, path: str, mode: str = "errorifexists",
     writer.partitionBy(YEAR, MONTH).parquet(path)
 
 
-def key_checksum() -> Column:
-    """A checksum of ids and times that does not depend on the rows' order."""
-    total = F.sum(F.xxhash64(SS_ID, TS).cast("decimal(20,0)"))
+@dataclass(frozen=True)
+class Rewrite:
+    """What a rewrite was seen to do with its rows."""
+
+    rows_in: int
+    dropped: int
+    rows_out: int
+    checksum: str
+
+
+def rewrite_months(source: DataFrame, path: str, keep: Column, num_partitions: int | None = None,
+                   keep_keys: bool = False, row_group_bytes: int | None = None) -> Rewrite:
+    """Write the rows of ``source`` that ``keep`` holds for as sorted months
+    (P2, P3, P4), and prove that no other row was lost.
+
+    The tasks that write count all rows that reach them, those they drop and
+    those they keep (``observe``, behind the shuffle, which dropped rows pass
+    too). Rows that reached them must be those of the source and rows kept
+    those of the files; both are counted without reading data, from Parquet
+    footers where the source is a scan. Raises if either differs; ``path`` is
+    then to be thrown away. ``keep`` null counts as false, as in a filter.
+    """
+    require_time_statistics(source)
+    seen, kept = Observation(), F.coalesce(keep, F.lit(False))
+    flagged = source.withColumn(_KEPT, kept)
+    arranged = sorted_month_frame(flagged, num_partitions, keep_keys=keep_keys).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col(_KEPT)).alias("dropped"),
+        key_checksum(F.col(_KEPT)).alias("checksum"))
+    cols = [c for c in source.columns if c not in (YEAR, MONTH)]
+    writer = arranged.filter(F.col(_KEPT)).select(*cols, YEAR, F.col("_month_dir").alias(MONTH)).write
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", int(row_group_bytes))
+    writer.partitionBy(YEAR, MONTH).parquet(path)
+    rows, dropped = seen.get["rows"], seen.get["dropped"]
+    expected, held = source.count(), source.sparkSession.read.schema(
+        T.StructType([f for f in source.schema.fields if f.name in cols])).parquet(path).count()
+    if rows != expected or rows - dropped != held:
+        raise RuntimeError(f"{expected} rows went in, {rows} reached the writer, {dropped} were to go, {held} are in {path}")
+    return Rewrite(rows, dropped, held, seen.get["checksum"])
+
+
+def key_checksum(where: Column | None = None) -> Column:
+    """A checksum of ids and times (of the rows ``where`` holds for) that does
+    not depend on the rows' order."""
+    hashed = F.xxhash64(SS_ID, TS) if where is None else F.when(where, F.xxhash64(SS_ID, TS))
+    total = F.sum(hashed.cast("decimal(20,0)"))
     return F.coalesce(total, F.lit(0).cast("decimal(30,0)")).cast("string")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvtide.functions.hexgrid import DEFAULT_EDGE_KM, hex_cell
@@ -22,6 +22,36 @@ def hex_density(metadata: DataFrame, edge_km: float = DEFAULT_EDGE_KM,
             .groupBy("cell_q", "cell_r").agg(F.count(F.lit(1)).alias("n_systems")))
 
 
+def quantile_edges(df: DataFrame, column: str = "kWp", bins: int = 10, k: int = 200) -> list[float]:
+    """Edges that cut a column into ``bins`` of about equal counts: the least
+    value, the quantiles between, the largest; equal ones are merged.
+
+    One pass with a mergeable quantile sketch (a few kB per task, whatever the
+    number of rows). With ``k`` of 200 a quantile's rank is off by about 1.3 %
+    of the rows at most (99 % of the time; measured in the tests), the error
+    falls as 1/k, and up to ``k`` rows the quantiles are exact. Nulls and NaN
+    have no rank and are left out; without values there are no edges.
+    """
+    return edges_of(df.agg(value_sketch(column, k)).first()[0], bins, df)
+
+
+def value_sketch(column: str, k: int) -> Column:
+    """A quantile sketch of a column's numbers, as bytes."""
+    v = F.col(column).cast("double")
+    return F.kll_sketch_agg_double(F.when(~F.isnan(v), v), k)
+
+
+def edges_of(sketch: bytes | None, bins: int, df: DataFrame) -> list[float]:
+    """The edges that a (merged) sketch gives."""
+    if sketch is None:
+        return []
+    row = df.sparkSession.range(1).select(F.lit(bytearray(sketch)).alias("s"))
+    if not row.select(F.kll_sketch_get_n_double("s")).first()[0]:
+        return []
+    ranks = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    return sorted(set(row.select(F.kll_sketch_get_quantile_double("s", ranks)).first()[0]))
+
+
 def _edge_label(lo: float, hi: float, first: bool) -> str:
     return f"{'[' if first else '('}{float(lo)}, {float(hi)}]"
 
@@ -35,7 +65,10 @@ def capacity_histogram(df: DataFrame, column: str = "kWp", edges=None) -> DataFr
     ``CASE`` chain (no join against the data); only the bin counts meet the
     edge list, which is as long as the parameter.
     """
-    edges = [float(e) for e in (edges or CAPACITY_EDGES)]
+    edges = [float(e) for e in (CAPACITY_EDGES if edges is None else edges)]
+    if len(edges) < 2:
+        return df.sparkSession.createDataFrame(
+            [], "bin_index int, bin_edges string, lower_edge double, upper_edge double, count bigint")
     if any(b <= a for a, b in zip(edges, edges[1:])):
         raise ValueError("edges must increase")
     v = F.col(column).cast("double")

@@ -342,6 +342,33 @@ ORACLE_SQL: dict[str, str] = {
                then cast(cast(generation_Wh as double) / 2 as float) else generation_Wh end as generation_Wh
         from k, (values (1), (2)) v(version)""",
 
+    "capacity_quantile_bins": _with("metadata_raw") + """,
+        sorted as (select kWp, row_number() over (order by kWp) as place, count(*) over () as n from metadata_raw),
+        edges as (select distinct s.kWp as edge from sorted s, (select range as i from range(0, 11)) r
+                  where s.place = greatest(1, cast(ceil(r.i * s.n / 10e0) as bigint))),
+        bins as (select cast(row_number() over (order by edge) - 1 as integer) as bin_index, edge as lower_edge,
+                        lead(edge) over (order by edge) as upper_edge from edges)
+        select bin_index, lower_edge, upper_edge,
+          (select count(*) from metadata_raw m where m.kWp <= b.upper_edge
+             and (m.kWp > b.lower_edge or (b.bin_index = 0 and m.kWp = b.lower_edge))) as count
+        from bins b where upper_edge is not null""",
+
+    "rewrite_proof": _with("readings_gaps") + """,
+        k as (select * from readings_gaps where generation_Wh is null
+              or (not isnan(generation_Wh) and generation_Wh < 100000))
+        select cast(year(datetime_GMT) as smallint) as year, cast(month(datetime_GMT) as tinyint) as month,
+          count(*) as n_readings, count(generation_Wh) as n_values,
+          (select count(*) from readings_gaps) as rows_in,
+          (select count(*) from readings_gaps) - (select count(*) from k) as dropped,
+          (select count(*) from k) as rows_out from k group by all""",
+
+    "metadata_rejects": """
+        select case c_custkey % 10 when 3 then 'does not parse: ss_id' when 5 then 'does not parse: start_datetime_GMT'
+                    else 'good' end as reason,
+          count(*) as n_lines,
+          cast(coalesce(sum(case when c_custkey % 10 not in (3, 5) then c_custkey end), 0) as bigint) as sum_ids
+        from customer group by all""",
+
     "dedup_stream": "select distinct l_partkey as ss_id, l_shipdate as datetime_GMT from lineitem",
 
     "align_streams": _with("readings", "resampled", "halfhour_nn") + """

@@ -32,11 +32,28 @@ from pvtide.operators import (
     snapshots,
     spatial,
 )
-from pvtide.schema import END, GEN, MONTH, PARTITIONED_READINGS, SS_ID, START, TS, YEAR
+from pvtide.schema import (
+    END,
+    GEN,
+    METADATA,
+    METADATA_FLOAT_COLUMNS,
+    MONTH,
+    PARTITIONED_READINGS,
+    SS_ID,
+    START,
+    TS,
+    YEAR,
+)
 from pvtide.operators.sizing import reliable_checkpoint
 from pvtide.session import ensure_checkpoint_dir
 from pvtide.sources import fixtures as fx
-from pvtide.sources.csvfiles import read_metadata, read_new_metadata, write_csv, write_metadata
+from pvtide.sources.csvfiles import (
+    read_metadata,
+    read_new_metadata,
+    read_with_rejects,
+    write_csv,
+    write_metadata,
+)
 from pvtide.streaming import aligned
 from pvtide.sources.readings import narrow_readings, scan_partition, scan_readings, scan_wide_blocks
 
@@ -69,6 +86,8 @@ SAMPLE_DRAWS = 2
 SAMPLE_SYSTEMS = 50
 FINE_MINUTES = 5
 BUCKETS = 8
+QUANTILE_BINS = 10
+QUANTILE_K = 65_535
 ARRIVALS = 4
 STREAM_SPAN = "4000 days"
 FAR_AHEAD = "2300-01-01 00:00:00"
@@ -173,6 +192,14 @@ def q_capacity_histogram(spark, sf_dir):
     return spatial.capacity_histogram(fx.metadata_raw(spark, sf_dir))
 
 
+def q_capacity_quantile_bins(spark, sf_dir):
+    """P12/A11 with edges from the data: ten bins between quantiles of a
+    mergeable sketch (exact up to QUANTILE_K rows, see ``quantile_edges``)."""
+    meta = fx.metadata_raw(spark, sf_dir)
+    edges = spatial.quantile_edges(meta, bins=QUANTILE_BINS, k=QUANTILE_K)
+    return spatial.capacity_histogram(meta, edges=edges).drop("bin_edges")
+
+
 def q_hex_density(spark, sf_dir):
     return spatial.hex_density(fx.metadata_raw(spark, sf_dir))
 
@@ -432,6 +459,37 @@ def q_zone_map(spark, sf_dir):
         F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"))
 
 
+def q_rewrite_proof(spark, sf_dir):
+    """P2 + P3 + P4 in one checked write of a month layout: NaN and
+    implausible readings go, and the counts that prove that no other does."""
+    readings = fx.readings_gaps(spark, sf_dir)
+    before, after = _scratch(spark, "unchecked"), _scratch(spark, "checked")
+    layout.write_sorted_months(readings, before)
+    source = scan_readings(spark, before, schema=_layout_schema(readings))
+    plausible = F.coalesce(F.col(GEN) < F.lit(float(quality.IMPLAUSIBLE_WH)), F.col(GEN).isNull())
+    done = layout.rewrite_months(source, after, plausible)
+    held = scan_readings(spark, after, schema=_layout_schema(readings)).groupBy(YEAR, MONTH).agg(
+        F.count(F.lit(1)).alias("n_readings"), F.count(GEN).alias("n_values"))
+    return held.withColumns({"rows_in": F.lit(done.rows_in).cast("bigint"), "dropped": F.lit(done.dropped).cast("bigint"),
+                             "rows_out": F.lit(done.rows_out).cast("bigint")})
+
+
+def q_metadata_rejects(spark, sf_dir):
+    """S5-S7 with a reject channel: customers as metadata lines, some of them
+    with a field that does not parse; lines per outcome and reason."""
+    key = F.col("c_custkey")
+    lines = fx.table(spark, sf_dir, "customer").select(
+        F.when(key % 10 == 3, F.lit("unknown")).otherwise(key.cast("string")).alias(SS_ID),
+        F.when(key % 10 == 5, F.lit("01/02/2020")).otherwise(F.lit("2020-02-01T00:00:00Z")).alias(START),
+        F.lit("").alias(END), *[F.lit(1.5).alias(c) for c in METADATA_FLOAT_COLUMNS])
+    raw = _scratch(spark, "metadata-lines")
+    write_csv(lines, raw)
+    good, rejected = read_with_rejects(spark, raw, _scratch(spark, "metadata-parsed"), METADATA, zone_less=True)
+    return good.select(F.lit("good").alias("reason"), F.col(SS_ID).alias("id")).union(
+        rejected.select("reason", F.lit(None).cast("bigint"))).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum("id"), F.lit(0).cast("bigint")).alias("sum_ids"))
+
+
 def _arrivals(df: DataFrame, name: str, schema: str) -> DataFrame:
     """The readings as files that arrive one after the other, as a stream."""
     path = _scratch(df.sparkSession, name)
@@ -542,6 +600,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exact_months": q_exact_months,
     "exact_months_repair": q_exact_months_repair,
     "capacity_histogram": q_capacity_histogram,
+    "capacity_quantile_bins": q_capacity_quantile_bins,
     "hex_density": q_hex_density,
     "sample_windows": q_sample_windows,
     "sample_systems": q_sample_systems,
@@ -567,6 +626,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outlier_context_row": q_outlier_context_row,
     "wide_months_roundtrip": q_wide_months_roundtrip,
     "metadata_csv_roundtrip": q_metadata_csv_roundtrip,
+    "metadata_rejects": q_metadata_rejects,
+    "rewrite_proof": q_rewrite_proof,
     "align_streams": q_align_streams,
     "bucketed_fetch": q_bucketed_fetch,
     "dedup_stream": q_dedup_stream,

@@ -327,3 +327,23 @@ def test_late_slice_reads_the_row_index(spark):
     assert got == list(range(1500, 1507))
     plan = slice_rows(df, ["ss_id"], 1500, 7, top_rows=100)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan
+
+
+def test_rewrite_proves_that_no_row_is_lost(spark, scratch, monkeypatch):
+    """P4 and P3 as one write that counts what reaches it and what it drops."""
+    import pytest
+    from pvtide.functions.nan import not_nan
+    from pvtide.operators import layout
+
+    write_sorted_months(_readings(spark), f"{scratch}/in")
+    source = scan_readings(spark, f"{scratch}/in")
+    done = layout.rewrite_months(source, f"{scratch}/out", not_nan("generation_Wh") & (F.col("ss_id") != 2))
+    expected = _readings(spark).filter(not_nan("generation_Wh") & (F.col("ss_id") != 2))
+    assert (done.rows_in, done.dropped, done.rows_out) == (3000, 3000 - expected.count(), expected.count())
+    assert scan_readings(spark, f"{scratch}/out").drop("year", "month").exceptAll(expected).count() == 0
+    assert done.checksum == expected.agg(layout.key_checksum()).first()[0]
+    # An arrangement that loses rows does not pass.
+    arrange = layout.sorted_month_frame
+    monkeypatch.setattr(layout, "sorted_month_frame", lambda df, *a, **k: arrange(df, *a, **k).filter("ss_id <> 1"))
+    with pytest.raises(RuntimeError, match="reached the writer"):
+        layout.rewrite_months(source, f"{scratch}/lossy", F.lit(True))

@@ -1,0 +1,52 @@
+from bisect import bisect_left, bisect_right
+
+from pyspark.sql import functions as F
+
+from pvtide.operators import derived, snapshots, spatial
+from test_snapshots import readings
+
+
+def rank_error(values, edges, bins):
+    """Largest distance of an edge's rank from the wanted one, as a share of the rows."""
+    values = sorted(values)
+    n, worst = len(values), 0.0
+    for i, edge in enumerate(edges):
+        low, high = bisect_left(values, edge) / n, bisect_right(values, edge) / n
+        worst = max(worst, low - i / bins, i / bins - high)
+    return worst
+
+
+def skewed(spark, n=200_000):
+    return spark.range(n, numPartitions=7).select((F.exp(F.rand(3) * 9) + F.col("id") % 5).alias("kWp"))
+
+
+def test_rank_error_is_as_documented(spark):
+    df = skewed(spark).cache()
+    values = [r[0] for r in df.collect()]
+    for k, most in ((200, 0.02), (2000, 0.002)):
+        edges = spatial.quantile_edges(df, bins=20, k=k)
+        assert len(edges) == 21 and edges[0] == min(values) and edges[-1] == max(values)
+        assert rank_error(values, edges, 20) < most
+    counts = [r["count"] for r in spatial.capacity_histogram(df, edges=spatial.quantile_edges(df, bins=10, k=2000)).collect()]
+    assert len(counts) == 10 and sum(counts) == len(values) and max(counts) < 1.05 * min(counts)
+
+
+def test_exact_up_to_k_rows_and_odd_values(spark):
+    rows = [(float(v),) for v in [5, 1, 9, 3, 7, 7, 7, 2]] + [(None,), (float("nan"),)]
+    df = spark.createDataFrame(rows, "kWp double")
+    assert spatial.quantile_edges(df, bins=4) == [1.0, 2.0, 5.0, 7.0, 9.0]
+    assert spatial.quantile_edges(df.filter("kWp = 7"), bins=4) == [7.0]
+    assert spatial.quantile_edges(df.filter("isnan(kWp)"), bins=4) == []
+    assert spatial.quantile_edges(df.limit(0), bins=4) == []
+    assert spatial.capacity_histogram(df, edges=[]).count() == 0
+
+
+def test_sketches_of_month_folders_merge(spark, scratch):
+    df = readings(spark)
+    kind = derived.value_sketches(k=400)
+    table = snapshots.write_snapshot(df.filter(F.month("datetime_GMT") <= 3), f"{scratch}/table")
+    assert len(derived.update(table, kind)) == 3
+    table = snapshots.write_snapshot(df.filter(F.month("datetime_GMT") > 3), f"{scratch}/table")
+    assert len(derived.update(table, kind)) == 3
+    edges = spatial.edges_of(derived.merged(table, kind).first().sketch, 10, df)
+    assert rank_error([r[0] for r in df.select("generation_Wh").collect()], edges, 10) < 0.01
