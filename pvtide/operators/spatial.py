@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvtide.functions.hexgrid import DEFAULT_EDGE_KM, hex_cell
+from pvtide.functions.spherecells import cell_parent, sphere_cell
 
 # Capacity bin edges of the reference, kWp.
 CAPACITY_EDGES = [0, 1, 2, 3, 4, 10, 50, 100, 150, 200, 250]
@@ -22,6 +23,21 @@ def hex_density(metadata: DataFrame, edge_km: float = DEFAULT_EDGE_KM,
             .groupBy("cell_q", "cell_r").agg(F.count(F.lit(1)).alias("n_systems")))
 
 
+def sphere_density(metadata: DataFrame, resolution: int = 5, roll_up: tuple[int, ...] = (),
+                   lat: str = "latitude_rounded", lon: str = "longitude_rounded") -> DataFrame:
+    """``resolution, cell, n_systems``: systems per cell of the sphere (P11,
+    A3, X21), and per ancestor of those cells at coarser resolutions. The data
+    is grouped once; the roll-ups take the counts of the fine cells, which a
+    generator gives each ancestor of theirs. Systems without coordinates are
+    in no cell."""
+    fine = (metadata.select(sphere_cell(lat, lon, resolution).alias("cell")).filter(F.col("cell").isNotNull())
+            .groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+    levels = [F.struct(F.lit(resolution).alias("resolution"), F.col("cell").alias("cell"))]
+    levels += [F.struct(F.lit(r).alias("resolution"), cell_parent("cell", r).alias("cell")) for r in roll_up]
+    return (fine.select("n", F.explode(F.array(*levels)).alias("at")).groupBy("at.resolution", "at.cell")
+            .agg(F.sum("n").alias("n_systems")))
+
+
 def quantile_edges(df: DataFrame, column: str = "kWp", bins: int = 10, k: int = 200) -> list[float]:
     """Edges that cut a column into ``bins`` of about equal counts: the least
     value, the quantiles between, the largest; equal ones are merged.

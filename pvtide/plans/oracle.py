@@ -5,6 +5,8 @@ checks the plan as well as the values."""
 
 from __future__ import annotations
 
+from pvtide.functions.spherecells import FACES, edge_of, turn_of
+
 # Fixture views of pvtide.sources.fixtures, as CTE bodies.
 _VIEWS = {
     "readings": """select user_id as ss_id, ts as datetime_GMT, value as generation_Wh from events""",
@@ -132,6 +134,48 @@ _WIDE = _with("halfhour_nn") + f"""
 _NARROW = """select cast(l_partkey as integer) as ss_id, l_shipdate as datetime_GMT,
           cast(l_extendedprice as float) as generation_Wh from lineitem"""
 
+def _nearest_hexagon(source: str, resolution: int, keep: str) -> str:
+    """(keep, f, q, r) of the hexagon whose centre is nearest to x, y: the
+    nine around the place are measured, in the turned tiling."""
+    e, (c, s) = repr(edge_of(resolution)), map(repr, turn_of(resolution))
+    return f"""select {keep}, f, arg_min(q, d) as q, arg_min(r, d) as r from (
+          select *, pow(u - sqrt(3e0) * {e} * (q + r / 2e0), 2) + pow(w - 1.5e0 * {e} * r, 2) as d from (
+            select *, round(u / (sqrt(3e0) * {e}) - r / 2e0) + dq as q from (
+              select *, round(w / (1.5e0 * {e})) + dr as r from (
+                select *, x * {c} + y * {s} as u, y * {c} - x * {s} as w from {source}), (values (-1), (0), (1)) a(dr)),
+              (values (-1), (0), (1)) b(dq))) group by {keep}, f, x, y"""
+
+
+def _cell_id(resolution: int) -> str:
+    return (f"(({resolution} * 20 + f) * 67108864::bigint + cast(q as bigint) + 33554432) * 67108864::bigint"
+            " + cast(r as bigint) + 33554432")
+
+
+def _hexagon_centre(resolution: int) -> str:
+    e, (c, s) = repr(edge_of(resolution)), map(repr, turn_of(resolution))
+    u, w = f"(sqrt(3e0) * {e} * (q + r / 2e0))", f"(1.5e0 * {e} * r)"
+    return f"{u} * {c} - {w} * {s} as x, {u} * {s} + {w} * {c} as y"
+
+
+# The faces' centres and directions are fixed values that both sides share.
+_FACE_ROWS = ", ".join(f"({i}, {', '.join(repr(v) for part in face for v in part)})" for i, face in enumerate(FACES))
+_SPHERE_DENSITY = _with("metadata_raw") + f""",
+        faces(f, c0, c1, c2, a0, a1, a2, b0, b1, b2) as (values {_FACE_ROWS}),
+        places as (select ss_id, cos(radians(latitude_rounded)) * cos(radians(longitude_rounded)) as px,
+                     cos(radians(latitude_rounded)) * sin(radians(longitude_rounded)) as py,
+                     sin(radians(latitude_rounded)) as pz from metadata_raw
+                   where latitude_rounded is not null and longitude_rounded is not null),
+        met as (select *, px * c0 + py * c1 + pz * c2 as d from places, faces),
+        mapped as (select ss_id, f, (px * a0 + py * a1 + pz * a2) * sqrt(2e0 / (1e0 + d)) as x,
+                     (px * b0 + py * b1 + pz * b2) * sqrt(2e0 / (1e0 + d)) as y
+                   from met m where d = (select max(d) from met n where n.ss_id = m.ss_id)),
+        h5 as ({_nearest_hexagon("mapped", 5, "ss_id")}),
+        h4 as ({_nearest_hexagon(f"(select ss_id, f, {_hexagon_centre(5)} from h5)", 4, "ss_id")}),
+        h3 as ({_nearest_hexagon(f"(select ss_id, f, {_hexagon_centre(4)} from h4)", 3, "ss_id")}),
+        cells as (select 5 as resolution, {_cell_id(5)} as cell from h5
+                  union all select 4, {_cell_id(4)} from h4 union all select 3, {_cell_id(3)} from h3)
+        select resolution, cell, cast(count(*) as bigint) as n_systems from cells group by all"""
+
 ORACLE_SQL: dict[str, str] = {
     "activity_bounds": _with("readings_long") + """
         select ss_id, min(datetime_GMT) as start_datetime_GMT, max(datetime_GMT) as end_datetime_GMT
@@ -342,6 +386,8 @@ ORACLE_SQL: dict[str, str] = {
                then cast(cast(generation_Wh as double) / 2 as float) else generation_Wh end as generation_Wh
         from k, (values (1), (2)) v(version)""",
 
+    "sphere_density": _SPHERE_DENSITY,
+
     "capacity_quantile_bins": _with("metadata_raw") + """,
         sorted as (select kWp, row_number() over (order by kWp) as place, count(*) over () as n from metadata_raw),
         edges as (select distinct s.kWp as edge from sorted s, (select range as i from range(0, 11)) r

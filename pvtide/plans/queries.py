@@ -204,6 +204,11 @@ def q_hex_density(spark, sf_dir):
     return spatial.hex_density(fx.metadata_raw(spark, sf_dir))
 
 
+def q_sphere_density(spark, sf_dir):
+    """Systems per cell of the sphere at resolution 5, rolled up to 4 and 3."""
+    return spatial.sphere_density(fx.metadata_raw(spark, sf_dir), 5, (4, 3))
+
+
 def _sample_windows(spark, sf_dir):
     # The dataset's bounds are those of the systems' bounds: one scan of the readings.
     active = reliable_checkpoint(metadata.activity_bounds(fx.readings(spark, sf_dir)))
@@ -602,6 +607,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "capacity_histogram": q_capacity_histogram,
     "capacity_quantile_bins": q_capacity_quantile_bins,
     "hex_density": q_hex_density,
+    "sphere_density": q_sphere_density,
     "sample_windows": q_sample_windows,
     "sample_systems": q_sample_systems,
     "sample_fetch": q_sample_fetch,
