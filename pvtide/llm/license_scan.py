@@ -3,8 +3,11 @@
 A text is brought to a canonical form (lower case; copyright signs spelled
 out; everything but letters and digits a blank; equivalent spellings made
 one; copyright lines left out), and entire texts are looked up by the digest
-of that form in a table of known licences: the whole document, each of its
-paragraphs and each of its lines. The lookup is a hash join of digests.
+of that form in a table of known licences: every run of consecutive
+paragraphs (a single paragraph and the whole document among them) and every
+line. Only runs whose length is that of a known text are looked at, so the
+work grows with the paragraphs, not with their pairs. The lookup is a hash
+join of digests.
 """
 
 from __future__ import annotations
@@ -34,11 +37,16 @@ NOT_ALPHANUMERIC = r"[^\p{L}\p{N}]+"
 # A copyright line starts with the word and goes on to a year, a placeholder or a name,
 # or reserves all rights; "copyright notice ..." is licence text.
 COPYRIGHT_LINE = r"^((copyright )+(\d{4}|year|yyyy|by )|copyright .* all rights reserved$|all rights reserved$)"
-# Every built-in text holds one of these (``known_digests`` checks it), and a word of a
+# A first line of at most this many words is a known text's title.
+TITLE_WORDS = 4
+KNOWN_SCHEMA = "digest string, license_id string, length int"
+# Every built-in text holds one of these (``known_rows`` checks it), and a word of a
 # canonical form stands in the text itself, so a text with none of them matches nothing.
 ANCHORS = ("licen", "permission", "redistribution", "software")
 # Known texts are broadcast up to this many rows (about 60 bytes each).
 BROADCAST_ROWS = 1_000_000
+# Paragraphs whose lengths are added up at a time.
+CHUNK = 64
 
 
 def canonical_line(line: Column) -> Column:
@@ -62,13 +70,58 @@ def whole_of(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
-def units_of(lines: Column) -> Column:
-    """Digests of the entire texts in a text: itself, its paragraphs, its lines."""
-    filled = F.filter(lines, lambda x: x != "")
+def _bind(value: Column, body) -> Column:
+    """``body`` applied to ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running_sums(numbers: Column) -> Column:
+    """Running sums of an array, in chunks: no step copies a long array."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    firsts = F.when(F.size(numbers) > 0, F.sequence(F.lit(1), F.size(numbers), F.lit(CHUNK))).otherwise(
+        F.expr("cast(array() as array<int>)"))
+    chunks = F.transform(firsts, lambda i: F.slice(numbers, i, CHUNK))
+    start = F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("before"))
+
+    def summed(cs):
+        before = F.aggregate(cs, start, lambda a, c: F.struct(
+            (a["sum"] + total(c)).alias("sum"), F.concat(a["before"], F.array(a["sum"])).alias("before")))["before"]
+        return F.flatten(F.zip_with(cs, before, lambda c, base: F.transform(
+            c, lambda _, i: base + total(F.slice(c, F.lit(1), i + 1)))))
+
+    return _bind(chunks, summed)
+
+
+def paragraphs_of(lines: Column) -> Column:
+    """Canonical paragraphs of a text, parted by blank lines; empty ones left out."""
     paragraphs = F.transform(F.split(F.array_join(lines, "\n"), "\n\n+"),
                              lambda p: F.trim(F.replace(p, F.lit("\n"), F.lit(" "))))
-    texts = F.concat(F.array(whole_of(lines)), F.filter(paragraphs, lambda x: x != ""), filled)
-    return F.transform(F.array_distinct(texts), lambda x: F.md5(x.cast("binary")))
+    return F.filter(paragraphs, lambda x: x != "")
+
+
+def units_of(lines: Column, lengths: Column) -> Column:
+    """Digests of the entire texts in a text that are as long as a known one:
+    runs of consecutive paragraphs, and lines.
+
+    ``lengths``: the distinct lengths of known texts. In the paragraphs laid
+    end to end, a run of that length begins where one paragraph begins and
+    the place ``length`` further on is the end of another.
+    """
+    def runs(v):
+        found = lambda n: F.transform(
+            F.array_intersect(F.transform(v["starts"], lambda s: s + n + 1), v["ends"]),
+            lambda e: v["whole"].substr(e - n, n))
+        return F.flatten(F.transform(lengths, found))
+
+    def placed(paragraphs):
+        sizes = F.transform(paragraphs, lambda x: F.length(x) + 1)
+        return _bind(F.struct(paragraphs.alias("p"), _running_sums(sizes).alias("ends")), lambda v: F.struct(
+            F.zip_with(v["ends"], v["p"], lambda e, x: e - F.length(x) - 1).alias("starts"), v["ends"].alias("ends"),
+            F.array_join(v["p"], " ").alias("whole")))
+
+    texts = _bind(_bind(paragraphs_of(lines), placed), runs)
+    filled = F.filter(lines, lambda x: (x != "") & F.array_contains(lengths, F.length(x)))
+    return F.transform(F.array_distinct(F.concat(texts, filled)), lambda x: F.md5(x.cast("binary")))
 
 
 def canonical(text: str) -> str:
@@ -85,42 +138,74 @@ def canonical(text: str) -> str:
     return " ".join(out)
 
 
-def known_digests(texts=KNOWN_TEXTS) -> list[tuple[str, str]]:
-    """``(digest, license_id)`` of known texts, with and without a title line."""
+def known_rows(texts=KNOWN_TEXTS) -> list[tuple[str, str, int]]:
+    """``(digest, license_id, length)`` of known texts, with and without a title line."""
     found = {}
     for license_id, text in texts:
         title, _, rest = text.partition("\n")
-        for form in (text, rest) if rest and len(title.split()) <= 4 else (text,):
+        for form in (text, rest) if rest and len(title.split()) <= TITLE_WORDS else (text,):
             plain = canonical(form)
+            found.setdefault(hashlib.md5(plain.encode()).hexdigest(), (license_id, len(plain), plain))
+    if texts is KNOWN_TEXTS:
+        for license_id, _, plain in found.values():
             if not any(a in plain for a in ANCHORS):
                 raise ValueError(f"a text of {license_id} holds none of {ANCHORS}")
-            found.setdefault(hashlib.md5(plain.encode()).hexdigest(), license_id)
-    return sorted(found.items())
+    return sorted((digest, license_id, n) for digest, (license_id, n, _) in found.items())
+
+
+def known_digests(texts=KNOWN_TEXTS) -> list[tuple[str, str]]:
+    """``(digest, license_id)`` of known texts."""
+    return [(digest, license_id) for digest, license_id, _ in known_rows(texts)]
 
 
 def known_frame(spark: SparkSession, texts=KNOWN_TEXTS) -> DataFrame:
-    return spark.createDataFrame(known_digests(texts), "digest string, license_id string")
+    return spark.createDataFrame(known_rows(texts), KNOWN_SCHEMA)
+
+
+def known_from_files(spark: SparkSession, path: str) -> DataFrame:
+    """The known table of a folder of full licence texts, one per file.
+
+    ``license_id`` is the file's name without ``.txt`` or ``.md``; a text
+    counts with and without a first line of at most four words (its title).
+    Files without a letter or digit are left out; of equal texts the first
+    name counts.
+    """
+    files = spark.read.text(path, wholetext=True).select(
+        F.regexp_replace(F.col("_metadata.file_name"), r"\.(txt|md)$", "").alias("license_id"),
+        F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    title, rest = F.substring_index("text", "\n", 1), F.regexp_replace("text", r"^[^\n]*\n?", "")
+    titled = (F.size(F.regexp_extract_all(title, F.lit(r"(\S+)"))) <= TITLE_WORDS) & (rest != "")
+    forms = F.when(titled, F.array("text", rest)).otherwise(F.array("text"))
+    plain = (files.select("license_id", F.explode(forms).alias("text"))
+             .select("license_id", whole_of(canonical_lines(F.col("text"))).alias("plain")).filter("plain <> ''"))
+    return plain.groupBy(F.md5(F.col("plain").cast("binary")).alias("digest")).agg(
+        F.min("license_id").alias("license_id"), F.first(F.length("plain")).alias("length"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  anchors=ANCHORS) -> DataFrame:
+                  anchors=None) -> DataFrame:
     """The known licences among the entire texts of every document.
 
     Returns ``doc_id``, ``licenses`` (identifiers found in the document, its
-    paragraphs or its lines, sorted, comma-separated; empty if none) and
-    ``whole_license`` (that of the whole text, else null), one row per
-    input row.
+    runs of consecutive paragraphs or its lines, sorted, comma-separated;
+    empty if none) and ``whole_license`` (that of the whole text, else null),
+    one row per input row.
 
-    ``known``: ``digest, license_id``, one row per digest. ``anchors``: parts
-    of words one of which every known text holds, in lower case; only texts
-    that hold one are brought to canonical form. Pass None for a table of
-    which that is not known.
+    ``known``: ``digest, license_id, length`` (characters of the canonical
+    form), as ``known_frame`` and ``known_from_files`` give it; its distinct
+    lengths go to the driver. ``anchors``: parts of words one of which every
+    known text holds, in lower case; only texts that hold one are brought to
+    canonical form. The built-in table has ANCHORS; without, every text is.
 
     Defined cases: a null text is empty, and an empty canonical form matches
-    no licence; repeated rows and null ids are reported row by row; an empty
-    table gives an empty result; other columns are ignored. Matches are
-    found per distinct text, so copies add nothing to the join.
+    no licence; a digest that ``known`` repeats gives each of its licences
+    once; an empty ``known`` finds nothing; repeated rows and null ids are
+    reported row by row; an empty table gives an empty result; other columns
+    are ignored. Matches are found per distinct text, so copies add nothing
+    to the join.
     """
+    sizes = [r[0] for r in known.select("length").filter("length > 0").distinct().orderBy("length").collect()]
+    lengths = F.from_json(F.lit(str(sizes)), "array<int>")  # one literal, however many
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -132,7 +217,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
         scanned = rows.filter(reduce(or_, [F.contains(low, F.lit(a)) for a in anchors]))
     lined = scanned.select("text_md5", canonical_lines(F.col("text")).alias("lines"))
     lined = lined.select("text_md5", F.md5(whole_of(F.col("lines")).cast("binary")).alias("whole_md5"),
-                         units_of(F.col("lines")).alias("units"))
+                         units_of(F.col("lines"), lengths).alias("units"))
     hits = (lined.select("text_md5", "whole_md5", F.explode("units").alias("digest"))
             .join(known, "digest")
             .groupBy("text_md5").agg(
@@ -149,9 +234,9 @@ def oracle_sql() -> str:
     for variant, plain in EQUIVALENTS:
         x = f"replace({x}, ' {variant.replace(' ', '  ')} ', ' {plain.replace(' ', '  ')} ')"
     x = f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
-    known = ", ".join(f"('{d}', '{i}')" for d, i in known_digests())
+    known = ", ".join(f"('{d}', '{i}', {n})" for d, i, n in known_rows())
     return f"""
-        with known(digest, license_id) as (values {known}),
+        with known(digest, license_id, n) as (values {known}),
         lined as (
             select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda line: {x}),
                                        lambda l: not regexp_matches(l, '{COPYRIGHT_LINE}')) as lines
@@ -164,10 +249,18 @@ def oracle_sql() -> str:
                    list_filter(list_transform(string_split_regex(joined, '\\n\\n+'),
                                               lambda p: trim(replace(p, chr(10), ' '))), lambda p: p <> '') as paras
             from unit),
+        paras as (
+            select doc_id, whole, through - length(p) - 1 as first, through
+            from (select doc_id, whole, p, sum(length(p) + 1) over (partition by doc_id order by i) as through
+                  from (select doc_id, whole, unnest(paras) as p, generate_subscripts(paras, 1) as i from texts))),
+        runs as (
+            select a.doc_id, a.whole, substring(a.whole, cast(a.first + 1 as bigint), z.n) as u
+            from paras a cross join (select distinct n from known) z
+            join paras b on b.doc_id = a.doc_id and b.through = a.first + z.n + 1),
         hits as (
             select doc_id, whole, license_id, u
-            from (select doc_id, whole, unnest(list_distinct(list_concat([whole], list_concat(paras, filled)))) as u
-                  from texts) join known on md5(u) = digest)
+            from (select doc_id, whole, u from runs union select doc_id, whole, unnest(filled) from texts)
+            join known on md5(u) = digest)
         select t.doc_id, coalesce(string_agg(distinct license_id, ',' order by license_id), '') as licenses,
                max(case when u = h.whole then license_id end) as whole_license
         from texts t left join hits h on t.doc_id = h.doc_id group by t.doc_id"""

@@ -98,7 +98,8 @@ def q_winnowing(spark, sf_dir):
 
 
 def q_license_scan(spark, sf_dir):
-    return license_scan.scan_licenses(documents(spark, sf_dir), license_scan.known_frame(spark))
+    return license_scan.scan_licenses(documents(spark, sf_dir), license_scan.known_frame(spark),
+                                      anchors=license_scan.ANCHORS)
 
 
 def q_embedding_whitening(spark, sf_dir):

@@ -5,6 +5,7 @@ from pvtide.llm import license_scan as scan
 from pvtide.llm.license_texts import KNOWN_TEXTS
 
 MIT = next(t for i, t in KNOWN_TEXTS if i == "MIT")
+ISC = next(t for i, t in KNOWN_TEXTS if i == "ISC")
 
 
 def brute(text):
@@ -19,7 +20,9 @@ def brute(text):
         if c or not re.search(r"[^\W_]", re.sub(scan.SIGNS, " copyright ", line.lower())):
             raw_blank.append(c)
     paragraphs = [p.replace("\n", " ") for p in re.split("\n\n+", "\n".join(raw_blank))]
-    units = {" ".join(c for c in canon if c), *(p.strip() for p in paragraphs), *canon} - {""}
+    filled = [p.strip() for p in paragraphs if p.strip()]
+    runs = {" ".join(filled[i:j]) for i in range(len(filled)) for j in range(i + 1, min(i + 40, len(filled)) + 1)}
+    units = {" ".join(c for c in canon if c), *runs, *canon} - {""}
     find = lambda u: known.get(hashlib.md5(u.encode()).hexdigest())
     found = {find(u) for u in units} - {None}
     return ",".join(sorted(found)), find(" ".join(c for c in canon if c))
@@ -33,7 +36,9 @@ def texts():
             f"{words(20, 1)}\nReleased under the MIT Licence.\n{words(9, 2)}", "Licensed under CC BY-NC 4.0.",
             f"{words(5, 3)}\n\nThis work is licensed under the GNU General\nPublic License, version 3.\n\n{words(5, 4)}",
             "SPDX-License-Identifier: BSD-3-Clause\nLicensed under the Apache License, Version 2.0.", "© 2020 A",
-            "copyright notice and this permission notice", "Licensed under the MIT License. And more words."]
+            "copyright notice and this permission notice", "Licensed under the MIT License. And more words.",
+            f"{words(9, 5)}\n\n{MIT}", f"{MIT}\n\n{words(9, 6)}", f"{MIT}\n\n{MIT}\n\n\n{ISC}",
+            "\n\n".join([*(words(3, i) for i in range(150)), MIT, *(words(3, i) for i in range(99))])]
 
 
 def test_matches_brute_force(spark):
@@ -45,6 +50,7 @@ def test_matches_brute_force(spark):
     assert all(found[i] == ("MIT", "MIT") for i in range(8)) and found[8] == ("", None)
     assert found[9] == ("MIT", None) and found[11] == ("GPL-3.0-only", None)
     assert found[12] == ("Apache-2.0,BSD-3-Clause", None)
+    assert found[16] == found[17] == found[19] == ("MIT", None) and found[18] == ("ISC,MIT", None)
 
 
 def test_column_and_python_forms_agree(spark):
@@ -63,6 +69,33 @@ def test_sql_twin_agrees(spark):
     assert sorted((r.doc_id, r.licenses, r.whole_license) for r in got) == sql
 
 
+def test_running_sums(spark):
+    import itertools
+    from pyspark.sql import functions as F
+
+    rows = [(list(range(n)),) for n in (0, 1, 63, 64, 65, 128, 1000)]
+    df = spark.createDataFrame(rows, "x array<int>").select("x", scan._running_sums(F.col("x")).alias("s"))
+    assert all(r.s == list(itertools.accumulate(r.x)) for r in df.collect())
+
+
+def test_own_table_from_files(spark, tmp_path):
+    long_text = "\n\n".join(f"Section {i}. {words(40, i)}" for i in range(120))
+    for name, text in {"Own-1.0.txt": "Own terms\n\nDo what you want.", "Long-2.0.md": long_text, "empty.txt": "\n",
+                       "Own-copy.txt": "Do what you WANT"}.items():
+        (tmp_path / name).write_text(text)
+    known = scan.known_from_files(spark, str(tmp_path))
+    assert {r.license_id for r in known.collect()} == {"Own-1.0", "Long-2.0"}
+    rows = [(1, "Hello.\n\nDo what you want!\n\nBye."), (2, "Own terms:\nDo what you want"),
+            (3, f"{words(50, 500)}\n\n{long_text}\n\n{words(50, 501)}"), (4, long_text.replace("Section 7.", "Section 8.")),
+            (5, None), (6, "Do what you want today.")]
+    want = {1: ("Own-1.0", None), 2: ("Own-1.0", "Own-1.0"), 3: ("Long-2.0", None), 4: ("", None), 5: ("", None), 6: ("", None)}
+    for table in (known, known.unionByName(known)):  # repeated digests double nothing
+        got = scan.scan_licenses(frame(spark, rows), table).collect()
+        assert {r.doc_id: (r.licenses, r.whole_license) for r in got} == want and len(got) == 6
+    none = scan.scan_licenses(frame(spark, rows), known.limit(0)).collect()
+    assert {(r.licenses, r.whole_license) for r in none} == {("", None)} and len(none) == 6
+
+
 def test_unbounded_table_and_empty(spark, monkeypatch):
     monkeypatch.setattr(scan, "BROADCAST_ROWS", 3)
     rows = [(i, texts()[i % len(texts())]) for i in range(200)]
