@@ -3,7 +3,9 @@
 Rules allow or block hosts with their subdomains below a path; the longest
 rule that fits decides. Other URLs are judged by gradient-boosted trees over
 lexical features (lengths, depth, digit ratio, entropy, parameter counts,
-statistics of the host's suffix), trained from labelled URLs.
+statistics of the host's suffix), trained from labelled URLs. A share of the
+sites is held out of training whole, so that the trees can be measured on
+sites they have never seen.
 
 Everything is DataFrame functions and Spark's own tree learner.
 """
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from pvtide.llm.common import stored
 
 ALLOW, BLOCK = "allow", "block"
-# Labelled URLs of each class that training takes at most, on average (chosen by hash).
+# Distinct labelled URLs of each class that training takes at most, on average (chosen by hash).
 MAX_TRAINING_ROWS = 20_000
+# One site of this many is held out of training.
+HELD_OUT_ONE_OF = 4
 # Suffix statistics are broadcast up to this many rows (about 50 bytes each).
 BROADCAST_ROWS = 500_000
 TREES = 16
@@ -109,48 +113,78 @@ def with_features(pages: DataFrame) -> DataFrame:
     return df.join(stats, "suffix").withColumn("suffix_share", F.col("suffix_n") / F.lit(total)).drop("suffix_n")
 
 
+def site_of(host: Column) -> Column:
+    """The last three labels of a host, without a leading ``www``: what is
+    held out together, so that no subdomain of a site betrays another."""
+    labels = F.split(F.regexp_replace(host, r"^www\.", ""), r"\.")
+    return F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(3)), 3), ".")
+
+
+def held_out(host: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(SEED), site_of(host)), F.lit(HELD_OUT_ONE_OF)) == 0
+
+
 def train(labelled: DataFrame) -> GBTClassificationModel | None:
     """Boosted trees from rows with the features and ``label`` (1: block).
 
-    Learns from at most about MAX_TRAINING_ROWS of each class, chosen by the
-    URL's hash. Returns None if a class has no rows: nothing can be learnt.
+    Learns from distinct URLs, at most about MAX_TRAINING_ROWS of each class,
+    chosen by the URL's hash; a URL on a third of all rows counts once.
+    Returns None if a class has no rows: nothing can be learnt.
     """
-    counts = {int(r["label"]): r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {int(r["label"]): r["n"] for r in
+              labelled.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, MAX_TRAINING_ROWS / counts[1]))).otherwise(
-        F.lit(min(1.0, MAX_TRAINING_ROWS / counts[0])))
+    share = F.when(F.col("label") == 1, F.lit(min(1.0, MAX_TRAINING_ROWS / max(counts[1], 1)))).otherwise(
+        F.lit(min(1.0, MAX_TRAINING_ROWS / max(counts[0], 1))))
     chosen = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share * F.lit(float(1 << 20)))
-    rows = _assembled(chosen.select("label", *FEATURES)).select(F.col("label").cast("double").alias("label"), "features")
-    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.2).fit(rows)
+    # Written once: every pass of the learner reads the same rows in the same order.
+    rows = stored(chosen.select("url", F.col("label").cast("double").alias("label"), *FEATURES)
+                  .dropDuplicates(["url", "label"]).orderBy("url", "label"), "url-training")
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.2).fit(
+        _assembled(rows).select("label", "features"))
 
 
 def _assembled(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
 
-def judge_urls(pages: DataFrame, rules, seed_words, id_col: str = "page_id", url_col: str = "url",
-               threshold: float = 0.5) -> DataFrame:
-    """``page_id, host, path, rule, verdict, block_score`` for every page.
+def seed_label(host: Column, seed_words) -> Column:
+    """1 (block) where a seed word is a part of the host between dots and hyphens, else 0."""
+    return F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*[F.lit(w) for w in seed_words])).cast("int")
 
-    The labelled URLs are the pages' own: blocked are those whose host has
-    one of ``seed_words`` as a part between dots and hyphens, allowed those
-    without that a rule allows. ``verdict`` is the rule's, else ``block``
-    where the trees' probability reaches ``threshold``, else ``allow``
-    (always, where either label is missing).
+
+def judge_urls(pages: DataFrame, rules, seed_words=(), id_col: str = "page_id", url_col: str = "url",
+               threshold: float = 0.5, label_col: str | None = None) -> DataFrame:
+    """``page_id, host, path, rule, verdict, block_score, label, held_out`` for every page.
+
+    Labels are a column of ``pages`` (``label_col``: 1 block, 0 allow, null
+    unknown), as joined from a table of labelled URLs. Without one they come
+    from ``seed_words``: a host that has one of them blocks, any other that a
+    rule allows allows. A URL that a rule decides never trains the other way.
+    The trees learn from labelled URLs of sites that are not held out
+    (``held_out``). ``verdict`` is the rule's, else ``block`` where the
+    trees' probability reaches ``threshold``, else ``allow`` (always, where
+    either label is missing).
 
     Defined cases: a null URL or one without ``://`` has empty host and path
-    and is judged by the trees like any other; repeated rows are judged
-    alike; an empty table gives an empty result; other columns are ignored.
+    and is judged by the trees like any other; a null URL trains nothing;
+    repeated rows are judged alike; an empty table gives an empty result;
+    other columns are ignored.
     """
     url = F.col(f"`{url_col}`")
-    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), url.alias("url"), host_of(url).alias("host"),
-                        path_of(url).alias("path"))
+    given = F.col(f"`{label_col}`").cast("int") if label_col else F.lit(None).cast("int")
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), url.alias("url"), given.alias("given"),
+                        host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    featured = with_features(rows)
-    seeded = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*[F.lit(w) for w in seed_words]))
-    labelled = featured.withColumn("label", F.when(seeded, 1).when(F.col("fit.action") == ALLOW, 0))
-    model = train(labelled.filter("label is not null"))
+    label = F.col("given")
+    if not label_col:
+        seeded = seed_label(F.col("host"), seed_words) if seed_words else F.lit(0)
+        label = F.when(seeded == 1, 1).when(F.col("fit.action") == ALLOW, 0)
+    against = ((F.col("fit.action") == ALLOW) & (label == 1)) | ((F.col("fit.action") == BLOCK) & (label == 0))
+    featured = with_features(rows).withColumns({
+        "label": F.when(~F.coalesce(against, F.lit(False)), label), "held_out": held_out(F.col("host"))})
+    model = train(featured.filter("label is not null and url is not null and not held_out"))
     if model is None:
         judged = featured.withColumn("block_score", F.lit(0.0))
     else:
@@ -158,4 +192,13 @@ def judge_urls(pages: DataFrame, rules, seed_words, id_col: str = "page_id", url
             "block_score", vector_to_array("probability")[1])
     verdict = F.coalesce("fit.action", F.when(F.col("block_score") >= threshold, BLOCK).otherwise(ALLOW))
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"),
-                         "block_score")
+                         "block_score", "label", "held_out")
+
+
+def accuracy(judged: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``held_out, label, urls, sites, right`` of labelled URLs: what share of
+    each class the trees alone judge as labelled, with training sites apart."""
+    right = (F.col("block_score") >= threshold).cast("int") == F.col("label")
+    return judged.filter("label is not null").groupBy("held_out", "label").agg(
+        F.count(F.lit(1)).alias("urls"), F.countDistinct(site_of(F.col("host"))).alias("sites"),
+        F.avg(right.cast("double")).alias("right"))

@@ -66,6 +66,67 @@ def test_entropy_and_features(spark):
         assert abs(r.e - exact) < 1e-9
 
 
+def brute_features(urls):
+    def entropy(t):
+        return -sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values()) if t else 0.0
+
+    digits = lambda t: sum(c in "0123456789" for c in t)
+    hosts = [brute(u)[0] for u in urls]
+    suffix = [".".join(h.split(".")[-2:]) for h in hosts]
+    counts, hyphened = Counter(suffix), Counter(s for s, h in zip(suffix, hosts, strict=True) if "-" in h)
+    for u, host, s in zip(urls, hosts, suffix, strict=True):
+        path, u = brute(u)[1], u or ""
+        query = (re.search(r"(?s)\?([^#]*)", u) or [0, ""])[1]
+        yield dict(
+            url_length=len(u), host_length=len(host), path_length=len(path), query_length=len(query),
+            depth=path.count("/"), labels=len(host.split(".")), digit_ratio=digits(u) / max(len(u), 1),
+            host_digit_ratio=digits(host) / max(len(host), 1), hyphens=host.count("-"), host_entropy=entropy(host),
+            path_entropy=entropy(path), params=query.count("&") + 1 if query else 0, fragment=int("#" in u),
+            secure=int(u.startswith("https://")), longest_label=max(map(len, host.split("."))),
+            extension=int(bool(re.search(r"\.[A-Za-z0-9]{1,5}$", path))),
+            vowel_ratio=sum(c in "aeiou" for c in host) / max(len(host), 1), suffix_share=counts[s] / len(urls),
+            suffix_hyphen_share=hyphened[s] / counts[s], suffix_length=len(s))
+
+
+def test_all_features_match_brute_force(spark):
+    urls = URLS + list(synthetic(60))
+    df = pages(spark, urls).select("page_id", "url", url_filter.host_of(F.col("url")).alias("host"),
+                                   url_filter.path_of(F.col("url")).alias("path"))
+    want = list(brute_features(urls))
+    for r in url_filter.with_features(df).collect():
+        assert set(want[r.page_id]) == set(url_filter.FEATURES)
+        for name, value in want[r.page_id].items():
+            assert abs(r[name] - value) < 1e-9, (name, urls[r.page_id])
+
+
+def test_label_column_held_out_sites_and_rules(spark):
+    urls = [*synthetic(), None, None]
+    bad = ["-" in brute(u)[0] for u in urls]
+    df = spark.createDataFrame([(i, u, None if i % 5 == 0 else int(b)) for i, (u, b) in
+                                enumerate(zip(urls, bad, strict=True))], "page_id long, url string, known int")
+    judged = url_filter.judge_urls(df, (("allow", "org/"), ("allow", "cheap-casino.example.com/")), label_col="known")
+    got = {r.page_id: r for r in judged.collect()}
+    assert len(got) == len(urls) and all(got[i].label in (None, int(b)) for i, b in enumerate(bad))
+    assert all(not r.rule or r.label != 1 for r in got.values())  # what a rule allows never trains as block
+    sites = {}
+    for r in got.values():
+        site = ".".join(r.host.removeprefix("www.").split(".")[-3:])
+        assert sites.setdefault(site, r.held_out) == r.held_out
+    report = {(r.held_out, r.label): r for r in url_filter.accuracy(judged).collect()}
+    assert set(report) == {(False, 0), (False, 1), (True, 0), (True, 1)}
+    assert report[True, 0].right > 0.95 and report[True, 1].right > 0.95 and report[True, 1].sites > 10
+
+
+def test_a_hot_url_trains_once(spark, monkeypatch):
+    urls = [*synthetic(300), *["http://hot-casino.example.com/a"] * 3000, *["http://hot.example.org/a"] * 3000]
+    monkeypatch.setattr(url_filter, "MAX_TRAINING_ROWS", 100)
+    seen = []
+    monkeypatch.setattr(url_filter, "stored", lambda df, name, keep=url_filter.stored: seen.append((name, keep(df, name))) or seen[-1][1])
+    url_filter.judge_urls(pages(spark, urls), (("allow", "org/"),), ("casino", "casino1", "casino2", "pills3", "bets", "spam"))
+    rows = dict(seen)["url-training"].collect()
+    assert len({r.url for r in rows}) == len(rows) and 40 < len(rows) < 300 and {r.label for r in rows} == {0.0, 1.0}
+
+
 def test_empty_table_and_one_class(spark):
     assert url_filter.judge_urls(pages(spark, []), queries.URL_RULES, queries.SEED_WORDS).count() == 0
     one = url_filter.judge_urls(pages(spark, ["http://a.org/", "http://b.net/"] * 3), queries.URL_RULES, ("casino",))
