@@ -205,7 +205,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     to the join.
     """
     sizes = [r[0] for r in known.select("length").filter("length > 0").distinct().orderBy("length").collect()]
-    lengths = F.from_json(F.lit(str(sizes)), "array<int>")  # one literal, however many
+    # One text for any number of lengths, which the optimiser turns into one array literal.
+    lengths = F.split(F.lit(",".join(map(str, sizes)) or "0"), ",").cast("array<int>")
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -218,7 +219,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     lined = scanned.select("text_md5", canonical_lines(F.col("text")).alias("lines"))
     lined = lined.select("text_md5", F.md5(whole_of(F.col("lines")).cast("binary")).alias("whole_md5"),
                          units_of(F.col("lines"), lengths).alias("units"))
-    hits = (lined.select("text_md5", "whole_md5", F.explode("units").alias("digest"))
+    # explode would make the optimiser filter on the number of units, computing them a second
+    # time for that; explode_outer does not, and its null digests join nothing.
+    hits = (lined.select("text_md5", "whole_md5", F.explode_outer("units").alias("digest"))
             .join(known, "digest")
             .groupBy("text_md5").agg(
                 F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"),
