@@ -11,7 +11,7 @@ Three forms:
 
 All raise on a duplicate ``(datetime_GMT, ss_id)``, as a pivot without an
 aggregate does in the reference. Duplicates are counted with map-side
-combining, in the block form in the same shuffle as the values.
+combining, in the block form where a block's readings meet.
 """
 
 from __future__ import annotations
@@ -45,23 +45,28 @@ def pivot_blocks(df: DataFrame, value: str = GEN, width: int = BLOCK_WIDTH) -> D
     Column ``c007`` of block 3 holds id ``3 * width + 7``. One constant
     schema for any number of systems; a group holds at most ``width`` values.
 
-    One shuffle, on time and block, after map-side combining. Duplicates are
-    seen there too: a group has more rows than places that occur, counted as
-    the bits of masks of 62 places each.
+    One shuffle, of the narrow readings on time and block. A task then sorts
+    them and fills one wide row at a time, so its memory goes with its
+    readings and not with ``width`` times its groups. Duplicates are seen
+    there too: a group has more rows than places that occur, counted as the
+    bits of masks of 62 places each.
     """
     ids = F.col(SS_ID)
     place = F.pmod(ids, F.lit(width)).cast("int")
     placed = df.select(TS, id_block(ids, width).alias(BLOCK), place.alias("_place"), F.col(value).cast("float").alias(value))
-    places = [F.first(F.when(F.col("_place") == i, F.col(value)), ignorenulls=True).alias(block_column(i, width))
-              for i in range(width)]
+    # One value at most in a cell, so its maximum is that value.
+    places = [F.max(F.when(F.col("_place") == i, F.col(value))).alias(block_column(i, width)) for i in range(width)]
     masks = [F.bit_or(F.when(F.col("_place").between(low, low + 61), F.expr(f"shiftleft(1L, _place - {low})")))
              for low in range(0, width, 62)]
     named = [mask.alias(f"_mask{i}") for i, mask in enumerate(masks)]
-    grouped = placed.groupBy(TS, BLOCK).agg(*places, F.count(F.lit(1)).alias("_rows"), *named)
+    # A struct among the aggregates lets Spark aggregate by sorting: a hash
+    # aggregate would hold the wide row of every group of a task at once.
+    grouped = (placed.repartition(TS, BLOCK).groupBy(TS, BLOCK)
+               .agg(*places, F.count(F.lit(1)).alias("_rows"), F.first(F.struct(BLOCK)).alias("_group"), *named))
     seen = sum((F.bit_count(F.coalesce(F.col(f"_mask{i}"), F.lit(0).cast("bigint"))) for i in range(len(masks))), F.lit(0))
     # The check stands in a column of the result, so no plan drops it.
     block = F.when((F.col(BLOCK).isNotNull()) & (F.col("_rows") != seen), F.raise_error(F.lit(DUPLICATE)).cast("bigint")) \
-        .otherwise(F.col(BLOCK))
+        .otherwise(F.col("_group")[BLOCK])
     return grouped.select(TS, block.alias(BLOCK), *[block_column(i, width) for i in range(width)])
 
 

@@ -82,7 +82,13 @@ def wide_halfhour_to_tall(wide: DataFrame, prefix: str = "t", minutes: int = 30,
                              .otherwise(F.raise_error(F.lit(
                                  "wide extract: datetime_GMT is not a midnight; use day_aligned=False"))
                                  .cast("boolean")))
-        typed = dedup(typed, [TS, SS_ID], dedup_order)
+        if dedup_order is None:
+            # Any row of a day: kept whole in a struct, which Spark aggregates by sorting (in
+            # the order of ``halfhour_slots_to_wide``), one wide row at a time.
+            kept = typed.groupBy(TS, SS_ID).agg(F.first(_struct_of(slots)).alias("_kept"))
+            typed = kept.selectExpr(quote(TS), quote(SS_ID), *[f"_kept.{quote(c)} AS {quote(c)}" for c in slots])
+        else:
+            typed = dedup(typed, [TS, SS_ID], dedup_order)
     # Unpivot with the slot number as a literal per slot (known from the
     # column names), so no row parses a column name.
     pairs = ", ".join(f"named_struct('_slot', {int(c[len(prefix):])}, '{GEN}', {quote(c)})" for c in slots)
@@ -102,17 +108,22 @@ def halfhour_slots_to_wide(readings: DataFrame, prefix: str = "t", minutes: int
     k-th ``minutes`` interval of that day (left-closed slot, labelled at its end).
 
     Used to build wide extracts from tall readings: one grouped aggregation
-    with a conditional sum per slot (one shuffle, combined map-side), where
-    a pivot would aggregate by slot first and shuffle twice.
+    with a conditional sum per slot, where a pivot would aggregate by slot
+    first and shuffle twice. The one shuffle is of the narrow readings; a task
+    sorts them and sums one wide row at a time, so its memory does not go
+    with the wide rows of all its days and systems.
     """
     n_slots = (24 * 60) // minutes
     day = F.to_date(F.col(TS))
     ts_type = dict(readings.dtypes)[TS]
     slot = (F.floor((F.hour(TS) * 60 + F.minute(TS)) / F.lit(minutes)) + F.lit(1)).cast("int")
     keyed = readings.select(day.cast(ts_type).alias(TS), F.col(SS_ID), slot.alias("_slot"), F.col(value))
-    return keyed.groupBy(TS, SS_ID).agg(*[
-        F.expr(f"sum(CASE WHEN _slot = {k} THEN {quote(value)} END) AS {quote(prefix + str(k))}")
-        for k in range(1, n_slots + 1)])
+    sums = [F.expr(f"sum(CASE WHEN _slot = {k} THEN {quote(value)} END) AS {quote(prefix + str(k))}")
+            for k in range(1, n_slots + 1)]
+    # A struct among the aggregates lets Spark aggregate by sorting (a hash aggregate holds all
+    # groups); it is never null, and the filter keeps it in the plan.
+    grouped = keyed.repartition(TS, SS_ID).groupBy(TS, SS_ID).agg(*sums, F.first(F.struct(SS_ID)).alias("_group"))
+    return grouped.filter(F.col("_group").isNotNull()).selectExpr(quote(TS), quote(SS_ID), *[quote(prefix + str(k)) for k in range(1, n_slots + 1)])
 
 
 def unpivot_series(df: DataFrame, index: list[str], variable: str, value: str) -> DataFrame:

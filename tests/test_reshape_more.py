@@ -233,3 +233,33 @@ def test_hex_density_has_no_cell_for_unknown_places(spark):
     df = spark.createDataFrame([(51.0, -1.0), (float("nan"), -1.0), (51.0, float("nan")), (None, -1.0)],
                                "latitude_rounded double, longitude_rounded double")
     assert [r.n_systems for r in hex_density(df).collect()] == [1]
+
+
+def test_wide_rows_are_aggregated_one_at_a_time(spark, tall):
+    """No hash aggregate holds the wide rows (days or blocks) of all groups of a
+    task, only narrow readings are shuffled, each once, and nothing is sorted twice."""
+    from pvtide.operators.pivot import pivot_blocks
+    from pvtide.operators.reshape import halfhour_slots_to_wide, wide_halfhour_to_tall
+
+    days = wide_halfhour_to_tall(halfhour_slots_to_wide(tall))
+    plan = pivot_blocks(days)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("Sort [") == 2
+
+
+def test_half_hours_to_blocks_with_nulls_and_repeats(spark):
+    """Repeats in a half hour add up; null ids and times keep their rows."""
+    from pvtide.operators.pivot import pivot_blocks
+    from pvtide.operators.reshape import halfhour_slots_to_wide, wide_halfhour_to_tall
+
+    rows = [(1, T("2024-01-09 10:05"), 1.0), (1, T("2024-01-09 10:10"), 2.0), (101, T("2024-01-09 10:10"), 4.0),
+            (1, T("2024-01-09 10:40"), None), (None, T("2024-01-09 10:10"), 8.0), (2, None, 16.0)]
+    days = wide_halfhour_to_tall(halfhour_slots_to_wide(spark.createDataFrame(rows, READINGS_DDL)))
+    assert days.count() == 4 * 48
+    found = pivot_blocks(days.filter("generation_Wh IS NOT NULL")).collect()
+    cells = {(r.datetime_GMT, r.id_block): [v for v in list(r)[2:] if v is not None] for r in found}
+    at = T("2024-01-09 10:30")
+    assert cells == {(at, 0): [3.0], (at, 1): [4.0], (at, None): []}
+    with pytest.raises(Exception, match="duplicate"):
+        pivot_blocks(days.filter("ss_id = 1").union(days.filter("ss_id = 1"))).collect()
