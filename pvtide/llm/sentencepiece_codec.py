@@ -6,7 +6,9 @@ normaliser (the precompiled character map if there is one, the dummy prefix,
 the white-space rules), the metaspace marker, the pieces with their scores
 (a unigram lattice, or the merges that the scores of a BPE model rank) and
 byte fallback. Texts are then encoded and decoded in batches inside tasks,
-with the library's threads. ``parity_report`` compares the rebuilt tokenizer
+with the library's threads. Where no piece crosses words and the normaliser
+only marks blanks, the library encodes each distinct word once and the ids of
+a text are those of its words (``Encoder``). ``parity_report`` compares the rebuilt tokenizer
 with the sentencepiece library id by id.
 
 Tokenizers are never trained here. The path of the model is a parameter; its
@@ -18,10 +20,12 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ MAX_MODEL_BYTES = 64 << 20
 GROUP_CHARS = 1 << 19
 # Their ids are decoded in smaller groups: the decoder holds a string for every token.
 DECODE_CHARS = 1 << 17
+# Words whose ids a Python worker keeps, and their characters; beyond either it starts anew.
+KEPT_WORDS, KEPT_CHARS = 1 << 18, 1 << 23
 # Threads of the library in a task, unless RAYON_NUM_THREADS says otherwise.
 THREADS = "2"
 
@@ -44,6 +50,8 @@ THREADS = "2"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 METASPACE = "▁"
+# What the library encodes for itself where words are independent.
+WORD = f"{METASPACE}+[^{METASPACE}]*|[^{METASPACE}]+"
 
 
 # --- the model file ---------------------------------------------------------
@@ -190,8 +198,7 @@ def build_tokenizer(model: PieceModel):
         steps.append(normalizers.Replace(" ", METASPACE))
     tokenizer.normalizer = normalizers.Sequence(steps)
     if model.split_by_whitespace and words_are_independent(model):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(
-            Regex(f"{METASPACE}+[^{METASPACE}]*|[^{METASPACE}]+"), "isolated")
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
     special = [AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER_DEFINED]
     if special:
         tokenizer.add_tokens(special)
@@ -202,9 +209,75 @@ def build_tokenizer(model: PieceModel):
     return tokenizer
 
 
-@functools.lru_cache(maxsize=2)
 def _tokenizer(data: bytes):
-    return build_tokenizer(parse_model(data))
+    return _encoder(data).tokenizer
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and how many each text has."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
+
+
+class Encoder:
+    """Texts to ids as ``build_tokenizer(model)`` gives them.
+
+    If its pre-tokenizer cuts every text into words and its normaliser only
+    marks blanks, the words are cut here and each distinct one is encoded
+    once; the ids of the latest words are kept for the texts that follow.
+    """
+
+    def __init__(self, model: PieceModel):
+        self.model, self.tokenizer = model, build_tokenizer(model)
+        self.by_word = (model.split_by_whitespace and words_are_independent(model) and model.escape_whitespaces
+                        and not model.charsmap and not model.remove_extra_whitespaces
+                        and not any(kind == USER_DEFINED for *_, kind in model.pieces))
+        if self.by_word:
+            from tokenizers import Tokenizer
+
+            self.words = Tokenizer(self.tokenizer.model)  # words come marked and cut
+            self.find = re.compile(WORD).findall
+            self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.chars, self.ids = 0, np.zeros(0, np.int32)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, seen: set[str]) -> None:
+        new = [word for word in seen if word not in self.index]
+        if len(self.index) + len(new) > KEPT_WORDS or self.chars > KEPT_CHARS:
+            self._forget()
+            new = list(seen)
+        ids, lengths = _flat([e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.chars += sum(map(len, new))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and how many each text has (null and empty: none)."""
+        if not self.by_word:
+            # An empty text gets no dummy prefix.
+            full = [t for t in texts if t]
+            encoded = iter([e.ids for e in self.tokenizer.encode_batch_fast(full, add_special_tokens=False)])
+            return _flat([next(encoded) if t else [] for t in texts])
+        prefix = METASPACE if self.model.add_dummy_prefix else ""
+        words = [self.find(prefix + t.replace(" ", METASPACE)) if t else [] for t in texts]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        seen = list(chain.from_iterable(words))
+        self._learn(set(seen))
+        at = np.fromiter(map(self.index.__getitem__, seen), np.int64, len(seen))
+        lengths = self.lengths[at]
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(self.starts[at] - bounds[:-1], lengths) + np.arange(bounds[-1])]
+        return ids, np.diff(bounds[ends], prepend=0)
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(data: bytes) -> Encoder:
+    return Encoder(parse_model(data))
 
 
 def load_model(path: str = DEFAULT_MODEL) -> bytes:
@@ -229,11 +302,8 @@ def _groups(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _token_batch(kept: pa.Array, ids: list[list[int]], extra: list[tuple[str, pa.Array]]) -> pa.RecordBatch:
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    flat = np.fromiter((x for own in ids for x in own), np.int32, int(lengths.sum()))
-    tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+def _token_batch(kept: pa.Array, flat: np.ndarray, bounds: np.ndarray, extra: list[tuple[str, pa.Array]]) -> pa.RecordBatch:
+    tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
     return pa.RecordBatch.from_arrays([kept, tokens, *[a for _, a in extra]],
                                       names=["kept", "ids", *[n for n, _ in extra]])
 
@@ -254,25 +324,24 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep=(), check
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(model)
+        encoder = _encoder(model)
         normal = _normaliser(model)
         for batch in freed(batches):
             texts = batch.column(1).to_pylist()
             for start, end in _groups([t or "" for t in texts], GROUP_CHARS):
                 own = texts[start:end]
-                # An empty text gets no dummy prefix.
-                full = [t for t in own if t]
-                encoded = iter([e.ids for e in tokenizer.encode_batch_fast(full, add_special_tokens=False)])
-                ids = [next(encoded) if t else [] for t in own]
-                extra = [("n_tokens", pa.array([len(x) for x in ids], pa.int32()))]
+                flat, lengths = encoder.encode(own)
+                bounds = np.concatenate([[0], np.cumsum(lengths)])
+                extra = [("n_tokens", pa.array(lengths.astype(np.int32)))]
                 if check:
-                    back = _decoded(tokenizer, own, ids)
+                    ids = [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                    back = _decoded(encoder.tokenizer, own, ids)
                     up_to, exact = (
                         [None if t is None else b == form(t) for t, b in zip(own, back, strict=True)]
                         for form in (normal, str))
                     extra += [("round_trip", pa.array(up_to, pa.bool_())),
                               ("round_trip_exact", pa.array(exact, pa.bool_()))]
-                out = _token_batch(batch.column(0).slice(start, end - start), ids, extra)
+                out = _token_batch(batch.column(0).slice(start, end - start), flat, bounds, extra)
                 null = pa.array([t is None for t in own], pa.bool_())
                 tokens = pa.compute.if_else(null, pa.scalar(None, out.column(1).type), out.column(1))
                 yield out.set_column(1, "ids", tokens)
@@ -334,12 +403,12 @@ def parity_report(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        tokenizer = _tokenizer(model)
+        encoder = _encoder(model)
         other = sentencepiece.SentencePieceProcessor(model_proto=model)
         for batch in freed(batches):
             texts = batch.column(1).to_pylist()
-            mine = [e.ids if t else [] for t, e in zip(
-                texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+            flat, lengths = encoder.encode(texts)
+            mine = [own.tolist() for own in np.split(flat, np.cumsum(lengths)[:-1])]
             theirs = other.encode(texts, num_threads=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([a == b for a, b in zip(mine, theirs, strict=True)], pa.bool_())],
