@@ -15,8 +15,9 @@ The plan, in tables of the shared folder:
 2. Bands of registers form buckets. Every text of a bucket is compared with
    its leader, the text whose buckets are largest: amid a crowd of edited
    copies that is one near the original. Verified links give components.
-3. Rounds: in each bucket that still holds several components, a few texts
-   outside the largest become leaders of the others, until no link is found.
+3. Rounds: in each bucket that still holds several components, the most
+   central text outside the largest becomes a leader of the others; as long as
+   many of the pairs are links, further rounds take a few leaders each.
 4. What is still open is settled exactly. In buckets of a few texts all
    pairs across components are compared. The texts of larger ones meet by an
    equi-join on rare shingles: if two sets reach the threshold, then each has
@@ -58,6 +59,10 @@ BROADCAST_ROWS = 500_000
 DEVIATIONS = 6
 # New leaders of a bucket in a later round.
 LEADERS = 4
+# Share of a round's verified pairs that must be links for another round. What
+# rounds leave is settled exactly, so it bears on time alone: leaders of a crowd
+# that is not similar to them are compared with all of it for nothing.
+PAYING = 0.05
 # All pairs of components are compared in buckets of up to so many texts.
 SMALL_BUCKET = 8
 # Sizes of partners are told apart in classes of 3 %, mean weights in classes of 10 %.
@@ -321,24 +326,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, name: str) ->
 
 
 def _linked(pairs: DataFrame, labels: DataFrame, planes: DataFrame, sets: DataFrame, similarity: float,
-            name: str, filtered: bool = True) -> tuple[DataFrame, int]:
+            name: str, filtered: bool = True) -> tuple[DataFrame, bool]:
     """``labels`` (node, root) after joining the components that similar pairs
-    (a, b) connect, and the number of links. Only the links between roots
+    (a, b) connect, and whether enough of the verified pairs are links. Only the links between roots
     take part in the components, each once."""
     if filtered:
         pairs = (pairs.join(planes.withColumnsRenamed({"node": "a", "planes": "pa"}), "a")
                  .join(planes.withColumnsRenamed({"node": "b", "planes": "pb"}), "b")
                  .filter(_mismatches(F.col("pa"), F.col("pb")) <= max_mismatches(similarity)).select("a", "b"))
-    links = _verified(stored(pairs, f"{name}-pairs"), sets, similarity, name)
+    pairs = stored(pairs, f"{name}-pairs")
+    links = _verified(pairs, sets, similarity, name)
     found = links.count()
     if not found:
-        return labels, 0
+        return labels, False
     edges = (links.select("a", "b").join(labels.withColumnsRenamed({"node": "a", "root": "ra"}), "a")
              .join(labels.withColumnsRenamed({"node": "b", "root": "rb"}), "b")
              .filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     roots = connected_components(edges, name).select(F.col("node").alias("root"), F.col("root").alias("new"))
     labels = labels.join(roots, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-    return stored(labels, f"{name}-components"), found
+    return stored(labels, f"{name}-components"), found >= PAYING * pairs.count()
 
 
 def _open(shared: DataFrame, labels: DataFrame, name: str) -> DataFrame:
@@ -439,20 +445,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = shared.groupBy("band").agg(F.max_by("node", central).alias("leader"))
     pairs = (shared.join(leaders, "band").filter("node != leader")
              .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-    labels, found = _linked(pairs, labels, planes, sets, similarity, "minhash-first")
+    labels, paying = _linked(pairs, labels, planes, sets, similarity, "minhash-first")
 
     round_no = 1
-    while found:  # every round joins components or is the last
+    while paying:  # every round joins components or is the last
         open_ = _open(shared, labels, "minhash-open")
-        # The most central text outside the main component, and some drawn by hash.
+        # The most central text outside the main component, and after a round that paid some drawn by hash.
         drawn = F.xxhash64("node", F.lit(round_no))
         outside = open_.filter("root != main")
         one = outside.groupBy("band").agg(F.max_by(F.struct("node", "root"), central).alias("l")).select("band", "l.*")
         first = Window.partitionBy("band").orderBy(drawn, "node")
-        some = (outside.withColumn("place", F.row_number().over(first)).filter(F.col("place") < LEADERS)
+        some = (outside.withColumn("place", F.row_number().over(first)).filter(F.col("place") < (LEADERS if round_no > 1 else 1))
                 .select("band", "node", "root"))
         leaders = one.union(some).select("band", F.col("node").alias("leader"), F.col("root").alias("leader_root")).distinct()
-        labels, found = _linked(_new_pairs(leaders, open_), labels, planes, sets, similarity, f"minhash-round-{round_no}")
+        labels, paying = _linked(_new_pairs(leaders, open_), labels, planes, sets, similarity, f"minhash-round-{round_no}")
         round_no += 1
 
     open_ = _open(shared, labels, "minhash-rest")
