@@ -20,10 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvtide.operators.layout import estimated_partitions, require_time_statistics
+from pvtide.operators.reshape import quote
 from pvtide.schema import BLOCK, BLOCK_WIDTH, GEN, SS_ID, TS, block_column
 
 
 DUPLICATE = "duplicate (datetime_GMT, ss_id) in pivot input"
+# Columns that share one presence mask (a bigint) when a wide row is packed.
+PACK_WIDTH = 62
 
 
 def _checked_values(df: DataFrame, value: str) -> DataFrame:
@@ -112,6 +115,35 @@ def wide_to_tall(df: DataFrame, value: str = GEN) -> DataFrame:
             .select(TS, F.col(SS_ID).cast("int").alias(SS_ID), value))
 
 
+def _packs(df: DataFrame, keep: list[str]) -> list[list[str]]:
+    """The columns outside ``keep``, those of one type together, in runs of
+    ``PACK_WIDTH``."""
+    by_type: dict[str, list[str]] = {}
+    for name, kind in df.dtypes:
+        if name not in keep:
+            by_type.setdefault(kind, []).append(name)
+    return [names[i:i + PACK_WIDTH] for names in by_type.values() for i in range(0, len(names), PACK_WIDTH)]
+
+
+def _packed(df: DataFrame, keep: list[str], packs: list[list[str]]) -> DataFrame:
+    """``keep``, and per pack a mask of the columns that are not null and the
+    array of their values: a row's size goes with its filled cells."""
+    cells = []
+    for n, names in enumerate(packs):
+        bits = " | ".join(f"CASE WHEN {quote(c)} IS NULL THEN 0L ELSE {1 << i}L END" for i, c in enumerate(names))
+        values = ", ".join(quote(c) for c in names)
+        cells += [f"{bits} AS _mask{n}", f"array_compact(array({values})) AS _cells{n}"]
+    return df.selectExpr(*[quote(c) for c in keep], *cells)
+
+
+def _unpacked(df: DataFrame, columns: list[str], packs: list[list[str]]) -> DataFrame:
+    """The ``columns`` of the frame that was packed; a value's place in its
+    array is the number of filled columns before it."""
+    cells = {c: f"CASE WHEN (_mask{n} & {1 << i}L) != 0 THEN get(_cells{n}, bit_count(_mask{n} & {(1 << i) - 1}L)) END AS {quote(c)}"
+             for n, names in enumerate(packs) for i, c in enumerate(names)}
+    return df.selectExpr(*[cells.get(c, quote(c)) for c in columns])
+
+
 def write_wide_months(wide: DataFrame, path: str, mode: str = "errorifexists",
                       one_file: bool = False, num_partitions: int | None = None) -> None:
     """Write a wide matrix (id columns or blocks) as time-sorted month files
@@ -121,16 +153,22 @@ def write_wide_months(wide: DataFrame, path: str, mode: str = "errorifexists",
     block, so a month is split into several files with disjoint, ordered
     ranges. ``one_file=True`` is the reference's layout: one file, and so
     one task, per month.
+
+    Rows are shuffled and sorted packed, and widened one at a time as they
+    are written, so a task's memory goes with its filled cells and not with
+    rows times columns.
     """
     require_time_statistics(wide)
     keyed = wide.withColumns({"year": F.year(TS).cast("smallint"), "month": F.date_format(TS, "MM")})
     order = ["year", "month", TS] + ([BLOCK] if BLOCK in wide.columns else [])
     num_partitions = num_partitions or estimated_partitions(wide)
+    packs = _packs(keyed, order)
+    packed = _packed(keyed, order, packs)
     if one_file:
-        arranged = keyed.repartition("year", "month")
+        arranged = packed.repartition("year", "month")
     elif num_partitions:
-        arranged = keyed.repartitionByRange(num_partitions, *order)
+        arranged = packed.repartitionByRange(num_partitions, *order)
     else:
-        arranged = keyed.repartitionByRange(*order)
-    (arranged.sortWithinPartitions(*order)
+        arranged = packed.repartitionByRange(*order)
+    (_unpacked(arranged.sortWithinPartitions(*order), keyed.columns, packs)
      .write.mode(mode).partitionBy("year", "month").parquet(path))

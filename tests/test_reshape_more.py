@@ -263,3 +263,29 @@ def test_half_hours_to_blocks_with_nulls_and_repeats(spark):
     assert cells == {(at, 0): [3.0], (at, 1): [4.0], (at, None): []}
     with pytest.raises(Exception, match="duplicate"):
         pivot_blocks(days.filter("ss_id = 1").union(days.filter("ss_id = 1"))).collect()
+
+
+def test_wide_months_are_sorted_packed(spark, scratch, monkeypatch):
+    """Rows are sorted with their filled cells alone and come back whole: nulls,
+    NaN, more columns than one mask holds, columns of other types."""
+    from pvtide.operators.pivot import write_wide_months
+
+    names = [f"c{i:03d}" for i in range(130)]
+    filled = {"empty": [], "edges": [0, 61, 62, 123, 124, 129], "all": range(130)}
+    rows = [(T(f"2024-0{1 + n % 2}-0{1 + n} 00:30"), n, kind, *[(float("nan") if i == 62 else i - 0.5) if i in places else None for i in range(130)])
+            for n, (kind, places) in enumerate(filled.items())]
+    rows.append((None, None, None, *[None] * 129, 2.5))
+    wide = spark.createDataFrame(rows, "datetime_GMT timestamp, id_block bigint, note string, " + ", ".join(f"{c} float" for c in names))
+    widths, plain = [], type(wide).sortWithinPartitions
+
+    def counted(self, *cols, **options):
+        widths.append(len(self.columns))
+        return plain(self, *cols, **options)
+
+    monkeypatch.setattr(type(wide), "sortWithinPartitions", counted)
+    for n, options in enumerate(({}, {"one_file": True}, {"num_partitions": 3})):
+        write_wide_months(wide, f"{scratch}/{n}", **options)
+        back = spark.read.schema(wide.schema).parquet(f"{scratch}/{n}/year=*/month=*")
+        assert back.columns == wide.columns
+        assert sorted(map(repr, back.collect())) == sorted(map(repr, wide.collect()))
+    assert widths == [4 + 2 * 4] * 3  # keys, and a mask and an array for each of four packs
