@@ -495,10 +495,13 @@ def q_metadata_rejects(spark, sf_dir):
         F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum("id"), F.lit(0).cast("bigint")).alias("sum_ids"))
 
 
-def _arrivals(df: DataFrame, name: str, schema: str) -> DataFrame:
-    """The readings as files that arrive one after the other, as a stream."""
+def _arrivals(df: DataFrame, name: str, schema: str, last: DataFrame | None = None) -> DataFrame:
+    """The readings as files that arrive one after the other, as a stream;
+    those of ``last`` after all others, as a stream takes files by age."""
     path = _scratch(df.sparkSession, name)
     aligned.as_instants(df).repartitionByRange(ARRIVALS, TS).write.parquet(path)
+    if last is not None:
+        aligned.as_instants(last).coalesce(1).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -530,7 +533,7 @@ def q_align_streams(spark, sf_dir):
     schema = f"{SS_ID} bigint, {TS} timestamp, {GEN} double"
     ahead = spark.range(1).select(F.lit(-1).cast("bigint").alias(SS_ID),
                                   F.lit(FAR_AHEAD).cast("timestamp_ntz").alias(TS), F.lit(0.0).alias(GEN))
-    sides = [_arrivals(df.union(ahead), name, schema) for df, name in ((means, "fine-arrivals"), (coarse, "coarse-arrivals"))]
+    sides = [_arrivals(df, name, schema, ahead) for df, name in ((means, "fine-arrivals"), (coarse, "coarse-arrivals"))]
     stream = aligned.align_streams(*sides, lateness=STREAM_SPAN, names=("mean_W", "coarse_Wh"))
     out = _drained(stream, "aligned", f"{SS_ID} bigint, {TS} timestamp, mean_W double, coarse_Wh double")
     return out.filter(F.col(SS_ID) >= 0).withColumn("mean_W", F.round("mean_W", 6))
